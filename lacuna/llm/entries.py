@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lacuna.llm import exact_dedup, language, quality
-from lacuna.llm.shared import table
+from lacuna.llm import exact_dedup, language, packing, quality, sharding, url_filter
+from lacuna.llm.shared import Scratch, table
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +27,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the shard it lies in after its arrival was appended and compacted."""
+    store = sharding.shard(table(spark, sf_dir, "documents"), Scratch(spark, "sharding").path("documents"))
+    return store.read().select("doc_id", F.length("text").cast("bigint").alias("text_chars"), F.element_at(F.split("shard", "/"), -1).alias("shard"), "shard_bytes", "generation", F.lit(store.version()).alias("version"))
+
+
 OP4_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -31,7 +46,7 @@ SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_language_id, op4_exact_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
