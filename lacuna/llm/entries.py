@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact_dedup, language, packing, quality, sharding, url_filter
+from lacuna.llm import exact_dedup, language, neighbours, packing, quality, sharding, url_filter, warc
 from lacuna.llm.shared import Scratch, table
 
 
@@ -31,6 +31,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.where(F.pmod(F.col("vec_id"), F.lit(50)) == 0), 5)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the shard it lies in after its arrival was appended and compacted."""
     store = sharding.shard(table(spark, sf_dir, "documents"), Scratch(spark, "sharding").path("documents"))
@@ -45,9 +54,20 @@ SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
 """
 
 
+OP6_SQL = r"""
+WITH r AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM r),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op6_warc, op9_nearest_neighbours, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL}
