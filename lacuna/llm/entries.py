@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact_dedup, language, neighbours, packing, quality, sharding, url_filter, warc
+from lacuna.llm import exact_dedup, language, near_duplicates, neighbours, packing, quality, sharding, url_filter, warc
 from lacuna.llm.shared import Scratch, table
 
 
@@ -35,6 +35,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.search(rows, rows.where(F.pmod(F.col("vec_id"), F.lit(50)) == 0), 5)
@@ -66,7 +70,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op6_warc, op9_nearest_neighbours, op10_sharding)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op6_warc, op8_ngram_jaccard_join, op9_nearest_neighbours, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
