@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact_dedup, language, near_duplicates, neighbours, packing, quality, sharding, url_filter, warc
+from lacuna.llm import exact_dedup, language, near_duplicates, neighbours, packing, quality, sentencepiece_scan, sharding, url_filter, warc
 from lacuna.llm.shared import Scratch, table
 
 
@@ -35,6 +35,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(table(spark, sf_dir, "documents"), sentencepiece_scan.default_model())
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,8 +73,14 @@ FROM f
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op6_warc, op8_ngram_jaccard_join, op9_nearest_neighbours, op10_sharding)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op6_warc, op7_sentencepiece, op8_ngram_jaccard_join, op9_nearest_neighbours, op10_sharding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import quotient_filter as cqf
@@ -98,3 +98,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         (F.col("size").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def first_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage of the corpus pipeline: of equal texts the row with the smallest doc_id stays.
+
+    What goes is named by id and text digest, so rows that share an id but not a text are told
+    apart; of rows that share both, one stays.
+    """
+    found = exact_dedup(docs)
+    copies = found.where(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_sha")).distinct()
+    repeated = found.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1)
+    sha = F.sha2(normalised(F.col("text")).cast("binary"), 256)
+    left = docs.join(copies, F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone")) & (sha == F.col("gone_sha")), "left_anti")
+    # Rows that repeat with id and text are rare; only where there are any are the rest compared by them.
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])

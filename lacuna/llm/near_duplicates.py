@@ -66,6 +66,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
 
 
+#: What tells a row again, in order: rows without an id come last.
+_ROW_SQL = "struct(doc_id IS NULL AS without, doc_id, text_hash)"
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, then the task's count table in blocks."""
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -349,13 +353,14 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id.
+    """For each row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, stays.
 
     component_id is the smallest doc_id that links reach, the row's own included. Defined cases: a
     text that is null, empty or without words has an empty set and links with nothing; one of
     fewer than five words has one shingle, the whole sequence. Null ids count as larger than all others, so a
     component has a null id only if all its rows do. Rows that repeat are rows of their own and
-    share their component. An empty table gives an empty result. Other columns are ignored.
+    share their component. ``stays`` is true for the row with the smallest doc_id of each component
+    and for rows with an empty set; rows that share id and text agree in it. An empty table gives an empty result. Other columns are ignored.
     """
     spark, scratch = session_of(docs), Scratch(session_of(docs), "near-duplicates")
     texts = _texts(docs)
@@ -368,10 +373,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(Order(counts.reshape(-1)))
 
     # One row of each set goes on. What is dropped is the list of further copies, usually the smaller part.
-    classes = rows.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"))
+    classes = rows.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("least_id"), F.min(F.expr(_ROW_SQL)).alias("first"), F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
     groups = classes.where("copies > 1").select("vertex", "first")
-    copies = rows.join(groups, "vertex").where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))).select("doc_id", "text_hash").distinct()
+    copies = rows.join(groups, "vertex").where(~F.expr(_ROW_SQL).eqNullSafe(F.col("first"))).select("doc_id", "text_hash").distinct()
     copies = scratch.keep(copies, "copies")
     single = texts.join(copies, ["doc_id", "text_hash"], "left_anti")
 
@@ -396,13 +401,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links, scratch, "all")
     scratch.drop("sets", "counted", "labelled", "asked")
 
-    least = classes.join(labels, "vertex", "left").select("vertex", "least_id", F.coalesce("component", "vertex").alias("component"))
-    roots = least.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    least = scratch.keep(least.join(roots, "component").select("vertex", "component_id"), "components")
-    return rows.join(least, "vertex", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("vertex").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = classes.join(labels, "vertex", "left").select("vertex", "least_id", "first", F.coalesce("component", "vertex").alias("component"))
+    roots = least.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("first").alias("chosen"))
+    least = scratch.keep(least.join(roots, "component").select("vertex", "component_id", "chosen"), "components")
+    return rows.join(least, "vertex", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("vertex").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (F.col("vertex").isNull() | F.expr(_ROW_SQL).eqNullSafe(F.col("chosen"))).alias("stays"),
+        "text_hash",
+    )
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage of the corpus pipeline: of each group of near duplicates the document with the smallest id stays."""
-    found = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    gone = near_duplicates(docs).where(~F.col("stays")).select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_text")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone")) & (F.xxhash64("text") == F.col("gone_text")), "left_anti")
