@@ -43,3 +43,14 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
+
+
+def checkpointed(df):
+    """The frame, written to the shared checkpoint folder, with its lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="lacuna-checkpoint-"))
+    return df.checkpoint()
