@@ -17,6 +17,9 @@ from lacuna.operators import settings as st
 from lacuna.operators import statistics as stat
 from lacuna.operators import tables as tb
 from lacuna.plans.fixtures import oracle_views, view
+from lacuna.raster import detection as det
+from lacuna.raster import segmentation as seg
+from lacuna.sources import images as im
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -580,3 +583,31 @@ def label_at(spark: SparkSession, d: str) -> DataFrame:
 @query("labels_inside", _COMP + "SELECT image_id, label FROM lab GROUP BY image_id, label HAVING count(*)=count(*) FILTER (WHERE y<=4)")
 def labels_inside(spark: SparkSession, d: str) -> DataFrame:
     return px.labels_inside(_labels(spark, d), view(spark, d, "pixels").where("y <= 4"))
+
+
+# -- raster kernels -----------------------------------------------------------------------------
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    return im.enlarged(view(spark, d, "pixels"), 8)
+
+
+@query("raster_pipeline")
+def raster_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel stages on 64 x 64 images, then the default filters and the table of images."""
+    results = im.analysed(_images(spark, d), seg.Segmentation(method="full_frame"), det.Detection(strict_method="otsu_masked", strict_floor=10.0))
+    judged = fl.apply(im.objects(results))
+    images = results.where(F.col("error").isNull()).select("image_id", "name", "width", "height", "specimen_area_px", "um_per_px")
+    return stat.per_image(images, judged).orderBy("image_id")
+
+
+def _add_segmenters() -> None:
+    for name in ("full_frame", "largest_region", *seg.METHODS):
+
+        @query(f"segment_{name}")
+        def run(spark: SparkSession, d: str, name=name) -> DataFrame:
+            results = im.analysed(_images(spark, d), seg.Segmentation(method=name, work_max_px=64, denoise_px=3, close_radius_px=2, seed_erode_px=1), det.Detection(split=False))
+            return results.select("image_id", "specimen_area_px", "resin_fraction", F.size("objects").alias("objects"), "error")
+
+
+_add_segmenters()
