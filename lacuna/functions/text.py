@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # -- formats ----------------------------------------------------------------------------------
 
@@ -27,7 +28,7 @@ def general(value: float) -> str:
     return f"{value:g}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def significant6(values: pd.Series) -> pd.Series:
     """Six significant digits, no trailing zeros, decimal comma; empty for null. For output files only."""
     return values.map(lambda v: "" if pd.isna(v) else f"{v:.6g}".replace(".", ","))
@@ -173,7 +174,7 @@ def shown_unit(value_um: Column) -> tuple[Column, Column]:
     return value_um / factor, unit
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _significant4(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else f"{v:.4g}")
 
