@@ -172,14 +172,19 @@ def best_fit_decreasing(counts: dict[int, int], window: int = WINDOW) -> Packing
         left, number = counts[length], 0
         starts, runs = plan.starts.setdefault(length, []), plan.runs.setdefault(length, [])
         while left and (capacity := tree.tightest(length)) is not None:
+            # A window that got one piece is the tightest for the next of that length, so each is filled before the next.
             first, n = open_runs[capacity].pop()
-            took = min(n, left)
+            step = capacity // length
+            full = min(n, left // step)
+            rest = left - full * step if full < n and left < n * step else 0
             tree.add(capacity, -n)
             starts.append(number)
-            runs.append((first, window - capacity, 1))
-            open_up(capacity - length, first, took)
-            open_up(capacity, first + took, n - took)
-            number, left = number + took, left - took
+            runs.append((first, window - capacity, step))
+            open_up(capacity - step * length, first, full)
+            open_up(capacity - rest * length, first + full, 1 if rest else 0)
+            used = full + bool(rest)
+            open_up(capacity, first + used, n - used)
+            number, left = number + full * step + rest, left - full * step - rest
         if left:  # no open window has room: new ones, each filled with this length before the next
             step = window // length
             starts.append(number)
