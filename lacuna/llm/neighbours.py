@@ -178,10 +178,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             if got.num_rows:
                 part = _search_chunk(index, got, replace(model, radius=radius), k)
                 results.append(scratch.keep(part, f"found{step}_{c}"))
+        if not results:
+            return spark.sql("SELECT 0L AS query_id, 0 AS rank, 0L AS vec_id, 0D AS score WHERE false")
         everything = results[0]
         for r in results[1:]:
             everything = everything.unionByName(r)
-        if radius >= model.planes.shape[1] or not results:
+        if radius >= model.planes.shape[1]:
             break
         enough = everything.groupBy("query_id").count().where(F.col("count") >= wanted)
         radius, step = min(model.planes.shape[1], radius * 3 // 2 + 1), step + 1
@@ -190,8 +192,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             break
         results = [everything.join(enough.select("query_id"), "query_id", "left_semi")]
         open_ = short
-    if not results:
-        return spark.sql("SELECT 0L AS query_id, 0 AS rank, 0L AS vec_id, 0D AS score WHERE false")
     ranked = everything.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
