@@ -16,6 +16,7 @@ from lacuna.operators import scale as sc
 from lacuna.operators import settings as st
 from lacuna.operators import statistics as stat
 from lacuna.operators import tables as tb
+from lacuna.plans import evaluations as ev
 from lacuna.plans.fixtures import oracle_views, view
 from lacuna.raster import detection as det
 from lacuna.raster import segmentation as seg
@@ -611,3 +612,25 @@ def _add_segmenters() -> None:
 
 
 _add_segmenters()
+
+
+# -- folders, viewer list, evaluations ----------------------------------------------------------
+
+
+@query("viewer_list", _JUDGED + f"SELECT image_id, label, CASE WHEN filter_name IS NULL THEN 'counted' ELSE 'rejected' END AS status, coalesce(reason, '') AS reason, false AS by_hand, round(area_px, 1) AS area_px, round({_UM2}, 3) AS area_um2, round({_CIRC}, 3) AS circularity FROM judged")
+def viewer_list(spark: SparkSession, d: str) -> DataFrame:
+    return ev.viewer_list(_judged(spark, d))
+
+
+@query("output_folders", "SELECT 'a/Probe_'||CAST(p_partkey AS VARCHAR)||'.tif' AS path, 'Probe_'||CAST(p_partkey AS VARCHAR) AS folder FROM part")
+def output_folders(spark: SparkSession, d: str) -> DataFrame:
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    return ev.output_folders(parts.select(F.concat(F.lit("a/Probe_"), F.col("p_partkey").cast("string"), F.lit(".tif")).alias("path")))
+
+
+@query("evaluation_per_image", _OBJ + "SELECT image_id, count(*) AS n, max(area_px) AS largest, CAST(NULL AS VARCHAR) AS error FROM objects GROUP BY image_id")
+def evaluation_per_image(spark: SparkSession, d: str) -> DataFrame:
+    def largest(frame):
+        return frame.groupby("image_id", as_index=False).agg(n=("label", "size"), largest=("area_px", "max"))
+
+    return ev.for_each_image(view(spark, d, "objects").select("image_id", "label", "area_px"), largest, "n bigint, largest double")

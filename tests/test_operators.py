@@ -124,3 +124,28 @@ def test_no_curve_for_few_or_equal_values(spark):
     few = spark.createDataFrame([(1, float(v)) for v in (1, 2, 3)] + [(2, 5.0)] * 9, "k int, v double")
     assert stat.density_curve(few, "k", "v").count() == 0
     assert {(r.k, r.classes) for r in stat.class_layout(few, "k", "v").collect()} == {(1, 3), (2, 1)}
+
+
+def test_folders_never_meet(spark):
+    from lacuna.plans import evaluations as ev
+
+    paths = ["d/a.tif", "e/A.png", "e/a_2.tif", "f/a.bmp", "f/b.tif", "g/a_2.tif"]
+    got = {r.path: r.folder for r in ev.output_folders(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert got == {"d/a.tif": "a", "e/A.png": "A_2", "e/a_2.tif": "a_2_2", "f/a.bmp": "a_3", "f/b.tif": "b", "g/a_2.tif": "a_2_3"}
+
+
+def test_a_failing_evaluation_is_a_row(spark, tmp_path):
+    from lacuna.plans import evaluations as ev
+
+    (tmp_path / "one.py").write_text("def per_image(f):\n    return 1 / 0\n")
+    (tmp_path / "_two.py").write_text("raise SystemExit\n")
+    (tmp_path / "three.py").write_text("ACTIVE = False\n")
+    assert [m.__name__ for m in ev.modules(tmp_path)] == ["one"]
+
+    def bad(frame):
+        if frame["image_id"].iloc[0] == 2:
+            raise ValueError("no")
+        return frame[["area_px"]]
+
+    rows = ev.for_each_image(spark.createDataFrame([(1, 5.0), (2, 6.0)], "image_id int, area_px double"), bad, "area_px double").collect()
+    assert {r.image_id: (r.area_px, "ValueError" in (r.error or "")) for r in rows} == {1: (5.0, False), 2: (None, True)}
