@@ -3,12 +3,13 @@
 The best segmentation of a text is the path with the largest sum of piece scores. Splitting a
 text into chunks, each chunk is a matrix over the max-plus semiring: the best score from each
 place where a path can enter it (a piece may stick out of the chunk before by less than the
-longest piece) to each place where it can enter the next one. The matrices combine associatively,
-in a balanced tree; going down the tree again gives each boundary's state on the best path, and
-then every chunk is traced back by itself.
+longest piece) to each place where it can enter the next one. The matrices combine associatively:
+a scan over a balanced tree gives the best scores with which each chunk can be entered. From those
+every chunk tells by itself where a path enters it that leaves it at a given place; these maps,
+composed from the end, give all boundaries, and then every chunk is traced back by itself.
 
-No piece of a word-wise vocabulary has a blank after another character, so paths always meet
-before such a blank. Between two of those places a best path is that of the segment alone, which
+No piece of a word-wise vocabulary has a blank after another character, or a line break, so paths
+always meet at those places. Between two of those places a best path is that of the segment alone, which
 is remembered, and a chunk's matrix needs work at its two ends only.
 
 The public model file was trained for merges (BPE). Its merge order is no sum of scores, so no
@@ -36,10 +37,16 @@ from lacuna.llm.shared import Scratch, session_of
 
 #: Documents with more characters are split into chunks of as many.
 CHUNK = 1 << 15
-SEGMENTS_HELD = 150_000
+#: Segments that a worker remembers, in each of two generations.
+SEGMENTS_HELD = 200_000
+#: A segment of so many characters goes the way of giant documents.
+GIANT = 1 << 12
+#: Documents whose new segments are encoded together.
+TOGETHER = 64
 BLANK = "▁"
-_SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-_MEET = re.compile(f"(?<=[^{BLANK}]){BLANK}")
+#: A word with the blanks before it, blanks alone, or a line break: no piece has one, nor spans the places between these.
+_SEGMENT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
+_MEET = re.compile(f"(?<=[^{BLANK}]){BLANK}|\n|(?<=\n).", re.DOTALL)
 NONE = -np.inf
 
 
@@ -57,64 +64,105 @@ class Vocabulary:
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.texts |= {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.longest = max(map(len, self.pieces))
-        self.begins = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        #: Score and id of each piece, None for what only begins one.
+        self.trie = {p[:n]: None for p in self.pieces for n in range(1, len(p))} | self.pieces
         self.unknown = min(s for s, _ in self.pieces.values()) - 10.0
-        if any(BLANK in p.lstrip(BLANK) for p in self.pieces):
-            raise ValueError("a piece has a blank after another character: segments are not independent")
-        self.segments: dict[str, tuple[float, bytes, bytes, bytes]] = {}
+        if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.pieces):
+            raise ValueError("a piece has a line break, or a blank after another character: segments are not independent")
+        self.lattices = Lattices(self)
+        self.known: dict[str, tuple[float, bytes, bytes]] = {}
+        self.older: dict[str, tuple[float, bytes, bytes]] = {}
 
     def written(self, text: str) -> str:
         """Blanks as the blank sign, and one in front."""
         return BLANK + text.replace(" ", BLANK) if text else ""
 
-    def arcs(self, text: str, at: int) -> Iterator[tuple[int, float, int]]:
+    def arcs(self, text: str, at: int) -> list[tuple[int, float, int]]:
         """The pieces that start at a place: length, score, id; an unknown character has id -1."""
-        single = False
-        for n in range(1, min(self.longest, len(text) - at) + 1):
-            part = text[at : at + n]
-            if part not in self.begins:
+        out, look = [], self.trie.get
+        for end in range(at + 1, min(at + self.longest, len(text)) + 1):
+            got = look(text[at:end], 0)
+            if got == 0:
                 break
-            if (got := self.pieces.get(part)) is not None:
-                single |= n == 1
-                yield n, *got
-        if not single:
-            yield 1, self.unknown, -1
+            if got:
+                out.append((end - at, *got))
+        if not out or out[0][0] != 1:
+            out.append((1, self.unknown, -1))
+        return out
 
     def best_path(self, text: str, start: int, end: int) -> tuple[float, list[int]]:
         """The best path from one place to another: its score, and its ids. Unknown characters become bytes."""
-        best, back = [NONE] * (end - start + 1), [None] * (end - start + 1)
+        size, look, longest, unknown, limit = end - start, self.trie.get, self.longest, self.unknown, len(text)
+        best, back = [NONE] * (size + 1), [(0, 0)] * (size + 1)
         best[0] = 0.0
-        for at in range(start, end):
-            if (here := best[at - start]) == NONE:
+        for at in range(size):
+            here = best[at]
+            if here == NONE:
                 continue
-            for n, score, i in self.arcs(text, at):
-                to = at + n - start
-                if to < len(best) and here + score > best[to]:
-                    best[to], back[to] = here + score, (n, i)
-        if best[-1] == NONE:
+            single, place = True, start + at
+            for to in range(at + 1, min(at + longest, size, limit - start) + 1):
+                got = look(text[place : start + to], 0)
+                if not got:
+                    if got == 0:
+                        break
+                    continue
+                score = here + got[0]
+                if to == at + 1:
+                    single = False
+                if score > best[to]:
+                    best[to], back[to] = score, (at, got[1])
+            if single and here + unknown > best[at + 1]:
+                best[at + 1], back[at + 1] = here + unknown, (at, -1)
+        if best[size] == NONE:
             return NONE, []
-        ids, at = [], end
-        while at > start:
-            n, i = back[at - start]
-            ids += [self.bytes[b] for b in reversed(text[at - n : at].encode("utf-8", "surrogatepass"))] if i < 0 else [i]
-            at -= n
-        return best[-1], ids[::-1]
-
-    def segment(self, part: str) -> tuple[float, bytes, bytes, bytes]:
-        """Of a segment: best score, its ids, its merge ids, and the text that its ids decode to."""
-        got = self.segments.get(part)
-        if got is None:
-            score, ids = self.best_path(part, 0, len(part))
-            merged = self.library.encode(part[1:].replace(BLANK, " "), num_threads=1) if len(part) > 1 else [self.pieces[BLANK][1]]
-            got = score, _bytes(ids), _bytes(merged), b"".join(map(self.texts.__getitem__, ids))
-            if len(self.segments) >= SEGMENTS_HELD:
-                self.segments.clear()
-            self.segments[part] = got
-        return got
+        ids, at = [], size
+        while at:
+            before, i = back[at]
+            ids += [i] if i >= 0 else [self.bytes[b] for b in reversed(text[start + before : start + at].encode("utf-8", "surrogatepass"))]
+            at = before
+        return best[size], ids[::-1]
+
+    def learn(self, segments: set[str]) -> None:
+        """Encode segments that are not remembered: best score, ids of the best path, merge ids."""
+        if len(self.known) > SEGMENTS_HELD:
+            self.older, self.known = self.known, {}
+        self.known.update({s: self.older[s] for s in segments - self.known.keys() if s in self.older})
+        new = sorted(segments - self.known.keys(), key=len, reverse=True)
+        merged = self.merged(new)
+        paths: list[tuple[float, bytes] | None] = [None] * len(new)
+        short = next((k for k, s in enumerate(new) if len(s) <= Lattices.LONGEST), len(new))
+        for lo in range(short, len(new), Lattices.ROWS):
+            paths[lo : lo + Lattices.ROWS] = self.lattices.best_paths(new[lo : lo + Lattices.ROWS])
+        for s, m, found in zip(new, merged, paths, strict=True):
+            if found is None:  # long, or with a character that is no piece
+                score, ids = self.best_path(s, 0, len(s))
+                found = score, _bytes(ids)
+            self.known[s] = *found, _bytes(m)
+
+    def merged(self, segments: list[str]) -> list[list[int]]:
+        """The library's ids. It puts a blank sign in front of a text: that of a segment that has one, or
+        else one before a line break, which is no part of any merge; both are taken off again."""
+        asked = [s[1:] if s[0] == BLANK else f"\n{s}" for s in segments]
+        got = self.library.encode([a.replace(BLANK, " ") for a in asked], num_threads=1)
+        return [[self.pieces[BLANK][1]] if s == BLANK else g if s[0] == BLANK else g[2:] for s, g in zip(segments, got, strict=True)]
+
+    def between(self, text: str, first: int, last: int) -> list[tuple[float, bytes, bytes]]:
+        """What is known of the segments between two places where paths meet; giant ones are not remembered."""
+        segments = _SEGMENT.findall(text[first:last])
+        self.learn({s for s in segments if len(s) < GIANT})
+        return [self.known[s] if len(s) < GIANT else (*(lambda t, i: (t, _bytes(i)))(*self.best_path(s, 0, len(s))), b"") for s in segments]
+
+    def segment(self, part: str) -> tuple[float, bytes, bytes]:
+        if part not in self.known:
+            self.learn({part})
+        return self.known[part]
+
+    def decoded(self, ids: bytes) -> bytes:
+        """The UTF-8 text that ids stand for, with the blank in front."""
+        return b"".join(map(self.texts.__getitem__, np.frombuffer(ids, np.uint32).tolist()))
 
     def decode(self, ids: np.ndarray) -> str:
-        data = b"".join(map(self.texts.__getitem__, ids.tolist()))
-        return data.decode("utf-8", "replace").removeprefix(" ")
+        return self.decoded(ids.astype(np.uint32).tobytes()).decode("utf-8", "replace").removeprefix(" ")
 
     # -- chunks -----------------------------------------------------------------------------
 
@@ -140,10 +188,30 @@ class Vocabulary:
             return self._reach(text, a, b, b)
         first, last = meets[0], meets[-1]
         head = self._reach(text, a, first, first)[:, 0]
-        middle = sum(self.segment(s)[0] for s in _SEGMENT.findall(text[first:last]))
+        middle = sum(s[0] for s in self.between(text, first, last))
         tail = self._reach(text, last, b, b)[0]
         return head[:, None] + middle + tail[None, :]
 
+    def enter_map(self, text: str, a: int, b: int, scores: np.ndarray) -> list[int]:
+        """For each place to leave the chunk at, where the best path enters it; ``scores`` are those of the entries."""
+        first = next((m.start() for m in _MEET.finditer(text, a, b) if m.start() > a), None)
+        stop = b if first is None else first
+        best = [NONE] * (max(stop, b) + 2 * self.longest - a)
+        best[: len(scores)] = scores.tolist()
+        back = list(range(len(best)))
+        for at in range(a, min(stop, len(text))):
+            if best[at - a] != NONE:
+                for n, score, _ in self.arcs(text, at):
+                    if best[at - a] + score > best[at - a + n]:
+                        best[at - a + n], back[at - a + n] = best[at - a] + score, at - a
+
+        def entry(node: int) -> int:
+            while back[node] != node:
+                node = back[node]
+            return min(node, self.longest - 1)
+
+        return [entry(stop - a)] * self.longest if first is not None else [entry(b - a + j) for j in range(self.longest)]
+
     def trace(self, text: str, a: int, b: int, enter: int, leave: int) -> bytes:
         """The ids of the best path from ``a + enter`` to ``b + leave``."""
         start, end = a + enter, b + leave
@@ -151,10 +219,80 @@ class Vocabulary:
         if not meets:
             return _bytes(self.best_path(text, start, end)[1])
         first, last = meets[0], meets[-1]
-        middle = b"".join([self.segment(s)[1] for s in _SEGMENT.findall(text[first:last])])
+        middle = b"".join([s[1] for s in self.between(text, first, last)])
         return _bytes(self.best_path(text, start, first)[1]) + middle + _bytes(self.best_path(text, last, end)[1])
 
 
+class Lattices:
+    """Best paths of many short segments at once: one step over all of them for each place and length.
+
+    A piece is found by the hash of its characters, in one of two tables; hashes are compared in full.
+    """
+
+    LONGEST, ROWS, SLOTS = 32, 8192, 20
+    _BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.longest, self.unknown = vocabulary.longest, vocabulary.unknown
+        pieces = list(vocabulary.pieces)
+        self.up = np.array([pow(self._BASE, k, 1 << 64) for k in range(self.LONGEST + 1)], np.uint64)
+        self.down = np.array([pow(self._BASE, -k, 1 << 64) for k in range(self.LONGEST + 1)], np.uint64)
+        self.hashes = np.array([self._hash_of(p) for p in pieces], np.uint64)
+        self.scores = np.array([vocabulary.pieces[p][0] for p in pieces])
+        self.ids = np.array([vocabulary.pieces[p][1] for p in pieces], np.int32)
+        self.tables = [np.full(1 << self.SLOTS, -1, np.int32) for _ in range(2)]
+        for k, places in enumerate(zip(*(x.tolist() for x in self._slots(self.hashes)), strict=True)):
+            table, place = next((t, x) for t, x in zip(self.tables, places, strict=True) if t[x] < 0)
+            table[place] = k
+
+    def _hash_of(self, piece: str) -> int:
+        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        return int(self._spread((codes * self.up[: len(codes)]).sum(dtype=np.uint64)[None])[0])
+
+    @staticmethod
+    def _spread(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
+    def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.uint64(64 - self.SLOTS)
+        return hashes >> shift, (hashes * np.uint64(0x94D049BB133111EB)) >> shift
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 for what is none."""
+        one, two = (t[x] for t, x in zip(self.tables, self._slots(hashes), strict=True))
+        return np.where((one >= 0) & (self.hashes[one] == hashes), one, np.where((two >= 0) & (self.hashes[two] == hashes), two, -1))
+
+    def best_paths(self, segments: list[str]) -> list[tuple[float, bytes] | None]:
+        """Score and ids of each segment (longest first); None where a character is no piece."""
+        rows, size = len(segments), len(segments[0])
+        lengths = np.array([len(s) for s in segments])
+        codes = np.zeros((rows, size), np.uint64)
+        codes[np.arange(size) < lengths[:, None]] = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        running = np.zeros((size + 1, rows), np.uint64)
+        np.cumsum((codes * self.up[:size]).T, axis=0, out=running[1:])
+        best, back, piece = np.full((size + 1, rows), NONE), np.zeros((size + 1, rows), np.int8), np.full((size + 1, rows), -1, np.int32)
+        best[0] = 0.0
+        reach = [int(np.searchsorted(-lengths, -n, side="right")) for n in range(size + 1)]  # rows of at least n characters
+        for at in range(size):
+            for to in range(at + 1, min(at + self.longest, size) + 1):
+                n = reach[to]
+                found = self._find(self._spread((running[to, :n] - running[at, :n]) * self.down[at]))
+                score = best[at, :n] + np.where(found >= 0, self.scores[found], self.unknown if to == at + 1 else NONE)
+                better = score > best[to, :n]
+                best[to, :n][better], back[to, :n][better], piece[to, :n][better] = score[better], at, found[better]
+        steps, at, every = [], lengths.copy(), np.arange(rows)
+        while at.any():
+            steps.append(np.where(at > 0, piece[at, every], -2))
+            at = np.where(at > 0, back[at, every], 0)
+        taken = np.array(steps[::-1]).T  # from first to last; what came after a row's start is -2
+        plain = ~(taken == -1).any(axis=1)
+        used = taken >= 0
+        ids, ends = self.ids[taken[used]].astype(np.uint32).tobytes(), 4 * np.cumsum(used.sum(axis=1))
+        starts, total = np.append(0, ends[:-1]).tolist(), best[lengths, every].tolist()
+        return [(t, ids[a:e]) if fine else None for t, a, e, fine in zip(total, starts, ends.tolist(), plain.tolist(), strict=True)]
+
+
 def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
@@ -164,30 +302,24 @@ def combined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left[:, :, None] + right[None, :, :]).max(axis=1)
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[int]:
-    """The states at all boundaries of chunks on the best path from state 0 to state 0."""
+def entry_scores(matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """For each chunk the best scores of its entries, over all paths from the start: a scan over a balanced tree."""
     levels = [matrices]
     while len(levels[-1]) > 1:
         below = levels[-1]
         levels.append([combined(below[k], below[k + 1]) if k + 1 < len(below) else below[k] for k in range(0, len(below), 2)])
-    states = {0: 0, len(matrices): 0}
+    before = [np.append(0.0, np.full(len(matrices[0]) - 1, NONE))]
+    for below in reversed(levels[:-1]):
+        before = [before[k // 2] if k % 2 == 0 else (before[k // 2][:, None] + below[k - 1]).max(axis=0) for k in range(len(below))]
+    return before
 
-    def down(level: int, k: int, lo: int, enter: int, leave: int) -> None:
-        stack = [(level, k, lo, enter, leave)]
-        while stack:
-            level, k, lo, enter, leave = stack.pop()
-            if not level:
-                continue
-            below, width = levels[level - 1], 1 << (level - 1)
-            if 2 * k + 1 >= len(below):
-                stack.append((level - 1, 2 * k, lo, enter, leave))
-                continue
-            middle = int((below[2 * k][enter] + below[2 * k + 1][:, leave]).argmax())
-            states[lo + width] = middle
-            stack += [(level - 1, 2 * k, lo, enter, middle), (level - 1, 2 * k + 1, lo + width, middle, leave)]
 
-    down(len(levels) - 1, 0, 0, 0, 0)
-    return [states[k] for k in range(len(matrices) + 1)]
+def boundary_states(maps: list[list[int]]) -> list[int]:
+    """The states at all boundaries of chunks on the best path, from what each chunk says of its entries."""
+    states = [0]
+    for of_leave in reversed(maps):
+        states.append(of_leave[states[-1]])
+    return states[::-1]
 
 
 def crc32_joined(first: int, second: int, size: int) -> int:
@@ -248,29 +380,26 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         from pyspark import TaskContext
 
         v, task, count = vocabulary(model), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            rows = []
-            for at in range(batch.num_rows):
-                doc_id, text = batch.column(0)[at].as_py(), batch.column(1)[at].as_py() or ""
+        for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER)):
+            rows, texts = [], [t or "" for t in batch.column(1).to_pylist()]
+            cut = [_SEGMENT.findall(v.written(t)) for t in texts]
+            # A giant segment is no word that comes again: only its merge ids are asked for, not remembered.
+            v.learn({s for c in cut for s in c if len(s) < GIANT})
+            for doc_id, text, segments in zip(batch.column(0).to_pylist(), texts, cut, strict=True):
                 written = v.written(text)
-                if len(written) <= CHUNK:
-                    parts = [v.segment(s) for s in _SEGMENT.findall(written)]
-                    ids, merged, said = (b"".join([p[k] for p in parts]) for k in (1, 2, 3))
-                    rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), len(merged) // 4, zlib.crc32(merged), said[1:] == text.encode("utf-8", "surrogatepass"), None, None, None, None))
+                parts = [v.known[s] if len(s) < GIANT else (NONE, b"", _bytes(v.merged([s])[0])) for s in segments]
+                merged = b"".join([p[2] for p in parts])
+                merge_n, merge_crc = len(merged) // 4, zlib.crc32(merged)
+                if len(written) <= CHUNK and max(map(len, segments), default=0) < GIANT:
+                    ids = b"".join([p[1] for p in parts])
+                    rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), merge_n, merge_crc, v.decoded(ids)[1:] == text.encode("utf-8", "surrogatepass"), None, None, None, None))
                 else:
-                    merge_crc, merge_n = 0, 0
-                    for s in _SEGMENT.finditer(written):
-                        merged = v.segment(s[0])[2] if len(s[0]) < 64 else _bytes(v.library.encode(s[0][1:].replace(BLANK, " "), num_threads=1))
-                        merge_crc, merge_n = zlib.crc32(merged, merge_crc), merge_n + len(merged) // 4
                     document, count = f"{task}-{count}", count + 1
                     for k, lo in enumerate(range(0, len(written), CHUNK)):
                         # One character before the chunk tells whether paths meet at its start; beyond it, as far as a piece reaches.
                         part = written[max(0, lo - 1) : lo + CHUNK + v.longest]
                         rows.append((doc_id, None, None, merge_n, merge_crc, BLANK not in text, document, k, part, min(CHUNK, len(written) - lo)))
 
-                if len(rows) >= 1024:
-                    yield _batch(rows)
-                    rows = []
             if rows:
                 yield _batch(rows)
 
@@ -285,10 +414,22 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             got = [v.matrix(t, i, i + n).tobytes() for t, i, n in zip(batch.column("part").to_pylist(), a, batch.column("body").to_pylist(), strict=True)]
             yield pa.record_batch([batch.column("document"), batch.column("chunk"), pa.array(got, pa.binary())], names=["document", "chunk", "matrix"])
 
-    def states(group: pa.Table) -> pa.Table:
+    def entries(group: pa.Table) -> pa.Table:
         group = group.sort_by("chunk")
         size = int(np.sqrt(len(group.column("matrix")[0].as_buffer()) // 8))
-        found = boundary_states([np.frombuffer(m.as_buffer(), np.float64).reshape(size, size) for m in group.column("matrix")])
+        found = entry_scores([np.frombuffer(m.as_buffer(), np.float64).reshape(size, size) for m in group.column("matrix")])
+        return pa.table({"document": group.column("document"), "chunk": group.column("chunk"), "scores": pa.array([f.tobytes() for f in found], pa.binary())})
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(model)
+        for batch in batches:
+            a = [0 if k == 0 else 1 for k in batch.column("chunk").to_pylist()]
+            got = [v.enter_map(t, i, i + n, np.frombuffer(x, np.float64)) for t, i, n, x in zip(batch.column("part").to_pylist(), a, batch.column("body").to_pylist(), batch.column("scores").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("document"), batch.column("chunk"), pa.array(got, pa.list_(pa.int32()))], names=["document", "chunk", "map"])
+
+    def states(group: pa.Table) -> pa.Table:
+        group = group.sort_by("chunk")
+        found = boundary_states(group.column("map").to_pylist())
         return pa.table({"document": group.column("document"), "chunk": group.column("chunk"), "enter": pa.array(found[:-1], pa.int32()), "leave": pa.array(found[1:], pa.int32())})
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +439,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             for r in batch.to_pylist():
                 a = 0 if r["chunk"] == 0 else 1
                 ids = v.trace(r["part"], a, a + r["body"], r["enter"], r["leave"])
-                said = b"".join(map(v.texts.__getitem__, np.frombuffer(ids, np.uint32).tolist()))
+                said = v.decoded(ids)
                 want = r["part"][a + r["enter"] : a + r["body"] + r["leave"]].encode("utf-8", "surrogatepass")
                 out.append((r["document"], r["chunk"], len(ids) // 4, zlib.crc32(ids), said == want.replace(BLANK.encode(), b" ")))
             if out:
@@ -311,7 +452,9 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             crc, n = crc32_joined(crc, r["crc"], 4 * r["n"]), n + r["n"]
         return pa.table({"document": pa.array([rows[0]["document"]]), "n_ids": pa.array([n], pa.int64()), "ids_crc32": pa.array([crc], pa.int64()), "round_trip": pa.array([all(r["fine"] for r in rows)])})
 
-    entered = chunks.mapInArrow(matrices, "document string, chunk int, matrix binary").groupBy("document").applyInArrow(states, "document string, chunk int, enter int, leave int")
+    scored = chunks.mapInArrow(matrices, "document string, chunk int, matrix binary").groupBy("document").applyInArrow(entries, "document string, chunk int, scores binary")
+    mapped = chunks.join(scored, ["document", "chunk"]).mapInArrow(maps, "document string, chunk int, map array<int>")
+    entered = mapped.groupBy("document").applyInArrow(states, "document string, chunk int, enter int, leave int")
     parts = chunks.join(entered, ["document", "chunk"]).mapInArrow(traced, "document string, chunk int, n bigint, crc bigint, fine boolean")
     giants = parts.groupBy("document").applyInArrow(joined, "document string, n_ids bigint, ids_crc32 bigint, round_trip boolean")
     whose = done.where("chunk = 0").select("doc_id", "n_merge_ids", "merge_ids_crc32", "document", F.col("round_trip").alias("no_sign"))
