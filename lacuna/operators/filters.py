@@ -1,7 +1,8 @@
 """Rules that reject measured objects, and the ordered chain of them.
 
-A rule builds one nullable string column, the reason; null keeps the object. The chain is one
-``coalesce`` in a narrow projection: the first rule that fires decides, there is no shuffle and no UDF.
+A rule builds two columns: whether it fires, and the reason in words. The chain is a ``coalesce`` in a
+narrow projection: the first rule that fires decides, there is no shuffle and no UDF. Name and reason
+are columns of their own, so queries that only need the verdict never build a text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,15 @@ from lacuna.functions.text import fixed, general, percent
 #: Below so many pixels an object has no shape to judge by (fixed value).
 SHAPE_PIXELS = 25
 
-Rule = Callable[[dict[str, float]], Column]
+@dataclass(frozen=True)
+class Hit:
+    """Whether a rule fires (null counts as no), and why."""
+
+    fires: Column
+    reason: Column
+
+
+Rule = Callable[[dict[str, float]], Hit]
 _RULES: dict[str, Rule] = {}
 
 
@@ -58,64 +67,64 @@ def _shaped() -> Column:
 
 
 @rule("min_area")
-def min_area(p: dict[str, float]) -> Column:
+def min_area(p: dict[str, float]) -> Hit:
     """Objects of fewer pixels are noise."""
     least = p.get("min_area_px", 0.0)
-    return F.when(F.col("area_px") < least, _text("Fläche ", fixed(F.col("area_px"), 0), f" px unter {general(least)} px", _optional(fm.area_um2("area_px", "um_per_px"), 1, "µm²")))
+    return Hit(F.col("area_px") < least, _text("Fläche ", fixed(F.col("area_px"), 0), f" px unter {general(least)} px", _optional(fm.area_um2("area_px", "um_per_px"), 1, "µm²")))
 
 
 @rule("max_area")
-def max_area(p: dict[str, float]) -> Column:
+def max_area(p: dict[str, float]) -> Hit:
     """Objects that fill more than a share of the specimen; without a specimen nothing is rejected."""
     most = p.get("max_area_frac", 1.0)
     share = F.when(F.col("specimen_area_px") > 0, F.col("area_px") / F.col("specimen_area_px"))
-    return F.when(share > most, _text("Fläche ", percent(share, 1), f" der Probe über {most:.0%}"))
+    return Hit(share > most, _text("Fläche ", percent(share, 1), f" der Probe über {most:.0%}"))
 
 
 @rule("aspect_ratio")
-def aspect_ratio(p: dict[str, float]) -> Column:
+def aspect_ratio(p: dict[str, float]) -> Hit:
     """Objects that are too elongated; a minor axis of zero counts as infinitely so."""
     most = p.get("max_aspect_ratio", float("inf"))
-    return F.when(_aspect() > most, _text("Seitenverhältnis ", fixed(_aspect(), 1), f" über {general(most)}"))
+    return Hit(_aspect() > most, _text("Seitenverhältnis ", fixed(_aspect(), 1), f" über {general(most)}"))
 
 
 @rule("circularity")
-def circularity(p: dict[str, float]) -> Column:
+def circularity(p: dict[str, float]) -> Hit:
     """Objects whose outline is too ragged."""
     least, c = p.get("min_circularity", 0.0), fm.circularity("area_px", "perimeter_px")
-    return F.when(c < least, _text("Rundheit ", fixed(c, 2), f" unter {general(least)}"))
+    return Hit(c < least, _text("Rundheit ", fixed(c, 2), f" unter {general(least)}"))
 
 
 @rule("solidity")
-def solidity(p: dict[str, float]) -> Column:
+def solidity(p: dict[str, float]) -> Hit:
     """Objects that fill too little of their convex hull."""
     least = p.get("min_solidity", 0.0)
-    return F.when(F.col("solidity") < least, _text("Solidität ", fixed(F.col("solidity"), 2), f" unter {general(least)}"))
+    return Hit(F.col("solidity") < least, _text("Solidität ", fixed(F.col("solidity"), 2), f" unter {general(least)}"))
 
 
 @rule("contrast")
-def contrast(p: dict[str, float]) -> Column:
+def contrast(p: dict[str, float]) -> Hit:
     """Objects that stand out too little from the background."""
     least = p.get("min_contrast", 0.0)
-    return F.when(F.col("contrast") < least, _text("Kontrast ", fixed(F.col("contrast"), 0), f" Graustufen unter {general(least)}"))
+    return Hit(F.col("contrast") < least, _text("Kontrast ", fixed(F.col("contrast"), 0), f" Graustufen unter {general(least)}"))
 
 
 @rule("intensity")
-def intensity(p: dict[str, float]) -> Column:
+def intensity(p: dict[str, float]) -> Hit:
     """Objects that are too bright."""
     most = p.get("max_mean_intensity", 255.0)
-    return F.when(F.col("mean_intensity") > most, _text("mittlerer Grauwert ", fixed(F.col("mean_intensity"), 0), f" über {general(most)}"))
+    return Hit(F.col("mean_intensity") > most, _text("mittlerer Grauwert ", fixed(F.col("mean_intensity"), 0), f" über {general(most)}"))
 
 
 @rule("min_diameter")
-def min_diameter(p: dict[str, float]) -> Column:
+def min_diameter(p: dict[str, float]) -> Hit:
     """Objects too small to be measured."""
     least, d = p.get("min_diameter_px", 0.0), F.col("equivalent_diameter_px")
-    return F.when(d < least, _text("Durchmesser ", fixed(d, 1), f" px unter {general(least)} px", _optional(fm.length_um(d, "um_per_px"), 2, "µm")))
+    return Hit(d < least, _text("Durchmesser ", fixed(d, 1), f" px unter {general(least)} px", _optional(fm.length_um(d, "um_per_px"), 2, "µm")))
 
 
 @rule("scratch")
-def scratch(p: dict[str, float]) -> Column:
+def scratch(p: dict[str, float]) -> Hit:
     """Objects that are long, thin and straight. The width is judged in micrometres where a limit and a scale are known."""
     ratio, limit_um, limit_px = p.get("min_aspect_ratio", 4.0), p.get("max_width_um"), p.get("max_width_px", 0.0)
     width_um = F.coalesce(fm.length_um("minor_axis_px", "um_per_px"), F.lit(0.0))
@@ -123,43 +132,43 @@ def scratch(p: dict[str, float]) -> Column:
     thin = F.when(scaled, width_um <= (limit_um or 0.0)).otherwise(F.col("minor_axis_px") <= limit_px)
     width = F.when(scaled, _text(fixed(width_um, 2), " µm")).otherwise(_text(fixed(F.col("minor_axis_px"), 1), " px"))
     hit = (_aspect() >= ratio) & thin & (F.col("solidity") >= p.get("min_solidity", 0.6))
-    return F.when(hit, _text("Schleifriefe: Breite ", width, " bei Seitenverhältnis ", fixed(_aspect(), 1), " und Solidität ", fixed(F.col("solidity"), 2)))
+    return Hit(hit, _text("Schleifriefe: Breite ", width, " bei Seitenverhältnis ", fixed(_aspect(), 1), " und Solidität ", fixed(F.col("solidity"), 2)))
 
 
 @rule("roundness")
-def roundness(p: dict[str, float]) -> Column:
+def roundness(p: dict[str, float]) -> Hit:
     """Objects too small for their longest diameter; only from a size on at which shape means something."""
     least, r = p.get("min_roundness", 0.0), fm.feret_roundness("area_px", "feret_max_px")
-    return F.when(_shaped() & (r < least), _text("Rundheit ", fixed(r, 2), f" unter {general(least)}"))
+    return Hit(_shaped() & (r < least), _text("Rundheit ", fixed(r, 2), f" unter {general(least)}"))
 
 
 @rule("compactness")
-def compactness(p: dict[str, float]) -> Column:
+def compactness(p: dict[str, float]) -> Hit:
     """As solidity, but only from a size on at which shape means something."""
     least = p.get("min_solidity", 0.0)
-    return F.when(_shaped() & (F.col("solidity") < least), _text("Solidität ", fixed(F.col("solidity"), 2), f" unter {general(least)}"))
+    return Hit(_shaped() & (F.col("solidity") < least), _text("Solidität ", fixed(F.col("solidity"), 2), f" unter {general(least)}"))
 
 
 @rule("edge_distance")
-def edge_distance(p: dict[str, float]) -> Column:
+def edge_distance(p: dict[str, float]) -> Hit:
     """Objects in a strip along the specimen's edge; an unknown distance keeps the object."""
     least, d = p.get("min_distance_px", 0.0), F.col("specimen_edge_distance_px")
-    return F.when(d < least, _text(fixed(d, 0), f" px vom Probenrand, unter {general(least)} px"))
+    return Hit(d < least, _text(fixed(d, 0), f" px vom Probenrand, unter {general(least)} px"))
 
 
 @rule("extent")
-def extent(p: dict[str, float]) -> Column:
+def extent(p: dict[str, float]) -> Hit:
     """Objects that fill too little of their bounding box; only from a size on at which shape means something."""
     least, e = p.get("min_extent", 0.0), fm.extent("area_px", F.col("bbox_w") * F.col("bbox_h"))
-    return F.when(_shaped() & (e < least), _text("Füllgrad der Box ", fixed(e, 2), f" unter {general(least)}"))
+    return Hit(_shaped() & (e < least), _text("Füllgrad der Box ", fixed(e, 2), f" unter {general(least)}"))
 
 
 @rule("edge")
-def edge(p: dict[str, float]) -> Column:
+def edge(p: dict[str, float]) -> Hit:
     """Objects cut by the image's edge or, if asked for, at the specimen's edge."""
-    at_image = F.when(F.lit(bool(p.get("image_edge", 1.0))) & F.col("touches_image_edge"), F.lit("am Bildrand angeschnitten"))
-    at_specimen = F.when(F.lit(bool(p.get("specimen_edge", 0.0))) & F.col("touches_specimen_edge"), F.lit("am Probenrand - vermutlich Ausbruch aus der Präparation"))
-    return F.coalesce(at_image, at_specimen)
+    at_image = F.lit(bool(p.get("image_edge", 1.0))) & F.col("touches_image_edge")
+    at_specimen = F.lit(bool(p.get("specimen_edge", 0.0))) & F.col("touches_specimen_edge")
+    return Hit(at_image | at_specimen, F.when(at_image, "am Bildrand angeschnitten").otherwise("am Probenrand - vermutlich Ausbruch aus der Präparation"))
 
 
 @dataclass(frozen=True)
@@ -187,22 +196,20 @@ DEFAULT = (
 )
 
 
-def reason(name: str, params: dict[str, float]) -> Column:
+def hit(name: str, params: dict[str, float]) -> Hit:
     if name not in _RULES:
         raise KeyError(f"unknown filter {name}; known are {', '.join(available())}")
     return _RULES[name](params)
 
 
-def verdict(settings: tuple[Setting, ...] = DEFAULT) -> Column:
-    """struct<filter_name, reason> of the first enabled rule that fires, in the settings' order; null keeps."""
-    hits = []
-    for s in settings:
-        if s.enabled:
-            why = reason(s.name, s.params)
-            hits.append(F.when(why.isNotNull(), F.struct(F.lit(s.name).alias("filter_name"), why.alias("reason"))))
-    return F.coalesce(*hits) if hits else F.lit(None).cast("struct<filter_name:string,reason:string>")
+def verdict(settings: tuple[Setting, ...] = DEFAULT) -> tuple[Column, Column]:
+    """Name and reason of the first enabled rule that fires, in the settings' order; both null for counted objects."""
+    none = F.lit(None).cast("string")
+    hits = [(s.name, hit(s.name, s.params)) for s in settings if s.enabled]
+    return F.coalesce(*[F.when(h.fires, n) for n, h in hits], none, none), F.coalesce(*[F.when(h.fires, h.reason) for _, h in hits], none, none)
 
 
 def apply(objects: DataFrame, settings: tuple[Setting, ...] = DEFAULT) -> DataFrame:
     """Objects with ``filter_name`` and ``reason``, both null for counted ones."""
-    return objects.withColumn("__verdict", verdict(settings)).select(*objects.columns, F.col("__verdict.filter_name").alias("filter_name"), F.col("__verdict.reason").alias("reason"))
+    name, why = verdict(settings)
+    return objects.select(*[c for c in objects.columns if c not in ("filter_name", "reason")], name.alias("filter_name"), why.alias("reason"))

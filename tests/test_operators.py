@@ -79,7 +79,7 @@ def test_own_rule_can_be_registered(spark):
     @fl.rule("always")
     def always(p):
         """Rejects all."""
-        return F.lit("so")
+        return fl.Hit(F.lit(True), F.lit("so"))
 
     assert fl.apply(_object(spark), (fl.Setting("always"),)).first().reason == "so"
     assert fl.describe("always") == "Rejects all."
