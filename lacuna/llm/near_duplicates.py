@@ -9,6 +9,7 @@ Two documents link if their sets of word shingles have a Jaccard similarity of a
    shingle. Inverted lists of other than frequent shingles are short: their pairs are counted.
    A pair whose count cannot reach the required overlap any more is dropped, the others are
    verified on their whole sets.
+   The texts behind candidates are read again for that; only their sets are exchanged.
 3. Only sets made of frequent shingles to four fifths or more ("dense") can link without a short
    list. They meet a few hubs first, which joins nearly all of a large group with few
    comparisons. A dense set that is still apart from the largest component of one of its lists
@@ -40,6 +41,8 @@ HUBS = 4
 QUERY_BYTES = 16 << 20
 #: Postings from which a task counts pairs at a time.
 CHUNK = 1 << 18
+#: Bits of the filter that picks rows for verification, at most: 8 MB.
+BITMAP_BITS = 26
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 64, HUBS, np.uint64)
 
 
@@ -116,14 +119,17 @@ class Order:
 
 def _post(order) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # a task posts equal sets once, so copies are no hot lists
         for batch in batches:
             hashes, vertices, sizes = [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py())
-                if not len(s):
+                v = vertex_of(s)
+                if not len(s) or v in seen:
                     continue
+                seen.add(v)
                 posted, long = order.value.prefix(s)
-                short, v = posted[~long], vertex_of(s)
+                short = posted[~long]
                 hashes.append(short.view(np.int64))
                 vertices.append(np.full(len(short), v))
                 sizes.append(np.full(len(short), len(s), np.int32))
@@ -200,11 +206,44 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- verification ---------------------------------------------------------------------------
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s for text in batch.column("text") if len(s := shingle_set(text.as_py()))]
-        if sets:
-            yield pa.record_batch({"vertex": pa.array([vertex_of(s) for s in sets], pa.int64()), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
+class Picked:
+    """A Bloom filter of row keys, 2 ** BITMAP_BITS bits at most: it never misses a key. Other rows
+    that it lets through cost their work and change nothing."""
+
+    def __init__(self, keys: DataFrame):
+        """``keys`` has one bigint column, ``key``."""
+        self.bits = min(BITMAP_BITS, max(16, (16 * keys.count()).bit_length()))
+        places = keys.select(F.explode(F.array(*[F.expr(x) for x in self._places_sql()])).alias("p"))
+        words = places.groupBy(F.expr("p >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("bits")).toArrow()
+        self.words = np.zeros(1 << (self.bits - 6), np.int64)
+        self.words[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+
+    def _places_sql(self) -> list[str]:
+        mask = (1 << self.bits) - 1
+        return [f"key & {mask}L", f"shiftrightunsigned(key, 32) & {mask}L"]
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found, k, mask = np.ones(len(keys), bool), keys.view(np.uint64), np.uint64((1 << self.bits) - 1)
+        for place in (k & mask, (k >> np.uint64(32)) & mask):
+            found &= (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)).astype(np.int64)) & 1 > 0
+        return found
+
+
+def _set_rows(picked) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            rows = batch.filter(pa.array(picked.value.has(batch.column("key").to_numpy())))
+            sets = {}
+            for text in rows.column("text"):
+                s = shingle_set(text.as_py())
+                if len(s) and (v := vertex_of(s)) not in seen:
+                    sets[v] = s.tobytes()
+                    seen.add(v)
+            if sets:
+                yield pa.record_batch({"vertex": pa.array(list(sets), pa.int64()), "members": pa.array(list(sets.values()), pa.binary())})
+
+    return run
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,15 +411,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         counts[r["block"]] = np.frombuffer(r["counts"], np.int64)
     order = spark.sparkContext.broadcast(Order(counts.reshape(-1)))
 
-    # One row of each set goes on. What is dropped is the list of further copies, usually the smaller part.
-    classes = rows.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("least_id"), F.min(F.expr(_ROW_SQL)).alias("first"), F.count("*").alias("copies"))
+    classes = rows.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("least_id"), F.min(F.expr(_ROW_SQL)).alias("first"))
     classes = scratch.keep(classes, "classes")
-    groups = classes.where("copies > 1").select("vertex", "first")
-    copies = rows.join(groups, "vertex").where(~F.expr(_ROW_SQL).eqNullSafe(F.col("first"))).select("doc_id", "text_hash").distinct()
-    copies = scratch.keep(copies, "copies")
-    single = texts.join(copies, ["doc_id", "text_hash"], "left_anti")
 
-    posted = single.select("text").mapInArrow(_post(order), "hash bigint, vertex bigint, n int")
+    posted = texts.select("text").mapInArrow(_post(order), "hash bigint, vertex bigint, n int")
     listed = posted.repartition("hash").sortWithinPartitions("hash")
     counted = scratch.keep(listed.mapInArrow(_count_pairs, "a bigint, b bigint, na bigint, nb bigint, shared bigint"), "counted")
     pairs = counted.where("a != b").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
@@ -391,10 +425,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = pairs.where((F.col("shared") + unposted) * (100 + PERCENT) >= PERCENT * (F.col("na") + F.col("nb")))
     pairs = scratch.keep(pairs.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))).unionByName(dense_ids).distinct()
-    places = scratch.keep(classes.join(wanted, "vertex").select("first.doc_id", "first.text_hash"), "places")
-    keyed = texts.join(places, texts["doc_id"].eqNullSafe(places["doc_id"]) & (texts["text_hash"] == places["text_hash"]), "left_semi")
-    sets = keyed.select("text").mapInArrow(_set_rows, "vertex bigint, members binary")
-    sets = scratch.keep(sets.dropDuplicates(["vertex"]), "sets")
+    # The texts behind them are read again; a filter of fixed size picks their rows, so no text is exchanged.
+    key = F.xxhash64("doc_id", "text_hash").alias("key")
+    picked = spark.sparkContext.broadcast(Picked(classes.join(wanted, "vertex").select("first.doc_id", "first.text_hash").select(key)))
+    sets = scratch.keep(texts.select(key, "text").mapInArrow(_set_rows(picked), "vertex bigint, members binary"), "sets")
     links = scratch.keep(verified(pairs, sets), "links")
     if some_dense:
         links = links.unionByName(_dense_links(spark, sets.join(dense_ids, "vertex", "left_semi"), links, order, scratch))
