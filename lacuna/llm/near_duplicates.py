@@ -23,6 +23,7 @@ So nothing emits the pairs of a group, and no list, group or set of links goes t
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from lacuna.llm.shingles import mix, shingle_set
 
 PERCENT = 80
 #: The count table has 2 ** SKETCH_BITS counters, in blocks of 2 ** SKETCH_BLOCK_BITS.
-SKETCH_BITS, SKETCH_BLOCK_BITS = 18, 12
+SKETCH_BITS, SKETCH_BLOCK_BITS = 22, 12
 HUBS = 4
 #: Bytes of query sets that go to the executors at once.
 QUERY_BYTES = 16 << 20
@@ -75,7 +76,7 @@ _ROW_SQL = "struct(doc_id IS NULL AS without, doc_id, text_hash)"
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, then the task's count table in blocks."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, np.int32)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     names = ["doc_id", "text_hash", "n", "vertex", "block", "counts"]
     for batch in batches:
@@ -91,11 +92,12 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     used = np.flatnonzero(blocks.any(axis=1))
     if len(used):
         gone = [pa.nulls(len(used), k) for k in kinds[:4]]
-        yield pa.record_batch([*gone, pa.array(used, kinds[4]), pa.array([blocks[i].tobytes() for i in used], kinds[5])], names=names)
+        yield pa.record_batch([*gone, pa.array(used, kinds[4]), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in used], kinds[5])], names=names)
 
 
 def _sum_block(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist())
+    total = sum(np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in group.column("counts").to_pylist())
+    total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
     return pa.table({"block": group.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -406,9 +408,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = scratch.keep(texts.mapInArrow(_first_pass, "doc_id bigint, text_hash bigint, n bigint, vertex bigint, block int, counts binary"), "first")
     rows = first.where("block IS NULL").select("doc_id", "text_hash", "n", "vertex")
     blocks = first.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_sum_block, "block int, counts binary")
-    counts = np.zeros((1 << (SKETCH_BITS - SKETCH_BLOCK_BITS), 1 << SKETCH_BLOCK_BITS), np.int64)
-    for r in blocks.collect():  # 2 MB at any size of the corpus
-        counts[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    counts = np.zeros((1 << (SKETCH_BITS - SKETCH_BLOCK_BITS), 1 << SKETCH_BLOCK_BITS), np.uint32)
+    for r in blocks.collect():  # 16 MB at any size of the corpus
+        counts[r["block"]] = np.frombuffer(r["counts"], np.uint32)
     order = spark.sparkContext.broadcast(Order(counts.reshape(-1)))
 
     classes = rows.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("least_id"), F.min(F.expr(_ROW_SQL)).alias("first"))
