@@ -431,7 +431,7 @@ def scale_consensus(spark: SparkSession, d: str) -> DataFrame:
 
 @query("scale_readings_asked")
 def scale_readings_asked(spark: SparkSession, d: str) -> DataFrame:
-    return sc.readings_asked(view(spark, d, "readings").where("seq < 500"))
+    return sc.readings_asked(view(spark, d, "readings"))
 
 
 @query("scale_confidence", oracle_views("readings") + "SELECT seq, round(CASE WHEN um BETWEEN 1e-6 AND 1e12 THEN greatest(0, least(1, c*CASE WHEN corrected THEN 0.8 ELSE 1 END*CASE WHEN um BETWEEN 1e-3 AND 1e3 THEN 1 ELSE 0.9 END)) END, 9) AS confidence FROM (SELECT seq, 0.35*weight+0.30*ocr_confidence+0.35*(seq%5)/5.0 AS c, seq%3=0 AS corrected, value_um*pow(10, seq%4)/100 AS um FROM readings)")

@@ -96,6 +96,28 @@ def test_consensus_ends_the_asking(spark):
     assert sc.readings_asked(spark.createDataFrame(rows, "candidate_id int, seq int, value_um double, engine string, weight double, ocr_confidence double")).first().asked == 2
 
 
+def test_asking_covers_every_reading(spark, tmp_path):
+    from lacuna.plans import catalog
+    from lacuna.plans.fixtures import view
+
+    # Candidate 3 straddles event 500, candidates 4 to 6 come after it only.
+    rows = [(k, 3 if 490 <= k < 510 else k % 3 if k < 500 else 4 + k % 3, float(k % 7 * 60 if k % 3 else 130)) for k in range(0, 900, 7)] + [(k, 3, 130.0 + 100 * (k == 505)) for k in (493, 499, 505, 510)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double").write.parquet(f"{tmp_path}/events.parquet")
+    readings = {}
+    for r in view(spark, str(tmp_path), "readings").orderBy("seq").collect():
+        readings.setdefault(r.candidate_id, []).append(r)
+
+    def asked(rs):
+        for k in [*range(2, len(rs), 2), len(rs)]:
+            same = all(abs(rs[0].value_um - r.value_um) <= 0.001 * max(rs[0].value_um, r.value_um) for r in rs[:k])
+            if same and sum(r.weight * (0.5 + 0.5 * r.ocr_confidence) for r in rs[:k]) >= sc.CONSENSUS_WEIGHT:
+                return k
+        return len(rs)
+
+    got = catalog.QUERIES["scale_readings_asked"](spark, str(tmp_path)).collect()
+    assert {r.candidate_id: r.asked for r in got} == {c: asked(rs) for c, rs in readings.items()} and len(got) == 7
+
+
 def test_undo_replays_as_a_stack(spark):
     log = spark.createDataFrame([(1, 1, "entfernen", 5), (1, 2, "entfernen", 6), (1, 3, co.UNDO, 0), (1, 4, "aufnehmen", 7), (1, 5, co.UNDO, 0), (1, 6, co.UNDO, 0), (1, 7, co.UNDO, 0)], "image_id int, seq int, action string, label int")
     assert co.undone(log).count() == 0
