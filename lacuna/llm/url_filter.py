@@ -9,7 +9,8 @@ distrust passes a threshold is blocked.
 DataFrame functions only. Pages are reduced to hosts before anything is exchanged (partial
 counts by host, host pair and rule), so a host with a third of all pages is one row from each
 task. The ranks of one iteration are a written table; iterations end at ``ITERATIONS`` or when
-nothing moves by more than ``TOLERANCE``.
+no host's rank moves by more than ``TOLERANCE`` of itself: ranks shrink as hosts grow in number, so
+an absolute bound would end sooner on larger inputs.
 """
 
 from __future__ import annotations
@@ -109,7 +110,8 @@ def propagate(hosts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame
         ranks = scratch.keep(after, f"ranks{step}")
         if step:
             scratch.drop(f"ranks{step - 1}")
-        change = ranks.agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("t0")), F.abs(F.col("distrust") - F.col("d0"))))).first()[0]
+        moved_by = [F.when(F.col(now) > 0, F.abs(F.col(now) - F.col(old)) / F.col(now)).otherwise(0.0) for now, old in (("trust", "t0"), ("distrust", "d0"))]
+        change = ranks.agg(F.max(F.greatest(*moved_by))).first()[0]
         ranks = ranks.select("host", "trust", "distrust")
         if change is None or change <= TOLERANCE:
             break

@@ -177,6 +177,15 @@ def test_links_give_standing(spark):
     assert got[1].distrust > got[3].distrust > 0 and got[1].verdict == "block"
 
 
+
+def test_verdicts_do_not_depend_on_the_number_of_chains(spark):
+    page = lambda host, to: F.struct(F.concat(F.lit("http://" + host), "id", F.lit(".net/" if host == "bad" else ".com/")).alias("url"), F.concat(F.lit('<a href="http://' + to), "id", F.lit(".net/\">" if to == "bad" else ".com/\">")).alias("html"))
+    for copies in (3, 140_000):  # of three hosts: far links to near, near to bad
+        pages = spark.range(copies).select("id", F.explode(F.array(page("far", "near"), page("near", "bad"), page("bad", "bad"))).alias("p")).select(F.col("id").alias("page_id"), "p.url", "p.html")
+        got = url_filter.judge(pages).groupBy(F.regexp_extract("host", "^[a-z]+", 0).alias("kind"), "verdict").count().collect()
+        assert {(r.kind, r.verdict, r["count"]) for r in got} == {(kind, "block", copies) for kind in ("far", "near", "bad")}
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 100
     rows = [(5, "http://b.org/", big), (3, "http://a.org/x", big), (7, None, big), (1, "http://a.org/", None), (2, "http://a.org/", ""), (4, "http://a.org/", "short"), (6, "http://c.org/", "short"), (3, "http://a.org/x", big), (None, "http://z.org/", big), (8, "http://[bad", big + "!")]
