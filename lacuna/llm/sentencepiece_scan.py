@@ -30,10 +30,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.shared import Scratch, session_of
+from lacuna.llm.shared import Scratch, session_of, with_fields
 
 #: Documents with more characters are split into chunks of as many.
 CHUNK = 1 << 15
@@ -360,52 +360,57 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-_FIRST = "doc_id bigint, n_ids bigint, ids_crc32 bigint, n_merge_ids bigint, merge_ids_crc32 bigint, round_trip boolean, document string, chunk int, part string, body int"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.int32()]
-_NAMES = [x.split()[0] for x in _FIRST.split(", ")]
+def _giant(written: str, segments: list[str]) -> bool:
+    return len(written) > CHUNK or max(map(len, segments), default=0) >= GIANT
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text, ...): doc_id, n_ids, ids_crc32, n_merge_ids, merge_ids_crc32, round_trip.
+def _read(batches: Iterator[pa.RecordBatch], v: Vocabulary, giants: bool) -> Iterator[list[tuple]]:
+    """Rows in groups: doc_id, text, written text, its segments, and what is known of each; giant documents or the others."""
+    for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER)):
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        written = [v.written(t) for t in texts]
+        cut = [_SEGMENT.findall(w) for w in written]
+        rows = [r for r in zip(batch.column(0).to_pylist(), texts, written, cut, strict=True) if _giant(r[2], r[3]) == giants]
+        # A giant segment is no word that comes again: only its merge ids are asked for, not remembered.
+        v.learn({s for r in rows for s in r[3] if len(s) < GIANT})
+        if rows:
+            yield [(*r, [v.known[s] if len(s) < GIANT else (NONE, b"", _bytes(v.merged([s])[0])) for s in r[3]]) for r in rows]
 
-    ids are those of the best path, merge ids those of the library; both CRCs are over unsigned
-    32-bit little-endian ids. round_trip tells whether decoding the ids gives the text. Defined
-    cases: a null or empty text has no ids and a round trip; a blank sign in a text decodes to a space, so its round trip fails.
-    Rows that repeat are encoded each, ids may be null or repeat. An empty table gives an empty
-    result. Other columns are ignored.
+
+_WHOLE = {"doc_id": pa.int64(), "document": pa.string(), "chunk": pa.int32(), "ids": pa.binary(), "merge_ids": pa.binary(), "said": pa.string()}
+_CUT = {"doc_id": pa.int64(), "merge_ids": pa.binary(), "no_sign": pa.bool_(), "document": pa.string(), "chunk": pa.int32(), "part": pa.string(), "body": pa.int32()}
+_TRACED = {"document": pa.string(), "chunk": pa.int32(), "ids": pa.binary(), "said": pa.string()}
+
+
+def _pieces(docs: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents encoded at once (``_WHOLE``), chunks of giant ones (``_TRACED``), and whose chunks these are (``_CUT``).
+
+    ``said`` is what of the document the ids stand for.
     """
     scratch = Scratch(session_of(docs), "sentencepiece")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _read(batches, vocabulary(model), False):
+            yield _batch([(doc_id, None, 0, b"".join([p[1] for p in parts]), b"".join([p[2] for p in parts]), text) for doc_id, text, _, _, parts in group], _WHOLE)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         v, task, count = vocabulary(model), TaskContext.get().partitionId(), 0
-        for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER)):
-            rows, texts = [], [t or "" for t in batch.column(1).to_pylist()]
-            cut = [_SEGMENT.findall(v.written(t)) for t in texts]
-            # A giant segment is no word that comes again: only its merge ids are asked for, not remembered.
-            v.learn({s for c in cut for s in c if len(s) < GIANT})
-            for doc_id, text, segments in zip(batch.column(0).to_pylist(), texts, cut, strict=True):
-                written = v.written(text)
-                parts = [v.known[s] if len(s) < GIANT else (NONE, b"", _bytes(v.merged([s])[0])) for s in segments]
-                merged = b"".join([p[2] for p in parts])
-                merge_n, merge_crc = len(merged) // 4, zlib.crc32(merged)
-                if len(written) <= CHUNK and max(map(len, segments), default=0) < GIANT:
-                    ids = b"".join([p[1] for p in parts])
-                    rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), merge_n, merge_crc, v.decoded(ids)[1:] == text.encode("utf-8", "surrogatepass"), None, None, None, None))
-                else:
-                    document, count = f"{task}-{count}", count + 1
-                    for k, lo in enumerate(range(0, len(written), CHUNK)):
-                        # One character before the chunk tells whether paths meet at its start; beyond it, as far as a piece reaches.
-                        part = written[max(0, lo - 1) : lo + CHUNK + v.longest]
-                        rows.append((doc_id, None, None, merge_n, merge_crc, BLANK not in text, document, k, part, min(CHUNK, len(written) - lo)))
-
-            if rows:
-                yield _batch(rows)
-
-    done = scratch.keep(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(first, _FIRST), "first")
-    plain = ["doc_id", "n_ids", "ids_crc32", "n_merge_ids", "merge_ids_crc32", "round_trip"]
-    chunks = done.where("chunk IS NOT NULL").select("document", "chunk", "part", "body").repartition("document", "chunk")
+        for group in _read(batches, v, True):
+            for doc_id, text, written, _, parts in group:
+                document, count = f"{task}-{count}", count + 1
+                merged, out = b"".join([p[2] for p in parts]), []
+                for k, lo in enumerate(range(0, len(written), CHUNK)):
+                    # One character before the chunk tells whether paths meet at its start; beyond it, as far as a piece reaches.
+                    part = written[max(0, lo - 1) : lo + CHUNK + v.longest]
+                    out.append((doc_id, None if k else merged, BLANK not in text, document, k, part, min(CHUNK, len(written) - lo)))
+                yield _batch(out, _CUT)
+
+    at_once = rows.mapInArrow(whole, _ddl(_WHOLE))
+    done = scratch.keep(rows.where(F.length("text") >= GIANT - 1).mapInArrow(cut, _ddl(_CUT)), "giants")
+    chunks = done.select("document", "chunk", "part", "body").repartition("document", "chunk")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
@@ -439,11 +444,60 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             for r in batch.to_pylist():
                 a = 0 if r["chunk"] == 0 else 1
                 ids = v.trace(r["part"], a, a + r["body"], r["enter"], r["leave"])
-                said = v.decoded(ids)
-                want = r["part"][a + r["enter"] : a + r["body"] + r["leave"]].encode("utf-8", "surrogatepass")
-                out.append((r["document"], r["chunk"], len(ids) // 4, zlib.crc32(ids), said == want.replace(BLANK.encode(), b" ")))
+                said = r["part"][a + r["enter"] : a + r["body"] + r["leave"]].replace(BLANK, " ")
+                out.append((r["document"], r["chunk"], ids, said if r["chunk"] else said[1:]))
             if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["document", "chunk", "n", "crc", "fine"])
+                yield _batch(out, _TRACED)
+
+    scored = chunks.mapInArrow(matrices, "document string, chunk int, matrix binary").groupBy("document").applyInArrow(entries, "document string, chunk int, scores binary")
+    mapped = chunks.join(scored, ["document", "chunk"]).mapInArrow(maps, "document string, chunk int, map array<int>")
+    entered = mapped.groupBy("document").applyInArrow(states, "document string, chunk int, enter int, leave int")
+    traces = chunks.join(entered, ["document", "chunk"]).mapInArrow(traced, _ddl(_TRACED))
+    return at_once, traces, done.where("chunk = 0").select("doc_id", "merge_ids", "no_sign", "document")
+
+
+def encode_ids(docs: DataFrame, model: str) -> DataFrame:
+    """The ids of each row of ``docs`` (doc_id, text, ...): doc_id, document, chunk, ids, merge_ids.
+
+    Both kinds of ids are unsigned 32-bit little-endian numbers in a row, as in ``packing.pack``. A
+    giant document has a row for each chunk; its ids are those of its chunks in a row, ``document``
+    tells which chunks belong together, and the first one has all merge ids, the others null. Any
+    other document is one row with chunk 0 and no ``document``. Defined cases as in ``encode``.
+    """
+    at_once, traces, whose = _pieces(docs, model)
+    giants = traces.join(whose, "document").withColumn("merge_ids", F.when(F.col("chunk") == 0, F.col("merge_ids")))
+    columns = ["doc_id", "document", "chunk", "ids", "merge_ids"]
+    return at_once.select(*columns).unionByName(giants.select(*columns))
+
+
+def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
+    """All columns of ``encoded`` (chunk, ids, ...) and ``decoded``, the text of the column ``ids``; a column of that name is replaced.
+
+    Chunk 0 loses the blank in front; the chunks of a giant document, joined by their numbers, are its text.
+    Null ids have no text. Bytes that are no UTF-8 become the replacement character.
+    """
+    plain = encoded.drop("decoded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(model)
+        for batch in batches:
+            rows = zip(batch.column(batch.schema.get_field_index("chunk")).to_pylist(), batch.column(batch.schema.get_field_index(ids)).to_pylist(), strict=True)
+            texts = [None if x is None else v.decoded(x).decode("utf-8", "replace") if chunk else v.decode(np.frombuffer(x, np.uint32)) for chunk, x in rows]
+            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+
+    return plain.mapInArrow(run, with_fields(plain, decoded="string"))
+
+
+def encode(docs: DataFrame, model: str) -> DataFrame:
+    """Digests of what ``encode_ids`` and ``decode`` give, for each row of ``docs`` (doc_id, text, ...): doc_id, n_ids, ids_crc32, n_merge_ids, merge_ids_crc32, round_trip.
+
+    ids are those of the best path, merge ids those of the library; both CRCs are over unsigned
+    32-bit little-endian ids. round_trip tells whether decoding the ids gives the text. Defined
+    cases: a null or empty text has no ids and a round trip; a blank sign in a text decodes to a space, so its round trip fails.
+    Rows that repeat are encoded each, ids may be null or repeat. An empty table gives an empty
+    result. Other columns are ignored.
+    """
+    at_once, traces, whose = _pieces(docs, model)
 
     def joined(group: pa.Table) -> pa.Table:
         rows = group.sort_by("chunk").to_pylist()
@@ -452,15 +506,21 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             crc, n = crc32_joined(crc, r["crc"], 4 * r["n"]), n + r["n"]
         return pa.table({"document": pa.array([rows[0]["document"]]), "n_ids": pa.array([n], pa.int64()), "ids_crc32": pa.array([crc], pa.int64()), "round_trip": pa.array([all(r["fine"] for r in rows)])})
 
-    scored = chunks.mapInArrow(matrices, "document string, chunk int, matrix binary").groupBy("document").applyInArrow(entries, "document string, chunk int, scores binary")
-    mapped = chunks.join(scored, ["document", "chunk"]).mapInArrow(maps, "document string, chunk int, map array<int>")
-    entered = mapped.groupBy("document").applyInArrow(states, "document string, chunk int, enter int, leave int")
-    parts = chunks.join(entered, ["document", "chunk"]).mapInArrow(traced, "document string, chunk int, n bigint, crc bigint, fine boolean")
+    def digest(ids: str, n: str, crc: str) -> list[Column]:
+        return [F.expr(f"octet_length({ids}) div 4").alias(n), F.crc32(ids).alias(crc)]
+
+    fine = F.col("decoded") == F.col("said")
+    merges = digest("merge_ids", "n_merge_ids", "merge_ids_crc32")
+    parts = decode(traces, model).select("document", "chunk", *digest("ids", "n", "crc"), fine.alias("fine"))
     giants = parts.groupBy("document").applyInArrow(joined, "document string, n_ids bigint, ids_crc32 bigint, round_trip boolean")
-    whose = done.where("chunk = 0").select("doc_id", "n_merge_ids", "merge_ids_crc32", "document", F.col("round_trip").alias("no_sign"))
-    giants = giants.join(whose, "document").withColumn("round_trip", F.col("round_trip") & F.col("no_sign"))
-    return done.where("chunk IS NULL").select(*plain).unionByName(giants.select(*plain))
+    giants = giants.join(whose, "document").select("doc_id", "n_ids", "ids_crc32", *merges, (F.col("round_trip") & F.col("no_sign")).alias("round_trip"))
+    return decode(at_once, model).select("doc_id", *digest("ids", "n_ids", "ids_crc32"), *merges, fine.alias("round_trip")).unionByName(giants)
+
+
+def _ddl(columns: dict[str, pa.DataType]) -> str:
+    names = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean"}
+    return ", ".join(f"{c} {names[k]}" for c, k in columns.items())
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), columns.values(), strict=True)], names=list(columns))

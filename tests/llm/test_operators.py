@@ -131,6 +131,21 @@ def test_sentencepiece_of_giants_equals_whole_paths(spark):
     assert Counter(tuple(r) for r in got) == want
 
 
+def test_sentencepiece_gives_ids_and_texts_back(spark):
+    rnd = random.Random(1)
+    rows = AWKWARD + [(50, " ".join(rnd.choice(["the", "walking", "Überzug", "\n", "日本"]) for _ in range(12_000))), (51, "abcdefg" * 9000)]
+    v = sentencepiece_scan.Vocabulary(sentencepiece_scan.default_model())
+    encoded = sentencepiece_scan.encode_ids(documents(spark, rows), sentencepiece_scan.default_model())
+    found = defaultdict(list)
+    for n, r in enumerate(sentencepiece_scan.decode(encoded, sentencepiece_scan.default_model()).collect()):
+        found[r.document or n].append((r.chunk, r.doc_id, bytes(r.ids), bytes(r.merge_ids or b""), r.decoded))
+    got = Counter((parts[0][1], b"".join(p[2] for p in parts), b"".join(p[3] for p in parts), "".join(p[4] for p in parts)) for parts in map(sorted, found.values()))
+    packed = lambda ids: np.array(ids, np.uint32).tobytes()
+    want = Counter((i, packed(v.best_path(w := v.written(t or ""), 0, len(w))[1] if t else []), packed(v.library.encode(t or "")), t or "") for i, t in rows)
+    assert sum(len(p) > 1 for p in found.values()) >= 2
+    assert {(str(i), *x): n for (i, *x), n in got.items()} == {(str(i), *x): n for (i, *x), n in want.items()}
+
+
 def test_url_rules_and_standing(spark):
     urls = ["http://a.NET/x", "https://b.example.net/en/1?q#f", "http://example.com/de/", "http://www.example.com/de", "x.org/fr/", None, "http://q.org/fr/z", "http://notexample.net", "ftp://example.net/en", "http://EXAMPLE.net/en/"]
     pages = spark.createDataFrame([(k, u, None, "h") for k, u in enumerate(urls)], "page_id int, url string, html string, host string")
