@@ -14,8 +14,10 @@ length is read as a whole in bounded memory.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,12 @@ TRAIN_ROWS = 1200
 TRAIN_CHARS = 2000
 TABLE_BITS = 17
 EPOCHS, BATCH = 3, 16
+#: Beyond so many languages the model holds only the weights that are not zero.
+DENSE = 64
+#: Texts whose features are held between epochs.
+FEATURES_HELD = 10_000
+#: Training state of more bytes lies in a temporary file of the driver.
+IN_MEMORY = 1 << 28
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-3, 1e-4
 HOLD_OUT, HOLD_OUT_REST = 3, 1
 ACCEPT = 0.5
@@ -60,16 +68,53 @@ def slices(text: str) -> Iterator[str]:
         yield text[max(0, at - 2) : at + SLICE]
 
 
+@dataclass(frozen=True)
+class SparseTable:
+    """Rows of which only the entries that are not zero are held: those of row i from ``starts[i]`` to ``starts[i + 1]``."""
+
+    width: int
+    starts: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+    def total(self, places: np.ndarray) -> np.ndarray:
+        """The sum of the rows at these places."""
+        place, count = np.unique(places, return_counts=True)
+        sizes = self.starts[place + 1] - self.starts[place]
+        at = np.repeat(self.starts[place] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(self.column[at], self.value[at] * np.repeat(count, sizes), minlength=self.width)
+
+
+def _table(idf: np.ndarray, weights: Callable[[np.ndarray], np.ndarray], classes: int) -> np.ndarray | SparseTable:
+    """Rows of idf times weights, and idf."""
+    def rows(places: np.ndarray) -> np.ndarray:
+        return np.column_stack([idf[places, None] * weights(places), idf[places]]).astype(np.float32)
+
+    if classes <= DENSE:
+        return rows(np.arange(len(idf)))
+    sizes, columns, values = [], [], []
+    for lo in range(0, len(idf), 1 << 12):
+        part = rows(np.arange(lo, min(lo + (1 << 12), len(idf))))
+        there = part != 0
+        sizes.append(there.sum(axis=1))
+        columns.append(np.nonzero(there)[1].astype(np.int32))
+        values.append(part[there])
+    return SparseTable(classes + 1, np.append(0, np.cumsum(np.concatenate(sizes))), np.concatenate(columns), np.concatenate(values))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """``table`` has a row for each hashed n-gram: its idf times the weight of each language, and its idf."""
 
     languages: tuple[str, ...]
-    table: np.ndarray
+    table: np.ndarray | SparseTable
     bias: np.ndarray
     temperature: float
 
     def logits(self, text: str) -> np.ndarray:
+        if isinstance(self.table, SparseTable):
+            total = sum(self.table.total(grams(part)) for part in slices(text))
+            return total[:-1] / max(total[-1], 1e-12) + self.bias
         total = np.zeros(self.table.shape[1])
         for part in slices(text):
             rows = self.table[grams(part)]
@@ -96,10 +141,17 @@ def _features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, value / max(value.sum(), 1e-12)
 
 
-def _ftrl(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def _zeros(shape: tuple[int, int]) -> np.ndarray:
+    if 8 * shape[0] * shape[1] <= IN_MEMORY:
+        return np.zeros(shape)
+    with tempfile.TemporaryFile() as f:
+        return np.memmap(f, np.float64, "w+", shape=shape)
+
+
+def _ftrl(features: Callable[[int], tuple[np.ndarray, np.ndarray]], target: np.ndarray, classes: int) -> tuple[Callable[[np.ndarray], np.ndarray], np.ndarray]:
     """FTRL-proximal over mini-batches. Features are scaled up so that the penalties bite on rare n-grams only."""
     size = 1 << TABLE_BITS
-    z, n = np.zeros((size + 1, classes)), np.zeros((size + 1, classes))
+    z, n = _zeros((size + 1, classes)), _zeros((size + 1, classes))
     order = np.random.default_rng(0)
 
     def weights(place: np.ndarray) -> np.ndarray:
@@ -107,12 +159,13 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, classes
         return np.where(np.abs(zz) <= L1, 0.0, -(zz - np.sign(zz) * L1) / ((BETA + np.sqrt(n[place])) / ALPHA + L2))
 
     for _ in range(EPOCHS):
-        shuffled = order.permutation(len(rows))
-        for lo in range(0, len(rows), BATCH):
+        shuffled = order.permutation(len(target))
+        for lo in range(0, len(target), BATCH):
             batch = shuffled[lo : lo + BATCH]
-            place = np.concatenate([np.append(rows[i][0], size) for i in batch])  # the last place is the bias
-            value = np.concatenate([np.append(rows[i][1] * SCALE, 1.0) for i in batch])
-            owner = np.repeat(np.arange(len(batch)), [len(rows[i][0]) + 1 for i in batch])
+            rows = [features(int(i)) for i in batch]
+            place = np.concatenate([np.append(place, size) for place, _ in rows])  # the last place is the bias
+            value = np.concatenate([np.append(value * SCALE, 1.0) for _, value in rows])
+            owner = np.repeat(np.arange(len(batch)), [len(place) + 1 for place, _ in rows])
             used, where = np.unique(place, return_inverse=True)
             w = weights(used)
             logits = np.zeros((len(batch), classes))
@@ -125,8 +178,7 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, classes
             sigma = (np.sqrt(n[used] + g * g) - np.sqrt(n[used])) / ALPHA
             z[used] += g - sigma * w
             n[used] += g * g
-    final = weights(np.arange(size + 1))
-    return final[:-1] * SCALE, final[-1]
+    return lambda places: weights(places) * SCALE, weights(np.array([size]))[0]
 
 
 SCALE = 30.0
@@ -158,8 +210,8 @@ def fit(texts: list[str], languages: list[str]) -> LanguageModel:
     for i in seen:
         df[np.unique(grams(texts[i][:TRAIN_CHARS]))] += 1
     idf = np.log((1 + len(seen)) / (1 + df)) + 1
-    w, bias = _ftrl([_features(texts[i], idf) for i in seen], target[seen], len(names))
-    model = LanguageModel(names, np.column_stack([idf[:, None] * w, idf]).astype(np.float32), bias, 1.0)
+    weights, bias = _ftrl(lru_cache(FEATURES_HELD)(lambda k: _features(texts[seen[k]], idf)), target[seen], len(names))
+    model = LanguageModel(names, _table(idf, weights, len(names)), bias, 1.0)
     rest = np.flatnonzero(apart) if apart.any() else seen
     logits = np.array([model.logits(texts[i]) for i in rest])
     return LanguageModel(names, model.table, bias, _temperature(logits, target[rest]))
@@ -185,13 +237,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     return fit([pairs[i][0] for i in shuffled], [pairs[i][1] for i in shuffled])
 
 
-#: Languages that are learned at most, the most frequent first: it bounds the model's size.
-MAX_LANGUAGES = 200
-
-
 def _share(known: DataFrame, rows: int) -> DataFrame:
     """For each language the bound on the hash below which about ``rows`` documents lie."""
-    counted = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counted = known.groupBy("lang").agg(F.count("*").alias("n"))
     return counted.select("lang", F.ceil(F.least(F.lit(1.0), F.lit(1.15 * rows) / F.col("n")) * F.lit(1 << 30)).alias("below"))
 
 

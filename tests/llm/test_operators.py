@@ -286,6 +286,14 @@ def test_language_on_held_out_rows(spark):
     assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
 
 
+def test_every_language_is_learned(spark):
+    rnd = random.Random(5)
+    rows = [(10 * k + j, " ".join("".join(chr(0x4E00 + 40 * k + rnd.randrange(40)) for _ in range(4)) for _ in range(30)), f"l{k:03}") for k in range(230) for j in range(8 if k < 200 else 6)]
+    got = {r.doc_id: r.lang_pred for r in language.predict_languages(documents(spark, rows)).collect()}
+    right = Counter(lang for i, _, lang in rows if got[i] == lang)
+    assert len(right) == 230 and sum(right.values()) > 0.95 * len(rows)
+
+
 def test_language_of_awkward_rows(spark):
     rows = [(i, t, "de" if k % 2 else None) for k, (i, t) in enumerate(AWKWARD)]
     got = language.predict_languages(documents(spark, rows)).collect()
