@@ -17,7 +17,7 @@ Two documents link if their sets of word shingles have a Jaccard similarity of a
    all dense sets, in blocks, finds every component it links to.
 4. Links merge to components by smallest labels and pointer jumping.
 
-So nothing emits the pairs of a group, and no list, group or set of links goes to one task or to the driver.
+So frequent lists emit no pairs, the others all of theirs; no group or set of links goes to one task or to the driver.
 """
 
 from __future__ import annotations
