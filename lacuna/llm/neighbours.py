@@ -18,11 +18,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -142,17 +142,23 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """For each query: query_id, rank (from 1), vec_id, score; the largest cosine first, then the smaller vec_id.
 
     ``rows`` and ``queries`` have vec_id and embedding. Defined cases: rows whose id is null and
-    vectors that are null, empty, all zero, or hold nulls or non-finite components take no part, nor
-    do vectors whose length is not the most frequent one (the shorter of equally frequent ones).
-    A query never finds rows of its own id. Rows that repeat are found each; of queries that share
+    vectors that are null, empty, all zero, or hold nulls or non-finite components take no part.
+    A query finds rows of its own vector's length; each length that occurs is searched by itself. A query never finds rows of its own id. Rows that repeat are found each; of queries that share
     an id the smallest vector is asked. With no usable rows the result is empty. Other columns are ignored.
     """
     spark, scratch = session_of(rows), Scratch(session_of(rows), "neighbours")
     good = usable(rows)
-    size = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if size is None:
+    asked = scratch.keep(usable(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
+    sizes = good.groupBy(F.size("vector").alias("n")).count().join(asked.select(F.size("vector").alias("n")).distinct(), "n", "left_semi").orderBy("n").collect()
+    if not sizes:
         return spark.sql("SELECT 0L AS query_id, 0 AS rank, 0L AS vec_id, 0D AS score WHERE false")
-    good = good.where(F.size("vector") == size["n"])
+    of = [(size, F.size("vector") == size["n"]) for size in sizes]
+    return reduce(DataFrame.unionByName, [_search_length(good.where(own), asked.where(own), size, k, Scratch(spark, "neighbours")) for size, own in of])
+
+
+def _search_length(good: DataFrame, asked: DataFrame, size: Row, k: int, scratch: Scratch) -> DataFrame:
+    """The search among usable rows of one length; ``size`` has the length and the count of rows."""
+    spark = session_of(good)
     # A sample by a hash of the id; the bound on the hash keeps about SAMPLE_ROWS at any size.
     share = min(1.0, 1.2 * SAMPLE_ROWS / size["count"])
     drawn = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * SAMPLE_ROWS).collect()
@@ -167,7 +173,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 yield batch.append_column("code", pa.array([c.tobytes() for c in codes], pa.binary()))
 
     index = scratch.keep(good.mapInArrow(encode, "vec_id bigint, vector array<double>, code binary"), "index")
-    asked = usable(queries).where(F.size("vector") == size["n"]).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     chunks = max(1, -(-asked.count() // (QUERY_CHUNK // 2)))
     asked = scratch.keep(asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")), "asked")
     wanted = min(k, size["count"] - 1)

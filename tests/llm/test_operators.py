@@ -242,6 +242,14 @@ def test_neighbours(spark):
     assert neighbours.search(table.where("vec_id >= 3000"), table.where("vec_id = 3000"), 5).count() == 0
 
 
+def test_neighbours_of_every_length(spark):
+    rng = np.random.default_rng(1)
+    vectors = [rng.normal(size=8).tolist() for _ in range(40)] + [rng.normal(size=3).tolist() for _ in range(12)]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>")
+    got = Counter(r.query_id for r in neighbours.search(table, table, 5).collect())
+    assert got == {i: 5 for i in range(52)}
+
+
 def test_sharding(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
     for k in range(5):
