@@ -10,11 +10,13 @@ composed from the end, give all boundaries, and then every chunk is traced back
 
 No piece of a word-wise vocabulary has a blank after another character, or a line break, so paths
 always meet at those places. Between two of those places a best path is that of the segment alone, which
-is remembered, and a chunk's matrix needs work at its two ends only.
+is remembered, and a chunk's matrix needs work at its two ends only. Giant documents are cut by length before
+anything else is done to them, and one pass over a chunk gives all that is ever needed of it: its matrix,
+the ids between its first and its last meeting place, and the few characters at its ends that are left to trace.
 
-The public model file was trained for merges (BPE). Its merge order is no sum of scores, so no
-max-plus scan gives it; the scan reads the file's pieces and scores as a unigram lattice. The
-merge ids, which are what the library gives for the file as it is, come beside them: a merge never
+The result is ``ids``, those of the best path. The public model file was trained for merges (BPE); its
+merge order is no sum of scores, so no max-plus scan gives it, and the scan reads the file's pieces and scores as a
+unigram lattice. The merge ids, which are what the library gives for the file as it is, come beside them: a merge never
 crosses those places either, so they are the library's ids of all segments in a row.
 
 Ties go to the longer last piece. Scores are summed in double precision.
@@ -23,10 +25,11 @@ Ties go to the longer last piece. Scores are summed in double precision.
 from __future__ import annotations
 
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +41,35 @@ from lacuna.llm.shared import Scratch, session_of, with_fields
 #: Documents with more characters are split into chunks of as many.
 CHUNK = 1 << 15
 #: Segments that a worker remembers, in each of two generations.
-SEGMENTS_HELD = 200_000
-#: A segment of so many characters goes the way of giant documents.
+SEGMENTS_HELD = 250_000
+#: A segment of so many characters is no word that comes again: it is forgotten at once.
 GIANT = 1 << 12
-#: Documents whose new segments are encoded together.
-TOGETHER = 64
+#: Characters of the documents whose new segments are encoded together.
+TOGETHER = 1 << 21
 BLANK = "▁"
 #: A word with the blanks before it, blanks alone, or a line break: no piece has one, nor spans the places between these.
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
-_MEET = re.compile(f"(?<=[^{BLANK}]){BLANK}|\n|(?<=\n).", re.DOTALL)
 NONE = -np.inf
 
 
+@dataclass(frozen=True)
+class Chunk:
+    """What one pass over a chunk leaves of it.
+
+    ``head`` ends at the first place where all paths meet and ``tail`` begins at the last one; the tail goes on
+    beyond the chunk as far as a piece reaches. Without such a place the head is all of that and the tail None.
+    ``body`` is how many characters of the tail (of the head, without a tail) are the chunk's own.
+    """
+
+    matrix: np.ndarray
+    head: str
+    said: str
+    ids: bytes
+    merge_ids: bytes
+    tail: str | None
+    body: int
+
+
 class Vocabulary:
     """Pieces, scores and ids of a model file; how texts are written and best paths found."""
 
@@ -60,9 +80,10 @@ class Vocabulary:
         size = self.library.get_piece_size()
         usual = [i for i in range(size) if not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i) or self.library.is_unused(i))]
         self.pieces = {self.library.id_to_piece(i): (float(self.library.get_score(i)), i) for i in usual}
-        self.texts = {i: p.replace(BLANK, " ").encode() for p, (_, i) in self.pieces.items()}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.texts |= {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        texts = {i: p.replace(BLANK, " ").encode() for p, (_, i) in self.pieces.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        #: What each id stands for.
+        self.texts = pa.array([texts.get(i, b"") for i in range(size)], pa.large_binary())
         self.longest = max(map(len, self.pieces))
         #: Score and id of each piece, None for what only begins one.
         self.trie = {p[:n]: None for p in self.pieces for n in range(1, len(p))} | self.pieces
@@ -72,6 +93,7 @@ class Vocabulary:
         self.lattices = Lattices(self)
         self.known: dict[str, tuple[float, bytes, bytes]] = {}
         self.older: dict[str, tuple[float, bytes, bytes]] = {}
+        self.passing: list[str] = []
 
     def written(self, text: str) -> str:
         """Blanks as the blank sign, and one in front."""
@@ -124,45 +146,61 @@ class Vocabulary:
 
     def learn(self, segments: set[str]) -> None:
         """Encode segments that are not remembered: best score, ids of the best path, merge ids."""
+        for s in self.passing:
+            self.known.pop(s, None)
         if len(self.known) > SEGMENTS_HELD:
             self.older, self.known = self.known, {}
-        self.known.update({s: self.older[s] for s in segments - self.known.keys() if s in self.older})
-        new = sorted(segments - self.known.keys(), key=len, reverse=True)
-        merged = self.merged(new)
+        new = segments.difference(self.known)
+        if self.older:
+            self.known.update((s, self.older[s]) for s in new if s in self.older)
+            new = new.difference(self.known)
+        new = sorted(new, key=len, reverse=True)
+        self.passing = new[: next((k for k, s in enumerate(new) if len(s) < GIANT), len(new))]
         paths: list[tuple[float, bytes] | None] = [None] * len(new)
         short = next((k for k, s in enumerate(new) if len(s) <= Lattices.LONGEST), len(new))
         for lo in range(short, len(new), Lattices.ROWS):
             paths[lo : lo + Lattices.ROWS] = self.lattices.best_paths(new[lo : lo + Lattices.ROWS])
-        for s, m, found in zip(new, merged, paths, strict=True):
+        for k, found in enumerate(paths):
             if found is None:  # long, or with a character that is no piece
-                score, ids = self.best_path(s, 0, len(s))
-                found = score, _bytes(ids)
-            self.known[s] = *found, _bytes(m)
+                score, ids = self.best_path(new[k], 0, len(new[k]))
+                paths[k] = score, _bytes(ids)
+        self.known.update((s, (*found, m)) for s, found, m in zip(new, paths, self.merged(new), strict=True))
 
-    def merged(self, segments: list[str]) -> list[list[int]]:
+    def merged(self, segments: list[str]) -> list[bytes]:
         """The library's ids. It puts a blank sign in front of a text: that of a segment that has one, or
         else one before a line break, which is no part of any merge; both are taken off again."""
-        asked = [s[1:] if s[0] == BLANK else f"\n{s}" for s in segments]
-        got = self.library.encode([a.replace(BLANK, " ") for a in asked], num_threads=1)
-        return [[self.pieces[BLANK][1]] if s == BLANK else g if s[0] == BLANK else g[2:] for s, g in zip(segments, got, strict=True)]
-
-    def between(self, text: str, first: int, last: int) -> list[tuple[float, bytes, bytes]]:
-        """What is known of the segments between two places where paths meet; giant ones are not remembered."""
-        segments = _SEGMENT.findall(text[first:last])
-        self.learn({s for s in segments if len(s) < GIANT})
-        return [self.known[s] if len(s) < GIANT else (*(lambda t, i: (t, _bytes(i)))(*self.best_path(s, 0, len(s))), b"") for s in segments]
+        asked = [s[1:].replace(BLANK, " ") if s[0] == BLANK else f"\n{s}" for s in segments]
+        got = self.library.encode(asked, num_threads=1)
+        got = [[self.pieces[BLANK][1]] if s == BLANK else g if s[0] == BLANK else g[2:] for s, g in zip(segments, got, strict=True)]
+        ends = np.cumsum([4 * len(g) for g in got]).tolist()
+        flat = np.fromiter(chain.from_iterable(got), np.uint32).tobytes()
+        return [flat[a:e] for a, e in zip([0, *ends], ends)]
+
+    def segments(self, parts: list[str]) -> list[tuple[float, bytes, bytes]]:
+        """What is known of each segment, in order."""
+        self.learn(set(parts))
+        return list(map(self.known.__getitem__, parts))
 
     def segment(self, part: str) -> tuple[float, bytes, bytes]:
-        if part not in self.known:
-            self.learn({part})
-        return self.known[part]
-
-    def decoded(self, ids: bytes) -> bytes:
-        """The UTF-8 text that ids stand for, with the blank in front."""
-        return b"".join(map(self.texts.__getitem__, np.frombuffer(ids, np.uint32).tolist()))
+        return self.segments([part])[0]
+
+    def decoded(self, ids: pa.Array) -> list[bytes | None]:
+        """The UTF-8 texts that rows of ids (binary) stand for, with the blank in front; None for null rows."""
+        rows = [np.frombuffer(x.as_buffer(), np.uint32) if x.is_valid else None for x in ids]
+        every = np.concatenate([r for r in rows if r is not None] or [np.zeros(0, np.uint32)])
+        taken = self.texts.take(pa.array(every))
+        places = np.frombuffer(taken.buffers()[1], np.int64, len(every) + 1) if len(every) else np.zeros(1, np.int64)
+        said, out, at = taken.buffers()[2], [], 0
+        for r in rows:
+            if r is None:
+                out.append(None)
+                continue
+            first, last, at = int(places[at]), int(places[at + len(r)]), at + len(r)
+            out.append(said.slice(first, last - first).to_pybytes() if last > first else b"")
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.decoded(ids.astype(np.uint32).tobytes()).decode("utf-8", "replace").removeprefix(" ")
+        return self.decoded(pa.array([ids.astype(np.uint32).tobytes()], pa.binary()))[0].decode("utf-8", "replace").removeprefix(" ")
 
     # -- chunks -----------------------------------------------------------------------------
 
@@ -181,69 +219,75 @@ class Vocabulary:
                 np.maximum(best[at + n - start], here + score, out=best[at + n - start])
         return best[end - start :].T
 
-    def matrix(self, text: str, a: int, b: int) -> np.ndarray:
-        """The transfer matrix of the chunk from a to b; ``text`` goes on beyond b by the longest piece at least."""
-        meets = [m.start() for m in _MEET.finditer(text, a, b) if m.start() > a]
-        if not meets:
-            return self._reach(text, a, b, b)
-        first, last = meets[0], meets[-1]
-        head = self._reach(text, a, first, first)[:, 0]
-        middle = sum(s[0] for s in self.between(text, first, last))
-        tail = self._reach(text, last, b, b)[0]
-        return head[:, None] + middle + tail[None, :]
-
-    def enter_map(self, text: str, a: int, b: int, scores: np.ndarray) -> list[int]:
-        """For each place to leave the chunk at, where the best path enters it; ``scores`` are those of the entries."""
-        first = next((m.start() for m in _MEET.finditer(text, a, b) if m.start() > a), None)
-        stop = b if first is None else first
-        best = [NONE] * (max(stop, b) + 2 * self.longest - a)
+    def chunk(self, text: str, a: int, b: int) -> Chunk:
+        """One pass over the chunk from a to b; ``text`` goes on beyond b by the longest piece at least."""
+        parts, beyond = _SEGMENT.findall(text[a:b]), text[b : b + self.longest]
+        if len(parts) < 2:
+            head = text[a:b] + beyond
+            return Chunk(self._reach(head, 0, b - a, b - a), head, "", b"", b"", None, b - a)
+        head, tail, body = parts[0], parts[-1] + beyond, len(parts[-1])
+        middle = self.segments(parts[1:-1])
+        total = sum(s[0] for s in middle)
+        matrix = self._reach(head, 0, len(head), len(head))[:, :1] + total + self._reach(tail, 0, body, body)[:1]
+        return Chunk(matrix, head, "".join(parts[1:-1]), b"".join([s[1] for s in middle]), b"".join([s[2] for s in middle]), tail, body)
+
+    def entered(self, head: str, tail: str | None, body: int, scores: np.ndarray) -> list[int]:
+        """For each place to leave a chunk at, where the best path enters it; ``scores`` are those of the entries."""
+        stop = len(head) if tail is not None else body
+        best = [NONE] * (stop + 2 * self.longest)
         best[: len(scores)] = scores.tolist()
         back = list(range(len(best)))
-        for at in range(a, min(stop, len(text))):
-            if best[at - a] != NONE:
-                for n, score, _ in self.arcs(text, at):
-                    if best[at - a] + score > best[at - a + n]:
-                        best[at - a + n], back[at - a + n] = best[at - a] + score, at - a
+        for at in range(stop):
+            if best[at] != NONE:
+                for n, score, _ in self.arcs(head, at):
+                    if best[at] + score > best[at + n]:
+                        best[at + n], back[at + n] = best[at] + score, at
 
         def entry(node: int) -> int:
             while back[node] != node:
                 node = back[node]
             return min(node, self.longest - 1)
 
-        return [entry(stop - a)] * self.longest if first is not None else [entry(b - a + j) for j in range(self.longest)]
+        return [entry(stop)] * self.longest if tail is not None else [entry(body + j) for j in range(self.longest)]
+
+    def matrix(self, text: str, a: int, b: int) -> np.ndarray:
+        """The transfer matrix of a chunk."""
+        return self.chunk(text, a, b).matrix
+
+    def enter_map(self, text: str, a: int, b: int, scores: np.ndarray) -> list[int]:
+        c = self.chunk(text, a, b)
+        return self.entered(c.head, c.tail, c.body, scores)
 
     def trace(self, text: str, a: int, b: int, enter: int, leave: int) -> bytes:
         """The ids of the best path from ``a + enter`` to ``b + leave``."""
-        start, end = a + enter, b + leave
-        meets = [m.start() for m in _MEET.finditer(text, start, end) if m.start() > start]
-        if not meets:
-            return _bytes(self.best_path(text, start, end)[1])
-        first, last = meets[0], meets[-1]
-        middle = b"".join([s[1] for s in self.between(text, first, last)])
-        return _bytes(self.best_path(text, start, first)[1]) + middle + _bytes(self.best_path(text, last, end)[1])
+        c = self.chunk(text, a, b)
+        if c.tail is None:
+            return _bytes(self.best_path(c.head, enter, c.body + leave)[1])
+        return _bytes(self.best_path(c.head, enter, len(c.head))[1]) + c.ids + _bytes(self.best_path(c.tail, 0, c.body + leave)[1])
 
 
 class Lattices:
     """Best paths of many short segments at once: one step over all of them for each place and length.
 
-    A piece is found by the hash of its characters, in one of two tables; hashes are compared in full.
+    A piece is found by the hash of its characters, in a table without collisions: keys that share a bucket are
+    shifted together to places that are free. Hashes are compared in full.
     """
 
-    LONGEST, ROWS, SLOTS = 32, 8192, 20
+    LONGEST, ROWS = 32, 8192
+    PLACES, BUCKETS = 1 << 17, 1 << 14
     _BASE = 0x9E3779B97F4A7C15
 
     def __init__(self, vocabulary: Vocabulary):
-        self.longest, self.unknown = vocabulary.longest, vocabulary.unknown
         pieces = list(vocabulary.pieces)
+        self.longest = vocabulary.longest
         self.up = np.array([pow(self._BASE, k, 1 << 64) for k in range(self.LONGEST + 1)], np.uint64)
         self.down = np.array([pow(self._BASE, -k, 1 << 64) for k in range(self.LONGEST + 1)], np.uint64)
-        self.hashes = np.array([self._hash_of(p) for p in pieces], np.uint64)
-        self.scores = np.array([vocabulary.pieces[p][0] for p in pieces])
-        self.ids = np.array([vocabulary.pieces[p][1] for p in pieces], np.int32)
-        self.tables = [np.full(1 << self.SLOTS, -1, np.int32) for _ in range(2)]
-        for k, places in enumerate(zip(*(x.tolist() for x in self._slots(self.hashes)), strict=True)):
-            table, place = next((t, x) for t, x in zip(self.tables, places, strict=True) if t[x] < 0)
-            table[place] = k
+        # The last place of each row stands for what is no piece, which is found as -1.
+        scores = [vocabulary.pieces[p][0] for p in pieces]
+        self.single, self.several = np.array([*scores, vocabulary.unknown]), np.array([*scores, NONE])
+        self.lengths = np.array([*map(len, pieces), 1])
+        self.ids = np.array([vocabulary.pieces[p][1] for p in pieces], np.uint32)
+        self._place([self._hash_of(p) for p in pieces])
 
     def _hash_of(self, piece: str) -> int:
         codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -254,14 +298,25 @@ class Lattices:
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(29))
 
-    def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shift = np.uint64(64 - self.SLOTS)
-        return hashes >> shift, (hashes * np.uint64(0x94D049BB133111EB)) >> shift
+    def _place(self, hashes: list[int]) -> None:
+        buckets: dict[int, list[int]] = {}
+        for k, h in enumerate(hashes):
+            buckets.setdefault(h % self.BUCKETS, []).append(k)
+        self.shift = np.zeros(self.BUCKETS, np.int64)
+        self.number, self.hashes = np.full(self.PLACES, -1, np.int32), np.zeros(self.PLACES, np.uint64)
+        free = bytearray(b"\1") * self.PLACES
+        for bucket, own in sorted(buckets.items(), key=lambda x: -len(x[1])):
+            homes = [hashes[k] >> 40 for k in own]
+            shift = next(s for s in range(self.PLACES) if len({(h + s) % self.PLACES for h in homes}) == len(own) and all(free[(h + s) % self.PLACES] for h in homes))
+            self.shift[bucket] = shift
+            for k, h in zip(own, homes, strict=True):
+                at = (h + shift) % self.PLACES
+                free[at], self.number[at], self.hashes[at] = 0, k, hashes[k]
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each piece, -1 for what is none."""
-        one, two = (t[x] for t, x in zip(self.tables, self._slots(hashes), strict=True))
-        return np.where((one >= 0) & (self.hashes[one] == hashes), one, np.where((two >= 0) & (self.hashes[two] == hashes), two, -1))
+        at = ((hashes >> np.uint64(40)).view(np.int64) + self.shift[(hashes & np.uint64(self.BUCKETS - 1)).view(np.int64)]) & (self.PLACES - 1)
+        return np.where(self.hashes[at] == hashes, self.number[at], -1)
 
     def best_paths(self, segments: list[str]) -> list[tuple[float, bytes] | None]:
         """Score and ids of each segment (longest first); None where a character is no piece."""
@@ -271,24 +326,26 @@ class Lattices:
         codes[np.arange(size) < lengths[:, None]] = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
         running = np.zeros((size + 1, rows), np.uint64)
         np.cumsum((codes * self.up[:size]).T, axis=0, out=running[1:])
-        best, back, piece = np.full((size + 1, rows), NONE), np.zeros((size + 1, rows), np.int8), np.full((size + 1, rows), -1, np.int32)
+        best, piece = np.full((size + 1, rows), NONE), np.full((size + 1, rows), -1, np.int32)
         best[0] = 0.0
         reach = [int(np.searchsorted(-lengths, -n, side="right")) for n in range(size + 1)]  # rows of at least n characters
         for at in range(size):
             for to in range(at + 1, min(at + self.longest, size) + 1):
                 n = reach[to]
                 found = self._find(self._spread((running[to, :n] - running[at, :n]) * self.down[at]))
-                score = best[at, :n] + np.where(found >= 0, self.scores[found], self.unknown if to == at + 1 else NONE)
+                score = best[at, :n] + (self.single if to == at + 1 else self.several)[found]
                 better = score > best[to, :n]
-                best[to, :n][better], back[to, :n][better], piece[to, :n][better] = score[better], at, found[better]
+                np.copyto(best[to, :n], score, where=better)
+                np.copyto(piece[to, :n], found, where=better)
         steps, at, every = [], lengths.copy(), np.arange(rows)
         while at.any():
-            steps.append(np.where(at > 0, piece[at, every], -2))
-            at = np.where(at > 0, back[at, every], 0)
+            last = piece[at, every]
+            steps.append(np.where(at > 0, last, -2))
+            at = np.where(at > 0, at - self.lengths[last], 0)
         taken = np.array(steps[::-1]).T  # from first to last; what came after a row's start is -2
         plain = ~(taken == -1).any(axis=1)
         used = taken >= 0
-        ids, ends = self.ids[taken[used]].astype(np.uint32).tobytes(), 4 * np.cumsum(used.sum(axis=1))
+        ids, ends = self.ids[taken[used]].tobytes(), 4 * np.cumsum(used.sum(axis=1))
         starts, total = np.append(0, ends[:-1]).tolist(), best[lengths, every].tolist()
         return [(t, ids[a:e]) if fine else None for t, a, e, fine in zip(total, starts, ends.tolist(), plain.tolist(), strict=True)]
 
@@ -360,64 +417,82 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _giant(written: str, segments: list[str]) -> bool:
-    return len(written) > CHUNK or max(map(len, segments), default=0) >= GIANT
+def _groups(batch: pa.RecordBatch) -> Iterator[list[tuple[int | None, str]]]:
+    """Rows of (doc_id, text) in groups of about ``TOGETHER`` characters."""
+    group, held = [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        group.append((doc_id, text or ""))
+        held += len(text or "")
+        if held >= TOGETHER:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
-def _read(batches: Iterator[pa.RecordBatch], v: Vocabulary, giants: bool) -> Iterator[list[tuple]]:
-    """Rows in groups: doc_id, text, written text, its segments, and what is known of each; giant documents or the others."""
-    for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER)):
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        written = [v.written(t) for t in texts]
-        cut = [_SEGMENT.findall(w) for w in written]
-        rows = [r for r in zip(batch.column(0).to_pylist(), texts, written, cut, strict=True) if _giant(r[2], r[3]) == giants]
-        # A giant segment is no word that comes again: only its merge ids are asked for, not remembered.
-        v.learn({s for r in rows for s in r[3] if len(s) < GIANT})
-        if rows:
-            yield [(*r, [v.known[s] if len(s) < GIANT else (NONE, b"", _bytes(v.merged([s])[0])) for s in r[3]]) for r in rows]
+_WHOLE = {"doc_id": pa.int64(), "document": pa.string(), "chunk": pa.int32(), "ids": pa.binary(), "merge_ids": pa.binary(), "said": pa.string()}
+_CUT = {"doc_id": pa.int64(), "document": pa.string(), "chunk": pa.int32(), "no_sign": pa.bool_(), "part": pa.string(), "body": pa.int32()}
+_PASSED = {k: t for k, t in _CUT.items() if k != "part"} | {"matrix": pa.binary(), "head": pa.string(), "tail": pa.string(), "ids": pa.binary(), "merge_ids": pa.binary(), "said": pa.string()}
+_ENDS = {"document": pa.string(), "chunk": pa.int32(), "head": pa.string(), "tail": pa.string(), "body": pa.int32(), "map": pa.list_(pa.int32())}
+_OPEN = {"document": pa.string(), "chunk": pa.int32(), "text": pa.string(), "start": pa.int32(), "stop": pa.int32(), "merges": pa.string()}
+_TRACED = {"document": pa.string(), "chunk": pa.int32(), "ids": pa.binary(), "merge_ids": pa.binary(), "said": pa.string()}
 
 
-_WHOLE = {"doc_id": pa.int64(), "document": pa.string(), "chunk": pa.int32(), "ids": pa.binary(), "merge_ids": pa.binary(), "said": pa.string()}
-_CUT = {"doc_id": pa.int64(), "merge_ids": pa.binary(), "no_sign": pa.bool_(), "document": pa.string(), "chunk": pa.int32(), "part": pa.string(), "body": pa.int32()}
-_TRACED = {"document": pa.string(), "chunk": pa.int32(), "ids": pa.binary(), "said": pa.string()}
+def _open_ends(rows: list[dict], states: list[int]) -> list[tuple]:
+    """From the chunks of a document and the states at their boundaries, the stretches left to trace (``_OPEN``).
+
+    Of chunk k, stretch 3k is the head and 3k + 2 the tail; 3k + 1, what lies between, is done already. A segment that
+    runs over the end of a chunk has its merges with the stretch that it begins in.
+    """
+    out: list[list] = []
+    begun = 0  # the stretch in which the segment begins that is not at its end yet
+    for k, r in enumerate(rows):
+        enter, leave, body = states[k], states[k + 1], r["body"]
+        whole = r["tail"] is None
+        out.append([r["document"], 3 * k, r["head"], enter, body + leave if whole else len(r["head"]), ""])
+        out[begun][-1] += r["head"][:body] if whole else r["head"]
+        if not whole:
+            begun = len(out)
+            out.append([r["document"], 3 * k + 2, r["tail"], 0, body + leave, r["tail"][:body]])
+    return [tuple(x) for x in out]
 
 
 def _pieces(docs: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents encoded at once (``_WHOLE``), chunks of giant ones (``_TRACED``), and whose chunks these are (``_CUT``).
+    """Documents encoded at once (``_WHOLE``), stretches of giant ones (``_TRACED``), and whose these are.
 
     ``said`` is what of the document the ids stand for.
     """
     scratch = Scratch(session_of(docs), "sentencepiece")
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
+    giant = F.length("text") > CHUNK
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _read(batches, vocabulary(model), False):
-            yield _batch([(doc_id, None, 0, b"".join([p[1] for p in parts]), b"".join([p[2] for p in parts]), text) for doc_id, text, _, _, parts in group], _WHOLE)
+        v = vocabulary(model)
+        for group in (g for batch in batches for g in _groups(batch)):
+            cut = [_SEGMENT.findall(v.written(text)) for _, text in group]
+            v.learn(set().union(*cut))
+            look, out = v.known.__getitem__, []
+            for (doc_id, text), parts in zip(group, cut, strict=True):
+                _, ids, merges = zip(*map(look, parts), strict=True) if parts else ((), (), ())
+                out.append((doc_id, None, 0, b"".join(ids), b"".join(merges), text))
+            yield _batch(out, _WHOLE)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         v, task, count = vocabulary(model), TaskContext.get().partitionId(), 0
-        for group in _read(batches, v, True):
-            for doc_id, text, written, _, parts in group:
-                document, count = f"{task}-{count}", count + 1
-                merged, out = b"".join([p[2] for p in parts]), []
-                for k, lo in enumerate(range(0, len(written), CHUNK)):
-                    # One character before the chunk tells whether paths meet at its start; beyond it, as far as a piece reaches.
-                    part = written[max(0, lo - 1) : lo + CHUNK + v.longest]
-                    out.append((doc_id, None if k else merged, BLANK not in text, document, k, part, min(CHUNK, len(written) - lo)))
-                yield _batch(out, _CUT)
-
-    at_once = rows.mapInArrow(whole, _ddl(_WHOLE))
-    done = scratch.keep(rows.where(F.length("text") >= GIANT - 1).mapInArrow(cut, _ddl(_CUT)), "giants")
-    chunks = done.select("document", "chunk", "part", "body").repartition("document", "chunk")
-
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                document, written, count = f"{task}-{count}", v.written(text), count + 1
+                # Beyond the chunk its text goes on as far as a piece reaches.
+                yield _batch([(doc_id, document, k, BLANK not in text, written[lo : lo + CHUNK + v.longest], min(CHUNK, len(written) - lo)) for k, lo in enumerate(range(0, len(written), CHUNK))], _CUT)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            a = [0 if k == 0 else 1 for k in batch.column("chunk").to_pylist()]
-            got = [v.matrix(t, i, i + n).tobytes() for t, i, n in zip(batch.column("part").to_pylist(), a, batch.column("body").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("document"), batch.column("chunk"), pa.array(got, pa.binary())], names=["document", "chunk", "matrix"])
+            for r in batch.to_pylist():
+                c = v.chunk(r["part"], 0, r["body"])
+                yield _batch([(r["doc_id"], r["document"], r["chunk"], r["no_sign"], c.body, c.matrix.tobytes(), c.head, c.tail, c.ids, c.merge_ids, c.said.replace(BLANK, " "))], _PASSED)
 
     def entries(group: pa.Table) -> pa.Table:
         group = group.sort_by("chunk")
@@ -428,52 +503,52 @@ def _pieces(docs: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFram
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            a = [0 if k == 0 else 1 for k in batch.column("chunk").to_pylist()]
-            got = [v.enter_map(t, i, i + n, np.frombuffer(x, np.float64)) for t, i, n, x in zip(batch.column("part").to_pylist(), a, batch.column("body").to_pylist(), batch.column("scores").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("document"), batch.column("chunk"), pa.array(got, pa.list_(pa.int32()))], names=["document", "chunk", "map"])
+            if batch.num_rows:
+                yield _batch([(*(r[c] for c in _ENDS if c != "map"), v.entered(r["head"], r["tail"], r["body"], np.frombuffer(r["scores"], np.float64))) for r in batch.to_pylist()], _ENDS)
 
     def states(group: pa.Table) -> pa.Table:
-        group = group.sort_by("chunk")
-        found = boundary_states(group.column("map").to_pylist())
-        return pa.table({"document": group.column("document"), "chunk": group.column("chunk"), "enter": pa.array(found[:-1], pa.int32()), "leave": pa.array(found[1:], pa.int32())})
+        rows = group.sort_by("chunk").to_pylist()
+        return pa.Table.from_batches([_batch(_open_ends(rows, boundary_states([r["map"] for r in rows])), _OPEN)])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                a = 0 if r["chunk"] == 0 else 1
-                ids = v.trace(r["part"], a, a + r["body"], r["enter"], r["leave"])
-                said = r["part"][a + r["enter"] : a + r["body"] + r["leave"]].replace(BLANK, " ")
-                out.append((r["document"], r["chunk"], ids, said if r["chunk"] else said[1:]))
+                ids = _bytes(v.best_path(r["text"], r["start"], r["stop"])[1])
+                said = r["text"][r["start"] : r["stop"]].replace(BLANK, " ")
+                merges = b"".join(v.merged(_SEGMENT.findall(r["merges"])))
+                out.append((r["document"], r["chunk"], ids, merges, said if r["chunk"] else said[1:]))
             if out:
                 yield _batch(out, _TRACED)
 
-    scored = chunks.mapInArrow(matrices, "document string, chunk int, matrix binary").groupBy("document").applyInArrow(entries, "document string, chunk int, scores binary")
-    mapped = chunks.join(scored, ["document", "chunk"]).mapInArrow(maps, "document string, chunk int, map array<int>")
-    entered = mapped.groupBy("document").applyInArrow(states, "document string, chunk int, enter int, leave int")
-    traces = chunks.join(entered, ["document", "chunk"]).mapInArrow(traced, _ddl(_TRACED))
-    return at_once, traces, done.where("chunk = 0").select("doc_id", "merge_ids", "no_sign", "document")
+    at_once = rows.where(F.coalesce(~giant, F.lit(True))).mapInArrow(whole, _ddl(_WHOLE))
+    chunks = rows.where(giant).mapInArrow(cut, _ddl(_CUT)).repartition("document", "chunk")
+    done = scratch.keep(chunks.mapInArrow(passed, _ddl(_PASSED)), "passed")
+    # From here on only matrices and the ends of chunks are exchanged; what lies between stays where it was written.
+    scored = done.select("document", "chunk", "matrix").groupBy("document").applyInArrow(entries, "document string, chunk int, scores binary")
+    mapped = done.select("document", "chunk", "head", "tail", "body").join(scored, ["document", "chunk"]).mapInArrow(maps, _ddl(_ENDS))
+    ends = mapped.groupBy("document").applyInArrow(states, _ddl(_OPEN)).mapInArrow(traced, _ddl(_TRACED))
+    between = done.where("tail IS NOT NULL").select("document", (3 * F.col("chunk") + 1).alias("chunk"), "ids", "merge_ids", "said")
+    return at_once, ends.unionByName(between), done.where("chunk = 0").select("doc_id", "no_sign", "document")
 
 
 def encode_ids(docs: DataFrame, model: str) -> DataFrame:
     """The ids of each row of ``docs`` (doc_id, text, ...): doc_id, document, chunk, ids, merge_ids.
 
     Both kinds of ids are unsigned 32-bit little-endian numbers in a row, as in ``packing.pack``. A
-    giant document has a row for each chunk; its ids are those of its chunks in a row, ``document``
-    tells which chunks belong together, and the first one has all merge ids, the others null. Any
-    other document is one row with chunk 0 and no ``document``. Defined cases as in ``encode``.
+    giant document has a row for each stretch; its ids are those of its stretches in a row, by the number in ``chunk``, and ``document``
+    tells which stretches belong together. Any other document is one row with chunk 0 and no ``document``. Defined cases as in ``encode``.
     """
     at_once, traces, whose = _pieces(docs, model)
-    giants = traces.join(whose, "document").withColumn("merge_ids", F.when(F.col("chunk") == 0, F.col("merge_ids")))
     columns = ["doc_id", "document", "chunk", "ids", "merge_ids"]
-    return at_once.select(*columns).unionByName(giants.select(*columns))
+    return at_once.select(*columns).unionByName(traces.join(whose, "document").select(*columns))
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """All columns of ``encoded`` (chunk, ids, ...) and ``decoded``, the text of the column ``ids``; a column of that name is replaced.
 
-    Chunk 0 loses the blank in front; the chunks of a giant document, joined by their numbers, are its text.
+    Chunk 0 loses the blank in front; the stretches of a giant document, joined by their numbers, are its text.
     Null ids have no text. Bytes that are no UTF-8 become the replacement character.
     """
     plain = encoded.drop("decoded")
@@ -481,9 +556,10 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            rows = zip(batch.column(batch.schema.get_field_index("chunk")).to_pylist(), batch.column(batch.schema.get_field_index(ids)).to_pylist(), strict=True)
-            texts = [None if x is None else v.decoded(x).decode("utf-8", "replace") if chunk else v.decode(np.frombuffer(x, np.uint32)) for chunk, x in rows]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+            said = v.decoded(batch.column(batch.schema.get_field_index(ids)))
+            texts = [None if x is None else x.decode("utf-8", "replace") for x in said]
+            first = batch.column(batch.schema.get_field_index("chunk")).to_pylist()
+            yield batch.append_column("decoded", pa.array([t if t is None or k else t.removeprefix(" ") for t, k in zip(texts, first, strict=True)], pa.string()))
 
     return plain.mapInArrow(run, with_fields(plain, decoded="string"))
 
@@ -500,25 +576,28 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     at_once, traces, whose = _pieces(docs, model)
 
     def joined(group: pa.Table) -> pa.Table:
-        rows = group.sort_by("chunk").to_pylist()
-        crc, n = 0, 0
-        for r in rows:
-            crc, n = crc32_joined(crc, r["crc"], 4 * r["n"]), n + r["n"]
-        return pa.table({"document": pa.array([rows[0]["document"]]), "n_ids": pa.array([n], pa.int64()), "ids_crc32": pa.array([crc], pa.int64()), "round_trip": pa.array([all(r["fine"] for r in rows)])})
+        rows, out = group.sort_by("chunk").to_pylist(), {"document": pa.array(group.column("document")[:1].to_pylist())}
+        for n, crc in _DIGESTS.values():
+            size = total = 0
+            for r in rows:
+                total, size = crc32_joined(total, r[crc], 4 * r[n]), size + r[n]
+            out |= {n: pa.array([size], pa.int64()), crc: pa.array([total], pa.int64())}
+        return pa.table(out | {"round_trip": pa.array([all(r["fine"] for r in rows)])})
+
+    digests = [d for ids, (n, crc) in _DIGESTS.items() for d in (F.expr(f"octet_length({ids}) div 4").cast("bigint").alias(n), F.crc32(ids).alias(crc))]
+    fine, columns = F.col("decoded") == F.col("said"), [c for pair in _DIGESTS.values() for c in pair]
+    parts = decode(traces, model).select("document", "chunk", *digests, fine.alias("fine"))
+    giants = parts.groupBy("document").applyInArrow(joined, f"document string, {', '.join(f'{c} bigint' for c in columns)}, round_trip boolean")
+    giants = giants.join(whose, "document").select("doc_id", *columns, (F.col("round_trip") & F.col("no_sign")).alias("round_trip"))
+    return decode(at_once, model).select("doc_id", *digests, fine.alias("round_trip")).unionByName(giants)
 
-    def digest(ids: str, n: str, crc: str) -> list[Column]:
-        return [F.expr(f"octet_length({ids}) div 4").alias(n), F.crc32(ids).alias(crc)]
 
-    fine = F.col("decoded") == F.col("said")
-    merges = digest("merge_ids", "n_merge_ids", "merge_ids_crc32")
-    parts = decode(traces, model).select("document", "chunk", *digest("ids", "n", "crc"), fine.alias("fine"))
-    giants = parts.groupBy("document").applyInArrow(joined, "document string, n_ids bigint, ids_crc32 bigint, round_trip boolean")
-    giants = giants.join(whose, "document").select("doc_id", "n_ids", "ids_crc32", *merges, (F.col("round_trip") & F.col("no_sign")).alias("round_trip"))
-    return decode(at_once, model).select("doc_id", *digest("ids", "n_ids", "ids_crc32"), *merges, fine.alias("round_trip")).unionByName(giants)
+#: Columns of ids, and what counts and CRCs of them are called.
+_DIGESTS = {"ids": ("n_ids", "ids_crc32"), "merge_ids": ("n_merge_ids", "merge_ids_crc32")}
 
 
 def _ddl(columns: dict[str, pa.DataType]) -> str:
-    names = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean"}
+    names = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean", pa.list_(pa.int32()): "array<int>"}
     return ", ".join(f"{c} {names[k]}" for c, k in columns.items())
 
 
