@@ -24,15 +24,18 @@ Ties go to the longer last piece. Scores are summed in double precision.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +44,13 @@ from lacuna.llm.shared import Scratch, session_of, with_fields
 #: Documents with more characters are split into chunks of as many.
 CHUNK = 1 << 15
 #: Segments that a worker remembers, in each of two generations.
-SEGMENTS_HELD = 250_000
+SEGMENTS_HELD = 150_000
 #: A segment of so many characters is no word that comes again: it is forgotten at once.
 GIANT = 1 << 12
 #: Characters of the documents whose new segments are encoded together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
+#: Rows of chunks that are unpacked at a time, and bytes of ids that are decoded at a time.
+CHUNKS_HELD, IDS_HELD = 16, 1 << 22
 BLANK = "▁"
 #: A word with the blanks before it, blanks alone, or a line break: no piece has one, nor spans the places between these.
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
@@ -417,12 +422,25 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Many small objects are made and none in cycles: Python's collector would go through them again and again."""
+    held = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if held:
+            gc.enable()
+
+
 def _groups(batch: pa.RecordBatch) -> Iterator[list[tuple[int | None, str]]]:
     """Rows of (doc_id, text) in groups of about ``TOGETHER`` characters."""
     group, held = [], 0
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        group.append((doc_id, text or ""))
-        held += len(text or "")
+    for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        text = value.as_py() or ""
+        group.append((doc_id, text))
+        held += len(text)
         if held >= TOGETHER:
             yield group
             group, held = [], 0
@@ -469,12 +487,14 @@ def _pieces(docs: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFram
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for group in (g for batch in batches for g in _groups(batch)):
-            cut = [_SEGMENT.findall(v.written(text)) for _, text in group]
-            v.learn(set().union(*cut))
-            look, out = v.known.__getitem__, []
-            for (doc_id, text), parts in zip(group, cut, strict=True):
-                _, ids, merges = zip(*map(look, parts), strict=True) if parts else ((), (), ())
-                out.append((doc_id, None, 0, b"".join(ids), b"".join(merges), text))
+            with _uncollected():
+                cut = [_SEGMENT.findall(v.written(text)) for _, text in group]
+                v.learn(set().union(*cut))
+                look, out = v.known.__getitem__, []
+                for (doc_id, text), parts in zip(group, cut, strict=True):
+                    _, ids, merges = zip(*map(look, parts), strict=True) if parts else ((), (), ())
+                    out.append((doc_id, None, 0, b"".join(ids), b"".join(merges), text))
+                del cut
             yield _batch(out, _WHOLE)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,17 +502,19 @@ def _pieces(docs: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFram
 
         v, task, count = vocabulary(model), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = value.as_py()
                 document, written, count = f"{task}-{count}", v.written(text), count + 1
                 # Beyond the chunk its text goes on as far as a piece reaches.
                 yield _batch([(doc_id, document, k, BLANK not in text, written[lo : lo + CHUNK + v.longest], min(CHUNK, len(written) - lo)) for k, lo in enumerate(range(0, len(written), CHUNK))], _CUT)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for batch in batches:
-            for r in batch.to_pylist():
-                c = v.chunk(r["part"], 0, r["body"])
-                yield _batch([(r["doc_id"], r["document"], r["chunk"], r["no_sign"], c.body, c.matrix.tobytes(), c.head, c.tail, c.ids, c.merge_ids, c.said.replace(BLANK, " "))], _PASSED)
+        for batch in (b.slice(lo, CHUNKS_HELD) for b in batches for lo in range(0, b.num_rows, CHUNKS_HELD)):
+            rows = batch.to_pylist()
+            with _uncollected():
+                found = [v.chunk(r["part"], 0, r["body"]) for r in rows]
+            yield _batch([(r["doc_id"], r["document"], r["chunk"], r["no_sign"], c.body, c.matrix.tobytes(), c.head, c.tail, c.ids, c.merge_ids, c.said.replace(BLANK, " ")) for r, c in zip(rows, found, strict=True)], _PASSED)
 
     def entries(group: pa.Table) -> pa.Table:
         group = group.sort_by("chunk")
@@ -545,6 +567,16 @@ def encode_ids(docs: DataFrame, model: str) -> DataFrame:
     return at_once.select(*columns).unionByName(traces.join(whose, "document").select(*columns))
 
 
+def _by_bytes(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``IDS_HELD`` bytes of a binary column, one row at least."""
+    ends = np.cumsum([0 if x is None else x for x in pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + IDS_HELD, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """All columns of ``encoded`` (chunk, ids, ...) and ``decoded``, the text of the column ``ids``; a column of that name is replaced.
 
@@ -555,7 +587,7 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for batch in batches:
+        for batch in (part for b in batches for part in _by_bytes(b, ids)):
             said = v.decoded(batch.column(batch.schema.get_field_index(ids)))
             texts = [None if x is None else x.decode("utf-8", "replace") for x in said]
             first = batch.column(batch.schema.get_field_index("chunk")).to_pylist()
@@ -584,12 +616,17 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             out |= {n: pa.array([size], pa.int64()), crc: pa.array([total], pa.int64())}
         return pa.table(out | {"round_trip": pa.array([all(r["fine"] for r in rows)])})
 
-    digests = [d for ids, (n, crc) in _DIGESTS.items() for d in (F.expr(f"octet_length({ids}) div 4").cast("bigint").alias(n), F.crc32(ids).alias(crc))]
-    fine, columns = F.col("decoded") == F.col("said"), [c for pair in _DIGESTS.values() for c in pair]
-    parts = decode(traces, model).select("document", "chunk", *digests, fine.alias("fine"))
+    columns = [c for pair in _DIGESTS.values() for c in pair]
+
+    def checked(encoded: DataFrame, *keys: str) -> DataFrame:
+        digests = [d for ids, (n, crc) in _DIGESTS.items() for d in (F.expr(f"octet_length({ids}) div 4").cast("bigint").alias(n), F.crc32(ids).alias(crc))]
+        fine = F.col("decoded") == F.col("said")
+        return decode(encoded.select(*keys, "chunk", *digests, "ids", "said"), model).select(*keys, "chunk", *columns, fine.alias("fine"))
+
+    parts = checked(traces, "document")
     giants = parts.groupBy("document").applyInArrow(joined, f"document string, {', '.join(f'{c} bigint' for c in columns)}, round_trip boolean")
     giants = giants.join(whose, "document").select("doc_id", *columns, (F.col("round_trip") & F.col("no_sign")).alias("round_trip"))
-    return decode(at_once, model).select("doc_id", *digests, fine.alias("round_trip")).unionByName(giants)
+    return checked(at_once, "doc_id").select("doc_id", *columns, F.col("fine").alias("round_trip")).unionByName(giants)
 
 
 #: Columns of ids, and what counts and CRCs of them are called.
