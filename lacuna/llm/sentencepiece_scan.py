@@ -44,7 +44,7 @@ from lacuna.llm.shared import Scratch, session_of, with_fields
 #: Documents with more characters are split into chunks of as many.
 CHUNK = 1 << 15
 #: Segments that a worker remembers, in each of two generations.
-SEGMENTS_HELD = 150_000
+SEGMENTS_HELD = 100_000
 #: A segment of so many characters is no word that comes again: it is forgotten at once.
 GIANT = 1 << 12
 #: Characters of the documents whose new segments are encoded together.
@@ -550,7 +550,8 @@ def _pieces(docs: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFram
     # From here on only matrices and the ends of chunks are exchanged; what lies between stays where it was written.
     scored = done.select("document", "chunk", "matrix").groupBy("document").applyInArrow(entries, "document string, chunk int, scores binary")
     mapped = done.select("document", "chunk", "head", "tail", "body").join(scored, ["document", "chunk"]).mapInArrow(maps, _ddl(_ENDS))
-    ends = mapped.groupBy("document").applyInArrow(states, _ddl(_OPEN)).mapInArrow(traced, _ddl(_TRACED))
+    # Written, so that no task of what follows has more than two Python workers at a time.
+    ends = scratch.keep(mapped.groupBy("document").applyInArrow(states, _ddl(_OPEN)).mapInArrow(traced, _ddl(_TRACED)), "ends")
     between = done.where("tail IS NOT NULL").select("document", (3 * F.col("chunk") + 1).alias("chunk"), "ids", "merge_ids", "said")
     return at_once, ends.unionByName(between), done.where("chunk = 0").select("doc_id", "no_sign", "document")
 
