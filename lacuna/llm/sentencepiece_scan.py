@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import gc
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -448,12 +449,35 @@ def _groups(batch: pa.RecordBatch) -> Iterator[list[tuple[int | None, str]]]:
         yield group
 
 
-_WHOLE = {"doc_id": pa.int64(), "document": pa.string(), "chunk": pa.int32(), "ids": pa.binary(), "merge_ids": pa.binary(), "said": pa.string()}
-_CUT = {"doc_id": pa.int64(), "document": pa.string(), "chunk": pa.int32(), "no_sign": pa.bool_(), "part": pa.string(), "body": pa.int32()}
-_PASSED = {k: t for k, t in _CUT.items() if k != "part"} | {"matrix": pa.binary(), "head": pa.string(), "tail": pa.string(), "ids": pa.binary(), "merge_ids": pa.binary(), "said": pa.string()}
-_ENDS = {"document": pa.string(), "chunk": pa.int32(), "head": pa.string(), "tail": pa.string(), "body": pa.int32(), "map": pa.list_(pa.int32())}
-_OPEN = {"document": pa.string(), "chunk": pa.int32(), "text": pa.string(), "start": pa.int32(), "stop": pa.int32(), "merges": pa.string()}
-_TRACED = {"document": pa.string(), "chunk": pa.int32(), "ids": pa.binary(), "merge_ids": pa.binary(), "said": pa.string()}
+#: What is told of each stretch of a document: the ids, and ``said``, what of the document they stand for ...
+_IDS = {"ids": pa.binary(), "merge_ids": pa.binary(), "said": pa.string()}
+#: ... or counts and CRCs of the ids, and whether decoding gives what they stand for.
+_DIGESTS = {"ids": ("n_ids", "ids_crc32"), "merge_ids": ("n_merge_ids", "merge_ids_crc32")}
+_DIGESTED = {c: pa.int64() for pair in _DIGESTS.values() for c in pair} | {"fine": pa.bool_()}
+_STRETCH = {"document": pa.string(), "chunk": pa.int32()}
+_WHOLE = {"doc_id": pa.int64()} | _STRETCH
+_CUT = {"doc_id": pa.int64(), "document": pa.string(), "number": pa.int32(), "no_sign": pa.bool_(), "part": pa.string(), "body": pa.int32()}
+_PASSED = _WHOLE | {"number": pa.int32(), "no_sign": pa.bool_(), "body": pa.int32(), "matrix": pa.binary(), "head": pa.string(), "tail": pa.string()}
+_ENDS = {"document": pa.string(), "number": pa.int32(), "head": pa.string(), "tail": pa.string(), "body": pa.int32(), "map": pa.list_(pa.int32())}
+_OPEN = _STRETCH | {"text": pa.string(), "start": pa.int32(), "stop": pa.int32(), "merges": pa.string()}
+
+
+def _decoded(v: Vocabulary, batch: pa.RecordBatch, ids: str) -> list[str | None]:
+    """The texts of a column of ids; chunk 0 loses the blank in front."""
+    at = batch.schema.get_field_index
+    said = [None if x is None else x.decode("utf-8", "replace") for x in v.decoded(batch.column(at(ids)))]
+    return [t if t is None or k else t.removeprefix(" ") for t, k in zip(said, batch.column(at("chunk")).to_pylist(), strict=True)]
+
+
+def _digested(v: Vocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch with ``_DIGESTED`` in place of ``_IDS``."""
+    at, out = batch.schema.get_field_index, {}
+    for ids, (n, crc) in _DIGESTS.items():
+        buffers = [x.as_buffer() for x in batch.column(at(ids))]
+        out |= {n: pa.array([x.size // 4 for x in buffers], pa.int64()), crc: pa.array([zlib.crc32(x) for x in buffers], pa.int64())}
+    out["fine"] = pa.array([t == x.as_py() for t, x in zip(_decoded(v, batch, "ids"), batch.column(at("said")), strict=True)])
+    kept = {c: batch.column(at(c)) for c in batch.schema.names if c not in _IDS}
+    return pa.record_batch(kept | out)
 
 
 def _open_ends(rows: list[dict], states: list[int]) -> list[tuple]:
@@ -475,14 +499,16 @@ def _open_ends(rows: list[dict], states: list[int]) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
-def _pieces(docs: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents encoded at once (``_WHOLE``), stretches of giant ones (``_TRACED``), and whose these are.
+def _pieces(docs: DataFrame, model: str, digests: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents encoded at once (doc_id, document, chunk), stretches of giant ones (document, chunk), and whose these are.
 
-    ``said`` is what of the document the ids stand for.
+    Both tell ``_IDS`` of each row or, with ``digests``, ``_DIGESTED``: then ids are decoded and compared where they
+    were made, and neither ids nor texts are handed on.
     """
     scratch = Scratch(session_of(docs), "sentencepiece")
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
     giant = F.length("text") > CHUNK
+    tell, told = (_digested, _DIGESTED) if digests else (lambda v, batch: batch, _IDS)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
@@ -495,7 +521,7 @@ def _pieces(docs: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFram
                     _, ids, merges = zip(*map(look, parts), strict=True) if parts else ((), (), ())
                     out.append((doc_id, None, 0, b"".join(ids), b"".join(merges), text))
                 del cut
-            yield _batch(out, _WHOLE)
+            yield tell(v, _batch(out, _WHOLE | _IDS))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -514,13 +540,14 @@ def _pieces(docs: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFram
             rows = batch.to_pylist()
             with _uncollected():
                 found = [v.chunk(r["part"], 0, r["body"]) for r in rows]
-            yield _batch([(r["doc_id"], r["document"], r["chunk"], r["no_sign"], c.body, c.matrix.tobytes(), c.head, c.tail, c.ids, c.merge_ids, c.said.replace(BLANK, " ")) for r, c in zip(rows, found, strict=True)], _PASSED)
+            out = [(r["doc_id"], r["document"], 3 * r["number"] + 1, r["number"], r["no_sign"], c.body, c.matrix.tobytes(), c.head, c.tail, c.ids, c.merge_ids, c.said.replace(BLANK, " ")) for r, c in zip(rows, found, strict=True)]
+            yield tell(v, _batch(out, _PASSED | _IDS))
 
     def entries(group: pa.Table) -> pa.Table:
-        group = group.sort_by("chunk")
+        group = group.sort_by("number")
         size = int(np.sqrt(len(group.column("matrix")[0].as_buffer()) // 8))
         found = entry_scores([np.frombuffer(m.as_buffer(), np.float64).reshape(size, size) for m in group.column("matrix")])
-        return pa.table({"document": group.column("document"), "chunk": group.column("chunk"), "scores": pa.array([f.tobytes() for f in found], pa.binary())})
+        return pa.table({"document": group.column("document"), "number": group.column("number"), "scores": pa.array([f.tobytes() for f in found], pa.binary())})
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
@@ -529,7 +556,7 @@ def _pieces(docs: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFram
                 yield _batch([(*(r[c] for c in _ENDS if c != "map"), v.entered(r["head"], r["tail"], r["body"], np.frombuffer(r["scores"], np.float64))) for r in batch.to_pylist()], _ENDS)
 
     def states(group: pa.Table) -> pa.Table:
-        rows = group.sort_by("chunk").to_pylist()
+        rows = group.sort_by("number").to_pylist()
         return pa.Table.from_batches([_batch(_open_ends(rows, boundary_states([r["map"] for r in rows])), _OPEN)])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -542,18 +569,18 @@ def _pieces(docs: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFram
                 merges = b"".join(v.merged(_SEGMENT.findall(r["merges"])))
                 out.append((r["document"], r["chunk"], ids, merges, said if r["chunk"] else said[1:]))
             if out:
-                yield _batch(out, _TRACED)
+                yield tell(v, _batch(out, _STRETCH | _IDS))
 
-    at_once = rows.where(F.coalesce(~giant, F.lit(True))).mapInArrow(whole, _ddl(_WHOLE))
-    chunks = rows.where(giant).mapInArrow(cut, _ddl(_CUT)).repartition("document", "chunk")
-    done = scratch.keep(chunks.mapInArrow(passed, _ddl(_PASSED)), "passed")
+    at_once = rows.where(F.coalesce(~giant, F.lit(True))).mapInArrow(whole, _ddl(_WHOLE | told))
+    chunks = rows.where(giant).mapInArrow(cut, _ddl(_CUT)).repartition("document", "number")
+    done = scratch.keep(chunks.mapInArrow(passed, _ddl(_PASSED | told)), "passed")
     # From here on only matrices and the ends of chunks are exchanged; what lies between stays where it was written.
-    scored = done.select("document", "chunk", "matrix").groupBy("document").applyInArrow(entries, "document string, chunk int, scores binary")
-    mapped = done.select("document", "chunk", "head", "tail", "body").join(scored, ["document", "chunk"]).mapInArrow(maps, _ddl(_ENDS))
-    # Written, so that no task of what follows has more than two Python workers at a time.
-    ends = scratch.keep(mapped.groupBy("document").applyInArrow(states, _ddl(_OPEN)).mapInArrow(traced, _ddl(_TRACED)), "ends")
-    between = done.where("tail IS NOT NULL").select("document", (3 * F.col("chunk") + 1).alias("chunk"), "ids", "merge_ids", "said")
-    return at_once, ends.unionByName(between), done.where("chunk = 0").select("doc_id", "no_sign", "document")
+    scored = done.select("document", "number", "matrix").groupBy("document").applyInArrow(entries, "document string, number int, scores binary")
+    mapped = done.select("document", "number", "head", "tail", "body").join(scored, ["document", "number"]).mapInArrow(maps, _ddl(_ENDS))
+    ends = mapped.groupBy("document").applyInArrow(states, _ddl(_OPEN)).mapInArrow(traced, _ddl(_STRETCH | told))
+    # Written, so that no task of what follows has more than one Python worker at a time.
+    ends = scratch.keep(ends, "ends")
+    return at_once, ends.unionByName(done.select(*_STRETCH, *told)), done.where("number = 0").select("doc_id", "no_sign", "document")
 
 
 def encode_ids(docs: DataFrame, model: str) -> DataFrame:
@@ -563,7 +590,7 @@ def encode_ids(docs: DataFrame, model: str) -> DataFrame:
     giant document has a row for each stretch; its ids are those of its stretches in a row, by the number in ``chunk``, and ``document``
     tells which stretches belong together. Any other document is one row with chunk 0 and no ``document``. Defined cases as in ``encode``.
     """
-    at_once, traces, whose = _pieces(docs, model)
+    at_once, traces, whose = _pieces(docs, model, False)
     columns = ["doc_id", "document", "chunk", "ids", "merge_ids"]
     return at_once.select(*columns).unionByName(traces.join(whose, "document").select(*columns))
 
@@ -589,16 +616,13 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in (part for b in batches for part in _by_bytes(b, ids)):
-            said = v.decoded(batch.column(batch.schema.get_field_index(ids)))
-            texts = [None if x is None else x.decode("utf-8", "replace") for x in said]
-            first = batch.column(batch.schema.get_field_index("chunk")).to_pylist()
-            yield batch.append_column("decoded", pa.array([t if t is None or k else t.removeprefix(" ") for t, k in zip(texts, first, strict=True)], pa.string()))
+            yield batch.append_column("decoded", pa.array(_decoded(v, batch, ids), pa.string()))
 
     return plain.mapInArrow(run, with_fields(plain, decoded="string"))
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """Digests of what ``encode_ids`` and ``decode`` give, for each row of ``docs`` (doc_id, text, ...): doc_id, n_ids, ids_crc32, n_merge_ids, merge_ids_crc32, round_trip.
+    """Digests of the ids that ``encode_ids`` gives and of their decoding, for each row of ``docs`` (doc_id, text, ...): doc_id, n_ids, ids_crc32, n_merge_ids, merge_ids_crc32, round_trip.
 
     ids are those of the best path, merge ids those of the library; both CRCs are over unsigned
     32-bit little-endian ids. round_trip tells whether decoding the ids gives the text. Defined
@@ -606,7 +630,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     Rows that repeat are encoded each, ids may be null or repeat. An empty table gives an empty
     result. Other columns are ignored.
     """
-    at_once, traces, whose = _pieces(docs, model)
+    at_once, traces, whose = _pieces(docs, model, True)
+    columns = [c for pair in _DIGESTS.values() for c in pair]
 
     def joined(group: pa.Table) -> pa.Table:
         rows, out = group.sort_by("chunk").to_pylist(), {"document": pa.array(group.column("document")[:1].to_pylist())}
@@ -617,21 +642,9 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             out |= {n: pa.array([size], pa.int64()), crc: pa.array([total], pa.int64())}
         return pa.table(out | {"round_trip": pa.array([all(r["fine"] for r in rows)])})
 
-    columns = [c for pair in _DIGESTS.values() for c in pair]
-
-    def checked(encoded: DataFrame, *keys: str) -> DataFrame:
-        digests = [d for ids, (n, crc) in _DIGESTS.items() for d in (F.expr(f"octet_length({ids}) div 4").cast("bigint").alias(n), F.crc32(ids).alias(crc))]
-        fine = F.col("decoded") == F.col("said")
-        return decode(encoded.select(*keys, "chunk", *digests, "ids", "said"), model).select(*keys, "chunk", *columns, fine.alias("fine"))
-
-    parts = checked(traces, "document")
-    giants = parts.groupBy("document").applyInArrow(joined, f"document string, {', '.join(f'{c} bigint' for c in columns)}, round_trip boolean")
+    giants = traces.groupBy("document").applyInArrow(joined, f"document string, {', '.join(f'{c} bigint' for c in columns)}, round_trip boolean")
     giants = giants.join(whose, "document").select("doc_id", *columns, (F.col("round_trip") & F.col("no_sign")).alias("round_trip"))
-    return checked(at_once, "doc_id").select("doc_id", *columns, F.col("fine").alias("round_trip")).unionByName(giants)
-
-
-#: Columns of ids, and what counts and CRCs of them are called.
-_DIGESTS = {"ids": ("n_ids", "ids_crc32"), "merge_ids": ("n_merge_ids", "merge_ids_crc32")}
+    return at_once.select("doc_id", *columns, F.col("fine").alias("round_trip")).unionByName(giants)
 
 
 def _ddl(columns: dict[str, pa.DataType]) -> str:
