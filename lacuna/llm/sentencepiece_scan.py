@@ -45,11 +45,11 @@ from lacuna.llm.shared import Scratch, session_of, with_fields
 #: Documents with more characters are split into chunks of as many.
 CHUNK = 1 << 15
 #: Segments that a worker remembers, in each of two generations.
-SEGMENTS_HELD = 100_000
+SEGMENTS_HELD = 300_000
 #: A segment of so many characters is no word that comes again: it is forgotten at once.
 GIANT = 1 << 12
 #: Characters of the documents whose new segments are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 21
 #: Rows of chunks that are unpacked at a time, and bytes of ids that are decoded at a time.
 CHUNKS_HELD, IDS_HELD = 16, 1 << 22
 BLANK = "▁"
@@ -158,27 +158,35 @@ class Vocabulary:
             self.older, self.known = self.known, {}
         new = segments.difference(self.known)
         if self.older:
-            self.known.update((s, self.older[s]) for s in new if s in self.older)
-            new = new.difference(self.known)
+            again = self.older.keys() & new
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            new -= again
         new = sorted(new, key=len, reverse=True)
         self.passing = new[: next((k for k, s in enumerate(new) if len(s) < GIANT), len(new))]
-        paths: list[tuple[float, bytes] | None] = [None] * len(new)
         short = next((k for k, s in enumerate(new) if len(s) <= Lattices.LONGEST), len(new))
+        scores, ids = [0.0] * short, [b""] * short
+        slow = list(range(short))
         for lo in range(short, len(new), Lattices.ROWS):
-            paths[lo : lo + Lattices.ROWS] = self.lattices.best_paths(new[lo : lo + Lattices.ROWS])
-        for k, found in enumerate(paths):
-            if found is None:  # long, or with a character that is no piece
-                score, ids = self.best_path(new[k], 0, len(new[k]))
-                paths[k] = score, _bytes(ids)
-        self.known.update((s, (*found, m)) for s, found, m in zip(new, paths, self.merged(new), strict=True))
+            total, paths, odd = self.lattices.best_paths(new[lo : lo + Lattices.ROWS])
+            scores += total
+            ids += paths
+            slow += [lo + k for k in odd]
+        for k in slow:  # long, or with a character that is no piece
+            scores[k], path = self.best_path(new[k], 0, len(new[k]))
+            ids[k] = _bytes(path)
+        self.known.update(zip(new, zip(scores, ids, self.merged(new), strict=True), strict=True))
 
     def merged(self, segments: list[str]) -> list[bytes]:
         """The library's ids. It puts a blank sign in front of a text: that of a segment that has one, or
         else one before a line break, which is no part of any merge; both are taken off again."""
         asked = [s[1:].replace(BLANK, " ") if s[0] == BLANK else f"\n{s}" for s in segments]
         got = self.library.encode(asked, num_threads=1)
-        got = [[self.pieces[BLANK][1]] if s == BLANK else g if s[0] == BLANK else g[2:] for s, g in zip(segments, got, strict=True)]
-        ends = np.cumsum([4 * len(g) for g in got]).tolist()
+        for k, s in enumerate(segments):
+            if s[0] != BLANK:
+                del got[k][:2]
+            elif s == BLANK:
+                got[k] = [self.pieces[BLANK][1]]
+        ends = (4 * np.cumsum(list(map(len, got)), dtype=np.int64)).tolist()
         flat = np.fromiter(chain.from_iterable(got), np.uint32).tobytes()
         return [flat[a:e] for a, e in zip([0, *ends], ends)]
 
@@ -324,8 +332,8 @@ class Lattices:
         at = ((hashes >> np.uint64(40)).view(np.int64) + self.shift[(hashes & np.uint64(self.BUCKETS - 1)).view(np.int64)]) & (self.PLACES - 1)
         return np.where(self.hashes[at] == hashes, self.number[at], -1)
 
-    def best_paths(self, segments: list[str]) -> list[tuple[float, bytes] | None]:
-        """Score and ids of each segment (longest first); None where a character is no piece."""
+    def best_paths(self, segments: list[str]) -> tuple[list[float], list[bytes], list[int]]:
+        """Scores and ids of segments (longest first), and which of them have a character that is no piece: their ids lack it."""
         rows, size = len(segments), len(segments[0])
         lengths = np.array([len(s) for s in segments])
         codes = np.zeros((rows, size), np.uint64)
@@ -349,11 +357,10 @@ class Lattices:
             steps.append(np.where(at > 0, last, -2))
             at = np.where(at > 0, at - self.lengths[last], 0)
         taken = np.array(steps[::-1]).T  # from first to last; what came after a row's start is -2
-        plain = ~(taken == -1).any(axis=1)
         used = taken >= 0
-        ids, ends = self.ids[taken[used]].tobytes(), 4 * np.cumsum(used.sum(axis=1))
-        starts, total = np.append(0, ends[:-1]).tolist(), best[lengths, every].tolist()
-        return [(t, ids[a:e]) if fine else None for t, a, e, fine in zip(total, starts, ends.tolist(), plain.tolist(), strict=True)]
+        ids, ends = self.ids[taken[used]].tobytes(), (4 * np.cumsum(used.sum(axis=1))).tolist()
+        odd = np.flatnonzero((taken == -1).any(axis=1)).tolist()
+        return best[lengths, every].tolist(), [ids[a:e] for a, e in zip([0, *ends], ends)], odd
 
 
 def _bytes(ids: list[int]) -> bytes:
