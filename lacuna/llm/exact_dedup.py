@@ -6,11 +6,12 @@ by sorted remainders, so a fingerprint that came once in the whole table is know
 and its row needs nothing more. Fingerprints that came more often route to byte verification:
 only the texts behind them are grouped, by their bytes.
 
-Scale: the filters carry about eight bytes for each distinct fingerprint of a partition and
-meet in 1,024 blocks, so no key can be hot. Texts travel once at most, and only if their
-fingerprint repeats or the list of repeated fingerprints is too large to broadcast (Spark
-decides by its measured size). Before texts are exchanged, each task has collapsed its own
-copies, so a group with a third of all rows arrives as one row for each task.
+Scale: the filters carry about eight bytes for each distinct fingerprint of a partition, and there are
+as many blocks as keep about a million fingerprints in each, so no key can be hot. Rows are known by
+their file and number there. The rows behind repeated fingerprints are noted by file and picked as the files are read
+again, so only texts that repeat are exchanged, and before that each task has collapsed its own
+copies: a group with a third of all rows arrives as one row for each task. What a group's rows are told
+goes to those of large groups by a broadcast of bounded size (``shared.hot_join``).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import quotient_filter as cqf
-from lacuna.llm.shared import BLANK, Scratch, session_of
+from lacuna.llm.shared import BLANK, Scratch, hot_join, picked_rows, placed, session_of
 
 #: Fingerprints that a task holds before it folds them into sorted distinct ones.
 _FOLD = 1 << 20
@@ -34,36 +35,72 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, " ")
 
 
-def _partition_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    prints, counts, waiting, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-    for batch in batches:
-        waiting.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-        held += batch.num_rows
-        if held >= _FOLD:
-            fresh = np.concatenate([prints, *waiting])
-            prints, counts = cqf.summed(fresh, np.append(counts, np.ones(len(fresh) - len(counts), np.int64)))
-            waiting, held = [], 0
-    fresh = np.concatenate([prints, *waiting])
-    prints, counts = cqf.summed(fresh, np.append(counts, np.ones(len(fresh) - len(counts), np.int64)))
-    if len(prints):
-        blocks = cqf.block_of(prints)
-        edges = np.append(np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])), len(blocks))
-        for lo in range(0, len(edges) - 1, 256):
-            spans = list(zip(edges[lo : lo + 256], edges[lo + 1 : lo + 257], strict=False))
-            yield pa.record_batch({"block": pa.array([int(blocks[a]) for a, _ in spans], pa.int32()), "filter": pa.array([cqf.build(prints[a:b], counts[a:b]) for a, b in spans], pa.binary())})
-
-
-def _merge_block(group: pa.Table) -> pa.Table:
-    block = group.column("block")[0].as_py()
-    prints, counts = cqf.entries(block, cqf.merged(block, group.column("filter").to_pylist()))
-    again = counts > 1
-    return pa.table({"fp": pa.array(prints[again].view(np.int64)), "copies": pa.array(counts[again])})
+def _partition_filters(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints, counts, waiting, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
-
-def repeated_fingerprints(prints: DataFrame) -> DataFrame:
-    """From a frame with a bigint column ``fp``: each fingerprint that came more than once, and how often."""
-    filters = prints.select("fp").mapInArrow(_partition_filters, "block int, filter binary")
-    return filters.groupBy("block").applyInArrow(_merge_block, "fp bigint, copies bigint")
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            fresh = np.concatenate([prints, *waiting])
+            return cqf.summed(fresh, np.append(counts, np.ones(len(fresh) - len(counts), np.int64)))
+
+        for batch in batches:
+            waiting.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            held += batch.num_rows
+            if held >= _FOLD:
+                prints, counts = folded()
+                waiting, held = [], 0
+        prints, counts = folded()
+        if len(prints):
+            blocks = cqf.block_of(prints, bits)
+            edges = np.append(np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])), len(blocks))
+            for lo in range(0, len(edges) - 1, 256):
+                spans = list(zip(edges[lo : lo + 256], edges[lo + 1 : lo + 257], strict=False))
+                yield pa.record_batch({"block": pa.array([int(blocks[a]) for a, _ in spans], pa.int32()), "filter": pa.array([cqf.build(prints[a:b], counts[a:b], bits) for a, b in spans], pa.binary())})
+
+    return run
+
+
+def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
+    """From a frame with a bigint column ``fp`` and so many rows: each fingerprint that came more than once, and how often."""
+    bits = cqf.block_bits(rows)
+
+    def merge_block(group: pa.Table) -> pa.Table:
+        block = group.column("block")[0].as_py()
+        prints, counts = cqf.entries(block, cqf.merged(block, group.column("filter").to_pylist(), bits), bits)
+        again = counts > 1
+        return pa.table({"fp": pa.array(prints[again].view(np.int64)), "copies": pa.array(counts[again])})
+
+    filters = prints.select("fp").mapInArrow(_partition_filters(bits), "block int, filter binary")
+    return filters.groupBy("block").applyInArrow(merge_block, "fp bigint, copies bigint")
+
+
+def _judged(docs: DataFrame, file: str, row: str, scratch: Scratch) -> DataFrame:
+    """For each row of ``docs`` with their places: doc_id, file, row, keep_id, group_size, kept, text_sha256."""
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("norm"), F.col(file).alias("file"), F.col(row).alias("row"))
+    sha, fp = F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.xxhash64("norm").alias("fp")
+    rows = scratch.keep(text.select("doc_id", "file", "row", sha, fp), "rows")
+    total = rows.count()
+    repeated = scratch.keep(repeated_fingerprints(rows, total), "repeated")
+    suspects = scratch.keep(hot_join(rows, repeated, "fp", "copies", total, "inner").drop("copies"), "suspects")
+    # Byte verification: the texts behind a repeated fingerprint, grouped by their bytes.
+    texts = picked_rows(text.select("norm", "file", "row"), "file", "row", suspects, scratch, "suspects", True)
+    distinct_texts = texts.groupBy("norm").agg(F.count("*").alias("n"))
+    verified = distinct_texts.where("n > 1").select(sha).groupBy("sha").agg(F.count("*").alias("texts"))
+    verified = verified.select("sha", F.assert_true(F.col("texts") == 1, F.lit("two texts share a SHA-256")).alias("fine"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "row")).alias("first")
+    groups = suspects.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("size"), first)
+    groups = groups.join(verified, "sha").where(F.col("fine").isNull())
+    groups = scratch.keep(groups.select("sha", "keep_id", "size", F.col("first.file").alias("keep_file"), F.col("first.row").alias("keep_row")), "groups")
+    alone = F.col("size").isNull()
+    return hot_join(rows, groups, "sha", "size", total).select(
+        "doc_id",
+        "file",
+        "row",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),
+        (alone | ((F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row")))).alias("kept"),
+        F.col("sha").alias("text_sha256"),
+    )
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -77,39 +114,16 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Other columns, whatever their names, are ignored.
     """
     scratch = Scratch(session_of(docs), "exact-dedup")
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("norm"))
-    sha = F.sha2(F.col("norm").cast("binary"), 256)
-    narrow = text.select("doc_id", sha.alias("sha"), F.xxhash64("norm").alias("fp"))
-    rows = scratch.keep(narrow.withColumn("row", F.monotonically_increasing_id()), "rows")
-    repeated = scratch.keep(repeated_fingerprints(rows), "repeated")
-    # Byte verification: the texts behind a repeated fingerprint, grouped by their bytes.
-    candidates = text.withColumn("fp", F.xxhash64("norm")).join(repeated.select("fp"), "fp", "left_semi")
-    distinct_texts = candidates.groupBy("fp", "norm").agg(F.count("*").alias("n"))
-    verified = distinct_texts.where("n > 1").select(sha.alias("sha")).groupBy("sha").agg(F.count("*").alias("texts"))
-    verified = verified.select("sha", F.assert_true(F.col("texts") == 1, F.lit("two texts share a SHA-256")).alias("fine"))
-    suspects = rows.join(repeated.select("fp"), "fp", "left_semi")
-    groups = suspects.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
-    groups = scratch.keep(groups.join(verified, "sha").where(F.col("fine").isNull()).select("sha", "keep_id", "size", F.col("first.row").alias("keep_row")), "groups")
-    out = rows.join(groups, "sha", "left")
-    return out.select(
-        "doc_id",
-        F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),
-        (F.col("size").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
+    return _judged(*placed(docs.select("doc_id", "text"), scratch), scratch).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def first_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of the corpus pipeline: of equal texts the row with the smallest doc_id stays.
+    """Stage of the corpus pipeline: of equal texts the row with the smallest doc_id stays, just one of each group.
 
-    What goes is named by id and text digest, so rows that share an id but not a text are told
-    apart; of rows that share both, one stays.
+    Defined cases as in ``exact_dedup``: rows without an id go before others only where the whole group has none, rows that share
+    id and text are copies of each other, null and empty texts are equal. All columns of ``docs`` stay as they are, whatever their names.
     """
-    found = exact_dedup(docs)
-    copies = found.where(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_sha")).distinct()
-    repeated = found.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1)
-    sha = F.sha2(normalised(F.col("text")).cast("binary"), 256)
-    left = docs.join(copies, F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone")) & (sha == F.col("gone_sha")), "left_anti")
-    # Rows that repeat with id and text are rare; only where there are any are the rest compared by them.
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    scratch = Scratch(spark, "first-of-each")
+    rows, file, row = placed(docs, scratch)
+    gone = _judged(rows, file, row, scratch).where(~F.col("kept")).select(F.col("file").alias(file), F.col("row").alias(row))
+    return picked_rows(rows, file, row, gone, scratch, "gone", False)

@@ -1,4 +1,4 @@
-"""What the training-data operators share: the scratch folder, crc32 of ids, table access.
+"""What the training-data operators share: the scratch folder, the place of each row, notes on rows, joins with hot keys.
 
 Nothing outside ``lacuna.llm`` imports this module.
 """
@@ -6,9 +6,15 @@ Nothing outside ``lacuna.llm`` imports this module.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +22,9 @@ from pyspark.sql import types as T
 #: Everything between words or characters that counts as white space in the text contracts.
 BLANK = r"[\x20\x09-\x0D]+"
 
+#: A key with more than one part in so many of all rows is hot; so there are no more hot keys than this.
+HOT_KEYS = 4096
+
 _left_over: dict[str, SparkSession] = {}
 
 
@@ -44,6 +53,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def close_all() -> None:
+    """Delete the intermediate tables of all results given so far; those results can't be read any more."""
+    _delete_left_over()
+    _left_over.clear()
+
+
 def _delete_left_over() -> None:
     for path, spark in list(_left_over.items()):
         try:
@@ -101,3 +116,126 @@ def with_fields(df: DataFrame, **fields: str) -> T.StructType:
     """The schema of ``df`` and further fields, given by name and type."""
     more = T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in fields.items()))
     return T.StructType([*df.schema.fields, *more.fields])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be none of the frame's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+# -- rows and notes on them -----------------------------------------------------------------
+
+
+def placed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns that tell a row again whenever it is read: its file and its number there.
+
+    Gives the frame and the names of both columns. What is not read straight from Parquet files is written to some first.
+    """
+    file, row = free_name(docs, "_file"), free_name(docs, "_row")
+
+    def with_place(df: DataFrame) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        return df.select("*", at.getField("file_path").alias(file), at.getField("row_index").alias(row))
+
+    try:
+        found = with_place(docs)
+        found.schema  # noqa: B018 - analysed here, so that a frame without files is known
+        return found, file, row
+    except AnalysisException:
+        return with_place(scratch.keep(docs, "placed")), file, row
+
+
+def open_folder(root: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(root)
+
+
+def _note_name(key: str) -> str:
+    return hashlib.sha256(str(key).encode()).hexdigest()
+
+
+def write_notes(rows: DataFrame, key: str, folder: str) -> None:
+    """Write what ``rows`` say as one small file for each value of ``key``: a file of the input, or a task that wrote a part.
+
+    A reader takes the notes of its own input from there, so what is noted meets the rows without any exchange of them.
+    The notes of one key are as many as it has rows, at most.
+    """
+
+    def write(group: pa.Table) -> pa.Table:
+        files, base = open_folder(folder)
+        files.create_dir(base, recursive=True)
+        name = _note_name(group.column(key)[0].as_py())
+        staged = f"{base}/{name}.{uuid.uuid4().hex}"
+        with files.open_output_stream(staged, compression=None) as out, pa.ipc.new_file(out, group.schema) as w:
+            w.write_table(group)
+        files.move(staged, f"{base}/{name}")  # a task that is run again puts the same notes in place
+        return pa.table({"noted": pa.array([group.num_rows], pa.int64())})
+
+    rows.groupBy(key).applyInArrow(write, "noted bigint").agg(F.sum("noted")).collect()
+
+
+class Notes:
+    """Reads the notes of a key; those of the last key are held."""
+
+    def __init__(self, folder: str):
+        self.files, self.base = open_folder(folder)
+        self.held: tuple[object, object] = (None, None)
+
+    def of(self, key, made=lambda table: table):
+        """What ``made`` makes of a key's notes, None if there are none."""
+        if self.held[0] != key:
+            path = f"{self.base}/{_note_name(key)}"
+            found = self.files.get_file_info(path).type == pafs.FileType.File
+            self.held = key, made(pa.ipc.open_file(self.files.open_input_file(path)).read_all()) if found else None
+        return self.held[1]
+
+
+def runs_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[object, pa.RecordBatch]]:
+    """A batch in runs of rows that agree in a column, each with its value."""
+    values = batch.column(batch.schema.get_field_index(column)).dictionary_encode()
+    codes = values.indices.to_numpy(zero_copy_only=False)
+    edges = [0, *((codes[1:] != codes[:-1]).nonzero()[0] + 1).tolist(), len(codes)]
+    for lo, hi in zip(edges, edges[1:]):
+        if hi > lo:
+            yield values[lo].as_py(), batch.slice(lo, hi - lo)
+
+
+def picked_rows(docs: DataFrame, file: str, row: str, noted: DataFrame, scratch: Scratch, name: str, keep: bool) -> DataFrame:
+    """Of ``docs`` with their places, the rows noted (``keep``) or all others; without the columns of the places.
+
+    Rows stay where they are read: no text is exchanged, whatever the number of rows noted.
+    """
+    folder = scratch.path(f"{name}-notes")
+    write_notes(noted.select(file, row), file, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notes = Notes(folder)
+        for batch in batches:
+            for key, part in runs_of(batch, file):
+                known = notes.of(key, lambda table: table.column(row).combine_chunks())
+                if known is None:
+                    if keep:
+                        continue
+                else:
+                    found = pc.is_in(part.column(part.schema.get_field_index(row)), value_set=known)
+                    part = part.filter(found if keep else pc.invert(found))
+                if part.num_rows:
+                    yield part.select([c for c in part.schema.names if c not in (file, row)])
+
+    return docs.mapInArrow(run, docs.drop(file, row).schema)
+
+
+# -- joins ----------------------------------------------------------------------------------
+
+
+def hot_join(rows: DataFrame, side: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each key and in ``size`` how many rows the key has.
+
+    Hot keys, ``HOT_KEYS`` at most whatever the size of the table, are joined where their rows are; no key of the rest is large.
+    """
+    large = F.coalesce(F.col(size), F.lit(0)) > max(1, total // HOT_KEYS)
+    hot, few = F.broadcast(side.where(large)), side.where(~large)
+    rest = rows.join(hot.select(key), key, "left_anti").join(few, key, how)
+    return rows.join(hot, key).unionByName(rest)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.llm import entries, exact_dedup, language, near_duplicates, neighbours, packing, quality, sentencepiece_scan, sharding, url_filter, warc
+from lacuna.llm import entries, exact_dedup, language, near_duplicates, neighbours, packing, quality, quotient_filter, sentencepiece_scan, sharding, url_filter, warc
 from lacuna.llm.shared import Scratch
 from tests.llm.test_small_parts import brute_set
 
@@ -50,6 +50,29 @@ def test_first_of_each(spark):
     assert sorted((r.doc_id, r.text is None) for r in left.collect()) == [(1, False), (2, False), (3, False), (6, False), (7, False), (8, False)]
 
 
+def test_first_of_each_leaves_one_of_equal_texts(spark):
+    rows = [(3, "a b"), (3, "a\tb"), (5, None), (5, ""), (None, "x"), (None, "x"), (9, "a  b"), (4, "alone")]
+    left = exact_dedup.first_of_each(spark, documents(spark, rows).withColumn("_file", F.lit("f")).withColumn("_row", F.lit(1)), "")
+    got = left.collect()
+    assert Counter(r.doc_id for r in got) == {3: 1, 5: 1, None: 1, 4: 1} and {(r._file, r._row, r.sha) for r in got} == {("f", 1, "x")}
+    kept = exact_dedup.exact_dedup(documents(spark, rows)).where("kept").collect()
+    assert Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in got)
+    assert exact_dedup.first_of_each(spark, documents(spark, rows).where("false"), "").count() == 0
+
+
+def test_hot_groups_and_many_filter_blocks(spark, monkeypatch):
+    from lacuna.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_KEYS", 4)  # so groups of over a quarter of the rows are hot
+    monkeypatch.setattr(quotient_filter, "BLOCK_ROWS", 1)
+    rows = [(k, "hot  text" if k % 3 == 0 else f"text {k // 2 if k % 2 else k}") for k in range(90)]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(documents(spark, rows)).collect()}
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    assert got == {i: (min(groups[t]), len(groups[t]), i == min(groups[t])) for i, t in rows}
+
+
 def brute_components(rows):
     sets = [frozenset(brute_set(t)) for _, t in rows]
     group = list(range(len(rows)))
