@@ -6,8 +6,9 @@
    many numbers as a window has tokens, whatever the corpus. A segment tree indexed by
    remaining capacity finds the tightest open window that a length fits; windows with equal
    contents are handled together, as runs.
-3. Place: the pieces of a length are numbered through the whole table from the tasks' counts, so
-   each piece finds its run, window and offset by binary search. Nothing is sorted or grouped by
+3. Place: the pieces of a length are numbered through the whole table from the tasks' counts. What came
+   before a task is noted for the readers of its pieces, a number for each length, so each piece finds its run, window and offset
+   by binary search, and neither pieces nor a table that grows with the tasks are exchanged. Nothing is sorted or grouped by
    length, so a length that a third of all documents share is no hot key.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.shared import Scratch, session_of
+from lacuna.llm.shared import Notes, Scratch, runs_of, session_of, write_notes
 
 WINDOW = 2048
 END_ID = 1
@@ -267,16 +268,23 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
     # At most one row for each length: the window bounds what the driver gets.
     plan = best_fit_decreasing({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, window)
     before = counts.select("length", "task", (F.sum("n").over(W.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    numbered = found.join(before, ["length", "task"])
+    folder = scratch.path("before")
+    write_notes(before, "task", folder)
     schema = T.StructType([f for f in found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").schema.fields] + [T.StructField(n, T.LongType()) for n in ("sequence_id", "offset", "padded_length")] + [f for f in found.schema.fields if f.name == "ids"])
     used = sorted(plan.used)
     firsts = np.array([a for a, _, _ in used], np.int64)
     tokens = np.array([n for _, _, n in used], np.int64)
 
+    def by_length(noted: pa.Table) -> np.ndarray:
+        out = np.zeros(window + 1, np.int64)
+        out[noted.column("length").to_numpy()] = noted.column("before").to_numpy()
+        return out
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        notes = Notes(folder)
+        for task, batch in (run for whole in batches for run in runs_of(whole, "task")):
             length = batch.column("length").to_numpy()
-            number = batch.column("number").to_numpy() + batch.column("before").to_numpy()
+            number = batch.column("number").to_numpy() + notes.of(task, by_length)[length]
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for n in np.unique(length).tolist():
                 mine = np.flatnonzero(length == n)
@@ -290,7 +298,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
             rest = [batch.column("ids")] if with_ids else []
             yield pa.record_batch([*same, pa.array(sequence), pa.array(offset), pa.array(padded), *rest], names=schema.names)
 
-    return numbered.mapInArrow(place, schema)
+    return found.mapInArrow(place, schema)
 
 
 def default_tokenizer() -> str:
@@ -301,5 +309,5 @@ def default_tokenizer() -> str:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the corpus pipeline."""
-    return pack(docs, default_tokenizer())
+    """Last stage of the corpus pipeline: a row for each piece, with its ids. Defined cases as in ``pack``."""
+    return pack(docs, default_tokenizer(), with_ids=True)
