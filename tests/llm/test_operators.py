@@ -136,6 +136,11 @@ def test_packing(spark):
         found = pieces[(i, len(t) // 4)]
         assert Counter(p for _, p in found if t.startswith(p) or p in t)[t[: 4 * 2048]] >= n
     assert sorted(windows) == list(range(len(windows)))
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    for i, t in rows:  # the library's ids of whole documents
+        assert whole[(i, np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())]
     assert packing.pack(documents(spark, rows).where("false"), packing.default_tokenizer()).count() == 0
 
 
@@ -237,6 +242,32 @@ def test_warc(spark):
     assert warc.archive_and_read(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_every_reference_in_the_archives_leads_to_its_payload(spark, monkeypatch, tmp_path):
+    from lacuna.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_KEYS", 3)  # so the payload of half the pages is hot
+    body = "<html>" + "same " * 40
+    rows = [(k, f"http://h{k % 7}.org/{k}\t", body if k % 2 else f"{'own ' * 30}{k // 4}") for k in range(5, 85)] + [(None, None, body), (None, None, "alone " * 30)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    scratch = Scratch(spark, "test")
+    archives = scratch.path("archives")
+    captures = warc.write_archives(*warc.plan_records(pages, scratch), archives).collect()
+    records, store = {}, warc.CaptureIndex(archives, [])
+    for c in captures:
+        got = warc.parse(store.range(c.archive, c.offset, c.length))
+        records[got.headers["WARC-Record-ID"]] = got
+    assert len(records) == len({c.key for c in captures}) == len(rows)
+    revisits = [r for r in records.values() if r.headers["WARC-Type"] == "revisit"]
+    for r in revisits:
+        named = records[r.headers["WARC-Refers-To"]]
+        assert named.headers["WARC-Type"] == "response" and named.headers["WARC-Payload-Digest"] == r.headers["WARC-Payload-Digest"]
+        assert named.headers["WARC-Target-URI"] == r.headers["WARC-Refers-To-Target-URI"]
+    payloads = [h for _, _, h in rows]
+    assert len(revisits) == len(payloads) - len(set(payloads))
+    got = Counter((r.page_id, r.payload_bytes, r.refers_to) for r in warc.archive_and_read(pages).collect())
+    assert got == Counter((i, len(h), None if (first := min((j for j, _, t in rows if t == h and j is not None), default=None)) == i else first) for i, _, h in rows)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(30, 32))
