@@ -2,19 +2,22 @@
 
 A text's features are TF-IDF weights of its character 1- to 3-grams (lower-cased; each run of
 characters that are no letters counts as one blank), hashed into a fixed table and normalised by
-their sum. FTRL-proximal with elastic-net penalties learns the weights, which leaves most of
+their sum. Document frequencies are counted over all texts that may be learned from. FTRL-proximal with elastic-net
+penalties learns the weights from a bounded sample of whole texts, which leaves most of
 them exactly zero; a temperature, fitted on labelled texts that training has not seen,
 calibrates the probabilities.
 
 Because the features are normalised by a sum, a text's logits are a ratio of two sums over its
 n-grams. Scoring needs no feature vector: it adds up table rows, slice by slice, so a text of any
-length is read as a whole in bounded memory.
+length is read as a whole in bounded memory. Training texts are reduced to their counts where they are read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.shared import id_crc32, session_of, table, with_fields
+from lacuna.llm.shared import free_name, id_crc32, session_of, table, with_fields
 
-#: Labelled rows of each language that training reads at most, and characters of each.
+#: Labelled rows of each language that training reads at most, each as a whole.
 TRAIN_ROWS = 1200
-TRAIN_CHARS = 2000
 TABLE_BITS = 17
 EPOCHS, BATCH = 3, 16
 #: Beyond so many languages the model holds only the weights that are not zero.
@@ -42,16 +44,22 @@ HOLD_OUT, HOLD_OUT_REST = 3, 1
 ACCEPT = 0.5
 UNKNOWN = "und"
 SLICE = 1 << 16
-#: A code point's lower-case letter, or 32 if it is no letter; beyond the table all count as one letter.
-_FOLD = np.array([ord(c.lower()) if (c := chr(i)).isalpha() and len(c.lower()) == 1 else i if c.isalpha() else 32 for i in range(1 << 16)] + [1 << 16], np.uint32)
+#: Counters of document frequencies that travel together.
+BLOCK = 1 << 12
 _LETTER = re.compile(r"[^\W\d_]")
 #: Odd multipliers of the hash, one for each place in an n-gram.
 _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
+@lru_cache(maxsize=1)
+def _fold() -> np.ndarray:
+    """For each code point its lower-case letter, or 32 if it is no letter."""
+    return np.array([ord(c.lower()) if (c := chr(i)).isalpha() and len(c.lower()) == 1 else i if c.isalpha() else 32 for i in range(sys.maxunicode + 1)], np.uint32)
+
+
 def grams(text: str) -> np.ndarray:
     """Table places of all 1-, 2- and 3-grams of a text, with repetition."""
-    codes = _FOLD[np.minimum(np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32), 1 << 16)]
+    codes = _fold()[np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
     blank = codes == 32
     blank[1:] &= blank[:-1]
     blank[0] = False
@@ -63,7 +71,7 @@ def grams(text: str) -> np.ndarray:
 
 
 def slices(text: str) -> Iterator[str]:
-    """Pieces of a long text; they overlap by two characters, so that no 3-gram is lost."""
+    """Pieces of a long text; they overlap by two characters, so that no 3-gram is lost (the shorter ones there count twice)."""
     for at in range(0, max(len(text), 1), SLICE):
         yield text[max(0, at - 2) : at + SLICE]
 
@@ -111,6 +119,11 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
 
+    def logits_of(self, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """As ``logits``, from a text's counts."""
+        total = self.table.total(np.repeat(place, count)) if isinstance(self.table, SparseTable) else count @ self.table[place].astype(float)
+        return total[:-1] / max(total[-1], 1e-12) + self.bias
+
     def logits(self, text: str) -> np.ndarray:
         if isinstance(self.table, SparseTable):
             total = sum(self.table.total(grams(part)) for part in slices(text))
@@ -135,10 +148,15 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place, count = np.unique(grams(text[:TRAIN_CHARS]), return_counts=True)
-    value = count * idf[place]
-    return place, value / max(value.sum(), 1e-12)
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The table places of a whole text's n-grams, and how often each comes."""
+    total = np.zeros(1 << TABLE_BITS, np.int64) if len(text) > SLICE else None
+    if total is None:
+        return np.unique(grams(text), return_counts=True)
+    for part in slices(text):
+        total += np.bincount(grams(part), minlength=len(total))
+    place = np.flatnonzero(total)
+    return place, total[place]
 
 
 def _zeros(shape: tuple[int, int]) -> np.ndarray:
@@ -198,43 +216,94 @@ def _temperature(logits: np.ndarray, target: np.ndarray) -> float:
 
 
 def fit(texts: list[str], languages: list[str]) -> LanguageModel:
+    """Fit on texts as they are, with the document frequencies among themselves."""
+    counts = [counted(t) for t in texts]
+    df = np.zeros(1 << TABLE_BITS)
+    for place, _ in counts:
+        df[place] += 1
+    return fit_counts(counts, languages, df, len(texts))
+
+
+def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str], df: np.ndarray, documents: int) -> LanguageModel:
     """Four of five texts train the weights, the others the temperature (all, if there are under 20)."""
     names = tuple(sorted(set(languages)))
-    size = 1 << TABLE_BITS
     if not names:
-        return LanguageModel((), np.zeros((size, 1), np.float32), np.zeros(0), 1.0)
+        return LanguageModel((), np.zeros((1 << TABLE_BITS, 1), np.float32), np.zeros(0), 1.0)
     target = np.searchsorted(names, languages)
-    apart = np.arange(len(texts)) % 5 == 4 if len(texts) >= 20 else np.zeros(len(texts), bool)
+    apart = np.arange(len(counts)) % 5 == 4 if len(counts) >= 20 else np.zeros(len(counts), bool)
     seen = np.flatnonzero(~apart)
-    df = np.zeros(size)
-    for i in seen:
-        df[np.unique(grams(texts[i][:TRAIN_CHARS]))] += 1
-    idf = np.log((1 + len(seen)) / (1 + df)) + 1
-    weights, bias = _ftrl(lru_cache(FEATURES_HELD)(lambda k: _features(texts[seen[k]], idf)), target[seen], len(names))
+    idf = np.log((1 + documents) / (1 + df)) + 1
+
+    def features(k: int) -> tuple[np.ndarray, np.ndarray]:
+        place, count = counts[seen[k]]
+        value = count * idf[place]
+        return place, value / max(value.sum(), 1e-12)
+
+    weights, bias = _ftrl(lru_cache(FEATURES_HELD)(features), target[seen], len(names))
     model = LanguageModel(names, _table(idf, weights, len(names)), bias, 1.0)
     rest = np.flatnonzero(apart) if apart.any() else seen
-    logits = np.array([model.logits(texts[i]) for i in rest])
+    logits = np.array([model.logits_of(*counts[i]) for i in rest])
     return LanguageModel(names, model.table, bias, _temperature(logits, target[rest]))
 
 
+def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of a task's texts each n-gram comes, in blocks of counters, and (block -1) how many texts there are."""
+    df, texts = np.zeros(1 << TABLE_BITS, np.int64), 0
+    for batch in batches:
+        for value in batch.column(0):
+            text, texts = value.as_py(), texts + 1
+            there = np.zeros(len(df), bool)
+            for part in slices(text):
+                there[grams(part)] = True
+            df += there
+    blocks = df.reshape(-1, BLOCK)
+    used = [-1, *np.flatnonzero(blocks.any(axis=1)).tolist()]
+    yield pa.record_batch({"block": pa.array(used, pa.int32()), "counts": pa.array([zlib.compress((np.array([texts]) if i < 0 else blocks[i]).tobytes(), 1) for i in used], pa.binary())})
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in group.column("counts").to_pylist())
+    return pa.table({"block": group.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with a letter, as their counts: a row has no more of them than the table has places."""
+    for batch in batches:
+        rows = [(r["lang"], r["h"], r["doc_id"], *counted(r["text"])) for r in batch.to_pylist() if _LETTER.search(r["text"])]
+        if rows:
+            lang, h, doc_id, places, counts = zip(*rows, strict=True)
+            yield pa.record_batch({"lang": pa.array(lang, pa.string()), "h": pa.array(h, pa.int64()), "doc_id": pa.array(doc_id, pa.int64()), "places": pa.array([p.astype(np.int32).tobytes() for p in places], pa.binary()), "counts": pa.array([c.astype(np.int64).tobytes() for c in counts], pa.binary())})
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     """Fit on documents with a language that are not held out, ``rows`` of each language at most.
 
-    A language is a value of ``lang`` that is not null. Texts that are null or have no letter are
-    left out. The sample follows a hash of the id; only ids travel for it, then those texts.
+    A language is a value of ``lang`` that is not null. Texts that are null or have no letter teach no language; document
+    frequencies are counted over all others that are not held out. The sample follows a hash of id and text, so rows that share an id are not
+    drawn together; rows that share both are drawn once. Texts become counts on the executors, those travel.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (id_crc32(F.col("doc_id"), HOLD_OUT) != HOLD_OUT_REST))
-    # A top-k by task, then by language: no task sorts or holds more than the rows of its languages' samples.
-    top = known.select("lang", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id").alias("at"), F.substring("text", 1, TRAIN_CHARS).alias("cut"))
-    share = _share(known, rows)
-    got = top.join(F.broadcast(share), "lang").where(F.pmod(F.col("at.h"), F.lit(1 << 30)) < F.col("below")).select("lang", "at", "cut").collect()
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (id_crc32(F.col("doc_id"), HOLD_OUT) != HOLD_OUT_REST))
+    known = known.select("lang", F.col("doc_id").cast("bigint"), "text")
+    blocks = known.select("text").mapInArrow(_document_frequencies, "block int, counts binary").groupBy("block").applyInArrow(_summed, "block int, counts binary").collect()
+    df, documents = np.zeros((1 << TABLE_BITS) // BLOCK * BLOCK).reshape(-1, BLOCK), 0
+    for r in blocks:  # 1 MB at any size of the corpus
+        found = np.frombuffer(r["counts"], np.int64)
+        if r["block"] < 0:
+            documents = int(found[0])
+        else:
+            df[r["block"]] = found
+    drawn = F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("below")
+    top = known.select("lang", F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text")
+    sample = top.join(F.broadcast(_share(known, rows)), "lang").where(drawn).select("lang", "h", "doc_id", "text")
+    got = sample.mapInArrow(_counts, "lang string, h bigint, doc_id bigint, places binary, counts binary")
+    got = got.groupBy("lang", "h", "doc_id").agg(F.first("places").alias("places"), F.first("counts").alias("counts")).collect()
     best: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r.lang, r["at"].h, r["at"].doc_id)):
-        if _LETTER.search(r.cut or "") and len(best.setdefault(r.lang, [])) < rows:
-            best[r.lang].append(r.cut)
+    for r in sorted(got, key=lambda r: (r.lang, r.h, r.doc_id)):
+        if len(best.setdefault(r.lang, [])) < rows:
+            best[r.lang].append((np.frombuffer(r["places"], np.int32), np.frombuffer(r["counts"], np.int64)))
     pairs = [(t, k) for k, v in best.items() for t in v]
     shuffled = np.random.default_rng(0).permutation(len(pairs))
-    return fit([pairs[i][0] for i in shuffled], [pairs[i][1] for i in shuffled])
+    return fit_counts([pairs[i][0] for i in shuffled], [pairs[i][1] for i in shuffled], df.reshape(-1), documents)
 
 
 def _share(known: DataFrame, rows: int) -> DataFrame:
@@ -243,30 +312,35 @@ def _share(known: DataFrame, rows: int) -> DataFrame:
     return counted.select("lang", F.ceil(F.least(F.lit(1.0), F.lit(1.15 * rows) / F.col("n")) * F.lit(1 << 30)).alias("below"))
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``lang_score``; columns of these names are replaced."""
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """All columns of ``docs`` and the language and its probability, in columns of these names; such columns are replaced."""
     held = session_of(docs).sparkContext.broadcast(model)  # 2.6 MB with four languages, at any size of the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [held.value.predict(x) for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield batch.append_column("lang_pred", pa.array([x for x, _ in got], pa.string())).append_column("lang_score", pa.array([x for _, x in got], pa.float64()))
+            got = [held.value.predict(x.as_py()) for x in batch.column(batch.schema.get_field_index("text"))]
+            yield batch.append_column(names[0], pa.array([x for x, _ in got], pa.string())).append_column(names[1], pa.array([x for _, x in got], pa.float64()))
 
-    plain = docs.drop("lang_pred", "lang_score")
-    return plain.mapInArrow(run, with_fields(plain, lang_pred="string", lang_score="double"))
+    plain = docs.drop(*names)
+    return plain.mapInArrow(run, with_fields(plain, **dict(zip(names, ("string", "double"), strict=True))))
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
-    """For each row: doc_id, held_out, lang_pred, score.
+    """For each row of ``docs`` (doc_id, text, lang, ...): doc_id, held_out, lang_pred, score.
 
-    Null texts and texts without a letter get ``und`` and 0, as does every text where no language
-    could be learned.
+    Defined cases: null texts and texts without a letter get ``und`` and 0, as does every text where no language
+    could be learned. Very long texts are read whole, slice by slice. Rows that repeat are predicted each; rows without an id teach nothing. Of
+    languages that are equally likely the first by name is given. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    out = identify(docs.select("doc_id", "text"), train(docs))
+    out = identify(docs.select("doc_id", "text"), train(docs.select("doc_id", "text", "lang")))
     return out.select("doc_id", (id_crc32(F.col("doc_id"), HOLD_OUT) == HOLD_OUT_REST).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of the corpus pipeline: documents whose language is recognised with some certainty."""
-    out = identify(docs, train(table(spark, sf_dir, "documents")))
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= ACCEPT)).select(*docs.columns)
+    """Stage of the corpus pipeline: documents whose language is recognised with some certainty.
+
+    Defined cases as in ``predict_languages``; rows that repeat stay or go together, and all columns of ``docs`` keep their names and values.
+    """
+    names = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    out = identify(docs, train(table(spark, sf_dir, "documents")), names)
+    return out.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= ACCEPT)).select(*docs.columns)

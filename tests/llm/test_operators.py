@@ -356,6 +356,28 @@ def test_every_language_is_learned(spark):
     assert len(right) == 230 and sum(right.values()) > 0.95 * len(rows)
 
 
+def test_letters_beyond_the_first_plane_tell_languages_apart(spark):
+    rnd = random.Random(6)
+    rows = [(10 * k + j, "".join(chr(start + rnd.randrange(30)) for _ in range(200)), f"l{k}") for k, start in enumerate((0x10400, 0x10330, 0x12000)) for j in range(9)]
+    got = {r.doc_id: r.lang_pred for r in language.predict_languages(documents(spark, rows)).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= len(rows) - 1
+
+
+def test_whole_texts_teach_languages(spark):
+    rnd = random.Random(7)
+    rows = [(k, "12345 " * 1000 + " ".join(rnd.choice(words) for _ in range(80)), lang) for k, (lang, words) in enumerate([("aa", ["mor", "lat", "vex"]), ("bb", ["schu", "ung", "keit"])] * 40)]
+    rows += [rows[0]] * 30  # one document again and again is drawn once
+    got = {r.doc_id: r.lang_pred for r in language.predict_languages(documents(spark, rows)).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).withColumns({c: F.lit("own") for c in ("quality_score", "lang_pred", "lang_score", "_file", "_row")})
+    for stage in (quality.keep_accepted, language.keep_identified, exact_dedup.first_of_each, near_duplicates.one_of_each):
+        left = stage(spark, docs, DATA)
+        assert left.schema == docs.schema and {r for r in left.select("quality_score", "lang_pred", "lang_score", "_file", "_row").distinct().collect()} == {("own",) * 5}
+
+
 def test_language_of_awkward_rows(spark):
     rows = [(i, t, "de" if k % 2 else None) for k, (i, t) in enumerate(AWKWARD)]
     got = language.predict_languages(documents(spark, rows)).collect()
