@@ -8,9 +8,12 @@ distrust passes a threshold is blocked.
 
 DataFrame functions only. Pages are reduced to hosts before anything is exchanged (partial
 counts by host, host pair and rule), so a host with a third of all pages is one row from each
-task. The ranks of one iteration are a written table; iterations end at ``ITERATIONS`` or when
-no host's rank moves by more than ``TOLERANCE`` of itself: ranks shrink as hosts grow in number, so
-an absolute bound would end sooner on larger inputs.
+task. Pages meet the standing of their hosts, and links the ranks of theirs, by ``shared.hot_join``: hosts with a large share of all rows
+are joined where the rows are. The ranks of one iteration are a written table.
+
+Iterations end when no host's rank moves by more than ``TOLERANCE`` of itself and ``PRIOR`` together. Both shrink as seeds grow in
+number, so the end does not depend on the size of the input; ranks far below the prior decide nothing. Every step
+moves at most ``DAMPING`` of what the one before moved, so the end comes after a number of steps that grows with the logarithm of the number of hosts.
 """
 
 from __future__ import annotations
@@ -20,16 +23,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.shared import Scratch, session_of
+from lacuna.llm.shared import Scratch, hot_join, session_of
 
 DAMPING = 0.85
-ITERATIONS = 20
-TOLERANCE = 1e-6
+TOLERANCE = 1e-7
 #: A host is blocked if its distrust is more than this share of its distrust, its trust and ``PRIOR``.
 THRESHOLD = 0.5
 #: Standing of a host that nothing is known of, as a share of an average seed's.
 PRIOR = 0.1
 
+
+def prior_of(seeds: int) -> float:
+    return PRIOR * (1 - DAMPING) / max(seeds, 1)
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?([^"'\s>]+)"""
 
@@ -82,40 +88,50 @@ def host_links(pages: DataFrame) -> DataFrame:
     return to.where("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
+def _seeds(hosts: DataFrame) -> int:
+    return hosts.agg(F.sum((F.col("allowed") + F.col("blocked") > 0).cast("int")).alias("n")).first()["n"] or 0
+
+
+def _moves(links: DataFrame, total: int, frm: str, to: str, share: str, other: str) -> DataFrame:
+    """What part of a rank each link takes along: host, to, and a share for one kind of rank."""
+    weights = links.groupBy(frm).agg(F.sum("links").alias("w"), F.count("*").alias("n"))
+    found = hot_join(links, weights, frm, "n", total, "inner")
+    return found.select(F.col(frm).alias("host"), F.col(to).alias("to"), (DAMPING * F.col("links") / F.col("w")).alias(share), F.lit(0.0).alias(other))
+
+
 def propagate(hosts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Trust and distrust of each host: from ``hosts`` (host, allowed, blocked) over ``links`` (src, dst, links).
 
     Seeds share one unit of trust (distrust) by their counts of allowed (blocked) pages. Rank that
     reaches a host without further links ends there.
     """
-    totals = hosts.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"), F.count("*").alias("n")).first()
+    totals = hosts.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
+    prior, count = prior_of(_seeds(hosts)), links.count()
+    along = _moves(links, count, "src", "dst", "trust_share", "distrust_share")
+    against = _moves(links, count, "dst", "src", "distrust_share", "trust_share")
+    moves = scratch.keep(along.unionByName(against), "moves")
+    degrees = moves.groupBy("host").agg(F.count("*").alias("degree"))
     everyone = hosts.select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct()
-    base = everyone.join(hosts, "host", "left").select(
+    base = everyone.join(hosts, "host", "left").join(degrees, "host", "left").select(
         "host",
+        F.coalesce("degree", F.lit(0)).alias("degree"),
         (F.coalesce("allowed", F.lit(0)) * ((1 - DAMPING) / (totals["a"] or 1))).alias("trust_seed"),
         (F.coalesce("blocked", F.lit(0)) * ((1 - DAMPING) / (totals["b"] or 1))).alias("distrust_seed"),
     )
-    base = scratch.keep(base, "base")
-    out, into = links.groupBy("src").agg(F.sum("links").alias("w")), links.groupBy("dst").agg(F.sum("links").alias("w"))
-    along = links.join(out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (DAMPING * F.col("links") / F.col("w")).alias("trust_share"), F.lit(0.0).alias("distrust_share"))
-    against = links.join(into, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("trust_share"), (DAMPING * F.col("links") / F.col("w")).alias("distrust_share"))
-    moves = scratch.keep(along.unionByName(against), "moves")
-    ranks = base.select("host", F.col("trust_seed").alias("trust"), F.col("distrust_seed").alias("distrust"))
-    if moves.isEmpty():
-        return ranks
-    for step in range(ITERATIONS):
-        moved = moves.join(ranks, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("trust") * F.col("trust_share")).alias("t"), F.sum(F.col("distrust") * F.col("distrust_share")).alias("d"))
-        after = base.join(moved, "host", "left").join(ranks.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0")), "host")
-        after = after.select("host", (F.col("trust_seed") + F.coalesce("t", F.lit(0.0))).alias("trust"), (F.col("distrust_seed") + F.coalesce("d", F.lit(0.0))).alias("distrust"), "t0", "d0")
-        ranks = scratch.keep(after, f"ranks{step}")
-        if step:
-            scratch.drop(f"ranks{step - 1}")
-        moved_by = [F.when(F.col(now) > 0, F.abs(F.col(now) - F.col(old)) / F.col(now)).otherwise(0.0) for now, old in (("trust", "t0"), ("distrust", "d0"))]
-        change = ranks.agg(F.max(F.greatest(*moved_by))).first()[0]
-        ranks = ranks.select("host", "trust", "distrust")
-        if change is None or change <= TOLERANCE:
+    kept = ["host", "degree", "trust_seed", "distrust_seed", "trust", "distrust"]
+    ranks, step = scratch.keep(base.withColumns({"trust": F.col("trust_seed"), "distrust": F.col("distrust_seed")}), "ranks0"), 0
+    while count:
+        carried = hot_join(moves, ranks.select("host", "degree", "trust", "distrust"), "host", "degree", 2 * count, "inner")
+        moved = carried.groupBy(F.col("to").alias("host")).agg(F.sum(F.col("trust") * F.col("trust_share")).alias("t"), F.sum(F.col("distrust") * F.col("distrust_share")).alias("d"))
+        after = ranks.join(moved, "host", "left").withColumns({"t": F.col("trust_seed") + F.coalesce("t", F.lit(0.0)), "d": F.col("distrust_seed") + F.coalesce("d", F.lit(0.0))})
+        step += 1
+        after = scratch.keep(after, f"ranks{step}")
+        scratch.drop(f"ranks{step - 1}")
+        change = after.agg(F.max(F.greatest(*[F.abs(F.col(now) - F.col(old)) / (F.col(now) + prior) for now, old in (("t", "trust"), ("d", "distrust"))]))).first()[0]
+        ranks = after.drop("trust", "distrust").withColumnsRenamed({"t": "trust", "d": "distrust"}).select(*kept)
+        if change <= TOLERANCE:
             break
-    return ranks
+    return ranks.select("host", "trust", "distrust")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -128,13 +144,14 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     scratch = Scratch(session_of(pages), "url-filter")
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     cut = cut.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
-    hosts = cut.where("host != ''").groupBy("host").agg(F.count(F.when(F.col("best.verdict") == "allow", 1)).alias("allowed"), F.count(F.when(F.col("best.verdict") == "block", 1)).alias("blocked"))
-    hosts = scratch.keep(hosts, "hosts")
-    ranks = propagate(hosts, scratch.keep(host_links(cut), "links"), scratch)
-    seeds = hosts.agg(F.sum((F.col("allowed") + F.col("blocked") > 0).cast("int")).alias("n")).first()["n"] or 1
-    prior = PRIOR * (1 - DAMPING) / seeds
-    standing = scratch.keep(ranks.withColumn("spread", F.when(F.col("distrust") > THRESHOLD * (F.col("distrust") + F.col("trust") + prior), "block").otherwise("allow")), "standing")
-    judged = cut.drop("html").join(standing, "host", "left")
+    counts = [F.count("*").alias("pages"), *[F.count(F.when(F.col("best.verdict") == v, 1)).alias(name) for v, name in (("allow", "allowed"), ("block", "blocked"))]]
+    counted = scratch.keep(cut.groupBy("host").agg(*counts), "hosts")
+    hosts = counted.where("host != ''").drop("pages")
+    ranks, prior = propagate(hosts, scratch.keep(host_links(cut), "links"), scratch), prior_of(_seeds(hosts))
+    spread = F.when(F.col("distrust") > THRESHOLD * (F.col("distrust") + F.col("trust") + prior), "block").otherwise("allow")
+    standing = scratch.keep(counted.select("host", "pages").join(ranks.withColumn("spread", spread), "host", "left"), "standing")
+    total = counted.agg(F.sum("pages")).first()[0] or 0
+    judged = hot_join(cut.drop("html"), standing, "host", "pages", total)
     return judged.select(
         "page_id",
         "host",
