@@ -49,9 +49,13 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the shard it lies in after its arrival was appended and compacted."""
-    store = sharding.shard(table(spark, sf_dir, "documents"), Scratch(spark, "sharding").path("documents"))
-    return store.read().select("doc_id", F.length("text").cast("bigint").alias("text_chars"), F.element_at(F.split("shard", "/"), -1).alias("shard"), "shard_bytes", "generation", F.lit(store.version()).alias("version"))
+    """Every document as it comes back from the store, and whether its shard is within the limits, after the table arrived in four parts of unequal size."""
+    docs = table(spark, sf_dir, "documents")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(16))
+    arrivals = [docs.where((part >= lo) & (part < hi)) for lo, hi in ((0, 8), (8, 12), (12, 14), (14, 16))]
+    store = sharding.shard(arrivals, Scratch(spark, "sharding").path("documents"))
+    fits = F.col("shard_bytes").between(1, sharding.OVERSIZE * sharding.TARGET_BYTES) & (F.col("generation") < store.version())
+    return store.read(described=True).select("doc_id", F.length("text").cast("bigint").alias("text_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), fits.alias("in_limits"))
 
 
 #: Ranks as the sum over all numbers of links followed; what comes after 200 is below 1e-14 of all.
@@ -99,6 +103,11 @@ FROM f
 """
 
 
+OP10_SQL = """
+SELECT doc_id, length(text) AS text_chars, sha256(text) AS text_sha256, true AS in_limits FROM documents
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op10_sharding": OP10_SQL}

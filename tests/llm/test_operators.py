@@ -341,6 +341,57 @@ def test_sharding(spark, tmp_path):
         sharding.ShardStore(spark, f"file://{tmp_path}/none").read()
 
 
+def test_sharding_of_awkward_tables(spark, tmp_path):
+    names = "doc_id bigint, text string, shard string, shard_bytes bigint, generation int, __merge_group string, _metadata string"
+    rows = [(k, None if k % 3 == 0 else "x" * (20_000 if k == 5 else k), "own", 1, 2, "mine", "meta") for k in [*range(30), 4, 4]] + [(None, "", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, names)
+    store = sharding.shard([docs.where("false"), docs.repartition(4), docs.where("false")], f"file://{tmp_path}/store")
+    assert Counter(store.read().collect()) == Counter(docs.collect()) and store.read().schema == docs.schema
+    told = store.read(described=True)
+    assert told.columns == [*docs.columns, "shard_", "shard_bytes_", "generation_"] and told.count() == len(rows)
+    empty = sharding.shard([docs.where("false")], f"file://{tmp_path}/empty")
+    assert empty.read().collect() == [] and empty.read(described=True).collect() == [] and empty.read().columns == docs.columns
+    with pytest.raises(ValueError):
+        store.append(docs.drop("text"))
+
+
+def test_compaction_keeps_to_the_target(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    rnd = random.Random(0)
+    rows = [(k, "".join(chr(rnd.randrange(32, 0x2FFF)) for _ in range(200))) for k in range(2000)]
+    store.append(spark.createDataFrame(rows[:1500], "doc_id bigint, text string").coalesce(1))
+    store.append(spark.createDataFrame(rows[1500:], "doc_id bigint, text string").repartition(30))
+    target = 60_000
+    assert store.oversized(target).count() == 1
+    runs = defaultdict(int)
+    sizes = {r.shard: r.bytes for r in store.manifest().collect()}
+    for r in store.plan(target).collect():
+        runs[r.merge_group] += sizes[r.shard]
+    assert runs and max(runs.values()) < 2 * target  # no task reads more
+    store.compact(target)
+    after = [r.bytes for r in store.manifest().collect()]
+    assert max(after) <= 2 * target and len(after) < 31 and store.oversized(target).isEmpty()
+    assert Counter(map(tuple, store.read().collect())) == Counter(rows)
+
+
+def test_vacuum_leaves_writers_at_work_alone(spark, tmp_path):
+    store, docs = sharding.ShardStore(spark, f"file://{tmp_path}/store"), documents(spark, [(1, "a"), (2, "b")])
+    store.append(docs)
+    with store._writing() as folder:
+        docs.write.parquet(folder)
+        added = store._measured(folder, 0)
+        added.collect()
+        store.vacuum()  # between the write and the commit of another writer
+        store._change(added, [])
+    store.vacuum()
+    assert store.read().count() == 4 and store.version() == 2
+    other = sharding.ShardStore(spark, store.root)
+    base = other.version()
+    store.append(docs)
+    other.append(docs)  # commits after a version that it has not seen begin
+    assert other.version() == base + 2 and other.read().count() == 8
+
+
 # -- models on the given tables -----------------------------------------------------------------
 
 DATA = "/root/testdata/sf0.01"
