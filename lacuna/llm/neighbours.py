@@ -2,16 +2,18 @@
 
 Codes: vectors are centred, rotated and cut to signs. The rotation is learned (iterative
 quantisation: alternate between the signs and the rotation that fits them best) on a bounded
-sample, several times from different starts, which gives several times as many bits.
-
-Search: a code is split into substrings, each with an index of its own. If two codes differ in at
-most r of all bits, some of their m substrings differ in at most floor(r / m) bits, so probing each
-index with all substrings that near retrieves every code within r. Those are reranked by the
-cosine of the vectors themselves, in double precision. r is calibrated on the sample; a query
-that finds too few rows is searched again with a larger r, in the end with all bits.
-
-Scale: vectors stay in their partitions, which each build their own indexes in blocks; queries go
-to them in chunks of bounded size, and only the best k of each query and task come back.
+sample, again and again from different starts, which gives ``SUBSTRINGS`` times 16 bits.
+
+Search: a code is split into substrings, each with an index of its own. If substring j is probed with all
+values that differ in at most t_j bits, every code that differs in at most r = sum(t_j + 1) - 1 of all bits is retrieved
+(the pigeonhole principle); raising r by one raises one t_j. All rows retrieved, also those beyond r, are reranked by the
+cosine of the vectors themselves, in double precision. Many substrings probed within one or two bits find a near code far more often
+than a far one, so r is calibrated on the sample: the least with which ``COVER`` of the true neighbours are
+retrieved. A query that finds too few rows is searched again with a larger r, in the end with all bits. How many
+rows were retrieved comes with the result.
+
+Scale: vectors stay in their partitions, which each build their own indexes in blocks. Queries lie in
+files in the shared folder; every task reads them in parts of bounded size for each of its blocks, and gives the best k of each query and block.
 """
 
 from __future__ import annotations
@@ -22,22 +24,21 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lacuna.llm.shared import Scratch, session_of
+from lacuna.llm.shared import Scratch, open_folder, session_of
 
-#: Rows that rotation and radius are learned from at most, and queries among them for the radius.
+#: Rows that rotations and radius are learned from at most, and queries among them for the radius.
 SAMPLE_ROWS, SAMPLE_QUERIES = 8192, 256
-ROTATIONS, ITERATIONS = 4, 25
-SUBSTRING_BITS = 16
-#: Share of true neighbours in the sample that the radius must cover.
-COVER = 0.98
-#: Queries that go to the executors at once; with the vectors' length this bounds the broadcast.
-QUERY_CHUNK = 20_000
-#: Rows that are indexed together.
-BLOCK_ROWS = 16_384
+SUBSTRINGS, SUBSTRING_BITS, ITERATIONS = 192, 16, 4
+#: Share of true neighbours in the sample that the radius must retrieve.
+COVER = 0.97
+#: Rows that are indexed together, and rows times queries that are looked at together.
+BLOCK_ROWS, PAIRS_HELD = 32_768, 1 << 25
 
 
 @dataclass(frozen=True)
@@ -46,10 +47,6 @@ class CodeModel:
     planes: np.ndarray  # length of a vector x bits; bits are a multiple of SUBSTRING_BITS
     radius: int
 
-    @property
-    def substrings(self) -> int:
-        return self.planes.shape[1] // SUBSTRING_BITS
-
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         """Rows of unsigned 16-bit substrings."""
         bits = (unit(vectors) - self.mean) @ self.planes > 0
@@ -67,32 +64,44 @@ def cosines(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (unit(one[None, :]) * unit(many)).sum(axis=1)
 
 
+def probe_radii(radius: int, substrings: int) -> np.ndarray:
+    """Within how many bits each substring is probed (-1: not at all), so that every code within the radius is retrieved."""
+    base, more = divmod(radius + 1 - substrings, substrings)
+    return np.minimum(base + (np.arange(substrings) < more), SUBSTRING_BITS)
+
+
+def radius_needed(apart: np.ndarray) -> np.ndarray:
+    """The least radius with which probing retrieves a code whose substrings are so far apart (last axis)."""
+    m = apart.shape[-1]
+    return (m * apart + np.arange(m)).min(axis=-1)
+
+
 def learn(sample: np.ndarray, k: int, seed: int = 0) -> CodeModel:
     """Rotations and radius from a sample of vectors."""
     x = unit(sample)
-    size = x.shape[1]
+    size, bits = x.shape[1], SUBSTRINGS * SUBSTRING_BITS
     mean = x.mean(axis=0)
     centred = x - mean
     axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]
     turned = centred @ axes
     rng = np.random.default_rng(seed)
     planes = []
-    while len(planes) < ROTATIONS or sum(p.shape[1] for p in planes) % SUBSTRING_BITS:
+    while len(planes) * size < bits:
         rotation = np.linalg.qr(rng.normal(size=(size, size)))[0]
         for _ in range(ITERATIONS):
             u, _, v = np.linalg.svd(np.sign(turned @ rotation).T @ turned)
             rotation = (u @ v).T
         planes.append(axes @ rotation)
-    model = CodeModel(mean, np.hstack(planes), 0)
+    model = CodeModel(mean, np.hstack(planes)[:, :bits], 0)
     asked = rng.permutation(len(x))[:SAMPLE_QUERIES]
     similar = x[asked] @ x.T
     similar[np.arange(len(asked)), asked] = -np.inf
     nearest = np.argsort(-similar, axis=1)[:, : min(k, len(x) - 1)]
     if not nearest.size:
-        return replace(model, radius=model.planes.shape[1])
+        return replace(model, radius=bits)
     codes = model.codes(sample)
-    apart = np.bitwise_count(codes[asked][:, None, :] ^ codes[nearest]).sum(axis=2)
-    return replace(model, radius=int(np.quantile(apart, COVER, method="higher")))
+    apart = np.bitwise_count(codes[asked][:, None, :] ^ codes[nearest]).astype(np.int64)
+    return replace(model, radius=int(np.quantile(radius_needed(apart), COVER, method="higher")))
 
 
 @lru_cache(maxsize=SUBSTRING_BITS + 1)
@@ -107,23 +116,29 @@ class BlockIndex:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order, self.starts = [], []
-        for j in range(codes.shape[1]):
-            self.order.append(np.argsort(codes[:, j], kind="stable"))
-            self.starts.append(np.append(0, np.cumsum(np.bincount(codes[:, j], minlength=1 << SUBSTRING_BITS))))
+        self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in codes.T]
+        self.starts = [np.append(0, np.cumsum(np.bincount(c, minlength=1 << SUBSTRING_BITS))).astype(np.int32) for c in codes.T]
+
+    def retrieved(self, queries: np.ndarray, radius: int) -> np.ndarray:
+        """Which rows probing retrieves for each query: all within the radius, and others."""
+        found = np.zeros((len(queries), len(self.codes)), bool)
+        radii = probe_radii(radius, self.codes.shape[1])
+        if radii.min() >= SUBSTRING_BITS:
+            found[:] = True
+            return found
+        for j in np.flatnonzero(radii >= 0):
+            starts, probes = self.starts[j], queries[:, j][:, None] ^ flips(int(radii[j]))
+            first = starts[probes]
+            size = starts[probes.astype(np.int32) + 1] - first
+            hit = size > 0
+            first, size, query = first[hit], size[hit], np.nonzero(hit)[0]
+            at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+            found[np.repeat(query, size), self.order[j][at]] = True
+        return found
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """The places of all codes that differ from ``code`` in at most ``radius`` bits."""
-        found = np.zeros(len(self.codes), bool)
-        near = min(radius // self.codes.shape[1], SUBSTRING_BITS)
-        for j, (order, starts) in enumerate(zip(self.order, self.starts, strict=True)):
-            probes = code[j] ^ flips(near)
-            size = starts[probes.astype(np.int64) + 1] - starts[probes]
-            probes, size = probes[size > 0], size[size > 0]
-            if len(size):
-                at = np.arange(size.sum()) + np.repeat(starts[probes] - np.append(0, np.cumsum(size)[:-1]), size)
-                found[order[at]] = True
-        candidates = np.flatnonzero(found)
+        candidates = np.flatnonzero(self.retrieved(code[None, :], radius)[0])
         return candidates[np.bitwise_count(self.codes[candidates] ^ code).sum(axis=1) <= radius]
 
 
@@ -138,8 +153,11 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("vector")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
 
 
+_NONE = "SELECT 0L AS query_id, 0 AS rank, 0L AS vec_id, 0D AS score, 0L AS retrieved WHERE false"
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """For each query: query_id, rank (from 1), vec_id, score; the largest cosine first, then the smaller vec_id.
+    """For each query: query_id, rank (from 1), vec_id, score; the largest cosine first, then the smaller vec_id. And how many rows were retrieved and reranked for it.
 
     ``rows`` and ``queries`` have vec_id and embedding. Defined cases: rows whose id is null and
     vectors that are null, empty, all zero, or hold nulls or non-finite components take no part.
@@ -151,7 +169,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = scratch.keep(usable(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
     sizes = good.groupBy(F.size("vector").alias("n")).count().join(asked.select(F.size("vector").alias("n")).distinct(), "n", "left_semi").orderBy("n").collect()
     if not sizes:
-        return spark.sql("SELECT 0L AS query_id, 0 AS rank, 0L AS vec_id, 0D AS score WHERE false")
+        return spark.sql(_NONE)
     of = [(size, F.size("vector") == size["n"]) for size in sizes]
     return reduce(DataFrame.unionByName, [_search_length(good.where(own), asked.where(own), size, k, Scratch(spark, "neighbours")) for size, own in of])
 
@@ -173,68 +191,69 @@ def _search_length(good: DataFrame, asked: DataFrame, size: Row, k: int, scratch
                 yield batch.append_column("code", pa.array([c.tobytes() for c in codes], pa.binary()))
 
     index = scratch.keep(good.mapInArrow(encode, "vec_id bigint, vector array<double>, code binary"), "index")
-    chunks = max(1, -(-asked.count() // (QUERY_CHUNK // 2)))
-    asked = scratch.keep(asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")), "asked")
-    wanted = min(k, size["count"] - 1)
-    results, radius, open_, step = [], model.radius, asked, 0
+    wanted, radius, bits, step, results = min(k, size["count"] - 1), model.radius, model.planes.shape[1], 0, []
     while True:
-        for c in range(chunks):
-            got = open_.where(F.col("chunk") == c).select("vec_id", "vector").toArrow()
-            if got.num_rows:
-                part = _search_chunk(index, got, replace(model, radius=radius), k)
-                results.append(scratch.keep(part, f"found{step}_{c}"))
-        if not results:
-            return spark.sql("SELECT 0L AS query_id, 0 AS rank, 0L AS vec_id, 0D AS score WHERE false")
-        everything = results[0]
-        for r in results[1:]:
-            everything = everything.unionByName(r)
-        if radius >= model.planes.shape[1]:
+        scratch.keep(asked.select("vec_id", "vector"), f"asked{step}")
+        results.append(scratch.keep(_best_of_blocks(index, scratch.path(f"asked{step}"), replace(model, radius=radius), k), f"found{step}"))
+        if radius >= SUBSTRING_BITS * SUBSTRINGS + SUBSTRINGS:
             break
-        enough = everything.groupBy("query_id").count().where(F.col("count") >= wanted)
-        radius, step = min(model.planes.shape[1], radius * 3 // 2 + 1), step + 1
+        enough = results[-1].where("vec_id IS NOT NULL").groupBy("query_id").count().where(F.col("count") >= wanted).select("query_id")
         short = scratch.keep(asked.join(enough, asked["vec_id"] == enough["query_id"], "left_anti"), f"short{step}")
         if short.isEmpty():
             break
-        results = [everything.join(enough.select("query_id"), "query_id", "left_semi")]
-        open_ = short
-    ranked = everything.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        # Once more with a bit more in each substring, then with all.
+        asked, radius, step = short, radius + SUBSTRINGS if not step else bits + SUBSTRINGS, step + 1
+        results[-1] = results[-1].join(enough, "query_id", "left_semi")
+    everything = reduce(DataFrame.unionByName, results)
+    counts = everything.groupBy("query_id").agg(F.sum("retrieved").alias("retrieved"))
+    ranked = everything.drop("retrieved").where("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
+    return ranked.where(F.col("rank") <= k).join(counts, "query_id").select("query_id", "rank", "vec_id", "score", "retrieved")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _search_chunk(index: DataFrame, asked: pa.Table, model: CodeModel, k: int) -> DataFrame:
-    """The best k rows of each task for each query of a chunk."""
-    ids = asked.column("vec_id").to_numpy()
-    vectors = _matrix(asked.column("vector").combine_chunks())
-    held = session_of(index).sparkContext.broadcast((ids, vectors, model))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= BLOCK_ROWS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _best_of_blocks(index: DataFrame, asked: str, model: CodeModel, k: int) -> DataFrame:
+    """The best k rows of each block for each query in the files at ``asked``; and, with no row, how many were retrieved."""
+    held = session_of(index).sparkContext.broadcast(model)  # planes: 24 KB for each component of a vector
+
+    def queries(rows: int) -> Iterator[pa.RecordBatch]:
+        files, base = open_folder(asked)
+        for info in sorted(files.get_file_info(pafs.FileSelector(base)), key=lambda x: x.path):
+            if info.base_name.endswith(".parquet") and not info.base_name.startswith(("_", ".")):
+                yield from pq.ParquetFile(files.open_input_file(info.path)).iter_batches(max(1, PAIRS_HELD // rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, model = held.value
-        codes = model.codes(vectors)
-        top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK_ROWS):
-                block = batch.slice(lo, BLOCK_ROWS)
-                row_ids, rows = block.column("vec_id").to_numpy(), _matrix(block.column("vector"))
-                inside = BlockIndex(np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint16).reshape(len(row_ids), -1))
-                units = unit(rows)
-                for q in range(len(ids)):
-                    found = inside.within(codes[q], model.radius)
-                    found = found[row_ids[found] != ids[q]]
-                    if not len(found):
-                        continue
-                    rough = units[found] @ unit(vectors[q][None, :])[0]
+        model = held.value
+        for block in _blocks(batches):
+            row_ids, rows = block.column("vec_id").to_numpy(), _matrix(block.column("vector").chunk(0))
+            inside = BlockIndex(np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint16).reshape(len(row_ids), -1))
+            units = unit(rows)
+            for part in queries(len(row_ids)):
+                out: list[tuple] = []
+                ids, vectors = part.column("vec_id").to_numpy(), _matrix(part.column("vector"))
+                for query, vector, hits in zip(ids.tolist(), vectors, inside.retrieved(model.codes(vectors), model.radius), strict=True):
+                    found = np.flatnonzero(hits)
+                    found = found[row_ids[found] != query]
+                    out.append((query, None, None, len(found)))
                     if len(found) > k:
+                        rough = units[found] @ unit(vector[None, :])[0]
                         found = found[rough >= np.partition(rough, -k)[-k] - 1e-9]
-                    scores = cosines(vectors[q], rows[found])
-                    all_ids, all_scores = np.append(top[q][0], row_ids[found]), np.append(top[q][1], scores)
-                    keep = _best(all_ids, all_scores, k)
-                    top[q] = all_ids[keep], all_scores[keep]
-        n = [len(i) for i, _ in top]
-        if sum(n):
-            yield pa.record_batch({"query_id": np.repeat(ids, n), "vec_id": np.concatenate([i for i, _ in top]), "score": np.concatenate([s for _, s in top])})
-
-    return index.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+                    if len(found):
+                        scores = cosines(vector, rows[found])
+                        out += [(query, int(row_ids[found[i]]), float(scores[i]), 0) for i in _best(row_ids[found], scores, k)]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["query_id", "vec_id", "score", "retrieved"])
+
+    return index.mapInArrow(run, "query_id bigint, vec_id bigint, score double, retrieved bigint")

@@ -315,6 +315,30 @@ def test_neighbours(spark):
     assert neighbours.search(table.where("vec_id >= 3000"), table.where("vec_id = 3000"), 5).count() == 0
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_and_rows_retrieved_on_embeddings(spark, folder):
+    rows = [r for r in spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").collect() if r.embedding and len(r.embedding) == 64 and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got, retrieved = defaultdict(set), {}
+    for r in entries.op9_nearest_neighbours(spark, f"/root/testdata/{folder}").collect():
+        got[r.query_id].add(r.vec_id)
+        retrieved[r.query_id] = r.retrieved
+    hits = [len(got[q] & set(ids[[k for k in np.argsort(-(x @ x[ids == q][0])) if ids[k] != q][:5]].tolist())) for q in ids[ids % 50 == 0].tolist()]
+    recall, share = sum(hits) / (5 * len(hits)), sum(retrieved.values()) / len(retrieved) / len(ids)
+    print(f"{folder}: recall {recall:.3f}, {share:.1%} of all rows retrieved for a query")
+    assert recall >= 0.9 and share < 0.35
+
+
+def test_neighbours_with_clashing_columns_and_no_rows(spark):
+    rows = [(k, [float(k % 7), 1.0, float(k % 3)], "c", k, 1.0, [1]) for k in range(60)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, vector string, query_id bigint, score double, code array<int>")
+    got = neighbours.search(table, table.where("vec_id % 20 = 0"), 5).collect()
+    assert Counter(r.query_id for r in got) == {0: 5, 20: 5, 40: 5}
+    empty = table.where("false")
+    assert neighbours.search(empty, empty, 5).collect() == [] and neighbours.search(table, empty, 5).collect() == []
+
+
 def test_neighbours_of_every_length(spark):
     rng = np.random.default_rng(1)
     vectors = [rng.normal(size=8).tolist() for _ in range(40)] + [rng.normal(size=3).tolist() for _ in range(12)]
