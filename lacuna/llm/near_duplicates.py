@@ -3,27 +3,30 @@
 Two documents link if their sets of word shingles have a Jaccard similarity of at least
 ``PERCENT``; the result is the connected components of all links. No similar pair is missed:
 
-1. Documents with equal sets are one vertex. A fixed-size table of counts, summed over the whole
-   corpus, orders shingles from rare to frequent and tells the frequent ones ("long lists").
-2. By that order each set's first n - ceil(0.8 n) + 1 shingles are posted; a link shares a posted
-   shingle. Inverted lists of other than frequent shingles are short: their pairs are counted.
-   A pair whose count cannot reach the required overlap any more is dropped, the others are
-   verified on their whole sets.
-   The texts behind candidates are read again for that; only their sets are exchanged.
-3. Only sets made of frequent shingles to four fifths or more ("dense") can link without a short
-   list. They meet a few hubs first, which joins nearly all of a large group with few
-   comparisons. A dense set that is still apart from the largest component of one of its lists
-   is a query: a T-occurrence search (merge the short lists, binary-probe the long ones) against
-   all dense sets, in blocks, finds every component it links to.
-4. Links merge to components by smallest labels and pointer jumping.
-
-So frequent lists emit no pairs, the others all of theirs; no group or set of links goes to one task or to the driver.
+1. Documents with equal sets are one class, known by 128 bits of a digest of all members. A fixed-size table of counts, summed
+   over the whole corpus, orders shingles from rare to frequent.
+2. By that order the first n - ceil(0.8 n) + 1 shingles of each set are posted; sets that link share a posted
+   shingle. Those that share one get an edge to the first of them, not to each other, so edges are as many as postings at
+   most. The components of these edges are neighbourhoods: what links lies in the same one.
+3. Sets come together by neighbourhood, and there DivideSkip finds the links: of the inverted lists of a set's members the longest
+   are set aside, the short ones are merged by a heap that skips what can't come often enough, and what comes often enough is looked up
+   in the long lists by binary search. A search leaves out what the set is joined with already, so a group of
+   many similar sets needs few long searches and gives as many links as it has sets.
+4. A neighbourhood of more than ``BLOCK_SHINGLES`` is searched in blocks of about that size, by bands of set size (sets
+   that link are in the same band or in neighbouring ones). Most of a large group is one component by then; only sets outside it are
+   asked of the other blocks.
+5. Links merge to components by smallest labels and pointer jumping.
+
+Texts are not exchanged: the sets of neighbourhoods with more than one class are built where their texts are read again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,68 +34,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.shared import Scratch, session_of
-from lacuna.llm.shingles import mix, shingle_set
+from lacuna.llm.shared import Notes, Scratch, hot_join, picked_rows, placed, runs_of, session_of, write_notes
+from lacuna.llm.shingles import shingle_set
 
 PERCENT = 80
 #: The count table has 2 ** SKETCH_BITS counters, in blocks of 2 ** SKETCH_BLOCK_BITS.
 SKETCH_BITS, SKETCH_BLOCK_BITS = 22, 12
-HUBS = 4
-#: Bytes of query sets that go to the executors at once.
-QUERY_BYTES = 16 << 20
-#: Postings from which a task counts pairs at a time.
-CHUNK = 1 << 18
-#: Bits of the filter that picks rows for verification, at most: 8 MB.
-BITMAP_BITS = 26
-_SEEDS = np.random.default_rng(7).integers(0, 1 << 64, HUBS, np.uint64)
+#: Shingles of the sets that are searched together.
+BLOCK_SHINGLES = 1 << 22
+#: Postings that a task collapses at a time.
+CHUNK = 1 << 20
+#: Entries of short lists up to which the heap merges them; more are merged by sorting their runs, which does the same in arrays.
+HEAP_ENTRIES = 1 << 10
 
 
 # -- sets -----------------------------------------------------------------------------------
 
 
-def required(n: np.ndarray) -> np.ndarray:
+def required(n: int) -> int:
     """The smallest overlap of a set of n with any set that it links to."""
     return -(-PERCENT * n // 100)
 
 
-def required_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def required_pair(a: int, b: np.ndarray) -> np.ndarray:
     """The smallest overlap i with 100 i >= PERCENT (a + b - i)."""
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-def vertex_of(shingles: np.ndarray) -> int:
-    """The identity of a set: 64 bits of a digest of all its members."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest_of(shingles: np.ndarray) -> bytes:
+    """The identity of a set: 128 bits of a digest of all its members."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text: what tells a row again when the table is read again."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
+def _short(digest: bytes) -> int:
+    """64 bits of the identity, for neighbourhoods: if two sets share them, theirs are one, which loses nothing."""
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
-#: What tells a row again, in order: rows without an id come last.
-_ROW_SQL = "struct(doc_id IS NULL AS without, doc_id, text_hash)"
+_ROW = "doc_id bigint, file string, row bigint, n bigint, digest binary, short bigint, block int, counts binary"
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, then the task's count table in blocks."""
     counts = np.zeros(1 << SKETCH_BITS, np.int32)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    names = ["doc_id", "text_hash", "n", "vertex", "block", "counts"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in _ROW.split(", ")]
     for batch in batches:
-        n, vertex = [], []
+        n, digests = [], []
         for text in batch.column("text"):
             s = shingle_set(text.as_py())
             np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             n.append(len(s))
-            vertex.append(vertex_of(s) if len(s) else None)
-        rows = batch.num_rows
-        yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, kinds[2]), pa.array(vertex, kinds[3]), pa.nulls(rows, kinds[4]), pa.nulls(rows, kinds[5])], names=names)
+            digests.append(digest_of(s) if len(s) else None)
+        rows, short = batch.num_rows, [None if d is None else _short(d) for d in digests]
+        kept = [batch.column(c) for c in ("doc_id", "file", "row")]
+        yield pa.record_batch([*kept, *[pa.array(x, k) for x, k in zip((n, digests, short), kinds[3:6], strict=True)], pa.nulls(rows, kinds[6]), pa.nulls(rows, kinds[7])], names=names)
     blocks = counts.reshape(-1, 1 << SKETCH_BLOCK_BITS)
     used = np.flatnonzero(blocks.any(axis=1))
     if len(used):
-        gone = [pa.nulls(len(used), k) for k in kinds[:4]]
-        yield pa.record_batch([*gone, pa.array(used, kinds[4]), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in used], kinds[5])], names=names)
+        gone = [pa.nulls(len(used), k) for k in kinds[:6]]
+        yield pa.record_batch([*gone, pa.array(used, kinds[6]), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in used], kinds[7])], names=names)
 
 
 def _sum_block(group: pa.Table) -> pa.Table:
@@ -106,261 +107,319 @@ class Order:
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
-        usual = float(np.median(counts))
-        self.frequent = usual + 8 * usual**0.5 + 64
 
-    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The posted shingles of a set, and which of them have long lists."""
+    def prefix(self, s: np.ndarray) -> np.ndarray:
+        """The posted shingles of a set."""
         count = self.counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        first = np.lexsort((s, count))[: len(s) - int(required(np.int64(len(s)))) + 1]
-        return s[first], count[first] > self.frequent
+        return s[np.lexsort((s, count))[: len(s) - required(len(s)) + 1]]
 
 
-# -- short lists ----------------------------------------------------------------------------
+# -- neighbourhoods -------------------------------------------------------------------------
 
 
-def _post(order) -> object:
+def _stars(hashes: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From postings: each hash with the least set that posts it, and edges from those sets to the others."""
+    order = np.lexsort((short, hashes))
+    hashes, short = hashes[order], short[order]
+    start = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    hub = np.repeat(short[start], np.diff(np.append(start, len(hashes))))
+    apart = hub != short
+    edges = np.unique(np.stack([hub[apart], short[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
+    return hashes[start], short[start], edges[:, 0], edges[:, 1]
+
+
+def _rows(hashes: np.ndarray, posts: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Postings (hash, a) and edges (a, b) in one batch."""
+    none = pa.nulls
+    return pa.record_batch([pa.concat_arrays([pa.array(hashes), none(len(a), pa.int64())]), pa.array(np.append(posts, a)), pa.concat_arrays([none(len(posts), pa.int64()), pa.array(b)])], names=["hash", "a", "b"])
+
+
+def _post(order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()  # a task posts equal sets once, so copies are no hot lists
+        hashes, short, held, seen = [], [], 0, set()  # a task posts equal sets once
         for batch in batches:
-            hashes, vertices, sizes = [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py())
-                v = vertex_of(s)
-                if not len(s) or v in seen:
+                if not len(s) or (key := _short(digest_of(s))) in seen:
                     continue
-                seen.add(v)
-                posted, long = order.value.prefix(s)
-                short = posted[~long]
-                hashes.append(short.view(np.int64))
-                vertices.append(np.full(len(short), v))
-                sizes.append(np.full(len(short), len(s), np.int32))
-                if long.any():  # dense: a marker, told by its negative size
-                    hashes.append(np.array([v]))
-                    vertices.append(np.array([v]))
-                    sizes.append(np.array([-len(s)], np.int32))
-            if hashes:
-                yield pa.record_batch({"hash": np.concatenate(hashes), "vertex": np.concatenate(vertices), "n": np.concatenate(sizes)})
+                seen.add(key)
+                posted = order.value.prefix(s).view(np.int64)
+                hashes.append(posted)
+                short.append(np.full(len(posted), key))
+                held += len(posted)
+                if held >= CHUNK:
+                    yield _rows(*_stars(np.concatenate(hashes), np.concatenate(short)))
+                    hashes, short, held = [], [], 0
+        if held:
+            yield _rows(*_stars(np.concatenate(hashes), np.concatenate(short)))
 
     return run
 
 
-def _pairs_of(hashes: np.ndarray, vertices: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch | None:
-    """The counted pairs of all lists in a run of sorted postings, and its markers."""
-    mark = sizes < 0
-    dense = np.unique(vertices[mark])
-    hashes, vertices, sizes = hashes[~mark], vertices[~mark], sizes[~mark]
-    order = np.lexsort((vertices, hashes))
-    hashes, vertices, sizes = hashes[order], vertices[order], sizes[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (vertices[1:] != vertices[:-1])
-    hashes, vertices, sizes = hashes[fresh], vertices[fresh], sizes[fresh]
-    start = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-    length = np.diff(np.append(start, len(hashes)))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for n in np.unique(length[length > 1]).tolist():
-        i, j = np.triu_indices(n, 1)
-        at = start[length == n][:, None]
-        left.append((at + i).ravel())
-        right.append((at + j).ravel())
-    a, b = np.concatenate(left), np.concatenate(right)
-    fits = 100 * np.minimum(sizes[a], sizes[b]).astype(np.int64) >= PERCENT * np.maximum(sizes[a], sizes[b]).astype(np.int64)
-    a, b = a[fits], b[fits]
-    order = np.lexsort((vertices[b], vertices[a]))
-    a, b = a[order], b[order]
-    va, vb = vertices[a], vertices[b]
-    first = np.flatnonzero(np.append(True, (va[1:] != va[:-1]) | (vb[1:] != vb[:-1]))) if len(a) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(a)))
-    if not len(first) and not len(dense):
-        return None
-    none = np.zeros(len(dense), np.int64)
-    return pa.record_batch(
-        {
-            "a": np.append(va[first], dense),
-            "b": np.append(vb[first], dense),
-            "na": np.append(sizes[a[first]].astype(np.int64), none),
-            "nb": np.append(sizes[b[first]].astype(np.int64), none),
-            "shared": np.append(count, none),
-        }
-    )
-
-
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings come sorted by hash. Complete lists are handled in chunks; the last list waits for its rest."""
-    held: list[list[np.ndarray]] = [[], [], []]
-
-    def cut(whole: bool) -> tuple[np.ndarray, ...]:
-        h, v, n = (np.concatenate(x) for x in held)
-        end = len(h) if whole else int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
-        for x, y in zip(held, (h, v, n), strict=True):
-            x[:] = [y[end:]]
-        return h[:end], v[:end], n[:end]
-
+def _join_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from the postings of all tasks, which come sorted by hash; the last list of a chunk waits for its rest, as its least set."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for x, name in zip(held, ("hash", "vertex", "n"), strict=True):
-            x.append(batch.column(name).to_numpy())
-        if sum(map(len, held[0])) >= CHUNK and (out := _pairs_of(*cut(False))) is not None:
-            yield out
-    if held[0] and (out := _pairs_of(*cut(True))) is not None:
-        yield out
+        held.append((batch.column("hash").to_numpy(), batch.column("a").to_numpy()))
+        if sum(len(h) for h, _ in held) >= CHUNK:
+            hashes, posts, a, b = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held = [(hashes[-1:], posts[-1:])]
+            yield pa.record_batch({"a": a, "b": b})
+    if held:
+        _, _, a, b = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.record_batch({"a": a, "b": b})
+
+
+# -- search ---------------------------------------------------------------------------------
+
+
+def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
+    """What comes in ``need`` or more of the sorted lists, and in how many: a heap of the lists' heads, which skips
+    over what fewer lists than that could still hold."""
+    heap, place, out = [(x[0], i) for i, x in enumerate(lists)], [0] * len(lists), []
+    heapq.heapify(heap)
+    while len(heap) >= need:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= need:
+            out.append((top, len(popped)))
+            following = top + 1
+        else:
+            while len(popped) < need - 1 and heap:
+                popped.append(heapq.heappop(heap)[1])
+            if not heap:
+                break
+            following = heap[0][0]
+        for i in popped:
+            place[i] = bisect_left(lists[i], following, place[i])
+            if place[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][place[i]], i))
+    return out
 
 
-# -- verification ---------------------------------------------------------------------------
+class TOccurrence:
+    """An index of sets that finds those with a required overlap, by DivideSkip."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(every, kind="stable")  # owners stay in order within a list
+        every, self.owner = every[order], owner[order]
+        start = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        self.member, self.start = every[start], np.append(start, len(every))
+        #: List and owner of each entry as one number, ascending.
+        self.entry = np.repeat(np.arange(len(start)), np.diff(self.start)) * len(sets) + self.owner
 
-class Picked:
-    """A Bloom filter of row keys, 2 ** BITMAP_BITS bits at most: it never misses a key. Other rows
-    that it lets through cost their work and change nothing."""
+    def search(self, query: np.ndarray, lo: int = 0, hi: int = 0) -> np.ndarray:
+        """The places of all sets that are similar enough to the query, but for those from ``lo`` to ``hi``."""
+        none, k, need = np.zeros(0, np.int64), len(self.size), required(len(query))
+        at = np.minimum(np.searchsorted(self.member, query), len(self.member) - 1)
+        at = at[self.member[at] == query]
+        if len(at) < need:
+            return none
+        first, last = self.start[at], self.start[at + 1]
+        out, back = (np.searchsorted(self.entry, at * k + x) for x in (lo, hi))
+        length = last - first - (back - out)
+        there = length > 0
+        if there.sum() < need:
+            return none
+        order = np.flatnonzero(there)[np.argsort(length[there], kind="stable")]
+        aside = min(int(need / (math.log2(max(2, int(length[order[-1]]))) + 1)), need - 1)
+        short, long = order[: len(order) - aside], at[order[len(order) - aside :]]
+        parts = [(first[i], out[i], back[i], last[i]) for i in short.tolist()]
+        if length[short].sum() <= HEAP_ENTRIES:
+            got = merge_skip([[*self.owner[a:b].tolist(), *self.owner[c:d].tolist()] for a, b, c, d in parts], need - aside)
+            found, total = np.array([x for x, _ in got], np.int64), np.array([n for _, n in got], np.int64)
+        else:
+            found, total = np.unique(np.concatenate([self.owner[x:y] for a, b, c, d in parts for x, y in ((a, b), (c, d))]), return_counts=True)
+            found, total = found[total >= need - aside], total[total >= need - aside]
+        least = required_pair(len(query), self.size[found])
+        for n, i in enumerate(long.tolist()):
+            alive = total + (len(long) - n) >= least
+            found, total, least = found[alive], total[alive], least[alive]
+            if not len(found):
+                return none
+            asked = i * k + found
+            total = total + (self.entry[np.minimum(np.searchsorted(self.entry, asked), len(self.entry) - 1)] == asked)
+        return found[total >= least]
+
+
+class Forest:
+    """Union-find: the least member stands for a tree."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
+        i, j = self.root(i), self.root(j)
+        if i == j:
+            return False
+        self.parent[max(i, j)] = min(i, j)
+        return True
+
+
+def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links among sets by which all that are connected are: a spanning forest of all links.
+
+    First only sets are asked that no search has found yet. Then sets are numbered by component, so that what a set is joined with is
+    one stretch of each list, and the others are asked for what lies outside it.
+    """
+    index, forest, links, asked = TOccurrence(sets), Forest(len(sets)), [], np.zeros(len(sets), bool)
+    reached = np.zeros(len(sets), bool)
+
+    def note(i: int, found: list[int]) -> None:
+        links.extend((i, j) for j in found if forest.join(i, j))
+
+    for i, s in enumerate(sets):
+        if not reached[i]:
+            asked[i], found = True, index.search(s, i, i + 1)
+            reached[found] = True
+            note(i, found.tolist())
+    label = np.array([forest.root(i) for i in range(len(sets))])
+    if asked.all() or (label == label[0]).all():
+        return links
+    order = np.argsort(label, kind="stable")
+    index, by = TOccurrence([sets[i] for i in order]), label[order]
+    for i in np.flatnonzero(~asked).tolist():
+        lo, hi = np.searchsorted(by, label[i]), np.searchsorted(by, label[i], side="right")
+        note(i, order[index.search(sets[i], int(lo), int(hi))].tolist())
+    return links
+
+
+def _units(batches: Iterator[pa.RecordBatch], unit: str) -> Iterator[list[pa.RecordBatch]]:
+    """Rows that come sorted by unit, as the batches of one unit at a time."""
+    held, last = [], None
+    for batch in batches:
+        for key, part in runs_of(batch, unit):
+            if held and key != last:
+                yield held
+                held = []
+            last = key
+            held.append(part)
+    if held:
+        yield held
 
-    def __init__(self, keys: DataFrame):
-        """``keys`` has one bigint column, ``key``."""
-        self.bits = min(BITMAP_BITS, max(16, (16 * keys.count()).bit_length()))
-        places = keys.select(F.explode(F.array(*[F.expr(x) for x in self._places_sql()])).alias("p"))
-        words = places.groupBy(F.expr("p >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("bits")).toArrow()
-        self.words = np.zeros(1 << (self.bits - 6), np.int64)
-        self.words[words.column("word").to_numpy()] = words.column("bits").to_numpy()
 
-    def _places_sql(self) -> list[str]:
-        mask = (1 << self.bits) - 1
-        return [f"key & {mask}L", f"shiftrightunsigned(key, 32) & {mask}L"]
+def _sets_of(parts: list[pa.RecordBatch]) -> tuple[list[bytes], list[np.ndarray]]:
+    digests = [x for p in parts for x in p.column(p.schema.get_field_index("digest")).to_pylist()]
+    return digests, [np.frombuffer(x.as_buffer(), np.uint64) for p in parts for x in p.column(p.schema.get_field_index("members"))]
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        found, k, mask = np.ones(len(keys), bool), keys.view(np.uint64), np.uint64((1 << self.bits) - 1)
-        for place in (k & mask, (k >> np.uint64(32)) & mask):
-            found &= (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)).astype(np.int64)) & 1 > 0
-        return found
 
+def _search_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links within each unit."""
+    for parts in _units(batches, "unit"):
+        digests, sets = _sets_of(parts)
+        links = links_within(sets) if len(sets) > 1 else []
+        if links:
+            yield pa.record_batch({"a": pa.array([digests[i] for i, _ in links], pa.binary()), "b": pa.array([digests[j] for _, j in links], pa.binary())})
 
-def _set_rows(picked) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            rows = batch.filter(pa.array(picked.value.has(batch.column("key").to_numpy())))
-            sets = {}
-            for text in rows.column("text"):
-                s = shingle_set(text.as_py())
-                if len(s) and (v := vertex_of(s)) not in seen:
-                    sets[v] = s.tobytes()
-                    seen.add(v)
-            if sets:
-                yield pa.record_batch({"vertex": pa.array(list(sets), pa.int64()), "members": pa.array(list(sets.values()), pa.binary())})
 
-    return run
+def _search_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links from queries to the sets of a unit that they are not joined with. A unit's own sets come first, then its queries."""
+    unit, held, index, by, digests, forest = None, [], None, None, [], None
+    for batch in batches:
+        for key, whole in runs_of(batch, "unit"):
+            if key != unit:
+                unit, held, index = key, [], None
+            for asking, part in runs_of(whole, "asking"):
+                if not asking:
+                    held.append(part)
+                    continue
+                if index is None:
+                    found, sets = _sets_of(held)
+                    labels = [x for p in held for x in p.column(p.schema.get_field_index("label")).to_pylist()]
+                    order = sorted(range(len(sets)), key=lambda i: labels[i])
+                    index, by, digests, told = TOccurrence([sets[i] for i in order]) if sets else None, [labels[i] for i in order], [found[i] for i in order], set()
+                if index is None:
+                    continue
+                out = []
+                for digest, s, label in zip(*_sets_of([part]), part.column(part.schema.get_field_index("label")).to_pylist(), strict=True):
+                    lo = bisect_left(by, label)
+                    hi = bisect_left(by, label + b"\0", lo)
+                    for j in index.search(s, lo, hi).tolist():
+                        if (label, by[j]) not in told:  # one link joins both components
+                            told.add((label, by[j]))
+                            out.append((digest, digests[j]))
+                if out:
+                    yield pa.record_batch({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("members_a"), batch.column("members_b"), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            keep.append(len(np.intersect1d(a, b, assume_unique=True)) >= required_pair(len(a), len(b)))
-        yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
+def _band(n: str) -> str:
+    """Sets that link are in the same band of sizes or in neighbouring ones; a margin covers rounding."""
+    return f"int(floor(ln({n}) / {math.log(100 / PERCENT) * (1 + 1e-9)!r}))"
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    with_b = pairs.join(sets.withColumnsRenamed({"vertex": "b", "members": "members_b"}), "b")
-    both = with_b.join(sets.withColumnsRenamed({"vertex": "a", "members": "members_a"}), "a")
-    return both.select("a", "b", "members_a", "members_b").mapInArrow(_linked, "a bigint, b bigint")
+def _blocked(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """``members`` (digest, n, file, row, neighbourhood, ...) with the unit that each set is searched in, and the block of large ones."""
+    total = members.count()
+    sizes = members.groupBy("neighbourhood").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets")).where("sets > 1")
+    sized = hot_join(members, scratch.keep(sizes, "sizes"), "neighbourhood", "sets", total, "inner")
+    large = F.col("shingles") > BLOCK_SHINGLES
+    sized = sized.withColumn("part", F.when(large, F.concat_ws(":", "neighbourhood", F.expr(_band("n")))).otherwise(F.col("neighbourhood").cast("string")))
+    sized = scratch.keep(sized.withColumn("large", large).drop("shingles", "sets"), "sized")
+    parts = sized.where("large").groupBy("part").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
+    parts = scratch.keep(parts.select("part", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("bigint").alias("blocks"), "sets"), "bands")
+    cut = hot_join(sized.where("large"), parts, "part", "sets", total, "inner").drop("sets")
+    cut = cut.withColumn("unit", F.concat_ws(":", "part", F.pmod(F.xxhash64("digest"), F.col("blocks"))))
+    return sized.where("not large").withColumn("unit", F.col("part")).unionByName(cut.drop("blocks"))
 
 
-# -- dense sets -----------------------------------------------------------------------------
+def _with_sets(texts: DataFrame, folder: str) -> DataFrame:
+    """The sets of the rows noted, with what is noted of them."""
 
+    def by_row(noted: pa.Table) -> dict[int, dict]:
+        return {r["row"]: r for r in noted.to_pylist()}
 
-def _hub_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each set ``HUBS`` minima under different hashes; similar sets share most of them."""
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("members")]
-        if sets:
-            keys = np.array([[mix(s ^ seed).min() for seed in _SEEDS] for s in sets], np.uint64).view(np.int64)
-            vertex = batch.column("vertex").to_numpy()
-            yield pa.record_batch({"vertex": np.repeat(vertex, HUBS), "key": keys.ravel()})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notes = Notes(folder)
+        for file, batch in (run for whole in batches for run in runs_of(whole, "file")):
+            known, out = notes.of(file, by_row) or {}, []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
+                if (note := known.get(row)) is not None:
+                    out.append((note["unit"], note["part"], note["neighbourhood"], note["large"], note["digest"], shingle_set(text.as_py()).tobytes()))
+            if out:
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["unit", "part", "neighbourhood", "large", "digest", "members"])
 
+    return texts.mapInArrow(run, "unit string, part string, neighbourhood bigint, large boolean, digest binary, members binary")
 
-class TOccurrence:
-    """An index of sets that finds those with a required overlap, after DivideSkip.
 
-    Of the lists of a query's members the longest are set aside; a set must occur often enough in
-    the others, which are merged. Those that do are looked up in the long ones by binary search.
-    """
+def _by_unit(sets: DataFrame, *order: str) -> DataFrame:
+    return sets.repartition("unit").sortWithinPartitions("unit", *order)
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(s) for s in sets], np.int64)
-        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
-        order = np.lexsort((owner, every))
-        every, self.owner = every[order], owner[order]
-        start = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-        self.member, self.start = every[start], np.append(start, len(every))
 
-    def search(self, query: np.ndarray) -> np.ndarray:
-        """The places of all sets that are similar enough to the query."""
-        at = np.minimum(np.searchsorted(self.member, query), len(self.member) - 1)
-        at = at[self.member[at] == query]
-        lists = sorted((self.owner[self.start[i] : self.start[i + 1]] for i in at), key=len)
-        need = int(required(np.int64(len(query))))
-        if len(lists) < need:
-            return np.zeros(0, np.int64)
-        aside = min(int(need / (np.log2(max(2, len(lists[-1]))) + 1)), need - 1)
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        count = np.bincount(np.concatenate(short), minlength=len(self.size))
-        found = np.flatnonzero(count >= need - aside)
-        total = count[found]
-        for rows in long:
-            place = np.searchsorted(rows, found)
-            place[place == len(rows)] = 0
-            total += rows[place] == found
-        return found[total >= required_pair(len(query), self.size[found])]
-
-
-def _dense_links(spark: SparkSession, dense: DataFrame, links: DataFrame, order, scratch: Scratch) -> DataFrame:
-    """All links among dense sets that ``links`` and their components don't have yet, but one for each query, task and component."""
-    keys = dense.mapInArrow(_hub_keys, "vertex bigint, key bigint")
-    hubs = keys.groupBy("key").agg(F.min("vertex").alias("hub"))
-    pairs = keys.join(hubs, "key").where("vertex != hub").select(F.least("vertex", "hub").alias("a"), F.greatest("vertex", "hub").alias("b")).distinct()
-    near_hubs = scratch.keep(verified(pairs, dense), "near_hubs")
-    labels = components(links.unionByName(near_hubs), scratch, "dense")
-    labelled = dense.join(labels, "vertex", "left").select("vertex", "members", F.coalesce("component", "vertex").alias("component"))
-    labelled = scratch.keep(labelled, "labelled")
-
-    def long_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for members, vertex, component in zip(batch.column("members"), batch.column("vertex").to_pylist(), batch.column("component").to_pylist(), strict=True):
-                posted, long = order.value.prefix(np.frombuffer(members.as_buffer(), np.uint64))
-                if long.any():
-                    n = int(long.sum())
-                    yield pa.record_batch({"hash": posted[long].view(np.int64), "vertex": np.full(n, vertex), "component": np.full(n, component)})
-
-    lists = labelled.mapInArrow(long_lists, "hash bigint, vertex bigint, component bigint")
-    of = lists.groupBy("hash", "component").agg(F.count("*").alias("k"))
-    major = of.groupBy("hash").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("hash", F.col("top.component").alias("major"))
-    asked = lists.join(major, "hash").where("component != major").select("vertex").distinct()
-    asked = scratch.keep(labelled.join(asked, "vertex", "left_semi"), "asked")
-    volume = asked.agg(F.sum(F.length("members"))).first()[0] or 0
-    found = near_hubs
-    chunks = -(-volume // QUERY_BYTES)
-    for c in range(chunks):
-        part = asked.where(F.pmod(F.xxhash64("vertex"), F.lit(chunks)) == c).toArrow()
-        held = spark.sparkContext.broadcast([(v, k, np.frombuffer(m, np.uint64)) for v, k, m in zip(part.column("vertex").to_pylist(), part.column("component").to_pylist(), part.column("members").to_pylist(), strict=True)])
-
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            told = set()
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                index = TOccurrence([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("members")])
-                vertices, components_ = batch.column("vertex").to_numpy(), batch.column("component").to_numpy()
-                out = []
-                for vertex, component, members in held.value:
-                    for at in index.search(members):
-                        other = int(components_[at])
-                        if other != component and (vertex, other) not in told:
-                            told.add((vertex, other))
-                            out.append((vertex, int(vertices[at])))
-                if out:
-                    yield pa.record_batch({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+def _links_of_large(sets: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between the blocks of large neighbourhoods, from ``sets`` of those and the ``links`` within blocks."""
+
+    def labelled(found: DataFrame, name: str) -> DataFrame:
+        labels = components(found, scratch, name)
+        known = sets.select("digest", "unit", "neighbourhood").join(labels, F.col("digest") == F.col("vertex"), "left")
+        return scratch.keep(known.select("digest", "unit", "neighbourhood", F.coalesce("component", "digest").alias("label")), f"{name}-labels")
 
-        found = found.unionByName(scratch.keep(labelled.mapInArrow(search, "a bigint, b bigint"), f"searched{c}"))
-    return found
+    def largest(known: DataFrame, *of: str) -> DataFrame:
+        return known.groupBy(*of, "label").agg(F.count("*").alias("k")).groupBy(*of).agg(F.max(F.struct("k", "label")).alias("top")).select(*of, F.col("top.label").alias("label"))
+
+    # The largest component of each block is asked for by the set that names it: this joins what is one large group.
+    heads = largest(labelled(links, "within"), "unit").select(F.col("label").alias("digest")).distinct()
+    first = sets.join(heads, "digest", "left_semi").withColumn("unit", F.col("neighbourhood").cast("string"))
+    between = scratch.keep(_by_unit(first, "digest").mapInArrow(_search_units, "a binary, b binary"), "heads")
+    known = labelled(links.unionByName(between), "joined")
+    # Every link that is missing has an end outside the largest component of its neighbourhood.
+    others = known.join(F.broadcast(largest(known, "neighbourhood").select(F.col("label").alias("top"))), F.col("label") == F.col("top"), "left_anti").select("digest", "label")
+    blocks = known.select("unit").distinct().select("unit", F.regexp_extract("unit", "^(.*):", 1).alias("band"))
+    near = F.explode(F.expr("transform(array(-1, 0, 1), d -> concat(regexp_extract(part, '^(.*):', 1), ':', int(regexp_extract(part, ':([0-9]+)$', 1)) + d))"))
+    asking = sets.join(others, "digest").drop("unit").withColumn("band", near).join(blocks, "band").select("unit", F.lit(True).alias("asking"), "digest", "members", "label")
+    own = sets.join(known.select("digest", "label"), "digest").select("unit", F.lit(False).alias("asking"), "digest", "members", "label")
+    across = _by_unit(own.unionByName(asking), "asking", "digest").mapInArrow(_search_across, "a binary, b binary")
+    return between.unionByName(scratch.keep(across, "across"))
 
 
 # -- components -----------------------------------------------------------------------------
@@ -393,63 +452,74 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 # -- the operator ---------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, stays.
-
-    component_id is the smallest doc_id that links reach, the row's own included. Defined cases: a
-    text that is null, empty or without words has an empty set and links with nothing; one of
-    fewer than five words has one shingle, the whole sequence. Null ids count as larger than all others, so a
-    component has a null id only if all its rows do. Rows that repeat are rows of their own and
-    share their component. ``stays`` is true for the row with the smallest doc_id of each component
-    and for rows with an empty set; rows that share id and text agree in it. An empty table gives an empty result. Other columns are ignored.
-    """
-    spark, scratch = session_of(docs), Scratch(session_of(docs), "near-duplicates")
-    texts = _texts(docs)
-    first = scratch.keep(texts.mapInArrow(_first_pass, "doc_id bigint, text_hash bigint, n bigint, vertex bigint, block int, counts binary"), "first")
-    rows = first.where("block IS NULL").select("doc_id", "text_hash", "n", "vertex")
+def _grouped(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """For each row of ``texts`` (doc_id, file, row, text): doc_id, file, row, n_shingles, component_id, stays."""
+    spark = session_of(texts)
+    first = scratch.keep(texts.mapInArrow(_first_pass, _ROW), "first")
+    rows = first.where("block IS NULL").select("doc_id", "file", "row", "n", "digest", "short")
     blocks = first.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_sum_block, "block int, counts binary")
     counts = np.zeros((1 << (SKETCH_BITS - SKETCH_BLOCK_BITS), 1 << SKETCH_BLOCK_BITS), np.uint32)
     for r in blocks.collect():  # 16 MB at any size of the corpus
         counts[r["block"]] = np.frombuffer(r["counts"], np.uint32)
     order = spark.sparkContext.broadcast(Order(counts.reshape(-1)))
 
-    classes = rows.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("least_id"), F.min(F.expr(_ROW_SQL)).alias("first"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "row")).alias("first")
+    classes = rows.where("digest IS NOT NULL").groupBy("digest", "short", "n").agg(least, F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
 
-    posted = texts.select("text").mapInArrow(_post(order), "hash bigint, vertex bigint, n int")
-    listed = posted.repartition("hash").sortWithinPartitions("hash")
-    counted = scratch.keep(listed.mapInArrow(_count_pairs, "a bigint, b bigint, na bigint, nb bigint, shared bigint"), "counted")
-    pairs = counted.where("a != b").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    # Beyond the shared postings, at most the unposted part of a set can be common.
-    unposted = F.greatest(F.ceil(F.col("na") * PERCENT / 100), F.ceil(F.col("nb") * PERCENT / 100)) - 1
-    dense_ids = scratch.keep(counted.where("a = b").select(F.col("a").alias("vertex")).distinct(), "dense_ids")
-    some_dense = not dense_ids.isEmpty()
-    pairs = pairs.where((F.col("shared") + unposted) * (100 + PERCENT) >= PERCENT * (F.col("na") + F.col("nb")))
-    pairs = scratch.keep(pairs.select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))).unionByName(dense_ids).distinct()
-    # The texts behind them are read again; a filter of fixed size picks their rows, so no text is exchanged.
-    key = F.xxhash64("doc_id", "text_hash").alias("key")
-    picked = spark.sparkContext.broadcast(Picked(classes.join(wanted, "vertex").select("first.doc_id", "first.text_hash").select(key)))
-    sets = scratch.keep(texts.select(key, "text").mapInArrow(_set_rows(picked), "vertex bigint, members binary"), "sets")
-    links = scratch.keep(verified(pairs, sets), "links")
-    if some_dense:
-        links = links.unionByName(_dense_links(spark, sets.join(dense_ids, "vertex", "left_semi"), links, order, scratch))
+    posted = scratch.keep(texts.select("text").mapInArrow(_post(order), "hash bigint, a bigint, b bigint"), "posted")
+    lists = posted.where("hash IS NOT NULL").select("hash", "a").repartition("hash").sortWithinPartitions("hash")
+    edges = posted.where("hash IS NULL").select("a", "b").unionByName(lists.mapInArrow(_join_lists, "a bigint, b bigint"))
+    near = components(scratch.keep(edges.distinct(), "edges"), scratch, "near").withColumnsRenamed({"vertex": "short", "component": "neighbourhood"})
+    scratch.drop("posted", "edges")
+
+    members = classes.join(near, "short").select("digest", "n", F.col("first.file").alias("file"), F.col("first.row").alias("row"), "neighbourhood")
+    units = scratch.keep(_blocked(scratch.keep(members, "members"), scratch), "units")
+    write_notes(units.select("file", "row", "unit", "part", "neighbourhood", "large", "digest"), "file", scratch.path("units-notes"))
+    sets = scratch.keep(_with_sets(texts.select("file", "row", "text"), scratch.path("units-notes")), "sets")
+    links = scratch.keep(_by_unit(sets, "digest").mapInArrow(_search_units, "a binary, b binary"), "links")
+    of_large = sets.where("large")
+    if not of_large.isEmpty():
+        links = links.unionByName(_links_of_large(of_large, links, scratch))
     labels = components(links, scratch, "all")
-    scratch.drop("sets", "counted", "labelled", "asked")
+    scratch.drop("sets", "members", "units")
+
+    found = classes.join(labels, F.col("digest") == F.col("vertex"), "left").select("digest", "copies", "first", F.coalesce("component", "digest").alias("component"))
+    found = scratch.keep(found, "found")
+    chosen = scratch.keep(found.groupBy("component").agg(F.min("first").alias("chosen"), F.count("*").alias("of")), "chosen")
+    told = hot_join(found.drop("first"), chosen, "component", "of", classes.count(), "inner").select("digest", "copies", "chosen")
+    told = scratch.keep(told, "told")
+    columns = ["doc_id", "file", "row", F.col("n").alias("n_shingles")]
+    with_set = hot_join(rows.where("digest IS NOT NULL"), told, "digest", "copies", rows.count(), "inner")
+    stays = (F.col("file") == F.col("chosen.file")) & (F.col("row") == F.col("chosen.row"))
+    empty = rows.where("digest IS NULL").select(*columns, F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return with_set.select(*columns, F.col("chosen.doc_id").alias("component_id"), stays.alias("stays")).unionByName(empty)
+
 
-    least = classes.join(labels, "vertex", "left").select("vertex", "least_id", "first", F.coalesce("component", "vertex").alias("component"))
-    roots = least.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("first").alias("chosen"))
-    least = scratch.keep(least.join(roots, "component").select("vertex", "component_id", "chosen"), "components")
-    return rows.join(least, "vertex", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("vertex").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        (F.col("vertex").isNull() | F.expr(_ROW_SQL).eqNullSafe(F.col("chosen"))).alias("stays"),
-        "text_hash",
-    )
+def _placed_texts(docs: DataFrame, file: str, row: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(file).alias("file"), F.col(row).alias("row"), "text")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, stays.
+
+    component_id is the smallest doc_id that links reach, the row's own included. Defined cases: a
+    text that is null, empty or without words has an empty set and links with nothing; one of
+    fewer than five words has one shingle, the whole sequence. Null ids count as larger than all others, so a
+    component has a null id only if all its rows do. Rows that repeat are rows of their own and
+    share their component. ``stays`` is true for one row with the smallest doc_id of each component
+    and for all rows with an empty set. Very long texts are read in pieces, whole. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    """
+    scratch = Scratch(session_of(docs), "near-duplicates")
+    return _grouped(_placed_texts(*placed(docs.select("doc_id", "text"), scratch)), scratch).drop("file", "row")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of the corpus pipeline: of each group of near duplicates the document with the smallest id stays."""
-    gone = near_duplicates(docs).where(~F.col("stays")).select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_text")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone")) & (F.xxhash64("text") == F.col("gone_text")), "left_anti")
+    """Stage of the corpus pipeline: of each group of near duplicates one row with the smallest id stays.
+
+    Defined cases as in ``near_duplicates``; all columns of ``docs`` keep their names and values.
+    """
+    scratch = Scratch(spark, "one-of-each")
+    rows, file, row = placed(docs, scratch)
+    gone = _grouped(_placed_texts(rows, file, row), scratch).where(~F.col("stays")).select(F.col("file").alias(file), F.col("row").alias(row))
+    return picked_rows(rows, file, row, gone, scratch, "gone", False)

@@ -115,6 +115,22 @@ def test_near_duplicates_with_a_large_group(spark):
     assert len({r.doc_id for r in left if r.text}) >= len(alone) - 1 and {3000, 3001, 3002} <= {r.doc_id for r in left}
 
 
+def test_blocks_of_large_neighbourhoods_lose_no_link(spark, monkeypatch):
+    from lacuna.llm import shared
+
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 3000)
+    monkeypatch.setattr(shared, "HOT_KEYS", 5)
+    rows = near_copies(11, 1, 150, 110, 14) + [(1000 + i, t) for i, t in near_copies(12, 3, 40, 60, 5)]
+    chain = [f"c{k}" for k in range(200)]  # each links to the next only
+    rows += [(5000 + k, " ".join(chain[3 * k : 3 * k + 60])) for k in range(30)]
+    line = " ".join(f"common{k}" for k in range(50))
+    rnd = random.Random(13)
+    rows += [(7000 + k, line + " " + " ".join(f"u{rnd.randrange(10**6)}" for _ in range(rnd.randint(3, 16)))) for k in range(150)]
+    got = near_duplicates.near_duplicates(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert len([r for r in got if r.stays]) == len({r.component_id for r in got})
+
+
 def test_packing(spark):
     rows = AWKWARD + [(100 + k, " ".join(f"wort{j % 97}" for j in range(k * 37))) for k in range(60)]
     got = packing.pack(documents(spark, rows), packing.default_tokenizer(), with_ids=True).collect()

@@ -76,6 +76,29 @@ def test_t_occurrence_finds_exactly_the_similar_sets():
         assert index.search(q).tolist() == want
 
 
+@pytest.mark.parametrize("entries", [0, 1 << 10])
+def test_links_within_connect_what_brute_force_connects(monkeypatch, entries):
+    monkeypatch.setattr(near_duplicates, "HEAP_ENTRIES", entries)
+    rng = np.random.default_rng(1)
+    base = [np.unique(rng.integers(0, 3000, rng.integers(3, 60))).astype(np.uint64) for _ in range(25)]
+    sets = [np.unique(np.where(rng.random(len(s)) < 0.08, rng.integers(0, 3000, len(s)).astype(np.uint64), s)) for s in base * 8]
+    similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))}
+    want, got = near_duplicates.Forest(len(sets)), near_duplicates.Forest(len(sets))
+    links = near_duplicates.links_within(sets)
+    assert all((max(x), min(x)) in similar for x in links) and len(links) < len(sets)
+    for i, j in similar:
+        want.join(i, j)
+    for i, j in links:
+        assert got.join(i, j)
+    assert [want.root(i) for i in range(len(sets))] == [got.root(i) for i in range(len(sets))]
+
+
+@given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=8).map(lambda x: sorted(set(x))), min_size=1, max_size=9), st.integers(1, 5))
+def test_merge_skip_counts_as_counting_does(lists, need):
+    want = Counter(x for one in lists for x in one)
+    assert near_duplicates.merge_skip(lists, need) == sorted((x, n) for x, n in want.items() if n >= need)
+
+
 # -- packing ------------------------------------------------------------------------------------
 
 
