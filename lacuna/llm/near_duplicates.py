@@ -41,8 +41,8 @@ PERCENT = 80
 #: The count table has 2 ** SKETCH_BITS counters, in blocks of 2 ** SKETCH_BLOCK_BITS.
 SKETCH_BITS, SKETCH_BLOCK_BITS = 22, 12
 #: Shingles of the sets that are searched together.
-BLOCK_SHINGLES = 1 << 22
-#: Postings that a task collapses at a time.
+BLOCK_SHINGLES = 1 << 20
+#: Postings, or links, that a task collapses at a time.
 CHUNK = 1 << 20
 #: Entries of short lists up to which the heap merges them; more are merged by sorting their runs, which does the same in arrays.
 HEAP_ENTRIES = 1 << 10
@@ -203,7 +203,7 @@ class TOccurrence:
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets], np.int64)
-        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
         order = np.argsort(every, kind="stable")  # owners stay in order within a list
         every, self.owner = every[order], owner[order]
         start = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
@@ -425,11 +425,41 @@ def _links_of_large(sets: DataFrame, links: DataFrame, scratch: Scratch) -> Data
 # -- components -----------------------------------------------------------------------------
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task, ``CHUNK`` at a time, as links from the smallest vertex of each component to the others."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def told(kind: pa.DataType) -> pa.RecordBatch:
+        pairs = [(r, x) for x in parent if (r := root(x)) != x]
+        return pa.record_batch({"a": pa.array([a for a, _ in pairs], kind), "b": pa.array([b for _, b in pairs], kind)})
+
+    kind, held = None, 0
+    for batch in batches:
+        kind, held = batch.column(0).type, held + batch.num_rows
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        if held >= CHUNK:
+            yield told(kind)
+            parent.clear()
+            held = 0
+    if parent:
+        yield told(kind)
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """vertex, component: the smallest vertex that links reach, for each vertex that has a link.
 
-    Each round takes the smallest label among the neighbours, then the label of that label.
+    Tasks contract their own links first. Then each round takes the smallest label among the neighbours, then the label of that label.
     """
+    links = links.select("a", "b").where("a != b")
+    links = scratch.keep(links.mapInArrow(_contracted, links.schema), f"{name}-contracted")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     both = scratch.keep(both, f"{name}-links")
     labels = both.groupBy(F.col("a").alias("vertex")).agg(F.min(F.least("a", "b")).alias("component"))
