@@ -233,7 +233,7 @@ class TOccurrence:
             found, total = np.array([x for x, _ in got], np.int64), np.array([n for _, n in got], np.int64)
         else:
             found, total = np.unique(np.concatenate([self.owner[x:y] for a, b, c, d in parts for x, y in ((a, b), (c, d))]), return_counts=True)
-            found, total = found[total >= need - aside], total[total >= need - aside]
+            found, total = found[total >= need - aside].astype(np.int64), total[total >= need - aside]
         least = required_pair(len(query), self.size[found])
         for n, i in enumerate(long.tolist()):
             alive = total + (len(long) - n) >= least
