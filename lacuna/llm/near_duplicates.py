@@ -5,19 +5,21 @@ Two documents link if their sets of word shingles have a Jaccard similarity of a
 
 1. Documents with equal sets are one class, known by 128 bits of a digest of all members. A fixed-size table of counts, summed
    over the whole corpus, orders shingles from rare to frequent.
-2. By that order the first n - ceil(0.8 n) + 1 shingles of each set are posted; sets that link share a posted
-   shingle. Those that share one get an edge to the first of them, not to each other, so edges are as many as postings at
+2. Let a set of n need an overlap of T = ceil(0.8 n). By that order, two sets that link share l of the first n - T + l shingles of each, for any l.
+   With l = n - T + 1, a set that has fewer than that of its smallest possible partner (of T shingles) in common with any others can't link: it is dropped. For that the
+   first shingles of all sets are exchanged once, packed by ranges of hashes; what is left are sets that are mostly made of what others have too.
+3. Of these, the first n - T + 1 shingles are posted. Those that share one get an edge to the first of them, not to each other, so edges are as many as postings at
    most. The components of these edges are neighbourhoods: what links lies in the same one.
-3. Sets come together by neighbourhood, and there DivideSkip finds the links: of the inverted lists of a set's members the longest
+4. Sets come together by neighbourhood, and there DivideSkip finds the links: of the inverted lists of a set's members the longest
    are set aside, the short ones are merged by a heap that skips what can't come often enough, and what comes often enough is looked up
    in the long lists by binary search. A search leaves out what the set is joined with already, so a group of
    many similar sets needs few long searches and gives as many links as it has sets.
-4. A neighbourhood of more than ``BLOCK_SHINGLES`` is searched in blocks of about that size, by bands of set size (sets
+5. A neighbourhood of more than ``BLOCK_SHINGLES`` is searched in blocks of about that size, by bands of set size (sets
    that link are in the same band or in neighbouring ones). Most of a large group is one component by then; only sets outside it are
    asked of the other blocks.
-5. Links merge to components by smallest labels and pointer jumping.
+6. Links merge to components by smallest labels and pointer jumping.
 
-Texts are not exchanged: the sets of neighbourhoods with more than one class are built where their texts are read again.
+Texts are not exchanged: the sets that are left after step 2 are built where their texts are read again.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ PERCENT = 80
 SKETCH_BITS, SKETCH_BLOCK_BITS = 22, 12
 #: Shingles of the sets that are searched together.
 BLOCK_SHINGLES = 1 << 20
-#: Postings, or links, that a task collapses at a time.
-CHUNK = 1 << 20
+#: Postings, or links, that a task collapses at a time, and postings of a range of hashes.
+CHUNK, RANGE = 1 << 20, 1 << 22
 #: Entries of short lists up to which the heap merges them; more are merged by sorting their runs, which does the same in arrays.
 HEAP_ENTRIES = 1 << 10
 
@@ -108,10 +110,82 @@ class Order:
     def __init__(self, counts: np.ndarray):
         self.counts = counts
 
-    def prefix(self, s: np.ndarray) -> np.ndarray:
-        """The posted shingles of a set."""
+    def first(self, s: np.ndarray, more: int) -> np.ndarray:
+        """The first n - T + ``more`` shingles of a set."""
         count = self.counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        return s[np.lexsort((s, count))[: len(s) - required(len(s)) + 1]]
+        return s[np.lexsort((s, count))[: len(s) - required(len(s)) + more]]
+
+
+# -- what can link at all -------------------------------------------------------------------
+
+_POSTED = "part bigint, hashes binary, owners binary, several binary, shared binary, times binary"
+
+
+def least_shared(n: str) -> str:
+    """SQL: how many of its first shingles a set of ``n`` must share, by its smallest possible partner."""
+    least = f"(({PERCENT} * {n} + 99) div 100)"
+    return f"({least} - ({PERCENT} * {least} + 99) div 100 + 1)"
+
+
+def _totals(owners: np.ndarray) -> tuple[bytes, bytes]:
+    shared, times = np.unique(owners, return_counts=True)
+    return shared.tobytes(), times.astype(np.int64).tobytes()
+
+
+def _post(order, parts: int):
+    """The first shingles of all sets, packed by ranges of hashes: those of one set of the task (``hashes`` and ``owners``), those of ``several``, and
+    how many of the latter each set has (``shared``, ``times``)."""
+
+    def packed(hashes: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+        at = np.lexsort((owners, hashes))
+        hashes, owners = hashes[at], owners[at]
+        start = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        size = np.diff(np.append(start, len(hashes)))
+        alone = np.repeat(size == 1, size)
+        several, single = hashes[start[size > 1]], hashes[alone]
+        edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+        cut, cut_several = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]).tolist() for x in (single, several))
+        of_single, told = owners[alone], _totals(owners[~alone])
+        rows = [(k, single[a:b].tobytes(), of_single[a:b].tobytes(), several[c:d].tobytes(), *(told if k == 0 else (b"", b""))) for k, (a, b, c, d) in enumerate(zip(cut, cut[1:], cut_several, cut_several[1:]))]
+        kinds = (pa.int64(), *[pa.binary()] * 5)
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _POSTED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, owners, held, seen = [], [], 0, set()  # a task posts equal sets once
+        for batch in batches:
+            for text in batch.column("text"):
+                s = shingle_set(text.as_py())
+                if not len(s) or (key := _short(digest_of(s))) in seen:
+                    continue
+                seen.add(key)
+                hashes.append(order.value.first(s, len(s) - required(len(s)) + 1))
+                owners.append(np.full(len(hashes[-1]), key))
+                held += len(hashes[-1])
+                if held >= CHUNK:
+                    yield packed(np.concatenate(hashes), np.concatenate(owners))
+                    hashes, owners, held = [], [], 0
+        if held:
+            yield packed(np.concatenate(hashes), np.concatenate(owners))
+
+    return run
+
+
+def _shared(group: pa.Table) -> pa.Table:
+    """For each set, how many hashes of a range it shares with others."""
+
+    def column(name: str, kind) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)])
+
+    hashes, owners, several = column("hashes", np.uint64), column("owners", np.int64), column("several", np.uint64)
+    order = np.lexsort((owners, hashes))
+    hashes, owners = hashes[order], owners[order]
+    fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1]))[: len(hashes)]  # copies in other tasks
+    hashes, owners = hashes[fresh], owners[fresh]
+    start = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))[: len(hashes)]
+    size = np.diff(np.append(start, len(hashes)))
+    more = np.isin(hashes[start], several) | (size > 1)
+    found, times = (np.frombuffer(x, np.int64) for x in _totals(owners[np.repeat(more, size)]))
+    return pa.table({"short": np.append(found, column("shared", np.int64)), "k": np.append(times, column("times", np.int64))})
 
 
 # -- neighbourhoods -------------------------------------------------------------------------
@@ -134,22 +208,19 @@ def _rows(hashes: np.ndarray, posts: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return pa.record_batch([pa.concat_arrays([pa.array(hashes), none(len(a), pa.int64())]), pa.array(np.append(posts, a)), pa.concat_arrays([none(len(posts), pa.int64()), pa.array(b)])], names=["hash", "a", "b"])
 
 
-def _post(order):
+def _post_left(order):
+    """The first shingles of the sets that are left, collapsed by task: postings (hash, a) and edges (a, b)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, short, held, seen = [], [], 0, set()  # a task posts equal sets once
+        hashes, short, held = [], [], 0
         for batch in batches:
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py())
-                if not len(s) or (key := _short(digest_of(s))) in seen:
-                    continue
-                seen.add(key)
-                posted = order.value.prefix(s).view(np.int64)
-                hashes.append(posted)
-                short.append(np.full(len(posted), key))
-                held += len(posted)
-                if held >= CHUNK:
-                    yield _rows(*_stars(np.concatenate(hashes), np.concatenate(short)))
-                    hashes, short, held = [], [], 0
+            for key, members in zip(batch.column("short").to_pylist(), batch.column("members"), strict=True):
+                hashes.append(order.value.first(np.frombuffer(members.as_buffer(), np.uint64), 1).view(np.int64))
+                short.append(np.full(len(hashes[-1]), key))
+                held += len(hashes[-1])
+            if held >= CHUNK:
+                yield _rows(*_stars(np.concatenate(hashes), np.concatenate(short)))
+                hashes, short, held = [], [], 0
         if held:
             yield _rows(*_stars(np.concatenate(hashes), np.concatenate(short)))
 
@@ -358,7 +429,7 @@ def _band(n: str) -> str:
 
 
 def _blocked(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """``members`` (digest, n, file, row, neighbourhood, ...) with the unit that each set is searched in, and the block of large ones."""
+    """``members`` (digest, n, neighbourhood) with the unit that each set is searched in, and the block of large ones."""
     total = members.count()
     sizes = members.groupBy("neighbourhood").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets")).where("sets > 1")
     sized = hot_join(members, scratch.keep(sizes, "sizes"), "neighbourhood", "sets", total, "inner")
@@ -373,23 +444,20 @@ def _blocked(members: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _with_sets(texts: DataFrame, folder: str) -> DataFrame:
-    """The sets of the rows noted, with what is noted of them."""
+    """The sets of the rows noted."""
 
-    def by_row(noted: pa.Table) -> dict[int, dict]:
-        return {r["row"]: r for r in noted.to_pylist()}
+    def by_row(noted: pa.Table) -> dict[int, tuple[bytes, int]]:
+        return dict(zip(noted.column("row").to_pylist(), zip(noted.column("digest").to_pylist(), noted.column("short").to_pylist(), strict=True), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         notes = Notes(folder)
         for file, batch in (run for whole in batches for run in runs_of(whole, "file")):
-            known, out = notes.of(file, by_row) or {}, []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
-                if (note := known.get(row)) is not None:
-                    out.append((note["unit"], note["part"], note["neighbourhood"], note["large"], note["digest"], shingle_set(text.as_py()).tobytes()))
+            known = notes.of(file, by_row) or {}
+            out = [(*known[row], shingle_set(text.as_py()).tobytes()) for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True) if row in known]
             if out:
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["unit", "part", "neighbourhood", "large", "digest", "members"])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["digest", "short", "members"])
 
-    return texts.mapInArrow(run, "unit string, part string, neighbourhood bigint, large boolean, digest binary, members binary")
+    return texts.mapInArrow(run, "digest binary, short bigint, members binary")
 
 
 def _by_unit(sets: DataFrame, *order: str) -> DataFrame:
@@ -497,22 +565,28 @@ def _grouped(texts: DataFrame, scratch: Scratch) -> DataFrame:
     classes = rows.where("digest IS NOT NULL").groupBy("digest", "short", "n").agg(least, F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
 
-    posted = scratch.keep(texts.select("text").mapInArrow(_post(order), "hash bigint, a bigint, b bigint"), "posted")
+    parts = max(1, -(-(classes.agg(F.sum("n")).first()[0] or 0) * 2 * (100 - PERCENT) // (100 * RANGE)))
+    shared = texts.select("text").mapInArrow(_post(order, parts), _POSTED).groupBy("part").applyInArrow(_shared, "short bigint, k bigint")
+    shared = shared.groupBy("short").agg(F.sum("k").alias("k"))
+    left = classes.join(shared, "short").where(f"k >= {least_shared('n')}")
+    left = scratch.keep(left.select("digest", "short", "n", F.col("first.file").alias("file"), F.col("first.row").alias("row")), "left")
+    write_notes(left.select("file", "row", "digest", "short"), "file", scratch.path("left-notes"))
+    sets = scratch.keep(_with_sets(texts.select("file", "row", "text"), scratch.path("left-notes")), "sets")
+
+    posted = scratch.keep(sets.mapInArrow(_post_left(order), "hash bigint, a bigint, b bigint"), "posted")
     lists = posted.where("hash IS NOT NULL").select("hash", "a").repartition("hash").sortWithinPartitions("hash")
     edges = posted.where("hash IS NULL").select("a", "b").unionByName(lists.mapInArrow(_join_lists, "a bigint, b bigint"))
-    near = components(scratch.keep(edges.distinct(), "edges"), scratch, "near").withColumnsRenamed({"vertex": "short", "component": "neighbourhood"})
-    scratch.drop("posted", "edges")
-
-    members = classes.join(near, "short").select("digest", "n", F.col("first.file").alias("file"), F.col("first.row").alias("row"), "neighbourhood")
-    units = scratch.keep(_blocked(scratch.keep(members, "members"), scratch), "units")
-    write_notes(units.select("file", "row", "unit", "part", "neighbourhood", "large", "digest"), "file", scratch.path("units-notes"))
-    sets = scratch.keep(_with_sets(texts.select("file", "row", "text"), scratch.path("units-notes")), "sets")
+    near = components(edges, scratch, "near").withColumnsRenamed({"vertex": "short", "component": "neighbourhood"})
+    members = scratch.keep(left.join(near, "short").select("digest", "n", "neighbourhood"), "members")
+    units = _blocked(members, scratch).select("digest", "unit", "part", "neighbourhood", "large")
+    sets = scratch.keep(sets.drop("short").join(units, "digest"), "united")
+    scratch.drop("sets", "posted")
     links = scratch.keep(_by_unit(sets, "digest").mapInArrow(_search_units, "a binary, b binary"), "links")
     of_large = sets.where("large")
     if not of_large.isEmpty():
         links = links.unionByName(_links_of_large(of_large, links, scratch))
     labels = components(links, scratch, "all")
-    scratch.drop("sets", "members", "units")
+    scratch.drop("united", "members")
 
     found = classes.join(labels, F.col("digest") == F.col("vertex"), "left").select("digest", "copies", "first", F.coalesce("component", "digest").alias("component"))
     found = scratch.keep(found, "found")
