@@ -44,8 +44,8 @@ PERCENT = 80
 SKETCH_BITS, SKETCH_BLOCK_BITS = 22, 12
 #: Shingles of the sets that are searched together.
 BLOCK_SHINGLES = 1 << 20
-#: Postings, or links, that a task collapses at a time, and postings of a range of hashes.
-CHUNK, RANGE = 1 << 20, 1 << 22
+#: Links that a task collapses at a time, postings that it packs at a time, and postings of a range of hashes.
+CHUNK, PACKED, RANGE = 1 << 20, 1 << 18, 1 << 22
 #: Entries of short lists up to which the heap merges them; more are merged by sorting their runs, which does the same in arrays.
 HEAP_ENTRIES = 1 << 10
 
@@ -161,7 +161,7 @@ def _post(order, parts: int):
                 hashes.append(order.value.first(s, len(s) - required(len(s)) + 1))
                 owners.append(np.full(len(hashes[-1]), key))
                 held += len(hashes[-1])
-                if held >= CHUNK:
+                if held >= PACKED:
                     yield packed(np.concatenate(hashes), np.concatenate(owners))
                     hashes, owners, held = [], [], 0
         if held:
