@@ -45,7 +45,7 @@ SKETCH_BITS, SKETCH_BLOCK_BITS = 22, 12
 #: Shingles of the sets that are searched together.
 BLOCK_SHINGLES = 1 << 20
 #: Links that a task collapses at a time, postings that it packs at a time, and postings of a range of hashes.
-CHUNK, PACKED, RANGE = 1 << 20, 1 << 18, 1 << 22
+CHUNK, PACKED, RANGE = 1 << 20, 1 << 18, 1 << 20
 #: Entries of short lists up to which the heap merges them; more are merged by sorting their runs, which does the same in arrays.
 HEAP_ENTRIES = 1 << 10
 
