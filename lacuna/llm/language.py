@@ -54,7 +54,8 @@ _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 @lru_cache(maxsize=1)
 def _fold() -> np.ndarray:
     """For each code point its lower-case letter, or 32 if it is no letter."""
-    return np.array([ord(c.lower()) if (c := chr(i)).isalpha() and len(c.lower()) == 1 else i if c.isalpha() else 32 for i in range(sys.maxunicode + 1)], np.uint32)
+    letters = (ord(c.lower()) if (c := chr(i)).isalpha() and len(c.lower()) == 1 else i if c.isalpha() else 32 for i in range(sys.maxunicode + 1))
+    return np.fromiter(letters, np.uint32, sys.maxunicode + 1)
 
 
 def grams(text: str) -> np.ndarray:

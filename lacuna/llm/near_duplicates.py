@@ -46,6 +46,8 @@ SKETCH_BITS, SKETCH_BLOCK_BITS = 22, 12
 BLOCK_SHINGLES = 1 << 20
 #: Links that a task collapses at a time, postings that it packs at a time, and postings of a range of hashes.
 CHUNK, PACKED, RANGE = 1 << 20, 1 << 18, 1 << 20
+#: Sets whose counts are summed together.
+OWNERS = 1 << 16
 #: Entries of short lists up to which the heap merges them; more are merged by sorting their runs, which does the same in arrays.
 HEAP_ENTRIES = 1 << 10
 
@@ -170,22 +172,41 @@ def _post(order, parts: int):
     return run
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """For each set, how many hashes of a range it shares with others."""
+_COUNTED = "part bigint, shared binary, times binary"
 
-    def column(name: str, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)])
 
-    hashes, owners, several = column("hashes", np.uint64), column("owners", np.int64), column("several", np.uint64)
-    order = np.lexsort((owners, hashes))
-    hashes, owners = hashes[order], owners[order]
-    fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1]))[: len(hashes)]  # copies in other tasks
-    hashes, owners = hashes[fresh], owners[fresh]
-    start = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))[: len(hashes)]
-    size = np.diff(np.append(start, len(hashes)))
-    more = np.isin(hashes[start], several) | (size > 1)
-    found, times = (np.frombuffer(x, np.int64) for x in _totals(owners[np.repeat(more, size)]))
-    return pa.table({"short": np.append(found, column("shared", np.int64)), "k": np.append(times, column("times", np.int64))})
+def _shared(owner_parts: int):
+    """How many hashes of a range each set shares with others, packed by ranges of sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        hashes, owners, several = _column(group, "hashes", np.uint64), _column(group, "owners", np.int64), _column(group, "several", np.uint64)
+        order = np.lexsort((owners, hashes))
+        hashes, owners = hashes[order], owners[order]
+        fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1]))[: len(hashes)]  # copies in other tasks
+        hashes, owners = hashes[fresh], owners[fresh]
+        start = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))[: len(hashes)]
+        size = np.diff(np.append(start, len(hashes)))
+        more = np.isin(hashes[start], several) | (size > 1)
+        shared, times = _summed(np.append(owners[np.repeat(more, size)], _column(group, "shared", np.int64)), np.append(np.ones(int(size[more].sum()), np.int64), _column(group, "times", np.int64)))
+        part = shared.view(np.uint64) % np.uint64(owner_parts)
+        rows = [(k, shared[part == k].tobytes(), times[part == k].tobytes()) for k in np.unique(part).tolist()]
+        return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["part", "shared", "times"])
+
+    return run
+
+
+def _column(group: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)])
+
+
+def _summed(shared: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(shared, return_inverse=True)
+    return found, np.bincount(at, times, minlength=len(found)).astype(np.int64)
+
+
+def _sum_shared(group: pa.Table) -> pa.Table:
+    found, times = _summed(_column(group, "shared", np.int64), _column(group, "times", np.int64))
+    return pa.table({"short": found, "k": times})
 
 
 # -- neighbourhoods -------------------------------------------------------------------------
@@ -565,9 +586,10 @@ def _grouped(texts: DataFrame, scratch: Scratch) -> DataFrame:
     classes = rows.where("digest IS NOT NULL").groupBy("digest", "short", "n").agg(least, F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
 
-    parts = max(1, -(-(classes.agg(F.sum("n")).first()[0] or 0) * 2 * (100 - PERCENT) // (100 * RANGE)))
-    shared = texts.select("text").mapInArrow(_post(order, parts), _POSTED).groupBy("part").applyInArrow(_shared, "short bigint, k bigint")
-    shared = shared.groupBy("short").agg(F.sum("k").alias("k"))
+    volume = classes.agg(F.sum("n").alias("n"), F.count("*").alias("sets")).first()
+    parts = max(1, -(-(volume["n"] or 0) * 2 * (100 - PERCENT) // (100 * RANGE)))
+    counted = texts.select("text").mapInArrow(_post(order, parts), _POSTED).groupBy("part").applyInArrow(_shared(max(1, -(-volume["sets"] // OWNERS))), _COUNTED)
+    shared = counted.groupBy("part").applyInArrow(_sum_shared, "short bigint, k bigint")
     left = classes.join(shared, "short").where(f"k >= {least_shared('n')}")
     left = scratch.keep(left.select("digest", "short", "n", F.col("first.file").alias("file"), F.col("first.row").alias("row")), "left")
     write_notes(left.select("file", "row", "digest", "short"), "file", scratch.path("left-notes"))

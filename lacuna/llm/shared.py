@@ -22,13 +22,23 @@ from pyspark.sql import types as T
 #: Everything between words or characters that counts as white space in the text contracts.
 BLANK = r"[\x20\x09-\x0D]+"
 
+#: Rows that go to Python together: a row holds a whole document, so Spark's 10,000 are too many.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A key with more than one part in so many of all rows is hot; so there are no more hot keys than this.
 HOT_KEYS = 4096
 
 _left_over: dict[str, SparkSession] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set the session to ``BATCH_ROWS``, unless it has a number of its own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,6 +88,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         _left_over[self.root] = spark
