@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import quotient_filter as cqf
-from lacuna.llm.shared import BLANK, Scratch, hot_join, picked_rows, placed, session_of
+from lacuna.llm.shared import BLANK, Scratch, hot_join, picked_rows, placed, released, session_of
 
 #: Fingerprints that a task holds before it folds them into sorted distinct ones.
 _FOLD = 1 << 20
@@ -70,7 +70,7 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
         again = counts > 1
         return pa.table({"fp": pa.array(prints[again].view(np.int64)), "copies": pa.array(counts[again])})
 
-    filters = prints.select("fp").mapInArrow(_partition_filters(bits), "block int, filter binary")
+    filters = prints.select("fp").mapInArrow(released(_partition_filters(bits)), "block int, filter binary")
     return filters.groupBy("block").applyInArrow(merge_block, "fp bigint, copies bigint")
 
 

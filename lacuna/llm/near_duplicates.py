@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.shared import Notes, Scratch, hot_join, picked_rows, placed, runs_of, session_of, write_notes
+from lacuna.llm.shared import Notes, Scratch, hot_join, picked_rows, placed, released, runs_of, session_of, write_notes
 from lacuna.llm.shingles import shingle_set
 
 PERCENT = 80
@@ -478,7 +478,7 @@ def _with_sets(texts: DataFrame, folder: str) -> DataFrame:
             if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["digest", "short", "members"])
 
-    return texts.mapInArrow(run, "digest binary, short bigint, members binary")
+    return texts.mapInArrow(released(run), "digest binary, short bigint, members binary")
 
 
 def _by_unit(sets: DataFrame, *order: str) -> DataFrame:
@@ -548,7 +548,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Tasks contract their own links first. Then each round takes the smallest label among the neighbours, then the label of that label.
     """
     links = links.select("a", "b").where("a != b")
-    links = scratch.keep(links.mapInArrow(_contracted, links.schema), f"{name}-contracted")
+    links = scratch.keep(links.mapInArrow(released(_contracted), links.schema), f"{name}-contracted")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     both = scratch.keep(both, f"{name}-links")
     labels = both.groupBy(F.col("a").alias("vertex")).agg(F.min(F.least("a", "b")).alias("component"))
@@ -574,7 +574,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def _grouped(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """For each row of ``texts`` (doc_id, file, row, text): doc_id, file, row, n_shingles, component_id, stays."""
     spark = session_of(texts)
-    first = scratch.keep(texts.mapInArrow(_first_pass, _ROW), "first")
+    first = scratch.keep(texts.mapInArrow(released(_first_pass), _ROW), "first")
     rows = first.where("block IS NULL").select("doc_id", "file", "row", "n", "digest", "short")
     blocks = first.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_sum_block, "block int, counts binary")
     counts = np.zeros((1 << (SKETCH_BITS - SKETCH_BLOCK_BITS), 1 << SKETCH_BLOCK_BITS), np.uint32)
@@ -588,14 +588,14 @@ def _grouped(texts: DataFrame, scratch: Scratch) -> DataFrame:
 
     volume = classes.agg(F.sum("n").alias("n"), F.count("*").alias("sets")).first()
     parts = max(1, -(-(volume["n"] or 0) * 2 * (100 - PERCENT) // (100 * RANGE)))
-    counted = texts.select("text").mapInArrow(_post(order, parts), _POSTED).groupBy("part").applyInArrow(_shared(max(1, -(-volume["sets"] // OWNERS))), _COUNTED)
+    counted = texts.select("text").mapInArrow(released(_post(order, parts)), _POSTED).groupBy("part").applyInArrow(_shared(max(1, -(-volume["sets"] // OWNERS))), _COUNTED)
     shared = counted.groupBy("part").applyInArrow(_sum_shared, "short bigint, k bigint")
     left = classes.join(shared, "short").where(f"k >= {least_shared('n')}")
     left = scratch.keep(left.select("digest", "short", "n", F.col("first.file").alias("file"), F.col("first.row").alias("row")), "left")
     write_notes(left.select("file", "row", "digest", "short"), "file", scratch.path("left-notes"))
     sets = scratch.keep(_with_sets(texts.select("file", "row", "text"), scratch.path("left-notes")), "sets")
 
-    posted = scratch.keep(sets.mapInArrow(_post_left(order), "hash bigint, a bigint, b bigint"), "posted")
+    posted = scratch.keep(sets.mapInArrow(released(_post_left(order)), "hash bigint, a bigint, b bigint"), "posted")
     lists = posted.where("hash IS NOT NULL").select("hash", "a").repartition("hash").sortWithinPartitions("hash")
     edges = posted.where("hash IS NULL").select("a", "b").unionByName(lists.mapInArrow(_join_lists, "a bigint, b bigint"))
     near = components(edges, scratch, "near").withColumnsRenamed({"vertex": "short", "component": "neighbourhood"})
@@ -603,7 +603,7 @@ def _grouped(texts: DataFrame, scratch: Scratch) -> DataFrame:
     units = _blocked(members, scratch).select("digest", "unit", "part", "neighbourhood", "large")
     sets = scratch.keep(sets.drop("short").join(units, "digest"), "united")
     scratch.drop("sets", "posted")
-    links = scratch.keep(_by_unit(sets, "digest").mapInArrow(_search_units, "a binary, b binary"), "links")
+    links = scratch.keep(_by_unit(sets, "digest").mapInArrow(released(_search_units), "a binary, b binary"), "links")
     of_large = sets.where("large")
     if not of_large.isEmpty():
         links = links.unionByName(_links_of_large(of_large, links, scratch))

@@ -30,12 +30,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.shared import Notes, Scratch, runs_of, session_of, write_notes
+from lacuna.llm.shared import Notes, Scratch, released, runs_of, session_of, write_notes
 
 WINDOW = 2048
 END_ID = 1
 #: Words, and parts of words, that a worker remembers the ids of, in each of two generations.
-WORDS_HELD = 250_000
+WORDS_HELD = 120_000
+#: Pieces that a task hands on together.
+ROWS_HELD = 1024
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 #: Characters whose lower case and composed form are plain for certain: ASCII and the letters of Latin-1.
 _PLAIN = re.compile(r"[\x20-~\t-\rÀ-ÖØ-öø-ÿ]*")
@@ -237,13 +239,13 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool
                     n = len(part) // 4
                     rows.append((doc_id, start, n, zlib.crc32(part), total, task, seen[n], *([part] if with_ids else [])))
                     seen[n] += 1
-                if len(rows) >= 4096:
+                if len(rows) >= ROWS_HELD:
                     yield _batch(rows, schema)
                     rows = []
             if rows:
                 yield _batch(rows, schema)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(released(run), schema)
 
 
 def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
@@ -298,7 +300,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
             rest = [batch.column("ids")] if with_ids else []
             yield pa.record_batch([*same, pa.array(sequence), pa.array(offset), pa.array(padded), *rest], names=schema.names)
 
-    return found.mapInArrow(place, schema)
+    return found.mapInArrow(released(place), schema)
 
 
 def default_tokenizer() -> str:

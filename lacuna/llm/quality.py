@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.shared import free_name, id_crc32, session_of, table, with_fields
+from lacuna.llm.shared import free_name, id_crc32, released, session_of, table, with_fields
 
 #: Labelled rows of each label that training reads at most, and bytes of their texts; texts are taken whole or not at all.
 TRAIN_ROWS, TRAIN_BYTES = 4000, 48 << 20
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: QualityModel, name: str = "quality_score") ->
             yield batch.append_column(name, pa.array(held.value.score(found)))
 
     plain = docs.drop(name)
-    return plain.mapInArrow(run, with_fields(plain, **{name: "double"}))
+    return plain.mapInArrow(released(run), with_fields(plain, **{name: "double"}))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

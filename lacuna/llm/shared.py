@@ -6,10 +6,12 @@ Nothing outside ``lacuna.llm`` imports this module.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,6 +39,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, whose worker gives memory that it no longer uses back when the task ends: Spark keeps idle workers for later tasks."""
+
+    @wraps(run)
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return call
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -235,7 +252,7 @@ def picked_rows(docs: DataFrame, file: str, row: str, noted: DataFrame, scratch:
                 if part.num_rows:
                     yield part.select([c for c in part.schema.names if c not in (file, row)])
 
-    return docs.mapInArrow(run, docs.drop(file, row).schema)
+    return docs.mapInArrow(released(run), docs.drop(file, row).schema)
 
 
 # -- joins ----------------------------------------------------------------------------------
