@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.shared import free_name, id_crc32, released, session_of, table, with_fields
+from lacuna.llm.shared import free_name, heavy, id_crc32, released, session_of, table, with_fields
 
 #: Labelled rows of each language that training reads at most, each as a whole.
 TRAIN_ROWS = 1200
@@ -51,6 +51,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
+@heavy
 @lru_cache(maxsize=1)
 def _fold() -> np.ndarray:
     """For each code point its lower-case letter, or 32 if it is no letter."""
@@ -285,7 +286,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (id_crc32(F.col("doc_id"), HOLD_OUT) != HOLD_OUT_REST))
     known = known.select("lang", F.col("doc_id").cast("bigint"), "text")
-    blocks = known.select("text").mapInArrow(released(_document_frequencies), "block int, counts binary").groupBy("block").applyInArrow(_summed, "block int, counts binary").collect()
+    blocks = known.select("text").mapInArrow(released(_document_frequencies, "_fold"), "block int, counts binary").groupBy("block").applyInArrow(_summed, "block int, counts binary").collect()
     df, documents = np.zeros((1 << TABLE_BITS) // BLOCK * BLOCK).reshape(-1, BLOCK), 0
     for r in blocks:  # 1 MB at any size of the corpus
         found = np.frombuffer(r["counts"], np.int64)
@@ -323,7 +324,7 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("l
             yield batch.append_column(names[0], pa.array([x for x, _ in got], pa.string())).append_column(names[1], pa.array([x for _, x in got], pa.float64()))
 
     plain = docs.drop(*names)
-    return plain.mapInArrow(released(run), with_fields(plain, **dict(zip(names, ("string", "double"), strict=True))))
+    return plain.mapInArrow(released(run, "_fold"), with_fields(plain, **dict(zip(names, ("string", "double"), strict=True))))
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:

@@ -604,6 +604,7 @@ def _grouped(texts: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.keep(sets.drop("short").join(units, "digest"), "united")
     scratch.drop("sets", "posted")
     links = scratch.keep(_by_unit(sets, "digest").mapInArrow(released(_search_units), "a binary, b binary"), "links")
+    order.destroy()  # all that uses it is written
     of_large = sets.where("large")
     if not of_large.isEmpty():
         links = links.unionByName(_links_of_large(of_large, links, scratch))

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.shared import Notes, Scratch, released, runs_of, session_of, write_notes
+from lacuna.llm.shared import Notes, Scratch, heavy, released, runs_of, session_of, write_notes
 
 WINDOW = 2048
 END_ID = 1
@@ -245,7 +245,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool
             if rows:
                 yield _batch(rows, schema)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(released(run), schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(released(run, "_encoder"), schema)
 
 
 def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
@@ -253,6 +253,7 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(zip(*rows, strict=True), schema.fields, strict=True)], names=schema.names)
 
 
+@heavy
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

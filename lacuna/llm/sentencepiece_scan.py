@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.shared import Scratch, released, session_of, with_fields
+from lacuna.llm.shared import Scratch, heavy, released, session_of, with_fields
 
 #: Documents with more characters are split into chunks of as many.
 CHUNK = 1 << 15
@@ -418,6 +418,7 @@ def _product(a: int, b: int) -> int:
     return out
 
 
+@heavy
 @lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -578,9 +579,9 @@ def _pieces(docs: DataFrame, model: str, digests: bool) -> tuple[DataFrame, Data
             if out:
                 yield tell(v, _batch(out, _STRETCH | _IDS))
 
-    at_once = rows.where(F.coalesce(~giant, F.lit(True))).mapInArrow(released(whole), _ddl(_WHOLE | told))
+    at_once = rows.where(F.coalesce(~giant, F.lit(True))).mapInArrow(released(whole, "vocabulary"), _ddl(_WHOLE | told))
     chunks = rows.where(giant).mapInArrow(cut, _ddl(_CUT)).repartition("document", "number")
-    done = scratch.keep(chunks.mapInArrow(released(passed), _ddl(_PASSED | told)), "passed")
+    done = scratch.keep(chunks.mapInArrow(released(passed, "vocabulary"), _ddl(_PASSED | told)), "passed")
     # From here on only matrices and the ends of chunks are exchanged; what lies between stays where it was written.
     scored = done.select("document", "number", "matrix").groupBy("document").applyInArrow(entries, "document string, number int, scores binary")
     mapped = done.select("document", "number", "head", "tail", "body").join(scored, ["document", "number"]).mapInArrow(maps, _ddl(_ENDS))

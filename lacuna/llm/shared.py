@@ -39,11 +39,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, whose worker gives memory that it no longer uses back when the task ends: Spark keeps idle workers for later tasks."""
+_heavy: list = []
+
+
+def heavy(cached):
+    """Marks what is remembered between tasks (an ``lru_cache``) as large: tasks of other operators forget it."""
+    _heavy.append(cached)
+    return cached
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], own: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, whose worker forgets what other operators than its ``own`` remember, and gives memory that it no longer uses
+    back when the task ends: Spark keeps idle workers for later tasks."""
 
     @wraps(run)
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cached in _heavy:
+            if cached.__name__ != own:
+                cached.cache_clear()
         try:
             yield from run(batches)
         finally:
