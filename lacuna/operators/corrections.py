@@ -8,6 +8,7 @@ they are replayed image by image in ``lacuna.raster.replay``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import rounded
@@ -22,10 +23,9 @@ def apply_points(judged: DataFrame, log: DataFrame) -> DataFrame:
     ``judged``: image_id, label, filter_name, reason, ...; ``log``: image_id, seq, action, label.
     An action that finds the object in the wanted state leaves its reason as it is.
     """
-    last = log.groupBy("image_id", "label").agg(F.max_by("action", "seq").alias("last_action"), F.count("*").alias("actions"))
     # Rejected by hand, or by hand again after a restoration: else the automatic reason stands.
-    restored = log.where(F.col("action") == RESTORE).groupBy("image_id", "label").agg(F.count("*").alias("restorations"))
-    rows = judged.join(last, ["image_id", "label"], "left").join(restored, ["image_id", "label"], "left")
+    last = log.groupBy("image_id", "label").agg(F.max_by("action", "seq").alias("last_action"), F.count_if(F.col("action") == RESTORE).alias("restorations"))
+    rows = judged.join(last, ["image_id", "label"], "left")
     before = F.col("filter_name").isNull()
     now = F.coalesce(F.col("last_action") == RESTORE, before)
     by_hand = ~now & (before | (F.coalesce("restorations", F.lit(0)) > 0))
@@ -59,15 +59,18 @@ def stored_corrections(judged: DataFrame, log: DataFrame, has_area: bool = False
 
 
 def undone(log: DataFrame) -> DataFrame:
-    """A log with ``rueckgaengig`` entries, replayed as a stack: the corrections that stand, in order."""
-    ordered = log.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "label"))).alias("log"))
-    kind = ordered.schema["log"].dataType.simpleString()
+    """A log with ``rueckgaengig`` entries, replayed as a stack: the corrections that stand, in order of ``seq``.
 
-    def step(stack: Column, e: Column) -> Column:
-        popped = F.when(F.size(stack) > 0, F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(stack)
-        return F.when(e["action"] == UNDO, popped).otherwise(F.concat(stack, F.array(e))).cast(kind)
-
-    return ordered.select("image_id", F.explode(F.aggregate("log", F.array().cast(kind), step)).alias("e")).select("image_id", "e.seq", "e.action", "e.label")
+    The height of the stack after each entry is a running sum that never falls below nothing; a correction stands
+    if the stack is never lower afterwards than it was with it on top. One sort by image, no list of the log.
+    """
+    so_far = W.partitionBy("image_id").orderBy("seq")
+    later = so_far.rowsBetween(1, W.unboundedFollowing)
+    rows = log.withColumn("_sum", F.sum(F.when(F.col("action") == UNDO, -1).otherwise(1)).over(so_far))
+    rows = rows.withColumn("_height", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far)))
+    rows = rows.withColumn("_least", F.min("_height").over(later))
+    stands = (F.col("action") != UNDO) & (F.coalesce("_least", "_height") >= F.col("_height"))
+    return rows.where(stands).select("image_id", "seq", "action", "label")
 
 
 def to_json(action: Column, x: Column, y: Column, points: Column) -> Column:

@@ -429,7 +429,7 @@ def scale_consensus(spark: SparkSession, d: str) -> DataFrame:
     return sc.votes(view(spark, d, "readings")).select("candidate_id", "consensus")
 
 
-@query("scale_readings_asked")
+@query("scale_readings_asked", _FOLD + "SELECT f.candidate_id, coalesce(min(f.k) FILTER (WHERE len(firsts)=1 AND votes[1]>=1.5 AND (f.k%2=0 OR f.k=r.total)), max(r.total)) AS asked FROM fold f JOIN r USING (candidate_id, k) GROUP BY f.candidate_id")
 def scale_readings_asked(spark: SparkSession, d: str) -> DataFrame:
     return sc.readings_asked(view(spark, d, "readings"))
 
@@ -449,9 +449,9 @@ def scale_override(spark: SparkSession, d: str) -> DataFrame:
 _CAND = "SELECT l_suppkey AS image_id, l_orderkey*8+l_linenumber AS seq, l_discount*10 AS score, CASE WHEN l_returnflag='R' THEN NULL ELSE 1+l_tax END AS um_per_px, l_tax*10 AS confidence FROM {lineitem}"
 
 
-@query("scale_resolve", "WITH c AS (" + _CAND.replace("{lineitem}", "lineitem") + ") SELECT image_id, max(score) AS score FROM c WHERE um_per_px IS NOT NULL GROUP BY image_id")
+@query("scale_resolve", "WITH c AS (" + _CAND.replace("{lineitem}", "lineitem") + ") SELECT image_id, um_per_px, confidence, score FROM c WHERE um_per_px IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, seq, um_per_px DESC, confidence DESC)=1")
 def scale_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return sc.resolve(spark.sql(_CAND, lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))).select("image_id", "score")
+    return sc.resolve(spark.sql(_CAND, lineitem=spark.read.parquet(f"{d}/lineitem.parquet")))
 
 
 @query("scale_overlay_score", _OBJ + "SELECT image_id, label, round(least(1.0, solidity*0.5+CASE WHEN touches_image_edge THEN 0.25 ELSE 0 END+0.1*eccentricity+0.05*least(1.0, area_px/(bbox_w*bbox_h))), 9) AS score FROM objects")
@@ -484,7 +484,7 @@ def corr_set_counted(spark: SparkSession, d: str) -> DataFrame:
     return co.stored_corrections(_judged(spark, d), view(spark, d, "corrections"))
 
 
-@query("corr_undo")
+@query("corr_undo", oracle_views("corrections") + ", h AS (SELECT image_id, seq, CASE WHEN seq%4=0 THEN 'rueckgaengig' ELSE action END AS action, label, sum(CASE WHEN seq%4=0 THEN -1 ELSE 1 END) OVER (PARTITION BY image_id ORDER BY seq) AS height FROM corrections) SELECT image_id, seq, action, label FROM h WHERE action<>'rueckgaengig' AND NOT EXISTS (SELECT 1 FROM h AS later WHERE later.image_id=h.image_id AND later.seq>h.seq AND later.height<h.height)")
 def corr_undo(spark: SparkSession, d: str) -> DataFrame:
     log = view(spark, d, "corrections")
     return co.undone(log.withColumn("action", F.when(F.col("seq") % 4 == 0, co.UNDO).otherwise(F.col("action"))))
@@ -602,6 +602,18 @@ def raster_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return stat.per_image(images, judged).orderBy("image_id")
 
 
+@query("corr_replay")
+def corr_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Each image gets a drawing, an area and a point correction; the objects that stand after their replay."""
+    results = im.analysed(_images(spark, d), seg.Segmentation(method="full_frame"), det.Detection(strict_method="otsu_masked", strict_floor=10.0))
+    corners = lambda a, z: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((a, a), (z, a), (z, z), (a, z))])
+    steps = [(co.DRAW, 0.0, corners(5, 20)), (co.AREA, 0.0, corners(30, 60)), (co.REMOVE, 10.0, None)]
+    entries = [F.struct(F.lit(k).alias("seq"), F.lit(a).alias("action"), F.lit(at).alias("x"), F.lit(at).alias("y"), (F.lit(None).cast("array<struct<x:double,y:double>>") if p is None else p).alias("points")) for k, (a, at, p) in enumerate(steps)]
+    log = results.select("image_id", F.explode(F.array(*entries)).alias("e")).select("image_id", "e.*")
+    found = im.corrected(results, fl.apply(im.objects(results)), log)
+    return found.select("image_id", F.explode("objects").alias("o"), F.size("missed").alias("missed")).select("image_id", "o.*", "missed")
+
+
 def _add_segmenters() -> None:
     for name in ("full_frame", "largest_region", *seg.METHODS):
 
@@ -617,9 +629,18 @@ _add_segmenters()
 # -- folders, viewer list, evaluations ----------------------------------------------------------
 
 
-@query("viewer_list", _JUDGED + f"SELECT image_id, label, CASE WHEN filter_name IS NULL THEN 'counted' ELSE 'rejected' END AS status, coalesce(reason, '') AS reason, false AS by_hand, round(area_px, 1) AS area_px, round({_UM2}, 3) AS area_um2, round({_CIRC}, 3) AS circularity FROM judged")
+_VIEW = _CORR + f""", sh AS (SELECT c.*, j.area_px, j.um_per_px, j.equivalent_diameter_px AS diameter, j.perimeter_px, j.solidity AS sol, j.contrast AS con, j.touches_image_edge, j.touches_specimen_edge, j.reason AS why,
+  NOT counted AND (counted_before OR restorations>0) AS by_hand FROM cor c JOIN judged j USING (image_id, label))
+SELECT image_id, label, CASE WHEN counted THEN 'behalten' ELSE 'verworfen' END AS status,
+  CASE WHEN NOT counted THEN CASE WHEN by_hand THEN 'von_hand - von Hand entfernt' ELSE fn||' - '||why END END AS reason,
+  CASE WHEN counted_before AND NOT counted THEN 'entfernt' WHEN counted AND NOT counted_before THEN 'aufgenommen' END AS manual,
+  round_even(area_px, 3) AS area_px, round_even({_UM2}, 3) AS area_um2, round_even(diameter, 3) AS diameter_px, round_even(diameter*um_per_px, 3) AS diameter_um,
+  round_even({_CIRC}, 3) AS circularity, round_even(sol, 3) AS solidity, round_even(con, 3) AS contrast, touches_image_edge, touches_specimen_edge FROM sh"""
+
+
+@query("viewer_list", _VIEW)
 def viewer_list(spark: SparkSession, d: str) -> DataFrame:
-    return ev.viewer_list(_judged(spark, d))
+    return ev.viewer_list(co.apply_points(_judged(spark, d), view(spark, d, "corrections")))
 
 
 @query("output_folders", "SELECT 'a/Probe_'||CAST(p_partkey AS VARCHAR)||'.tif' AS path, 'Probe_'||CAST(p_partkey AS VARCHAR) AS folder FROM part")

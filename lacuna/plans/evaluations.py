@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import formulas as fm
-from lacuna.operators import corrections as co
+from lacuna.functions.text import rounded
 
 # -- evaluation modules -------------------------------------------------------------------------
 
@@ -83,19 +83,30 @@ def output_folders(images: DataFrame) -> DataFrame:
     return images.select("path", stem.alias("stem"), family.alias("family")).groupBy("family").applyInPandas(number, "path string, folder string")
 
 
+# What the list calls the state of an object, and what a hand did to it.
+KEPT, REJECTED = "behalten", "verworfen"
+BY_HAND = {"removed": "entfernt", "restored": "aufgenommen"}
+
+
 def viewer_list(corrected: DataFrame) -> DataFrame:
-    """Counted and rejected objects in one list, the largest first within an image."""
-    um = F.col("um_per_px")
-    rows = corrected.select(
+    """Counted and rejected objects in one list, after corrections (``corrections.apply_points``). Its order, the largest first, is the reader's to ask for."""
+    um, number = F.col("um_per_px"), lambda c: rounded(c, 3)
+    manual = F.when(F.col("counted_before") & ~F.col("counted"), BY_HAND["removed"]).when(~F.col("counted_before") & F.col("counted"), BY_HAND["restored"])
+    return corrected.select(
         "image_id",
         "label",
-        F.when(F.col("filter_name").isNull(), "counted").otherwise("rejected").alias("status"),
-        F.coalesce("reason", F.lit("")).alias("reason"),
-        F.coalesce(F.col("filter_name") == co.MANUAL, F.lit(False)).alias("by_hand"),
-        F.round("area_px", 1).alias("area_px"),
-        F.round(fm.area_um2("area_px", um), 3).alias("area_um2"),
-        F.round(fm.circularity("area_px", "perimeter_px"), 3).alias("circularity"),
+        F.when(F.col("counted"), KEPT).otherwise(REJECTED).alias("status"),
+        F.when(~F.col("counted"), F.concat_ws(" - ", "filter_name", "reason")).alias("reason"),
+        manual.alias("manual"),
+        number(F.col("area_px")).alias("area_px"),
+        number(fm.area_um2("area_px", um)).alias("area_um2"),
+        number(F.col("equivalent_diameter_px")).alias("diameter_px"),
+        number(F.col("equivalent_diameter_px") * um).alias("diameter_um"),
+        number(fm.circularity("area_px", "perimeter_px")).alias("circularity"),
+        number(F.col("solidity")).alias("solidity"),
+        number(F.col("contrast")).alias("contrast"),
+        "touches_image_edge",
+        "touches_specimen_edge",
     )
-    return rows.orderBy("image_id", F.desc("area_px"), "label")
 
 

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.raster import basics, codec, detection, measure, overlay, segmentation
+from lacuna.raster import basics, codec, detection, measure, overlay, replay, segmentation
 
 IMAGE_NAME = r"(?i)\.(png|jpe?g|tiff?|bmp)$"
 _OBJECT = "struct<" + ",".join(f"{k}:{v}" for k, v in measure.FIELDS.items()) + ">"
-RESULT = f"image_id string, name string, width int, height int, specimen_area_px bigint, excluded_area_px bigint, resin_fraction double, um_per_px double, thresholds map<string,double>, warnings array<string>, objects array<{_OBJECT}>, labels binary, error string"
+RESULT = f"image_id string, name string, width int, height int, specimen_area_px bigint, excluded_area_px bigint, resin_fraction double, um_per_px double, thresholds map<string,double>, warnings array<string>, objects array<{_OBJECT}>, labels binary, specimen binary, error string"
 
 
 def files(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
@@ -63,6 +63,7 @@ def analyse(gray: np.ndarray, seg: segmentation.Segmentation, det: detection.Det
         "warnings": [*found.notes, *detected.notes],
         "objects": measure.measure(labels, gray, depth, specimen),
         "labels": labels.astype("<i4").tobytes(),
+        "specimen": np.packbits(specimen).tobytes(),
     }
 
 
@@ -98,6 +99,57 @@ def objects(results: DataFrame) -> DataFrame:
     return rows.select("image_id", "name", "um_per_px", "specimen_area_px", "o.*")
 
 
+def corrected(results: DataFrame, judged: DataFrame, log: DataFrame) -> DataFrame:
+    """Manual corrections replayed on pixels: image_id, labels (as in ``analysed``), objects, missed.
+
+    ``results`` are those of ``analysed``, ``judged`` their objects with filter_name and reason, ``log`` has image_id, seq, action, x, y, points
+    (null for point corrections). An object tells its label, whether it is counted, why not, which correction drew it, and its area;
+    ``missed`` numbers the corrections, from 0, that met nothing. An image without corrections comes back as it was.
+    """
+    schema = "image_id string, labels binary, objects array<struct<label:int,counted:boolean,reason:string,drawn:int,area_px:bigint>>, missed array<int>"
+    rejected = judged.where(F.col("filter_name").isNotNull()).groupBy("image_id").agg(F.collect_list(F.struct("label", "reason")).alias("rejected"))
+    logs = log.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "x", "y", "points"))).alias("log"))
+    rows = results.where("error IS NULL").select("image_id", "width", "height", "labels").join(rejected, "image_id", "left").join(logs, "image_id", "left")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(results.sparkSession.createDataFrame([], schema).schema)
+
+    def one(r: dict) -> dict:
+        labels = np.frombuffer(r["labels"], "<i4").reshape(r["height"], r["width"])
+        automatic = {x["label"]: x["reason"] for x in r["rejected"] or []}
+        counted = set(np.unique(labels).tolist()) - {0} - automatic.keys()
+        steps = [replay.Correction(x["action"], x["x"], x["y"], tuple((p["x"], p["y"]) for p in x["points"] or ())) for x in r["log"] or []]
+        out = replay.replay(labels, counted, automatic, steps)
+        area = np.bincount(out.labels.ravel())
+        objects = [{"label": k, "counted": k in out.counted, "reason": out.rejected.get(k), "drawn": out.drawn.get(k), "area_px": int(area[k])} for k in sorted(out.counted | out.rejected.keys())]
+        return {"image_id": r["image_id"], "labels": out.labels.astype("<i4").tobytes(), "objects": objects, "missed": out.missed}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one image at a time
+                yield pa.RecordBatch.from_pylist([one(batch.slice(k, 1).to_pylist()[0])], schema=target)
+
+    return rows.mapInArrow(run, schema)
+
+
+def pictures(images: DataFrame, results: DataFrame, judged: DataFrame) -> DataFrame:
+    """The picture of results and that of the mask of each image, as PNG: image_id, result_png, mask_png."""
+    counted = judged.where(F.col("filter_name").isNull()).groupBy("image_id").agg(F.collect_list("label").alias("counted"))
+    rows = images.select(F.col("image_id").cast("string").alias("image_id"), "gray").join(results.where("error IS NULL").select("image_id", "width", "height", "labels", "specimen"), "image_id").join(counted, "image_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                shape = r["height"], r["width"]
+                gray, labels = np.frombuffer(r["gray"], np.uint8).reshape(shape), np.frombuffer(r["labels"], "<i4").reshape(shape)
+                specimen = np.unpackbits(np.frombuffer(r["specimen"], np.uint8), count=gray.size).reshape(shape).astype(bool)
+                shown = codec.result_picture(gray, labels, r["counted"] or []), codec.mask_picture(specimen, labels, r["counted"] or [])
+                yield pa.record_batch({"image_id": pa.array([r["image_id"]]), "result_png": pa.array([shown[0]], pa.binary()), "mask_png": pa.array([shown[1]], pa.binary())})
+
+    return rows.mapInArrow(run, "image_id string, result_png binary, mask_png binary")
+
+
 def overlays(images: DataFrame) -> DataFrame:
     """Scale overlay candidates of each image: image_id, seq, kind, bar, box, label, score, notes."""
     box = "struct<x:int,y:int,w:int,h:int>"
