@@ -65,7 +65,8 @@ def output_folders(images: DataFrame) -> DataFrame:
     """path, folder: the file's stem, with _2, _3 ... where that is taken, whatever the case, by an earlier path.
 
     A made-up name can meet a real one, but only within names that share what is left without such
-    endings; each of those families, a few files, is numbered in order by one task.
+    endings. Where no two names of such a family are equal nothing has to be made up, and each file's name is its own; the
+    others are numbered in order, a family by one task.
     """
 
     def number(frame: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +81,10 @@ def output_folders(images: DataFrame) -> DataFrame:
 
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
     family = F.regexp_replace(F.lower(stem), r"(_\d+)+$", "")
-    return images.select("path", stem.alias("stem"), family.alias("family")).groupBy("family").applyInPandas(number, "path string, folder string")
+    named = images.select("path", stem.alias("stem"), family.alias("family"))
+    twice = named.groupBy("family", F.lower("stem").alias("name")).agg(F.count("*").alias("n")).where("n > 1").select("family").distinct()
+    alone = named.join(twice, "family", "left_anti").select("path", F.col("stem").alias("folder"))
+    return alone.unionByName(named.join(twice, "family").groupBy("family").applyInPandas(number, "path string, folder string"))
 
 
 # What the list calls the state of an object, and what a hand did to it.
