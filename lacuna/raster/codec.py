@@ -1,7 +1,9 @@
-"""Image files to arrays and back: PNG, uncompressed BMP and TIFF (plain, PackBits or deflate)."""
+"""Image files to arrays and back: PNG, sequential JPEG, uncompressed BMP and TIFF (plain, PackBits, LZW or deflate)."""
 
 from __future__ import annotations
 
+import math
+import re
 import struct
 import zlib
 
@@ -26,6 +28,8 @@ def read(data: bytes) -> tuple[np.ndarray, np.ndarray | None]:
             raw = _bmp(data)
         elif data[:4] in (b"II*\x00", b"MM\x00*"):
             raw = _tiff(data)
+        elif data[:3] == b"\xff\xd8\xff":
+            raw = _jpeg(data)
         else:
             raise ImageReadError("unknown format")
     except ImageReadError:
@@ -80,22 +84,34 @@ def _png(data: bytes) -> np.ndarray:
     if head is None:
         raise ImageReadError("no header")
     w, h, depth, colour, _, _, interlaced = head
-    if interlaced:
-        raise ImageReadError("interlaced")
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    raw, out, begin = zlib.decompress(packed), np.zeros((h, w, channels), np.uint16 if depth == 16 else np.uint8), 0
+    for y, x, down, right in _PASSES if interlaced else ((0, 0, 1, 1),):
+        part = out[y::down, x::right]
+        if part.size:
+            part[...], begin = _lines(raw, begin, *part.shape, depth)
+    if depth < 8 and colour != 3:
+        out *= 255 // ((1 << depth) - 1)
+    return palette[out[..., 0]] if colour == 3 else out
+
+
+# First row, first column and their steps in the seven passes of an interlaced PNG.
+_PASSES = (0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)
+
+
+def _lines(raw: bytes, begin: int, h: int, w: int, channels: int, depth: int) -> tuple[np.ndarray, int]:
+    """Samples of the filtered lines that begin at a byte, and the byte after them."""
     row, step = (w * channels * depth + 7) // 8, max(1, channels * depth // 8)
-    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, row + 1)
+    lines = np.frombuffer(raw, np.uint8, h * (row + 1), begin).reshape(h, row + 1)
     out, above = np.zeros((h, row), np.uint8), np.zeros(row, np.uint8)
     for y in range(h):
-        out[y] = above = _unfiltered(int(raw[y, 0]), raw[y, 1:], above, step)
+        out[y] = above = _unfiltered(int(lines[y, 0]), lines[y, 1:], above, step)
     if depth == 16:
         out = out.view(">u2").astype(np.uint16)
     elif depth < 8:
         bits = np.unpackbits(out, axis=1).reshape(h, -1, depth)[:, : w * channels]
         out = (bits * (1 << np.arange(depth)[::-1])).sum(axis=2).astype(np.uint8)
-        out = out if colour == 3 else (out * (255 // ((1 << depth) - 1))).astype(np.uint8)
-    out = out.reshape(h, w, channels)
-    return palette[out[..., 0]] if colour == 3 else out
+    return out.reshape(h, w, channels), begin + lines.size
 
 
 def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
@@ -144,17 +160,51 @@ def _tiff(data: bytes) -> np.ndarray:
     w, h, packed = tags[256][0], tags[257][0], tags.get(259, (1,))[0]
     channels, bits, sample = tags.get(277, (1,))[0], tags.get(258, (8,))[0], tags.get(339, (1,))[0]
     kind = {(8, 1): "u1", (16, 1): "u2", (32, 3): "f4", (64, 3): "f8"}.get((bits, sample))
-    if kind is None or tags.get(284, (1,))[0] != 1 or 322 in tags or tags.get(317, (1,))[0] != 1:
+    predictor = tags.get(317, (1,))[0]
+    if kind is None or tags.get(284, (1,))[0] != 1 or predictor not in (1, 2):
         raise ImageReadError("unknown kind of TIFF")
-    unpack = {1: bytes, 5: None, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpacked_bits}.get(packed)
+    unpack = {1: bytes, 5: _unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpacked_bits}.get(packed)
     if unpack is None:
         raise ImageReadError(f"TIFF compression {packed}")
-    parts = b"".join(unpack(data[o : o + n]) for o, n in zip(tags[273], tags[279], strict=True))
-    out = np.frombuffer(parts, e + kind, w * h * channels).reshape(h, w, channels)
-    out = out.astype(out.dtype.newbyteorder("="))
+    tiled = 322 in tags
+    wide, high = (tags[322][0], tags[323][0]) if tiled else (w, min(h, tags.get(278, (h,))[0]))
+    across, out = -(-w // wide), np.zeros((h, w, channels), kind)
+    for k, (o, n) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
+        y, x = k // across * high, k % across * wide
+        place = out[y : y + high, x : x + wide]
+        rows = high if tiled else len(place)
+        part = np.frombuffer(unpack(data[o : o + n]), e + kind, rows * wide * channels).reshape(rows, wide, channels).astype(kind)
+        if predictor == 2:
+            part = part.cumsum(axis=1, dtype=kind)
+        place[...] = part[: place.shape[0], : place.shape[1]]
+    if tags.get(262, (1,))[0] == 3:
+        return (np.array(tags[320]).reshape(3, -1).T // 257).astype(np.uint8)[out[..., 0]]
     return (out.max() - out if sample == 3 else np.iinfo(out.dtype).max - out) if tags.get(262, (1,))[0] == 0 else out
 
 
+def _unpacked_lzw(data: bytes) -> bytes:
+    first = [bytes([k]) for k in range(256)] + [b"", b""]
+    out, known, width, last, held, n = bytearray(), first.copy(), 9, b"", 0, 0
+    for byte in data:
+        held, n = held << 8 | byte, n + 8
+        if n < width:
+            continue
+        n -= width
+        code, held = held >> n, held & ((1 << n) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            known, width, last = first.copy(), 9, b""
+            continue
+        now = known[code] if code < len(known) else last + last[:1]
+        if last:
+            known.append(last + now[:1])
+        out += now
+        # A code gets wider one entry before it has to.
+        last, width = now, min(12, max(9, (len(known) + 1).bit_length()))
+    return bytes(out)
+
+
 def _unpacked_bits(data: bytes) -> bytes:
     out, at = bytearray(), 0
     while at < len(data):
@@ -169,6 +219,157 @@ def _unpacked_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+# -- JPEG ---------------------------------------------------------------------------------------
+
+# Place in the block of each coefficient in its order in the file: diagonal by diagonal, in turns up and down.
+_ZIGZAG = sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8))
+_COSINES = np.array([[math.sqrt((1 if u else 0.5) / 4) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def _jpeg(data: bytes) -> np.ndarray:
+    """Sequential Huffman-coded JPEG of 8 bits, gray or of three channels."""
+    at, codes, steps, every, transform, planes = 2, {}, {}, 0, None, {}
+    while data[at + 1] != 0xD9:
+        kind, (size,) = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])
+        body = data[at + 4 : at + 2 + size]
+        if data[at] != 0xFF or len(body) != size - 2:
+            raise ImageReadError("cut short")
+        at += 2 + size
+        if kind == 0xDB:
+            while body:
+                wide, n = body[0] >> 4, 65 + 64 * (body[0] >> 4)
+                steps[body[0] & 15] = np.frombuffer(body[1:n], ">u2" if wide else "u1")
+                body = body[n:]
+        elif kind == 0xC4:
+            while body:
+                n = 17 + sum(body[1:17])
+                codes[body[0]] = _codes(body[1:17], body[17:n])
+                body = body[n:]
+        elif kind in (0xC0, 0xC1):
+            bits, h, w, n = struct.unpack(">BHHB", body[:6])
+            parts = {body[k]: (body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * n, 3)}
+            if bits != 8 or n not in (1, 3) or not h:
+                raise ImageReadError("unknown kind of JPEG")
+            right, down = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
+            units = -(-h // (8 * down)), -(-w // (8 * right))
+            planes = {c: np.zeros((units[0] * p[1], units[1] * p[0], 64), np.int32) for c, p in parts.items()}
+        elif 0xC2 <= kind <= 0xCF:
+            raise ImageReadError("progressive or arithmetic JPEG")
+        elif kind == 0xDD:
+            every = struct.unpack(">H", body)[0]
+        elif kind == 0xEE and body[:5] == b"Adobe":
+            transform = body[11]
+        elif kind == 0xDA:
+            asked = [(body[k], codes[body[k + 1] >> 4], codes[16 | body[k + 1] & 15]) for k in range(1, 1 + 2 * body[0], 2)]
+            end = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]").search(data, at)
+            if end is None:
+                raise ImageReadError("cut short")
+            if len(asked) == 1:  # a scan of one channel has its blocks alone, without those that only fill up
+                c = asked[0][0]
+                grid = -(-(-(-h * parts[c][1] // down)) // 8), -(-(-(-w * parts[c][0] // right)) // 8)
+                _scan(data[at : end.start()], [(planes[c], 1, 1, *asked[0][1:])], *grid, every)
+            else:
+                _scan(data[at : end.start()], [(planes[c], *parts[c][1::-1], *tables) for c, *tables in asked], *units, every)
+            at = end.start()
+        while data[at + 1] == 0xFF:
+            at += 1
+    shown = [_samples(planes[c] * steps[p[2]], right // p[0], down // p[1])[:h, :w] for c, p in parts.items()]
+    if len(shown) == 1:
+        return shown[0].astype(np.uint8)
+    if transform == 0:
+        return np.stack(shown, axis=2).astype(np.uint8)
+    luma, blue, red = shown[0], shown[1] - 128, shown[2] - 128
+    # The colour space of the file format.
+    rgb = np.stack([luma + 1.402 * red, luma - 0.344136 * blue - 0.714136 * red, luma + 1.772 * blue], axis=2)
+    return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)
+
+
+def _codes(counts: bytes, symbols: bytes) -> list[tuple[int, int]]:
+    """For each value of the next 16 bits, the length of the code there and its symbol."""
+    lengths = [n for n, count in enumerate(counts, 1) for _ in range(count)]
+    found = [x for n, s in zip(lengths, symbols, strict=True) for x in [(n, s)] * (1 << (16 - n))]
+    return found + [(17, 0)] * ((1 << 16) - len(found))
+
+
+def _scan(packed: bytes, channels: list[tuple], high: int, wide: int, every: int) -> None:
+    """Fill the coefficients of a scan's channels (array, blocks down and across in a unit, codes of first and of other coefficients)."""
+    units, begin = high * wide, 0
+    for stretch in re.split(rb"\xff+[\xd0-\xd7]", packed):
+        end = min(units, begin + every) if every else units
+        _stretch(stretch.replace(b"\xff\x00", b"\xff"), channels, wide, begin, end)
+        begin = end
+    if begin < units:
+        raise ImageReadError("cut short")
+
+
+def _stretch(data: bytes, channels: list[tuple], wide: int, begin: int, end: int) -> None:
+    """The units from ``begin`` to ``end``, which share one run of bits."""
+    held, n, at, size = 0, 0, 0, len(data)
+    last = [0] * len(channels)
+
+    def next_bits(count: int) -> int:
+        """The next bits, which stay; ones follow the last."""
+        nonlocal held, n, at
+        while n < count:
+            held, n, at = held << 32 | int.from_bytes(data[at : at + 4].ljust(4, b"\xff")), n + 32, at + 4
+            if at > size + 8:
+                raise ImageReadError("cut short")
+        return held >> (n - count)
+
+    def drop(count: int) -> None:
+        nonlocal held, n
+        n -= count
+        held &= (1 << n) - 1
+
+    def symbol(table: list[tuple[int, int]]) -> int:
+        length, found = table[next_bits(16)]
+        if length > 16:
+            raise ImageReadError("unknown code")
+        drop(length)
+        return found
+
+    def number(length: int) -> int:
+        if not length:
+            return 0
+        value = next_bits(length)
+        drop(length)
+        return value if value >> (length - 1) else value - (1 << length) + 1
+
+    for unit in range(begin, end):
+        y, x = divmod(unit, wide)
+        for c, (plane, down, across, first, others) in enumerate(channels):
+            for block in range(down * across):
+                out = plane[y * down + block // across, x * across + block % across]
+                last[c] += number(symbol(first))
+                out[0], k = last[c], 1
+                while k < 64:
+                    run = symbol(others)
+                    if not run & 15 and run != 0xF0:
+                        break
+                    k += run >> 4
+                    if run & 15:
+                        out[k] = number(run & 15)
+                    k += 1
+
+
+def _samples(coefficients: np.ndarray, right: int, down: int) -> np.ndarray:
+    """Samples of a channel, stretched to the whole image's size."""
+    h, w, _ = coefficients.shape
+    blocks = np.zeros(coefficients.shape)
+    blocks[..., _ZIGZAG] = coefficients
+    blocks = _COSINES.T @ blocks.reshape(h, w, 8, 8) @ _COSINES
+    out = np.clip(np.rint(blocks + 128), 0, 255).swapaxes(1, 2).reshape(h * 8, w * 8)
+    for axis, factor in enumerate((down, right)):
+        if factor == 2:  # three parts of the nearer sample, one of the other
+            n = out.shape[axis]
+            before, after = (out.take(np.clip(np.arange(n) + d, 0, n - 1), axis) for d in (-1, 1))
+            both = np.stack([0.75 * out + 0.25 * before, 0.75 * out + 0.25 * after], axis=axis + 1)
+            out = both.reshape([2 * s if k == axis else s for k, s in enumerate(out.shape)])
+        elif factor > 2:
+            out = out.repeat(factor, axis)
+    return np.rint(out) if max(right, down) > 1 else out
+
+
 # -- writing ------------------------------------------------------------------------------------
 
 
