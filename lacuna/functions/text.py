@@ -183,3 +183,30 @@ def format_um(value_um: Column) -> Column:
     """Four significant digits in a fitting unit."""
     value, unit = shown_unit(value_um)
     return F.when(value_um == 0, "0 µm").otherwise(F.concat(_significant4(value), F.lit(" "), unit))
+
+
+# -- one line for a result ----------------------------------------------------------------------
+
+
+def describe_image(pore_count: Column, porosity_pct: Column, diameter_um: Column, diameter_px: Column, rejected: Column) -> Column:
+    """How many objects, porosity, the largest of them, how many were rejected; what is unknown is left out."""
+    largest = F.coalesce(F.concat(fixed(diameter_um, 1), F.lit(" µm")), F.concat(fixed(diameter_px, 0), F.lit(" px")))
+    parts = F.concat(pore_count.cast("string"), F.lit(" Poren")), F.concat(fixed(porosity_pct, 2), F.lit(" % Porosität")), F.concat(F.lit("größte "), largest)
+    return F.concat_ws(", ", *parts, F.when(rejected > 0, F.concat(rejected.cast("string"), F.lit(" verworfen"))))
+
+
+@F.pandas_udf(T.StringType())
+def _general(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if pd.isna(v) else general(v))
+
+
+def describe_scale(um_per_px: Column, label: Column, bar_px: Column, value_um: Column, source: Column, confidence: Column) -> Column:
+    """The scale, what was read, the bar's length and what it stands for, where it comes from. An empty label and a bar of no length are left out."""
+    parts = (
+        F.concat(_general(um_per_px.cast("double")), F.lit(" µm/px")),
+        F.when(label != "", F.concat(F.lit('"'), label, F.lit('"'))),
+        F.when(bar_px != 0, F.concat(F.lit("Balken "), _general(bar_px.cast("double")), F.lit(" px"))),
+        F.concat(F.lit("= "), format_um(value_um)),
+        F.concat(F.lit("["), source, F.lit(", "), percent(confidence, 0), F.lit("]")),
+    )
+    return F.concat_ws("  ", *parts)

@@ -41,6 +41,7 @@ def per_image(images: DataFrame, judged: DataFrame) -> DataFrame:
         fm.porosity_pct(area, "specimen_area_px").alias("porosity_pct"),
         fm.porosity_pct(F.coalesce("inner_area_px", F.lit(0.0)), "specimen_area_px").alias("porosity_pct_excl_edge"),
         fm.pore_density(F.coalesce("pore_count", F.lit(0)), mm2).alias("pore_density_per_mm2"),
+        F.col("largest.equivalent_diameter_px").alias("largest_diameter_px"),
         fm.length_um(F.col("largest.equivalent_diameter_px"), "um_per_px").alias("largest_diameter_um"),
         F.coalesce("rejected_count", F.lit(0)).alias("rejected_count"),
     )

@@ -203,6 +203,12 @@ def porosity_per_image(spark: SparkSession, d: str) -> DataFrame:
     return _per_image(spark, d).select("image_id", "name", "pore_count", _r(F.col("pore_area_px")).alias("pore_area_px"), _r(F.col("porosity_pct"), 9).alias("porosity_pct"), _r(F.col("porosity_pct_excl_edge"), 9).alias("porosity_pct_excl_edge"), _r(F.col("pore_density_per_mm2")).alias("pore_density_per_mm2"), _r(F.col("largest_diameter_um"), 9).alias("largest_diameter_um"), "rejected_count")
 
 
+@query("image_describe", _PER_IMAGE + "SELECT image_id, concat_ws(', ', concat(pore_count, ' Poren'), printf('%.2f', porosity_pct) || ' % Porosität', 'größte ' || coalesce(printf('%.1f', largest_diameter_um) || ' µm', printf('%.0f', l.d) || ' px'), CASE WHEN rejected_count>0 THEN concat(rejected_count, ' verworfen') END) AS line FROM per_image LEFT JOIN l USING (image_id)")
+def image_describe(spark: SparkSession, d: str) -> DataFrame:
+    line = tx.describe_image(*(F.col(c) for c in ("pore_count", "porosity_pct", "largest_diameter_um", "largest_diameter_px", "rejected_count")))
+    return _per_image(spark, d).select("image_id", line.alias("line"))
+
+
 def _g(x: str) -> str:
     return f"coalesce(replace(printf('%.6g', ({x})::DOUBLE), '.', ','), '')"
 
@@ -506,6 +512,27 @@ def settings_diff(spark: SparkSession, d: str) -> DataFrame:
     return st.differences(st.table(spark, BASE), st.table(spark, OWN))
 
 
+CHAIN = [{"name": "flaeche", "an": True, "min": 4}, {"name": "rundheit", "an": False, "min": 0.5}, {"name": "rand", "an": True}]
+CHAIN_MOVED = [{"name": "rand", "an": True}, {"name": "flaeche", "an": True, "min": 4.0}, {"name": "rundheit", "an": True, "max": 1}]
+CHAIN_LONGER = [*CHAIN[:2], {"name": "tiefe", "an": True, "art": "relativ"}]
+
+
+def _chain_sql() -> str:
+    """Old and new chains by position, name and key, as SQL tables."""
+    parts = []
+    for table, chains in (("o", {"k": CHAIN, "l": CHAIN}), ("n", {"k": CHAIN_MOVED, "l": CHAIN_LONGER})):
+        rows = [(c, str(i), f["name"], k, "-" if v is None else str(v).lower() if isinstance(v, bool) else str(v)) for c, fs in chains.items() for i, f in enumerate(fs) for k, v in f.items()]
+        parts.append(f"{table} AS (SELECT * FROM (VALUES {_values(rows)}) AS t(c, pos, name, k, v))")
+        parts.append(f"{table}s AS (SELECT c, string_agg(name, ',' ORDER BY pos) AS names, string_agg(name, ',' ORDER BY name) AS sorted FROM {table} WHERE k='name' GROUP BY c)")
+    return "WITH " + ", ".join(parts)
+
+
+@query("settings_changes", _chain_sql() + " SELECT concat_ws('.', c, name, k) AS path, concat(concat_ws('.', c, name, k), ': ', coalesce(o.v, '-'), ' -> ', coalesce(n.v, '-')) AS line FROM o FULL JOIN n USING (c, name, k) WHERE o.v IS NULL OR n.v IS NULL OR NOT coalesce(TRY_CAST(o.v AS DOUBLE)=TRY_CAST(n.v AS DOUBLE), o.v=n.v) UNION ALL SELECT c, concat(c, ': Reihenfolge geändert') FROM os JOIN ns USING (c, sorted) WHERE os.names<>ns.names")
+def settings_changes(spark: SparkSession, d: str) -> DataFrame:
+    old, new = ({"k": a, "l": b} for a, b in ((CHAIN, CHAIN), (CHAIN_MOVED, CHAIN_LONGER)))
+    return st.change_lines(st.differences(st.table(spark, old, by_name=True), st.table(spark, new, by_name=True)))
+
+
 @query("settings_deviations", _SETTINGS + f"SELECT path, o.v AS value FROM o LEFT JOIN b USING (path) WHERE b.v IS NULL OR NOT {_SAME}")
 def settings_deviations(spark: SparkSession, d: str) -> DataFrame:
     return st.deviations(st.table(spark, BASE), st.table(spark, OWN))

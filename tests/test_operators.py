@@ -171,3 +171,14 @@ def test_a_failing_evaluation_is_a_row(spark, tmp_path):
 
     rows = ev.for_each_image(spark.createDataFrame([(1, 5.0), (2, 6.0)], "image_id int, area_px double"), bad, "area_px double").collect()
     assert {r.image_id: (r.area_px, "ValueError" in (r.error or "")) for r in rows} == {1: (5.0, False), 2: (None, True)}
+
+
+def test_line_of_a_scale(spark):
+    rows = [(0.5123456, "100 µm", 200.0, 100.0, "ocr", 0.934), (2.0, "", None, None, "override", 1.0), (1e-7, None, 0.0, 0.0, "ocr", 0.125)]
+    t = spark.createDataFrame(rows, "um double, label string, bar double, value double, source string, confidence double")
+    got = t.select("um", tx.describe_scale(*(F.col(c) for c in t.columns)).alias("line")).collect()
+    assert {r.um: r.line for r in got} == {
+        0.5123456: '0.512346 µm/px  "100 µm"  Balken 200 px  = 100 µm  [ocr, 93%]',
+        2.0: "2 µm/px  [override, 100%]",
+        1e-7: "1e-07 µm/px  = 0 µm  [ocr, 12%]",
+    }
