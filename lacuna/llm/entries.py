@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact_dedup, language, near_duplicates, neighbours, packing, quality, sentencepiece_scan, sharding, url_filter, warc
-from lacuna.llm.shared import Scratch, table
+from lacuna.llm import exact_dedup, katz, language, near_duplicates, neighbours, packing, quality, sentencepiece_scan, sharding, url_filter, warc
+from lacuna.llm.shared import Scratch, id_crc32, table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(described=True).select("doc_id", F.length("text").cast("bigint").alias("text_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), fits.alias("in_limits"))
 
 
+def op11_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores, _ = katz.fit_and_score(docs, id_crc32(F.col("doc_id"), 7) != 2)
+    return scores.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: Ranks as the sum over all numbers of links followed; what comes after 200 is below 1e-14 of all.
 OP1_SQL = r"""
 WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages),
@@ -130,7 +136,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op6_warc, op7_sentencepiece, op8_ngram_jaccard_join, op9_nearest_neighbours, op10_sharding, pipeline)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op6_warc, op7_sentencepiece, op8_ngram_jaccard_join, op9_nearest_neighbours, op10_sharding, op11_katz_lm, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
