@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import chunks as sizes
 from lacuna.llm.chunks import Splitter, by_bucket, chunks, distinct, mix, pack, runs, unpack
-from lacuna.llm.shared import Scratch, released, session_of
+from lacuna.llm.shared import Scratch, free_shuffles, released, session_of
 
 ORDER = 2
 #: Counts up to this one are discounted.
@@ -46,7 +46,7 @@ _END = int(mix(np.array([0x656E64], np.uint64))[0])
 #: Numbers of the context before a text and of all n-grams that no table has; others are larger.
 _BEFORE, _UNSEEN = 0, 1
 
-_STATE = "chunk bigint, row_id array<bigint>, doc_id array<bigint>, learned array<boolean>, body binary"
+_STATE = "kind string, chunk bigint, row_id array<bigint>, doc_id array<bigint>, learned array<boolean>, body binary"
 _MERGED = "kind string, level int, bucket int, chunk bigint, body binary, ctx bigint, spread boolean, total bigint, few array<bigint>, lower double, words array<bigint>, counts array<bigint>"
 _NAMES = [x.split()[0] for x in _MERGED.split(", ")]
 
@@ -80,7 +80,7 @@ def totals_and_mass(total: np.ndarray, few: np.ndarray, left: np.ndarray) -> tup
 def _chunked(docs: DataFrame, learn: Column, order: int, scratch: Scratch) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learned"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
-    size = (sizes.CHUNK_BYTES, sizes.PIECE_BYTES)
+    limits = (sizes.CHUNK_BYTES, sizes.PIECE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def texts():
@@ -88,18 +88,33 @@ def _chunked(docs: DataFrame, learn: Column, order: int, scratch: Scratch) -> Da
                 for k in range(batch.num_rows):
                     yield tuple(batch.column(c)[k].as_py() for c in range(3)), batch.column(3)[k].as_buffer().to_pybytes()
 
-        for n, chunk in enumerate(chunks(texts(), WORDS, order - 1, *size)):
+        for n, chunk in enumerate(chunks(texts(), WORDS, order - 1, *limits)):
             last = np.array([p.last for p in chunk.pieces])
             words = np.bincount(chunk.piece_of, minlength=len(chunk.pieces))
             tokens = np.full(len(chunk.hashes) + last.sum(), _END, np.uint64)
             tokens[np.arange(len(chunk.hashes)) + (np.cumsum(last) - last)[chunk.piece_of]] = chunk.hashes
             hashes, place = distinct(tokens)
-            body = pack(hashes, place, words + last, np.array([p.ahead for p in chunk.pieces]), np.array([p.row for p in chunk.pieces]))
+            size, ahead, row = words + last, np.array([p.ahead for p in chunk.pieces]), np.array([p.row for p in chunk.pieces])
+            counts = _counted(size, ahead) & np.array([r[2] for r in chunk.rows])[np.repeat(row, size)]
+            given = np.bincount(place[counts], minlength=len(hashes))
             # Unique: the first row's number holds the task's, and a text (2 GB at most) reaches over fewer chunks.
-            yield pa.record_batch([pa.array([chunk.rows[0][0] * 512 + n % 512], pa.int64()), *(pa.array([list(c)]) for c in zip(*chunk.rows)), pa.array([body])], schema=schema)
+            number = chunk.rows[0][0] * 512 + n % 512
+            bodies = pack(np.array([len(hashes)]), place, size, ahead, row), pack(hashes, given)
+            yield pa.record_batch([pa.array(["tokens", "words"]), pa.array([number] * 2, pa.int64()), *(pa.array([list(c), None]) for c in zip(*chunk.rows)), pa.array(bodies, pa.binary())], schema=schema)
 
-    schema = pa.schema([("chunk", pa.int64()), ("row_id", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("learned", pa.list_(pa.bool_())), ("body", pa.binary())])
-    return scratch.keep(rows.mapInArrow(released(run), _STATE), "chunks")
+    schema = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("row_id", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("learned", pa.list_(pa.bool_())), ("body", pa.binary())])
+    return scratch.keep(rows.mapInArrow(released(run), _STATE), "chunks", "kind", compression="zstd")
+
+
+def _counted(size: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Of each token, whether it is more than the context of what follows."""
+    piece = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(piece)) - (np.cumsum(size) - size)[piece] >= ahead[piece]
+
+
+def _bucket_of_hash(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of hashes, so that sorted words lie bucket by bucket."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 @dataclass
@@ -135,15 +150,15 @@ class View:
 
     def __init__(self, row: dict, answers: pa.Table, facts: Facts, order: int):
         self.facts, self.order = facts, order
-        self.hashes, self.word, size, ahead, row_of = unpack(row["body"])
+        (self.n,), self.word, size, ahead, row_of = unpack(row["body"])
         begin = np.cumsum(size) - size
         piece = np.repeat(np.arange(len(size)), size)
         self.row = row_of[piece]
-        self.counts = np.arange(len(piece)) - begin[piece] >= ahead[piece]  # other tokens are context only
+        self.counts = _counted(size, ahead)
         self.learned = np.array(row["learned"], bool)[self.row] & self.counts
         self.first = begin[size > 0]
         self.opens = (ahead < max(1, order - 1))[size > 0]
-        n = len(self.hashes)
+        n = self.n
         given = np.bincount(self.word[self.learned], minlength=n)
         self.levels = [Level(self.word, np.zeros(n, np.int64), np.arange(n), given, np.arange(n))]
         known = answers.column("level").to_numpy() if answers.num_rows else np.zeros(0, int)
@@ -160,11 +175,11 @@ class View:
         order = np.argsort(at.number, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        self.hashes, self.word = self.hashes[order], place[self.word]
+        self.word = place[self.word]
         self.levels[0] = Level(self.word, at.ctx, np.arange(len(order)), at.seen[order], np.arange(len(order)), at.count[order], at.number[order], at.prob[order], at.back)
 
     def _longer(self, below: Level, k: int) -> Level:
-        n = len(self.hashes)
+        n = self.n
         ctx = np.concatenate([[-1], below.of_token])[: len(self.word)]
         ctx[self.first] = np.where(self.opens & (k == 2), n, -1)
         fits = ctx >= 0
@@ -178,9 +193,6 @@ class View:
     def _dealt(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The n-grams asked for, in the order of messages: their places, contexts, buckets, and whether the context is spread."""
         facts = self.facts
-        if k == 1:
-            bucket = (self.hashes % np.uint64(facts.buckets)).astype(np.int64)
-            return np.arange(len(bucket)), np.zeros(len(bucket), np.int64), bucket, np.zeros(len(bucket), bool)
         ctx, word = self._numbers(k)
         size = self._context_counts(k)
         places = np.flatnonzero(ctx != _UNSEEN)
@@ -201,36 +213,39 @@ class View:
         return below[self.levels[k - 1].ctx]
 
     def messages(self, k: int) -> Iterator[tuple[int, bytes]]:
-        if k > 1:
-            self.levels.append(self._longer(self.levels[-1], k))
+        """To the buckets of level ``k``, 2 or more."""
+        self.levels.append(self._longer(self.levels[-1], k))
         at = self.levels[k - 1]
         places, ctx, bucket, spread = self._dealt(k)
-        word = self.hashes if k == 1 else self._numbers(k)[1]
-        lower = None if k == 1 else np.where(at.seen > 0, self.levels[k - 2].prob[at.shorter], 0.0)
+        word = self._numbers(k)[1]
+        lower, code = distinct(np.where(at.seen > 0, self.levels[k - 2].prob[at.shorter], 0.0))
         for b, mine in by_bucket(bucket):
             here = places[mine]
-            if k == 1:
-                yield b, pack(word[here], at.seen[here])
-            else:
-                yield b, pack(np.diff(ctx[mine], prepend=0), word[here], at.seen[here], lower[here], spread[mine])
+            yield b, pack(np.diff(ctx[mine], prepend=0), word[here], at.seen[here], *_coded(lower, code[here]), spread[mine])
 
     def _answered(self, k: int, answers: pa.Table) -> None:
         at, facts = self.levels[k - 1], self.facts
         left, n = facts.left[k - 1], len(at.word)
         at.count, at.number, at.back = np.zeros(n, np.int64), np.full(n, _UNSEEN), np.ones(n)
         whole = np.full(n, 1.0)
-        places, ctx, bucket, spread = self._dealt(k)
         rows = answers.select(["bucket", "body", "ctx", "total", "few", "lower"]).to_pylist()
         bodies = {r["bucket"]: r["body"] for r in rows if r["body"] is not None}
         apart = {r["ctx"]: (r["total"], np.array(r["few"]), r["lower"]) for r in rows if r["body"] is None}
+        if k == 1:
+            given = [unpack(bodies[b]) for b in sorted(bodies)]  # sorted words lie bucket by bucket
+            at.count[:] = np.concatenate([count for count, _ in given] or [[]])
+            if given and len(given[0][1]):
+                at.number[:] = np.concatenate([number for _, number in given])
+            # As for contexts: nothing discounted, one more.
+            at.prob = kept_share(at.count, left) * at.count / max(1, facts.tokens + (left[1:] == 1).all())
+            return
+        places, ctx, bucket, spread = self._dealt(k)
         for b, mine in by_bucket(bucket):
             here, own = places[mine], ctx[mine]
             count, number, *sums = unpack(bodies[b])
             at.count[here] = count
             if len(number):
                 at.number[here] = number
-            if k == 1:
-                continue
             new = runs(own)
             total, lower, few = sums[0], sums[1], np.stack(sums[2:], axis=1).reshape(-1, DISCOUNTED)
             for i in np.flatnonzero(spread[mine][new]):
@@ -240,8 +255,6 @@ class View:
             divide, mass = totals_and_mass(total, few, left)
             at.back[here] = np.repeat(np.where(total > 0, mass / (1 - lower), 1.0), size)
             whole[here] = np.repeat(divide, size)
-        if k == 1:
-            whole[:] = max(1, facts.tokens + (left[1:] == 1).all())  # as for contexts: nothing discounted, one more
         at.prob = kept_share(at.count, left) * at.count / whole
 
     def log_probabilities(self) -> np.ndarray:
@@ -263,6 +276,12 @@ class View:
 # -- tables ---------------------------------------------------------------------------------
 
 
+def _coded(values: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values by their places among those that occur: they repeat, and small numbers take less space."""
+    used, code = distinct(code)
+    return values[used], code
+
+
 def _columns(kind: str, level: int, bucket: int, n: int, **given: pa.Array) -> pa.Table:
     types = {"chunk": pa.int64(), "body": pa.binary(), "ctx": pa.int64(), "spread": pa.bool_(), "total": pa.int64(), "few": pa.list_(pa.int64()), "lower": pa.float64(), "words": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
     fixed = {"kind": pa.array([kind] * n, pa.string()), "level": pa.array(np.full(n, level, np.int32)), "bucket": pa.array(np.full(n, bucket, np.int32))}
@@ -294,7 +313,7 @@ def _merge(level: int, last: bool, buckets: int):
         if level == 1:
             came = [[np.zeros(len(m[0]), np.int64), m[0], m[1], np.zeros(0), np.zeros(0, bool)] for m in came]
         else:
-            came = [[np.cumsum(m[0]), *m[1:]] for m in came]
+            came = [[np.cumsum(m[0]), m[1], m[2], m[3][m[4]], m[5]] for m in came]
         sizes = [len(m[0]) for m in came]
         ctx, word, count = (np.concatenate([m[i] for m in came]) for i in range(3))
         order = _sorted(ctx, word) if level > 1 else np.argsort(word, kind="stable")
@@ -398,15 +417,12 @@ def _stored(model: Katz, level: int) -> DataFrame:
                 lower = np.zeros(n)
                 if level > 1:
                     lower[0] = r["lower"]
-                body = pack(words.view(np.uint64), counts) if level == 1 else pack(np.array([r["ctx"]] + [0] * (n - 1)), words, counts, lower, np.full(n, r["spread"]))
+                body = pack(words.view(np.uint64), counts) if level == 1 else pack(np.array([r["ctx"]] + [0] * (n - 1)), words, counts, *distinct(lower), np.full(n, r["spread"]))
                 yield pa.record_batch([pa.array([r["bucket"]], pa.int32()), pa.nulls(1, pa.int64()), pa.array([body])], names=["bucket", "chunk", "body"])
 
     return model.tables[level - 1].where("kind = 'table'").mapInArrow(run, "bucket int, chunk bigint, body binary")
 
 
-_EMPTY = pa.table({c: pa.nulls(0, t) for c, t in (("level", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary()), ("ctx", pa.int64()), ("total", pa.int64()), ("few", pa.list_(pa.int64())), ("lower", pa.float64()))})
-
-
 def fit_and_score(docs: DataFrame, learn: Column, order: int = ORDER, model: Katz | None = None) -> tuple[DataFrame, Katz]:
     """Scores of all ``docs`` by a model of those that ``learn`` marks (or by a given one), and the model.
 
@@ -415,11 +431,12 @@ def fit_and_score(docs: DataFrame, learn: Column, order: int = ORDER, model: Kat
     spark = session_of(docs)
     scratch = Scratch(spark, "katz")
     state = _chunked(docs, learn, order, scratch)
+    state, words = (state.where(F.col("kind") == kind).drop("kind") for kind in ("tokens", "words"))
     if model:
         buckets = model.facts.buckets
     else:
         size = state.select(F.sum(F.length("body"))).first()[0] or 0
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_TOKENS))  # a token takes two to three bytes
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_TOKENS))  # a token takes one to two bytes
     facts, tables, answers = Facts(buckets=buckets, spread_from=model.facts.spread_from if model else BUCKET_TOKENS), [], None
     for level in range(1, order + 1):
         known, last = facts, level == order
@@ -428,19 +445,24 @@ def fit_and_score(docs: DataFrame, learn: Column, order: int = ORDER, model: Kat
             sent = list(View(row, given, known, order).messages(level))  # noqa: B023 - run before the next level
             return pa.table({"bucket": pa.array([b for b, _ in sent], pa.int32()), "chunk": pa.array([row["chunk"]] * len(sent), pa.int64()), "body": pa.array([m for _, m in sent], pa.binary())})
 
-        if answers is None:
+        if level == 1:
 
             def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    for k in range(batch.num_rows):
-                        yield from messages(batch.slice(k, 1).to_pylist()[0], _EMPTY).to_batches()
+                    for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body")):
+                        hashes, given = unpack(body.as_py())
+                        sent = [(b, pack(hashes[mine], given[mine])) for b, mine in by_bucket(_bucket_of_hash(hashes, buckets))]
+                        yield pa.record_batch([pa.array([b for b, _ in sent], pa.int32()), pa.array([chunk] * len(sent), pa.int64()), pa.array([m for _, m in sent], pa.binary())], names=["bucket", "chunk", "body"])
 
-            sent = state.mapInArrow(released(first), "bucket int, chunk bigint, body binary")
+            sent = words.mapInArrow(released(first), "bucket int, chunk bigint, body binary")
         else:
             sent = _with_answers(state, answers, messages, "bucket int, chunk bigint, body binary")
         if model:
             sent = sent.unionByName(_stored(model, level))
-        merged = scratch.keep(sent.groupBy("bucket").applyInArrow(_merge(level, last, buckets), _MERGED), f"level{level}", "kind")
+        merged = scratch.keep(sent.groupBy("bucket").applyInArrow(_merge(level, last, buckets), _MERGED), f"level{level}", "kind", compression="zstd")
+        if level == 1:
+            scratch.drop("chunks/kind=words")
+        free_shuffles(spark)
         tables.append(merged)
         got = merged.where("kind = 'facts'").agg(F.sum("total"), F.sum("chunk"), F.sum("lower"), *(F.sum(F.col("few")[i]) for i in range(DISCOUNTED + 1))).first()
         few = [x or 0 for x in got[3:]]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -110,6 +111,12 @@ def _delete_left_over() -> None:
 atexit.register(_delete_left_over)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of frames that are no longer held: Spark deletes them when the driver collects its garbage, which may be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet under the shared folder.
 
@@ -126,8 +133,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        out = df.write.mode("overwrite")
+    def keep(self, df: DataFrame, name: str, *partition_by: str, compression: str = "snappy") -> DataFrame:
+        out = df.write.mode("overwrite").option("compression", compression)
         (out.partitionBy(*partition_by) if partition_by else out).parquet(self.path(name))
         return self.read(name, df.schema)
 
