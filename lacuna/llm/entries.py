@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact_dedup, katz, language, near_duplicates, neighbours, packing, quality, sentencepiece_scan, sharding, url_filter, warc
+from lacuna.llm import exact_dedup, hard_negatives, katz, language, near_duplicates, neighbours, packing, quality, sentencepiece_scan, sharding, url_filter, warc
 from lacuna.llm.shared import Scratch, id_crc32, table
 
 
@@ -64,6 +64,11 @@ def op11_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.hard_negatives(rows, rows.where(F.pmod("vec_id", F.lit(100)) == 0)).drop("products")
+
+
 #: Ranks as the sum over all numbers of links followed; what comes after 200 is below 1e-14 of all.
 OP1_SQL = r"""
 WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages),
@@ -129,6 +134,18 @@ SELECT doc_id, length(text) AS text_chars, sha256(text) AS text_sha256, true AS
 """
 
 
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM e AS a JOIN e AS c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 5
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -136,8 +153,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op6_warc, op7_sentencepiece, op8_ngram_jaccard_join, op9_nearest_neighbours, op10_sharding, op11_katz_lm, pipeline)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op6_warc, op7_sentencepiece, op8_ngram_jaccard_join, op9_nearest_neighbours, op10_sharding, op11_katz_lm, op12_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op10_sharding": OP10_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op10_sharding": OP10_SQL, "op12_hard_negatives": OP12_SQL}
