@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import exact_dedup, hard_negatives, katz, language, near_duplicates, neighbours, packing, quality, sentencepiece_scan, sharding, url_filter, warc
+from lacuna.llm import collocations, exact_dedup, hard_negatives, katz, language, near_duplicates, neighbours, packing, quality, sentencepiece_scan, sharding, url_filter, warc
 from lacuna.llm.shared import Scratch, id_crc32, table
 
 
@@ -69,6 +69,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, rows.where(F.pmod("vec_id", F.lit(100)) == 0)).drop("products")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 #: Ranks as the sum over all numbers of links followed; what comes after 200 is below 1e-14 of all.
 OP1_SQL = r"""
 WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages),
@@ -146,6 +150,24 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.sc
 """
 
 
+OP13_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+o AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM w, range(1, 6) AS k(m) WHERE len(ws) >= m),
+f AS (SELECT lang, phrase, any_value(m) AS m, count(*) AS f FROM o GROUP BY lang, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, f AS a, m, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+x AS (SELECT c.lang, c.phrase, c.a, k.k, u.f AS l, v.f AS r, n.n, (1000::HUGEINT * c.a * n.n) // (u.f::HUGEINT * v.f) AS score
+      FROM c JOIN range(1, 5) AS k(k) ON k.k < c.m JOIN f AS u ON u.lang = c.lang AND u.phrase = array_to_string(c.ws[1:k.k], ' ')
+      JOIN f AS v ON v.lang = c.lang AND v.phrase = array_to_string(c.ws[k.k + 1:c.m], ' ') JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+d AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN c ON c.lang = b.lang AND c.m > len(string_split(b.phrase, ' ')) AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 100 * b.a),
+s AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM b ANTI JOIN d USING (lang, phrase))
+SELECT * FROM s WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -153,8 +175,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op6_warc, op7_sentencepiece, op8_ngram_jaccard_join, op9_nearest_neighbours, op10_sharding, op11_katz_lm, op12_hard_negatives, pipeline)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_packing, op6_warc, op7_sentencepiece, op8_ngram_jaccard_join, op9_nearest_neighbours, op10_sharding, op11_katz_lm, op12_hard_negatives, op13_collocations, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op10_sharding": OP10_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op10_sharding": OP10_SQL, "op12_hard_negatives": OP12_SQL, "op13_collocations": OP13_SQL}
