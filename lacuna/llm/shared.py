@@ -10,6 +10,7 @@ import ctypes
 import gc
 import hashlib
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -113,8 +114,10 @@ atexit.register(_delete_left_over)
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files of frames that are no longer held: Spark deletes them when the driver collects its garbage, which may be much later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of is garbage for the driver only then
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 class Scratch:
