@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.shared import Notes, Scratch, hot_join, picked_rows, placed, released, runs_of, session_of, write_notes
+from lacuna.llm.shared import Notes, Scratch, hot_join, noted_runs, picked_rows, placed, released, runs_of, session_of, write_row_notes
 from lacuna.llm.shingles import shingle_set
 
 PERCENT = 80
@@ -71,7 +71,8 @@ def digest_of(shingles: np.ndarray) -> bytes:
 
 
 def _short(digest: bytes) -> int:
-    """64 bits of the identity, for neighbourhoods: if two sets share them, theirs are one, which loses nothing."""
+    """64 bits of the identity, for counts and neighbourhoods. If two sets share these bits, their neighbourhoods are one, and shingles that only they
+    share count for one of them; a link could be lost only between two such sets (2 ** -64 for a pair)."""
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
@@ -148,7 +149,9 @@ def _post(order, parts: int):
         edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
         cut, cut_several = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]).tolist() for x in (single, several))
         of_single, told = owners[alone], _totals(owners[~alone])
-        rows = [(k, single[a:b].tobytes(), of_single[a:b].tobytes(), several[c:d].tobytes(), *(told if k == 0 else (b"", b""))) for k, (a, b, c, d) in enumerate(zip(cut, cut[1:], cut_several, cut_several[1:]))]
+        # Ranges that are empty get no row, so rows are as many as postings at most; the totals go with the first.
+        ranges = [(k, *x) for k, x in enumerate(zip(cut, cut[1:], cut_several, cut_several[1:])) if x[0] < x[1] or x[2] < x[3]]
+        rows = [(k, single[a:b].tobytes(), of_single[a:b].tobytes(), several[c:d].tobytes(), *(told if i == 0 else (b"", b""))) for i, (k, a, b, c, d) in enumerate(ranges)]
         kinds = (pa.int64(), *[pa.binary()] * 5)
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _POSTED.split(", ")])
 
@@ -472,8 +475,8 @@ def _with_sets(texts: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         notes = Notes(folder)
-        for file, batch in (run for whole in batches for run in runs_of(whole, "file")):
-            known = notes.of(file, by_row) or {}
+        for key, batch in (run for whole in batches for run in noted_runs(whole, "file", "row")):
+            known = notes.of(key, by_row) or {}
             out = [(*known[row], shingle_set(text.as_py()).tobytes()) for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True) if row in known]
             if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["digest", "short", "members"])
@@ -497,12 +500,26 @@ def _links_of_large(sets: DataFrame, links: DataFrame, scratch: Scratch) -> Data
         return known.groupBy(*of, "label").agg(F.count("*").alias("k")).groupBy(*of).agg(F.max(F.struct("k", "label")).alias("top")).select(*of, F.col("top.label").alias("label"))
 
     # The largest component of each block is asked for by the set that names it: this joins what is one large group.
-    heads = largest(labelled(links, "within"), "unit").select(F.col("label").alias("digest")).distinct()
-    first = sets.join(heads, "digest", "left_semi").withColumn("unit", F.col("neighbourhood").cast("string"))
-    between = scratch.keep(_by_unit(first, "digest").mapInArrow(_search_units, "a binary, b binary"), "heads")
-    known = labelled(links.unionByName(between), "joined")
+    # If a neighbourhood has more of these than a block holds, they are searched in blocks again, and what names the largest components there comes together.
+    turn, between, known = 0, None, labelled(links, "within")
+    asked = largest(known, "unit").select(F.col("label").alias("digest")).distinct()
+    while True:
+        first = scratch.keep(sets.join(asked, "digest", "left_semi"), f"heads{turn}")
+        volume = first.groupBy("neighbourhood").agg(F.ceil(F.sum(F.length("members")) / (8 * BLOCK_SHINGLES)).cast("bigint").alias("units"), F.count("*").alias("of"))
+        volume = scratch.keep(volume, f"volumes{turn}")
+        dealt = hot_join(first.drop("unit"), volume, "neighbourhood", "of", first.count(), "inner").drop("of")
+        dealt = dealt.withColumn("unit", F.concat_ws("/", "neighbourhood", F.pmod(F.xxhash64("digest"), F.col("units")))).drop("units")
+        found = scratch.keep(_by_unit(dealt, "digest").mapInArrow(_search_units, "a binary, b binary"), f"between{turn}")
+        between = found if between is None else between.unionByName(found)
+        known = labelled(links.unionByName(between), f"joined{turn}")
+        several = dealt.select("digest", F.col("unit").alias("head_unit")).join(volume.where("units > 1"), F.regexp_extract("head_unit", "^[^/]*", 0) == F.col("neighbourhood").cast("string"))
+        further = scratch.keep(several.join(known.select("digest", "label"), "digest").groupBy("head_unit", "label").agg(F.count("*").alias("k")).groupBy("head_unit").agg(F.max(F.struct("k", "label")).alias("top")).select(F.col("top.label").alias("digest")).distinct(), f"asked{turn}")
+        if further.count() in (0, asked.count()):
+            break
+        asked, turn = further, turn + 1
     # Every link that is missing has an end outside the largest component of its neighbourhood.
-    others = known.join(F.broadcast(largest(known, "neighbourhood").select(F.col("label").alias("top"))), F.col("label") == F.col("top"), "left_anti").select("digest", "label")
+    top = scratch.keep(known.groupBy("neighbourhood", "label").agg(F.count("*").alias("k")).groupBy("neighbourhood").agg(F.max(F.struct("k", "label")).alias("t")).select(F.col("t.label").alias("label"), F.col("t.k").alias("k"), F.lit(True).alias("is_top")), "top")
+    others = hot_join(known.select("digest", "label"), top, "label", "k", known.count()).where("is_top IS NULL").select("digest", "label")
     blocks = known.select("unit").distinct().select("unit", F.regexp_extract("unit", "^(.*):", 1).alias("band"))
     near = F.explode(F.expr("transform(array(-1, 0, 1), d -> concat(regexp_extract(part, '^(.*):', 1), ':', int(regexp_extract(part, ':([0-9]+)$', 1)) + d))"))
     asking = sets.join(others, "digest").drop("unit").withColumn("band", near).join(blocks, "band").select("unit", F.lit(True).alias("asking"), "digest", "members", "label")
@@ -551,21 +568,23 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     links = scratch.keep(links.mapInArrow(released(_contracted), links.schema), f"{name}-contracted")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     both = scratch.keep(both, f"{name}-links")
-    labels = both.groupBy(F.col("a").alias("vertex")).agg(F.min(F.least("a", "b")).alias("component"))
-    labels, step = scratch.keep(labels, f"{name}-0"), 0
+    labels = both.groupBy(F.col("a").alias("vertex")).agg(F.min(F.least("a", "b")).alias("component"), F.count("*").alias("degree"))
+    labels, step, total = scratch.keep(labels, f"{name}-0"), 0, both.count()
     while True:
-        of_b = labels.select(F.col("vertex").alias("b"), F.col("component").alias("near"))
-        near = both.join(of_b, "b").groupBy(F.col("a").alias("vertex")).agg(F.min("near").alias("near"))
-        lower = labels.join(near, "vertex").select("vertex", F.col("component").alias("before"), F.least("component", "near").alias("now"))
-        jump = labels.select(F.col("vertex").alias("now"), F.col("component").alias("of_label"))
-        after = lower.join(jump, "now", "left").select("vertex", "before", F.least("now", F.coalesce("of_label", "now")).alias("component"))
+        # Hubs of stars, and labels that many vertices have, are hot keys.
+        of_b = labels.select(F.col("vertex").alias("b"), F.col("component").alias("near"), "degree")
+        near = hot_join(both, of_b, "b", "degree", total, "inner").groupBy(F.col("a").alias("vertex")).agg(F.min("near").alias("near"))
+        lower = labels.join(near, "vertex").select("vertex", F.col("component").alias("before"), F.least("component", "near").alias("now"), "degree")
+        lower = scratch.keep(lower, f"{name}-lower-{step}")
+        jump = lower.groupBy("now").agg(F.count("*").alias("of")).join(labels.select(F.col("vertex").alias("now"), F.col("component").alias("of_label")), "now")
+        after = hot_join(lower, scratch.keep(jump, f"{name}-jump-{step}"), "now", "of", total).select("vertex", "before", F.least("now", F.coalesce("of_label", "now")).alias("component"), "degree")
         step += 1
         after = scratch.keep(after, f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}")
+        scratch.drop(f"{name}-{step - 1}", f"{name}-lower-{step - 1}", f"{name}-jump-{step - 1}")
         changed = not after.where("component != before").isEmpty()
-        labels = after.select("vertex", "component")
+        labels = after.select("vertex", "component", "degree")
         if not changed:
-            return labels
+            return labels.select("vertex", "component")
 
 
 # -- the operator ---------------------------------------------------------------------------
@@ -592,7 +611,7 @@ def _grouped(texts: DataFrame, scratch: Scratch) -> DataFrame:
     shared = counted.groupBy("part").applyInArrow(_sum_shared, "short bigint, k bigint")
     left = classes.join(shared, "short").where(f"k >= {least_shared('n')}")
     left = scratch.keep(left.select("digest", "short", "n", F.col("first.file").alias("file"), F.col("first.row").alias("row")), "left")
-    write_notes(left.select("file", "row", "digest", "short"), "file", scratch.path("left-notes"))
+    write_row_notes(left.select("file", "row", "digest", "short"), "file", "row", scratch.path("left-notes"))
     sets = scratch.keep(_with_sets(texts.select("file", "row", "text"), scratch.path("left-notes")), "sets")
 
     posted = scratch.keep(sets.mapInArrow(released(_post_left(order)), "hash bigint, a bigint, b bigint"), "posted")

@@ -208,7 +208,7 @@ def _note_name(key: str) -> str:
 
 
 def write_notes(rows: DataFrame, key: str, folder: str) -> None:
-    """Write what ``rows`` say as one small file for each value of ``key``: a file of the input, or a task that wrote a part.
+    """Write what ``rows`` say as one small file for each value of ``key``: a range of rows of a file of the input, or a task that wrote a part.
 
     A reader takes the notes of its own input from there, so what is noted meets the rows without any exchange of them.
     The notes of one key are as many as it has rows, at most.
@@ -227,6 +227,26 @@ def write_notes(rows: DataFrame, key: str, folder: str) -> None:
     rows.groupBy(key).applyInArrow(write, "noted bigint").agg(F.sum("noted")).collect()
 
 
+#: Rows of a file whose notes lie together.
+NOTED_ROWS = 1 << 16
+
+
+def write_row_notes(rows: DataFrame, file: str, row: str, folder: str) -> None:
+    """Notes on single rows, known by file and number: those on each ``NOTED_ROWS`` rows of a file lie together, so that no group and no reader
+    meets more than these, however large a file is."""
+    key = free_name(rows, "range")
+    write_notes(rows.withColumn(key, F.concat_ws("#", F.col(file), F.expr(f"`{row}` div {NOTED_ROWS}"))), key, folder)
+
+
+def noted_runs(batch: pa.RecordBatch, file: str, row: str, size: int = 0) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """A batch in runs of rows whose notes lie together, each with their key."""
+    for name, part in runs_of(batch, file):
+        ranges = part.column(part.schema.get_field_index(row)).to_numpy() // (size or NOTED_ROWS)
+        edges = [0, *((ranges[1:] != ranges[:-1]).nonzero()[0] + 1).tolist(), len(ranges)]
+        for lo, hi in zip(edges, edges[1:]):
+            yield f"{name}#{ranges[lo]}", part.slice(lo, hi - lo)
+
+
 class Notes:
     """Reads the notes of a key; those of the last key are held."""
 
@@ -259,12 +279,13 @@ def picked_rows(docs: DataFrame, file: str, row: str, noted: DataFrame, scratch:
     Rows stay where they are read: no text is exchanged, whatever the number of rows noted.
     """
     folder = scratch.path(f"{name}-notes")
-    write_notes(noted.select(file, row), file, folder)
+    write_row_notes(noted.select(file, row), file, row, folder)
+    size = NOTED_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         notes = Notes(folder)
         for batch in batches:
-            for key, part in runs_of(batch, file):
+            for key, part in noted_runs(batch, file, row, size):
                 known = notes.of(key, lambda table: table.column(row).combine_chunks())
                 if known is None:
                     if keep:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.shared import Notes, Scratch, hot_join, open_folder, placed, runs_of, session_of, write_notes
+from lacuna.llm.shared import Notes, Scratch, hot_join, noted_runs, open_folder, placed, session_of, write_row_notes
 
 #: Payloads below this are always stored in full.
 SMALLEST_REVISIT = 100
@@ -124,7 +124,7 @@ def plan_records(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     shared = large.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1")
     shared = scratch.keep(shared.select("digest", "n", F.col("first.page_id").alias("first_id"), F.col("first.record").alias("refers_to"), F.col("first.url").alias("refers_url")), "shared")
     revisits = hot_join(large, shared, "digest", "n", large.count(), "inner").where(~F.col("page_id").eqNullSafe(F.col("first_id")))
-    write_notes(revisits.select("file", "row", "refers_to", "refers_url"), "file", scratch.path("revisits"))
+    write_row_notes(revisits.select("file", "row", "refers_to", "refers_url"), "file", "row", scratch.path("revisits"))
     return rows, scratch.path("revisits")
 
 
@@ -143,8 +143,8 @@ def write_archives(records: DataFrame, revisits: str, folder: str) -> DataFrame:
             return dict(zip(noted.column("row").to_pylist(), zip(noted.column("refers_to").to_pylist(), noted.column("refers_url").to_pylist(), strict=True), strict=True))
 
         try:
-            for file, batch in (run for whole in batches for lo in range(0, whole.num_rows, PAGES_HELD) for run in runs_of(whole.slice(lo, PAGES_HELD), "file")):
-                known, lines = notes.of(file, by_row) or {}, []
+            for key, batch in (run for whole in batches for lo in range(0, whole.num_rows, PAGES_HELD) for run in noted_runs(whole.slice(lo, PAGES_HELD), "file", "row")):
+                known, lines = notes.of(key, by_row) or {}, []
                 for page in batch.to_pylist():
                     out = out or files.open_output_stream(f"{base}/{name}", compression=None)
                     refers_to, refers_url = known.get(page["row"], (None, None))

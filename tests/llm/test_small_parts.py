@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lacuna.llm import language, near_duplicates, neighbours, packing, quality, quotient_filter, sentencepiece_scan, warc
+from lacuna.llm import language, near_duplicates, neighbours, packing, quality, quotient_filter, sentencepiece_scan, shared, warc
 from lacuna.llm.shingles import shingle_set
 from lacuna.llm.url_filter import RULES, Rule
 
@@ -264,3 +265,23 @@ def test_slices_lose_no_gram(monkeypatch):
 def test_rules_are_cut_at_the_first_slash():
     assert [(r.host, r.path) for r in RULES] == [("net", "/"), ("example.net", "/en/"), ("example.com", "/de/"), ("org", "/fr/")]
     assert Rule("A.b/C", "allow").host == "a.b" and not math.isnan(1.0)
+
+
+def test_notes_lie_by_ranges_of_rows(spark, monkeypatch, tmp_path):
+    """A table of one file gives several groups of notes, and a reader opens only those of its own rows."""
+    monkeypatch.setattr(shared, "NOTED_ROWS", 100)
+    path = f"file://{tmp_path}/one"
+    spark.range(1000).coalesce(1).selectExpr("id AS doc_id", "'t' AS text").write.parquet(path)
+    scratch = shared.Scratch(spark, "notes")
+    rows, file, row = shared.placed(spark.read.parquet(path), scratch)
+    noted = rows.where("doc_id % 7 = 0 AND doc_id < 650").select(file, row)
+    folder = scratch.path("notes")
+    shared.write_row_notes(noted, file, row, folder)
+    files, base = shared.open_folder(folder)
+    assert len(files.get_file_info(shared.pafs.FileSelector(base))) == 7
+    batch = pa.RecordBatch.from_pylist([{file: r[file], row: r[row]} for r in rows.where("doc_id BETWEEN 130 AND 250").select(file, row).collect()])
+    notes = shared.Notes(folder)
+    runs = [(key, part.num_rows, notes.of(key, lambda t: t.num_rows)) for key, part in shared.noted_runs(batch, file, row)]
+    assert [n for _, n, _ in runs] == [70, 51] and [n for _, _, n in runs] == [14, 14]
+    kept = shared.picked_rows(rows, file, row, noted, scratch, "kept", True)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 650, 7))
