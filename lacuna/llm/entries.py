@@ -49,13 +49,17 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as it comes back from the store, and whether its shard is within the limits, after the table arrived in four parts of unequal size."""
+    """Every document as it comes back from the store, whether its shard is within the limits, and whether shards were merged.
+
+    The table arrives in seven parts of like size: of so many shards in two neighbouring tiers, four share one, so merges are due whatever the sizes are.
+    """
     docs = table(spark, sf_dir, "documents")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(16))
-    arrivals = [docs.where((part >= lo) & (part < hi)) for lo, hi in ((0, 8), (8, 12), (12, 14), (14, 16))]
-    store = sharding.shard(arrivals, Scratch(spark, "sharding").path("documents"))
-    fits = F.col("shard_bytes").between(1, sharding.OVERSIZE * sharding.TARGET_BYTES) & (F.col("generation") < store.version())
-    return store.read(described=True).select("doc_id", F.length("text").cast("bigint").alias("text_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), fits.alias("in_limits"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(7))
+    store = sharding.shard([docs.where(part == k) for k in range(7)], Scratch(spark, "sharding").path("documents"))
+    of = store.manifest().agg(F.count("*").alias("shards"), F.max("generation").alias("newest")).first()
+    fits = F.col("shard_bytes").between(1, sharding.OVERSIZE * sharding.TARGET_BYTES)
+    merged = of["shards"] < store.appended() and of["newest"] > 0
+    return store.read(described=True).select("doc_id", F.length("text").cast("bigint").alias("text_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), fits.alias("in_limits"), F.lit(merged).alias("merged"))
 
 
 def op11_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +138,7 @@ SELECT doc_id, n AS n_shingles, component_id, component_id = doc_id AS stays FRO
 
 
 OP10_SQL = """
-SELECT doc_id, length(text) AS text_chars, sha256(text) AS text_sha256, true AS in_limits FROM documents
+SELECT doc_id, length(text) AS text_chars, sha256(text) AS text_sha256, true AS in_limits, true AS merged FROM documents
 """
 
 

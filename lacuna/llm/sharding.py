@@ -14,6 +14,7 @@ a shard 800,000 for 100 TB): one task can write or sort it, and the driver holds
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Iterator
@@ -35,8 +36,8 @@ TIER_BASE = 4
 OVERSIZE = 2
 #: Runs that one Spark job merges.
 RUNS_A_JOB = 128
-#: Hours after which a writer that has neither committed nor given up counts as lost.
-LEASE_HOURS = 48
+#: Hours after which a writer counts as lost that has neither committed nor given up nor renewed its lease, and seconds after which it renews it.
+LEASE_HOURS, RENEWAL_SECONDS = 48, 600
 #: Times that an append or a merge commits anew after other writers were first.
 RETRIES = 20
 
@@ -58,6 +59,7 @@ class ShardStore:
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._appended = 0
 
     # -- manifest ---------------------------------------------------------------------------
 
@@ -110,6 +112,9 @@ class ShardStore:
     def _change(self, added: DataFrame, removed: list[str], schema: T.StructType | None = None) -> int:
         """Commit a change to the newest version, whichever that is; a conflict if what is to be removed has gone meanwhile."""
         gone = self.spark.createDataFrame([(s,) for s in removed], "shard string")
+        for name in (r["shard"] for r in added.select("shard").toLocalIterator()):
+            if not self._fs.exists(self._path(name)):
+                raise CommitConflict(f"{name} was deleted before it was committed")
         for attempt in range(RETRIES):
             base = self.version()
             live = self.manifest(base)
@@ -128,13 +133,22 @@ class ShardStore:
 
     @contextmanager
     def _writing(self) -> Iterator[str]:
-        """A folder for new shards. It is announced while its writer has neither committed nor given up, so ``vacuum`` leaves it alone."""
-        name = uuid.uuid4().hex
+        """A folder for new shards. It is announced, by a lease that is renewed, while its writer has neither committed nor given up, so ``vacuum`` leaves it alone."""
+        name, ended = uuid.uuid4().hex, threading.Event()
         lease = self._path(f"{self.root}/writers/{name}")
         self._fs.create(lease).close()
+
+        def renew() -> None:
+            while not ended.wait(RENEWAL_SECONDS):
+                self._fs.setTimes(lease, int(time.time() * 1000), -1)
+
+        renewing = threading.Thread(target=renew, daemon=True)
+        renewing.start()
         try:
             yield f"{self.root}/shards/{name}"
         finally:
+            ended.set()
+            renewing.join()
             self._fs.delete(lease, False)
 
     def _measured(self, folder: str, generation: int) -> DataFrame:
@@ -157,7 +171,13 @@ class ShardStore:
             raise ValueError("arrivals have other columns than the store")
         with self._writing() as folder:
             arrivals.write.option("compression", "zstd").parquet(folder)
-            return self._change(self._measured(folder, 0), [], schema)
+            added = self._measured(folder, 0)
+            self._appended += added.count()
+            return self._change(added, [], schema)
+
+    def appended(self) -> int:
+        """How many shards this object has appended, before any merge."""
+        return self._appended
 
     def plan(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
         """Merges that are due: shard, merge_group. A tier of shards below the target that holds
@@ -185,9 +205,8 @@ class ShardStore:
                 return self.version()
             schema, names = self.schema(), sorted(runs)
             with self._writing() as folder:
-                if large:  # a shard's row groups are read by as many tasks as they need
-                    most = max(1, min(r["rows"] * target // r["bytes"] for r in large))
-                    self._rows([r["shard"] for r in large], schema).write.mode("append").option("maxRecordsPerFile", most).option("compression", "zstd").parquet(folder)
+                for most, shards in _cuts(large, target):  # a shard's row groups are read by as many tasks as they need
+                    self._rows(shards, schema).write.mode("append").option("maxRecordsPerFile", most).option("compression", "zstd").parquet(folder)
                 for lo in range(0, len(names), RUNS_A_JOB):
                     parts = [self._rows(runs[g], schema).coalesce(1) for g in names[lo : lo + RUNS_A_JOB]]
                     with self._one_task_for_each():
@@ -262,6 +281,14 @@ def _key(shard: str) -> str:
     return "/".join(shard.rsplit("/", 2)[-2:])
 
 
+def _cuts(large: list, target: int) -> list[tuple[int, list[str]]]:
+    """Shards to be cut, by the rows of a file: what a target holds of the shard's own rows, rounded down to a power of two, so jobs are few."""
+    cuts: dict[int, list[str]] = {}
+    for r in large:
+        cuts.setdefault(1 << max(1, r["rows"] * target // r["bytes"]).bit_length() - 1, []).append(r["shard"])
+    return sorted(cuts.items())
+
+
 def tier_of(size: Column) -> Column:
     return F.floor(F.log(float(TIER_BASE), F.greatest(size, F.lit(1)).cast("double"))).cast("int")
 
