@@ -17,9 +17,11 @@ from lacuna.operators import settings as st
 from lacuna.operators import statistics as stat
 from lacuna.operators import tables as tb
 from lacuna.plans import evaluations as ev
+from lacuna.plans import stages as bt
 from lacuna.plans.fixtures import oracle_views, view
 from lacuna.raster import detection as det
 from lacuna.raster import segmentation as seg
+from lacuna.session import checkpointed, shared_folder
 from lacuna.sources import images as im
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -629,6 +631,24 @@ def raster_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return stat.per_image(images, judged).orderBy("image_id")
 
 
+_STAGES = f"""SELECT s.step, s.stage, CASE WHEN s.computes THEN d.n ELSE 0 END AS computed, CASE WHEN s.computes THEN 0 ELSE d.n END AS reused
+FROM (VALUES ('first', 'results', true), ('first', 'judged', true), ('again', 'results', false), ('again', 'judged', false), ('other filters', 'results', false), ('other filters', 'judged', true), ('other detection', 'results', true), ('other detection', 'judged', true)) AS s(step, stage, computes),
+  (SELECT count(DISTINCT g) AS n FROM (SELECT list(gray ORDER BY y, x) AS g FROM pixels GROUP BY image_id)) AS d"""
+
+
+@query("batch_stages", oracle_views("pixels") + _STAGES)
+def batch_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Four batch runs over the images: a first one, the same again, with other filters, with other detection. What each stage computed and what it found done."""
+    images = _images(spark, d)
+    images = checkpointed(images.withColumn("sha", bt.content_key(images)))
+    root, segmentation = shared_folder(spark, "stages"), seg.Segmentation(method="full_frame")
+    plain, other = det.Detection(strict_method="otsu_masked", strict_floor=10.0, split=False), det.Detection(strict_method="otsu_masked", strict_floor=20.0, split=False)
+    for step, detection, filters in (("first", plain, fl.DEFAULT), ("again", plain, fl.DEFAULT), ("other filters", plain, fl.DEFAULT[:1]), ("other detection", other, fl.DEFAULT)):
+        stages = bt.StageTables(spark, root, step)
+        stages.judged(stages.analysed(images, segmentation, detection), segmentation, detection, filters)
+    return bt.StageTables(spark, root).log().select(F.col("run").alias("step"), "stage", "computed", "reused")
+
+
 @query("corr_replay")
 def corr_replay(spark: SparkSession, d: str) -> DataFrame:
     """Each image gets a drawing, an area and a point correction; the objects that stand after their replay."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -45,6 +46,14 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one of a local session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='lacuna-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df):
     """The frame, written to the shared checkpoint folder, with its lineage cut."""
     sc = df.sparkSession.sparkContext
