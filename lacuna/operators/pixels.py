@@ -37,17 +37,63 @@ def below(pixels: DataFrame, level: float) -> DataFrame:
     return pixels.where(F.col("gray") <= level)
 
 
-def _mirrored(c: Column, size: int) -> Column:
-    return F.when(c < 0, -c).when(c >= size, 2 * (size - 1) - c).otherwise(c)
+def _line_sums(rows: DataFrame, across: str, along: str, size: int, radius: int, values: list[str]) -> DataFrame:
+    """For each place of a line the sum of ``values`` from ``radius`` before to ``radius`` after it; beyond its ends a line is mirrored.
+
+    Running sums along the line, then look-ups in the line's array of them: as much work for any radius.
+    """
+    line = W.partitionBy("image_id", across)
+    upto = line.orderBy(along).rowsBetween(W.unboundedPreceding, 0)
+    sums = rows.select("image_id", across, along, *[F.sum(v).over(upto).alias(v) for v in values])
+    lines = sums.groupBy("image_id", across).agg(F.array_sort(F.collect_list(F.struct(along, *values))).alias("s"))
+    period = max(1, 2 * (size - 1))
+    shift = period * -(-radius // period)
+
+    def upto_place(n: Column, v: str) -> Column:
+        """The sum of the first n values of the mirrored line, from its beginning on."""
+        def first(k: Column) -> Column:
+            return F.when(k > 0, F.element_at("s", F.least(F.greatest(k, F.lit(1)), F.lit(size)).cast("int"))[v]).otherwise(0)
+
+        whole, rest = F.floor(n / period), F.pmod(n, F.lit(period))
+        one = first(F.lit(size)) + (first(F.lit(size - 1)) - first(F.lit(1)) if size > 2 else F.lit(0))
+        back = first(F.lit(size)) + first(F.lit(size - 1)) - first(F.lit(2 * size - 1) - rest)
+        return whole * one + F.when(rest <= size, first(F.least(rest, F.lit(size)).cast("int"))).otherwise(back)
+
+    def around(i: Column, v: str) -> Column:
+        if size == 1:
+            return F.element_at("s", 1)[v] * (2 * radius + 1)
+        return upto_place((i + radius + 1 + shift).cast("int"), v) - upto_place((i - radius + shift).cast("int"), v)
+
+    spread = F.posexplode(F.transform("s", lambda e, i: F.struct(*[around(i, v).alias(v) for v in values])))
+    return lines.select("image_id", across, spread.alias(along, "e")).select("image_id", across, along, *[F.col("e")[v].alias(v) for v in values])
+
+
+def local_moments(pixels: DataFrame, height: int, width: int, radius: int) -> DataFrame:
+    """image_id, y, x, mean, mean_square of the gray values in a square around each pixel, from sums along rows and then along columns (whole images of one size)."""
+    gray = pixels.select("image_id", "y", "x", F.col("gray").cast("bigint").alias("g"), (F.col("gray").cast("bigint") * F.col("gray")).alias("q"))
+    rows = _line_sums(gray, "y", "x", width, radius, ["g", "q"])
+    both = _line_sums(rows, "x", "y", height, radius, ["g", "q"])
+    n = float((2 * radius + 1) ** 2)
+    return both.select("image_id", "y", "x", (F.col("g") / n).alias("mean"), (F.col("q") / n).alias("mean_square"))
+
+
+def _spread() -> Column:
+    return F.sqrt(F.greatest(F.col("mean_square") - F.col("mean") * F.col("mean"), F.lit(0.0)))
 
 
 def local_std(pixels: DataFrame, height: int, width: int, radius: int = 1) -> DataFrame:
     """The standard deviation in a square around each pixel; beyond the edge the image is mirrored."""
-    shifts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)])
-    asked = pixels.select("image_id", "y", "x", F.explode(shifts).alias("s")).select("image_id", "y", "x", _mirrored(F.col("y") + F.col("s.dy"), height).alias("ny"), _mirrored(F.col("x") + F.col("s.dx"), width).alias("nx"))
-    near = pixels.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("gray").cast("double").alias("g"))
-    sums = asked.join(near, ["image_id", "ny", "nx"]).groupBy("image_id", "y", "x").agg(F.avg("g").alias("m"), F.avg(F.col("g") * F.col("g")).alias("m2"))
-    return sums.select("image_id", "y", "x", F.sqrt(F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(0.0))).alias("local_std"))
+    return local_moments(pixels, height, width, radius).select("image_id", "y", "x", _spread().alias("local_std"))
+
+
+def sauvola(pixels: DataFrame, height: int, width: int, window: int, k: float = 0.2) -> DataFrame:
+    """Pixels darker than a threshold that follows the surroundings: image_id, y, x, gray, threshold.
+
+    The threshold is the mean of a window (an even size counts as the next odd one), lowered where the spread is small against half the gray range.
+    """
+    level = F.col("mean") * (1 + k * (_spread() / 127.5 - 1))
+    near = local_moments(pixels, height, width, (window | 1) // 2).select("image_id", "y", "x", level.alias("threshold"))
+    return pixels.join(near, ["image_id", "y", "x"]).where(F.col("gray") < F.col("threshold")).select("image_id", "y", "x", "gray", "threshold")
 
 
 def components(mask: DataFrame, width: int) -> DataFrame:

@@ -12,10 +12,12 @@ from lacuna.functions import text as tx
 from lacuna.operators import corrections as co
 from lacuna.operators import filters as fl
 from lacuna.operators import pixels as px
+from lacuna.operators import regions as rg
 from lacuna.operators import scale as sc
 from lacuna.operators import settings as st
 from lacuna.operators import statistics as stat
 from lacuna.operators import tables as tb
+from lacuna.operators import thresholds as th
 from lacuna.plans import evaluations as ev
 from lacuna.plans import stages as bt
 from lacuna.plans.fixtures import oracle_views, view
@@ -615,6 +617,141 @@ def labels_inside(spark: SparkSession, d: str) -> DataFrame:
     return px.labels_inside(_labels(spark, d), view(spark, d, "pixels").where("y <= 4"))
 
 
+_OTSU = _PIX + """, h AS (SELECT image_id, gray AS level, count(*)::DOUBLE AS n FROM pixels GROUP BY ALL), c AS (SELECT image_id, level, sum(n) OVER u AS w, sum(n*level) OVER u AS m, sum(n) OVER a AS aw, sum(n*level) OVER a AS am, sum(n*level*level) OVER a AS aq FROM h WINDOW a AS (PARTITION BY image_id), u AS (PARTITION BY image_id ORDER BY level)),
+o AS (SELECT image_id, level, CASE WHEN aw>w THEN (am*w-m*aw)*(am*w-m*aw)/(w*(aw-w)) ELSE 0 END AS v, aw*aq-am*am AS s FROM c),
+t AS (SELECT image_id, CASE WHEN v>0 THEN level ELSE 0 END::DOUBLE AS threshold, CASE WHEN v>0 THEN v/s ELSE 0 END AS separability FROM o QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, level)=1)
+"""
+_MULTI = _OTSU + """, e AS (SELECT image_id, level, w, m, aw, am FROM c),
+p AS (SELECT a.image_id, a.level AS one, b.level AS two, a.m*a.m/a.w + (b.m-a.m)*(b.m-a.m)/(b.w-a.w) + (b.am-b.m)*(b.am-b.m)/(b.aw-b.w) AS v FROM e a JOIN e b ON a.image_id=b.image_id AND a.level<b.level AND b.w<b.aw),
+m AS (SELECT image_id, one::DOUBLE AS one, two::DOUBLE AS two FROM p QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, two, one)=1)
+"""
+
+
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "pixels")
+
+
+@query("pixel_otsu", _OTSU + "SELECT image_id, threshold FROM t")
+def pixel_otsu(spark: SparkSession, d: str) -> DataFrame:
+    return th.otsu(th.histogram(_pixels(spark, d))).select("image_id", "threshold")
+
+
+@query("pixel_separability", _OTSU + "SELECT image_id, threshold, round(separability, 6) AS separability FROM t")
+def pixel_separability(spark: SparkSession, d: str) -> DataFrame:
+    return th.otsu(th.histogram(_pixels(spark, d))).select("image_id", "threshold", _r(F.col("separability")).alias("separability"))
+
+
+@query("pixel_multi_otsu", _MULTI + "SELECT image_id, one, two FROM m")
+def pixel_multi_otsu(spark: SparkSession, d: str) -> DataFrame:
+    cuts = th.multi_otsu(th.histogram(_pixels(spark, d)), 3)
+    return cuts.select("image_id", F.col("thresholds")[0].alias("one"), F.col("thresholds")[1].alias("two"))
+
+
+@query("pixel_dark_regions", _MULTI + "SELECT image_id, y, x, gray, one+2.0 AS threshold FROM pixels JOIN m USING (image_id) WHERE y>0 AND gray<=one+2.0")
+def pixel_dark_regions(spark: SparkSession, d: str) -> DataFrame:
+    pixels = _pixels(spark, d)
+    return th.dark_regions(pixels, pixels.where("y > 0"), method="multiotsu", offset=2.0)
+
+
+ORACLE["pixel_dark_regions"] = ORACLE["pixel_dark_regions"].replace("FROM pixels GROUP BY ALL", "FROM pixels WHERE y>0 GROUP BY ALL")
+
+
+def _around(radius: int) -> str:
+    """Mean and mean square around each pixel, by visiting all of them."""
+    ends = f"range({-radius}, {radius + 1})"
+    fold = lambda c: f"CASE WHEN {c}%{2 * SIDE - 2}<{SIDE} THEN {c}%{2 * SIDE - 2} ELSE {2 * SIDE - 2}-{c}%{2 * SIDE - 2} END"
+    s = f", s AS (SELECT image_id, y, x, y+dy+{4 * (2 * SIDE - 2)} AS ry, x+dx+{4 * (2 * SIDE - 2)} AS rx FROM pixels, unnest({ends}) AS a(dy), unnest({ends}) AS b(dx))"
+    return _PIX + s + f", m AS (SELECT image_id, y, x, {fold('ry')} AS ny, {fold('rx')} AS nx FROM s), v AS (SELECT m.image_id, m.y, m.x, avg(p.gray) AS a, avg(p.gray*p.gray) AS q FROM m JOIN pixels p ON p.image_id=m.image_id AND p.y=ny AND p.x=nx GROUP BY ALL)"
+
+
+@query("pixel_sauvola", _around(2) + " SELECT image_id, y, x, gray, round(threshold, 6) AS threshold FROM (SELECT p.*, a*(1+0.2::DOUBLE*(sqrt(greatest(q-a*a, 0))/127.5::DOUBLE-1)) AS threshold FROM v JOIN pixels p USING (image_id, y, x)) WHERE gray<threshold")
+def pixel_sauvola(spark: SparkSession, d: str) -> DataFrame:
+    return px.sauvola(_pixels(spark, d), SIDE, SIDE, 5).withColumn("threshold", _r(F.col("threshold")))
+
+
+@query("pixel_local_std_wide", _around(9) + " SELECT image_id, y, x, round(sqrt(greatest(q-a*a, 0)), 6) AS local_std FROM v")
+def pixel_local_std_wide(spark: SparkSession, d: str) -> DataFrame:
+    """A window larger than the image, which is mirrored more than once."""
+    return px.local_std(_pixels(spark, d), SIDE, SIDE, 9).withColumn("local_std", _r(F.col("local_std")))
+
+
+_TEXTURE = f"""{_around(1)}, g AS (SELECT image_id, sqrt(greatest(q-a*a, 0)) AS s FROM v), k AS (SELECT image_id, quantile_cont(s, 0.99) AS top FROM g GROUP BY image_id),
+h AS (SELECT image_id, least(greatest(floor(s/top*255), 0), 255) AS level, count(*)::DOUBLE AS n FROM g JOIN k USING (image_id) WHERE top>0 GROUP BY ALL)""" + _OTSU[_OTSU.index(", c AS") :]
+
+
+@query("pixel_texture_level", _TEXTURE + " SELECT image_id, CASE WHEN separability>=0.6 THEN round(threshold/255*top, 6) ELSE 'inf'::DOUBLE END AS threshold, separability>=0.6 AS separable FROM t JOIN k USING (image_id)")
+def pixel_texture_level(spark: SparkSession, d: str) -> DataFrame:
+    texture = px.local_std(_pixels(spark, d), SIDE, SIDE)
+    return th.texture_level(texture, "local_std", least=0.6).withColumn("threshold", _r(F.col("threshold")))
+
+
+_CLOSE = _COMP + """, near AS (SELECT DISTINCT a.image_id, a.label AS a, b.label AS b FROM lab a JOIN lab b ON a.image_id=b.image_id AND a.label<>b.label AND abs(a.y-b.y)<=2 AND abs(a.x-b.x)<=2),
+walk AS (SELECT DISTINCT image_id, label, label AS head FROM lab UNION SELECT w.image_id, n.b, w.head FROM walk w JOIN near n ON n.image_id=w.image_id AND n.a=w.label),
+grp AS (SELECT image_id, label, min(head) AS head FROM walk GROUP BY ALL)
+SELECT image_id, y, x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY head) AS INT) AS label FROM lab JOIN grp USING (image_id, label)"""
+
+
+@query("pixel_merge_close", _CLOSE)
+def pixel_merge_close(spark: SparkSession, d: str) -> DataFrame:
+    return rg.merge_close(checkpointed(_labels(spark, d)), 1)
+
+
+_SLIVER = _COMP + """, f AS (SELECT image_id, y, x, label AS orig, label*10+x//3 AS frag FROM lab), k AS (SELECT image_id, orig, frag, count(*) AS n FROM f GROUP BY ALL),
+g AS (SELECT *, n::DOUBLE/sum(n) OVER w AS share, first_value(frag) OVER (PARTITION BY image_id, orig ORDER BY n DESC, frag) AS top FROM k WINDOW w AS (PARTITION BY image_id, orig)),
+z AS (SELECT image_id, y, x, CASE WHEN share<0.3::DOUBLE THEN top ELSE frag END AS t FROM f JOIN g USING (image_id, orig, frag))
+SELECT image_id, y, x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY t) AS INT) AS label FROM z"""
+
+
+@query("pixel_undo_slivers", _SLIVER)
+def pixel_undo_slivers(spark: SparkSession, d: str) -> DataFrame:
+    """Objects cut in stripes of three columns; stripes with less than three tenths of their object go to its largest."""
+    original = checkpointed(_labels(spark, d))
+    split = original.withColumn("label", (F.col("label") * 10 + F.floor(F.col("x") / 3)).cast("int"))
+    return rg.undo_slivers(split, original, 0.3)
+
+
+_RIM = _COMP + f""", r AS (SELECT image_id, root, count(*)/{SIDE * SIDE}::DOUBLE AS area_frac, sum((y=0)::INT+(y={SIDE - 1})::INT+(x=0)::INT+(x={SIDE - 1})::INT)/{4 * SIDE}::DOUBLE AS contact_frac, max(least(y, {SIDE - 1}-y, x, {SIDE - 1}-x))/{SIDE / 2}::DOUBLE AS depth_frac, count(*) AS area_px FROM comp GROUP BY ALL),
+b AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS k FROM r WHERE area_frac>=0.03 AND contact_frac>=0.06), rim AS (SELECT * FROM b WHERE k=1 OR depth_frac<=0.5)
+"""
+
+
+def _rim(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Components of dark pixels, and those that can be resin."""
+    parts = px.components(_dark(spark, d), SIDE)
+    return parts, rg.rim_regions(rg.regions(parts, SIDE, SIDE), 0.03, 0.06, 0.5)
+
+
+@query("segment_rim_components", _RIM + "SELECT image_id, root, area_px, round(area_frac, 6) AS area_frac, round(contact_frac, 6) AS contact_frac, round(depth_frac, 6) AS depth_frac FROM rim")
+def segment_rim_components(spark: SparkSession, d: str) -> DataFrame:
+    rim = _rim(spark, d)[1]
+    return rim.select("image_id", "root", "area_px", *[_r(F.col(c)).alias(c) for c in ("area_frac", "contact_frac", "depth_frac")])
+
+
+_ISLE = _RIM.replace("reach AS", "reach AS MATERIALIZED").replace("comp AS", "comp AS MATERIALIZED") + f""", resin AS (SELECT image_id, y, x FROM comp JOIN rim USING (image_id, root)),
+cand AS (SELECT image_id, y, x FROM pixels ANTI JOIN resin USING (image_id, y, x)),
+flow AS (SELECT image_id, y, x, y*{SIDE}+x AS root FROM cand UNION SELECT c.image_id, c.y, c.x, f.root FROM flow f JOIN cand c ON c.image_id=f.image_id AND abs(c.y-f.y)<=1 AND abs(c.x-f.x)<=1),
+piece AS (SELECT image_id, y, x, min(root) AS root FROM flow GROUP BY ALL),
+med AS (SELECT image_id, root, count(*) AS area_px, median(gray) AS m FROM piece JOIN pixels USING (image_id, y, x) GROUP BY ALL),
+rm AS (SELECT image_id, median(gray) AS resin FROM pixels JOIN resin USING (image_id, y, x) GROUP BY image_id),
+pl AS (SELECT *, row_number() OVER w AS place, first_value(m) OVER w AS main FROM med LEFT JOIN rm USING (image_id) WINDOW w AS (PARTITION BY image_id ORDER BY area_px DESC, root))
+SELECT image_id, root, area_px, CASE WHEN place=1 THEN 'specimen' WHEN abs(m-resin)<abs(m-main) THEN 'resin' WHEN area_px/{SIDE * SIDE}::DOUBLE<0.05 THEN 'dropped' ELSE 'specimen' END AS role FROM pl"""
+
+
+@query("segment_islands", _ISLE)
+def segment_islands(spark: SparkSession, d: str) -> DataFrame:
+    parts, rim = _rim(spark, d)
+    pixels = _pixels(spark, d)
+    resin = checkpointed(parts.join(rim, ["image_id", "root"], "left_semi").select("image_id", "y", "x"))
+    pieces = px.components(pixels.join(resin, ["image_id", "y", "x"], "left_anti").select("image_id", "y", "x"), SIDE)
+    return rg.assign_islands(pieces, pixels, resin, SIDE * SIDE, 0.05)
+
+
+@query("segment_material_contrast", _RIM + "SELECT image_id, coalesce(median(gray) FILTER (root IS NULL)-median(gray) FILTER (root IS NOT NULL), 0) AS contrast FROM pixels LEFT JOIN (SELECT image_id, y, x, root FROM comp JOIN rim USING (image_id, root)) USING (image_id, y, x) GROUP BY image_id")
+def segment_material_contrast(spark: SparkSession, d: str) -> DataFrame:
+    parts, rim = _rim(spark, d)
+    return rg.material_contrast(_pixels(spark, d), parts.join(rim, ["image_id", "root"], "left_semi"))
+
+
 # -- raster kernels -----------------------------------------------------------------------------
 
 
