@@ -186,6 +186,7 @@ def format_um(value_um: Column) -> Column:
 
 
 # -- one line for a result ----------------------------------------------------------------------
+# The words of these lines.
 
 
 def describe_image(pore_count: Column, porosity_pct: Column, diameter_um: Column, diameter_px: Column, rejected: Column) -> Column:

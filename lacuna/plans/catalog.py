@@ -24,7 +24,9 @@ from lacuna.plans.fixtures import oracle_views, view
 from lacuna.raster import detection as det
 from lacuna.raster import segmentation as seg
 from lacuna.session import checkpointed, shared_folder
+from lacuna.sources import correction_store as cs
 from lacuna.sources import images as im
+from lacuna.sources import result_folders as rf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -810,6 +812,50 @@ def _add_segmenters() -> None:
 _add_segmenters()
 
 
+# -- files: result folders, correction store ----------------------------------------------------
+
+
+def _line(columns: list[str]) -> str:
+    return "concat_ws(';', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns) + ")"
+
+
+_FOLDER_COLUMNS = ["bild", "label", "flaeche_px", "flaeche_um2", "aequivalentdurchmesser_px", "aequivalentdurchmesser_um", "umfang_px", "feret_max_px", "feret_max_um", "hauptachse_px", "nebenachse_px", "rundheit", "seitenverhaeltnis", "soliditaet", "exzentrizitaet", "orientierung_grad", "schwerpunkt_x_px", "schwerpunkt_y_px", "grauwert_mittel", "grauwert_min", "kontrast", "am_bildrand", "am_probenrand", "abstand_probenrand_px"]
+_FOLDERS = f"""SELECT i.stem || '/poren.csv' AS file, sha256(chr(65279) || '{";".join(_FOLDER_COLUMNS)}' || chr(13) || chr(10) || coalesce(p.body, '')) AS sha FROM (SELECT concat('probe_', CAST(s_suppkey AS VARCHAR)) AS stem FROM supplier) i
+LEFT JOIN (SELECT replace(bild, '.tif', '') AS stem, string_agg({_line(_FOLDER_COLUMNS)} || chr(13) || chr(10), '' ORDER BY label) AS body FROM ({ORACLE["pore_table"]}) t GROUP BY bild) p USING (stem)
+UNION ALL SELECT concat('probe_', CAST(s_suppkey AS VARCHAR), '/einstellungen.yaml'), sha256('filter: {{}}') FROM supplier"""
+
+
+@query("result_folders", _FOLDERS)
+def result_folders(spark: SparkSession, d: str) -> DataFrame:
+    """A folder for each image with its objects and settings, written by executors and read back: file, sha."""
+    images = view(spark, d, "images")
+    folders = ev.output_folders(images.select(F.col("name").alias("path"))).withColumnRenamed("path", "name")
+    root = shared_folder(spark, "folders")
+    rf.write({"poren.csv": pore_table(spark, d)}, folders, root, "filter: {}")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return found.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha"))
+
+
+_STORE = oracle_views("corrections") + """ SELECT concat('probe ', CAST(image_id AS VARCHAR), '_', substr(sha1(CAST(image_id AS VARCHAR)), 1, 12)) AS key, CAST(row_number() OVER (PARTITION BY image_id ORDER BY seq)-1 AS INT) AS seq, action, label*0.25::DOUBLE AS x, seq::DOUBLE AS y
+FROM corrections WHERE image_id<>3"""
+
+
+@query("corr_store_load", _STORE)
+def corr_store_load(spark: SparkSession, d: str) -> DataFrame:
+    """Corrections stored in a file for each image, those of one image taken back, and read again; one half lies in the former folder."""
+    log = view(spark, d, "corrections")
+    key = cs.key_of(F.concat(F.lit("probe "), "image_id", F.lit(".tif")), F.sha1(F.col("image_id").cast("string").cast("binary")))
+    log = log.select("image_id", key.alias("key"), "seq", "action", (F.col("label") * 0.25).alias("x"), F.col("seq").cast("double").alias("y"), F.lit(None).cast("array<array<double>>").alias("points"))
+    images = log.select("key", "image_id", F.concat(F.lit("probe "), "image_id", F.lit(".tif")).alias("name")).distinct()
+    folder, former = shared_folder(spark, "corrections"), shared_folder(spark, "former")
+    cs.save(log.where("seq % 2 = 0"), images, former)  # hidden by the store's own files, but for one image
+    cs.save(log.where("image_id <> 4"), images.where("image_id <> 4"), folder)
+    cs.save(log.where("image_id = 4"), images.where("image_id = 4"), former)
+    for at in (folder, former):
+        cs.save(log.where("false"), images.where("image_id = 3"), at)
+    return cs.load(spark, folder, former).select("key", "seq", "action", "x", "y")
+
+
 # -- folders, viewer list, evaluations ----------------------------------------------------------
 
 
