@@ -128,13 +128,14 @@ def density_curve(values: DataFrame, key: str, value: str) -> DataFrame:
     layout = layout.where("n >= 5").withColumn("sigma", sigma).where("sigma > 0")
     grid = edges(F.col("classes"), F.col("lo"), F.col("hi"))
     layout = layout.select(key, (0.9 * F.col("sigma") * F.pow(F.col("n").cast("double"), F.lit(-1 / 5))).alias("h"), F.log10(F.get(grid, F.lit(0))).alias("a"), F.log10(F.element_at(grid, -1)).alias("b"), "classes")
-    points = layout.select("*", F.explode(F.sequence(F.lit(0), F.lit(CURVE_POINTS - 1))).alias("point"))
-    points = points.withColumn("at", F.col("a") + (F.col("b") - F.col("a")) * F.col("point") / (CURVE_POINTS - 1))
-    u = (F.col("at") - F.col("x")) / F.col("h")
-    sums = values.where(F.col(value) > 0).select(key, F.log10(F.col(value)).alias("x")).join(points.select(key, "point", "at", "h"), key)
-    sums = sums.groupBy(key, "point").agg(F.sum(F.when(F.abs(u) < CURVE_REACH, F.exp(-0.5 * u * u)).otherwise(0.0)).alias("s"))
+    # A value meets the curve's points in columns: a row stays a row, and tasks sum before anything is exchanged.
+    at = lambda point: F.col("a") + (F.col("b") - F.col("a")) * point / (CURVE_POINTS - 1)
+    u = [(at(k) - F.col("x")) / F.col("h") for k in range(CURVE_POINTS)]
+    met = values.where(F.col(value) > 0).select(key, F.log10(F.col(value)).alias("x")).join(layout.select(key, "h", "a", "b"), key)
+    sums = met.groupBy(key).agg(*[F.sum(F.when(F.abs(d) < CURVE_REACH, F.exp(-0.5 * d * d)).otherwise(0.0)).alias(f"s{k}") for k, d in enumerate(u)])
+    points = layout.join(sums, key).select(key, "h", "a", "b", "classes", F.posexplode(F.array(*[f"s{k}" for k in range(CURVE_POINTS)])).alias("point", "s"))
     factor = (F.col("b") - F.col("a")) / F.col("classes") / (F.col("h") * F.sqrt(2 * F.pi()))
-    return points.join(sums, [key, "point"]).select(key, "point", F.pow(F.lit(10.0), F.col("at")).alias("x"), (factor * F.col("s")).alias("height"))
+    return points.select(key, "point", F.pow(F.lit(10.0), at(F.col("point"))).alias("x"), (factor * F.col("s")).alias("height"))
 
 
 #: Diameter classes of the evaluation template, right-open; the last has no end.
