@@ -375,30 +375,50 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
 
 
-def _label_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x[0],) for x in LABELS], "text string")
+#: Numbers from the keys of a table, written in four ways, with a unit's text in turn; the same in both engines.
+_WRITTEN = """SELECT {key} AS k, n, d, CASE {key}%4 WHEN 0 THEN concat(CAST(n AS STRING), '.', CAST(d AS STRING)) WHEN 1 THEN concat(CAST(n AS STRING), ',', CAST(d AS STRING))
+ WHEN 2 THEN concat(CAST((n-n%1000)/1000 AS BIGINT), '.', lpad(CAST(n%1000 AS STRING), 3, '0'), ',', CAST(d AS STRING)) ELSE concat(CAST((n-n%1000)/1000 AS BIGINT), ',', lpad(CAST(n%1000 AS STRING), 3, '0'), '.', CAST(d AS STRING)) END AS number
+FROM (SELECT {key}, CAST(1000+({key}*7919)%900000 AS BIGINT) AS n, CAST({key}%9+1 AS INT) AS d FROM {part}) t"""
+_READ_UNITS = [("µm", "um", 1.0), ("nm", "nm", 0.001), ("mm", "mm", 1000.0), ("pm", "um", 1.0), ("rn", "m", 1e6), ("microns", "um", 1.0), ("nanometre", "nm", 0.001), ("inch", "inch", 25400.0), ("quux", None, None)]
+_WRITTEN_SQL = f"WITH w AS ({_WRITTEN.format(key='p_partkey', part='part')}), u AS (SELECT row_number() OVER ()-1 AS i, * FROM (VALUES {_values(_READ_UNITS)}) AS t(raw, unit, factor))"
 
 
-@query("parse_label", f"SELECT text, value::DOUBLE AS value, unit, value_um::DOUBLE AS value_um FROM (VALUES {_values(LABELS)}) AS t(text, value, unit, value_um)")
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """k, n, d, number (a text), raw (a unit's text)."""
+    rows = spark.sql(_WRITTEN.format(key="p_partkey", part="{part}"), part=spark.read.parquet(f"{d}/part.parquet"))
+    return rows.withColumn("raw", F.element_at(F.array(*[F.lit(u[0]) for u in _READ_UNITS]), (F.col("k") % len(_READ_UNITS) + 1).cast("int")))
+
+
+def _label_rows(spark: SparkSession, d: str) -> DataFrame:
+    typed = spark.createDataFrame([(x[0],) for x in LABELS], "text string")
+    return typed.unionByName(_written(spark, d).select(F.concat_ws(" ", "number", "raw").alias("text")))
+
+
+@query("parse_label", _WRITTEN_SQL + f" SELECT text, value::DOUBLE AS value, unit, value_um::DOUBLE AS value_um FROM (VALUES {_values(LABELS)}) AS t(text, value, unit, value_um) UNION ALL SELECT number || ' ' || raw, CASE WHEN unit IS NOT NULL THEN n+d/10.0::DOUBLE END, unit, CASE WHEN factor<1 THEN round((n+d/10.0::DOUBLE)*factor, 9) ELSE (n+d/10.0::DOUBLE)*factor END FROM w JOIN u ON u.i=k%{len(_READ_UNITS)}")
 def parse_label(spark: SparkSession, d: str) -> DataFrame:
+    """Labels made of numbers and units of every row of ``part``, and of awkward texts."""
     p = tx.parse_length(F.col("text"))
-    return _label_rows(spark).select("text", p["value"].alias("value"), p["unit"].alias("unit"), _r(p["value_um"], 9).alias("value_um"))
+    return _label_rows(spark, d).select("text", p["value"].alias("value"), p["unit"].alias("unit"), _r(p["value_um"], 9).alias("value_um"))
 
 
 UNITS = [("µm", "um"), ("μm", "um"), ("Âµm", "um"), ("pm", "um"), ("rn", "m"), ("nun", "mm"), ("yum", "um"), ("im", "um"), ("micrometre", "um"), ("nanometer", "nm"), ("[mm]", "mm"), ("xyz", None), ("", None), ("IN", "in"), ("mil", "mil"), ("ρm", "um"), ("lm", "um"), ("Microns", "um")]
 
 
-@query("normalize_unit", f"SELECT raw, unit FROM (VALUES {_values(UNITS)}) AS t(raw, unit)")
+@query("normalize_unit", _WRITTEN_SQL + f" SELECT raw, unit FROM (VALUES {_values(UNITS)}) AS t(raw, unit) UNION ALL SELECT '[' || raw || ']', unit FROM w JOIN u ON u.i=k%{len(_READ_UNITS)}")
 def normalize_unit(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(x[0],) for x in UNITS], "raw string").select("raw", tx.normalize_unit(F.col("raw")).alias("unit"))
+    """Unit texts of every row of ``part``, in brackets, and awkward ones."""
+    rows = spark.createDataFrame([(x[0],) for x in UNITS], "raw string").unionByName(_written(spark, d).select(F.concat(F.lit("["), "raw", F.lit("]")).alias("raw")))
+    return rows.select("raw", tx.normalize_unit(F.col("raw")).alias("unit"))
 
 
 NUMBERS = [("1", 1.0), ("1,5", 1.5), ("1.5", 1.5), ("1.234,5", 1234.5), ("1,234.5", 1234.5), ("1,234,567", 1234567.0), ("1.234.567", 1234567.0), ("1.23.5", 123.5), ("12 345", 12345.0), ("1'000", 1000.0), ("", None), ("abc", None), ("1.2.3,4", 123.4)]
 
 
-@query("parse_number", f"SELECT raw, value::DOUBLE AS value FROM (VALUES {_values(NUMBERS)}) AS t(raw, value)")
+@query("parse_number", _WRITTEN_SQL + f" SELECT raw, value::DOUBLE AS value FROM (VALUES {_values(NUMBERS)}) AS t(raw, value) UNION ALL SELECT number, n+d/10.0::DOUBLE FROM w")
 def parse_number(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(x[0],) for x in NUMBERS], "raw string").select("raw", tx.parse_number(F.col("raw")).alias("value"))
+    """Numbers of every row of ``part``, written in four ways, and awkward ones."""
+    rows = spark.createDataFrame([(x[0],) for x in NUMBERS], "raw string").unionByName(_written(spark, d).select(F.col("number").alias("raw")))
+    return rows.select("raw", tx.parse_number(F.col("raw")).alias("value"))
 
 
 _SHOWN = "CASE WHEN m>=1e9 THEN 'km' WHEN m>=1e6 THEN 'm' WHEN m>=1e3 THEN 'mm' WHEN m>=1 THEN 'µm' ELSE 'nm' END"
@@ -504,18 +524,34 @@ def corr_undo(spark: SparkSession, d: str) -> DataFrame:
 
 BASE = {"pore": {"detektor": "local_contrast", "open": 1, "schwelle": 6.0}, "scale": {"pad": 4, "weights": [1.0, 0.85]}, "an": True}
 OWN = {"pore": {"open": 1.0, "schwelle": 7.5}, "scale": {"weights": [1.0]}, "an": False, "neu": "x"}
-_SETTINGS = f"WITH b AS (SELECT * FROM (VALUES {_values(st.flattened(BASE))}) AS t(path, v)), o AS (SELECT * FROM (VALUES {_values(st.flattened(OWN))}) AS t(path, v)) "
+#: A base and own settings from a table: numbers that are equal as such, other numbers, texts, missing and further paths; a text is quoted as JSON by ``{q}``.
+_BASE_ROWS = "SELECT concat('kunden.', CAST(c_custkey AS STRING)) AS path, CAST(c_nationkey AS STRING) AS v FROM {customer}"
+_OWN_ROWS = """SELECT concat('kunden.', CAST(c_custkey AS STRING)) AS path, CASE c_custkey%4 WHEN 0 THEN concat(CAST(c_nationkey AS STRING), '.0') WHEN 1 THEN CAST(c_nationkey+1 AS STRING) ELSE concat('{q}', c_mktsegment, '{q}') END AS v FROM {customer} WHERE c_custkey%4<3
+ UNION ALL SELECT concat('neu.', CAST(c_custkey AS STRING)), 'true' FROM {customer} WHERE c_custkey%7=0"""
+_TABLES = f"bt AS ({_BASE_ROWS.format(customer='customer')}), ot AS ({_OWN_ROWS.format(customer='customer', q='{q}')})"
+_SETTINGS = f"WITH {_TABLES.replace('{q}', chr(34))}, b AS (SELECT * FROM (VALUES {_values(st.flattened(BASE))}) AS t(path, v) UNION ALL FROM bt), o AS (SELECT * FROM (VALUES {_values(st.flattened(OWN))}) AS t(path, v) UNION ALL FROM ot) "
 _SAME = "coalesce(TRY_CAST(b.v AS DOUBLE)=TRY_CAST(o.v AS DOUBLE), b.v=o.v)"
 
 
+def _setting_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Base and own settings of the table, as path and value."""
+    customer = spark.read.parquet(f"{d}/customer.parquet")
+    return tuple(spark.sql(q.replace("{q}", '"'), customer=customer).withColumnRenamed("v", "value") for q in (_BASE_ROWS, _OWN_ROWS))
+
+
+def _settings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Typed trees, and a path for each row of ``customer``."""
+    return tuple(st.table(spark, tree).unionByName(rows) for tree, rows in zip((BASE, OWN), _setting_rows(spark, d)))
+
+
 @query("settings_overlay", _SETTINGS + "SELECT path, coalesce(o.v, b.v) AS value FROM b FULL JOIN o USING (path)")
 def settings_overlay(spark: SparkSession, d: str) -> DataFrame:
-    return st.overlaid(st.table(spark, BASE), st.table(spark, OWN))
+    return st.overlaid(*_settings(spark, d))
 
 
 @query("settings_diff", _SETTINGS + f"SELECT path, b.v AS old, o.v AS new FROM b FULL JOIN o USING (path) WHERE b.v IS NULL OR o.v IS NULL OR NOT {_SAME}")
 def settings_diff(spark: SparkSession, d: str) -> DataFrame:
-    return st.differences(st.table(spark, BASE), st.table(spark, OWN))
+    return st.differences(*_settings(spark, d))
 
 
 CHAIN = [{"name": "flaeche", "an": True, "min": 4}, {"name": "rundheit", "an": False, "min": 0.5}, {"name": "rand", "an": True}]
@@ -530,18 +566,22 @@ def _chain_sql() -> str:
         rows = [(c, str(i), f["name"], k, "-" if v is None else str(v).lower() if isinstance(v, bool) else str(v)) for c, fs in chains.items() for i, f in enumerate(fs) for k, v in f.items()]
         parts.append(f"{table} AS (SELECT * FROM (VALUES {_values(rows)}) AS t(c, pos, name, k, v))")
         parts.append(f"{table}s AS (SELECT c, string_agg(name, ',' ORDER BY pos) AS names, string_agg(name, ',' ORDER BY name) AS sorted FROM {table} WHERE k='name' GROUP BY c)")
-    return "WITH " + ", ".join(parts)
+    return f"WITH {_TABLES.replace('{q}', '')}, " + ", ".join(parts)
+
+
+_TABLE_LINES = f" UNION ALL SELECT path, concat(path, ': ', coalesce(b.v, '-'), ' -> ', coalesce(o.v, '-')) FROM bt AS b FULL JOIN ot AS o USING (path) WHERE b.v IS NULL OR o.v IS NULL OR NOT {_SAME}"
 
 
-@query("settings_changes", _chain_sql() + " SELECT concat_ws('.', c, name, k) AS path, concat(concat_ws('.', c, name, k), ': ', coalesce(o.v, '-'), ' -> ', coalesce(n.v, '-')) AS line FROM o FULL JOIN n USING (c, name, k) WHERE o.v IS NULL OR n.v IS NULL OR NOT coalesce(TRY_CAST(o.v AS DOUBLE)=TRY_CAST(n.v AS DOUBLE), o.v=n.v) UNION ALL SELECT c, concat(c, ': Reihenfolge geändert') FROM os JOIN ns USING (c, sorted) WHERE os.names<>ns.names")
+@query("settings_changes", _chain_sql() + " SELECT concat_ws('.', c, name, k) AS path, concat(concat_ws('.', c, name, k), ': ', coalesce(o.v, '-'), ' -> ', coalesce(n.v, '-')) AS line FROM o FULL JOIN n USING (c, name, k) WHERE o.v IS NULL OR n.v IS NULL OR NOT coalesce(TRY_CAST(o.v AS DOUBLE)=TRY_CAST(n.v AS DOUBLE), o.v=n.v) UNION ALL SELECT c, concat(c, ': Reihenfolge geändert') FROM os JOIN ns USING (c, sorted) WHERE os.names<>ns.names" + _TABLE_LINES)
 def settings_changes(spark: SparkSession, d: str) -> DataFrame:
     old, new = ({"k": a, "l": b} for a, b in ((CHAIN, CHAIN), (CHAIN_MOVED, CHAIN_LONGER)))
-    return st.change_lines(st.differences(st.table(spark, old, by_name=True), st.table(spark, new, by_name=True)))
+    tables = [st.table(spark, tree, by_name=True).unionByName(rows) for tree, rows in zip((old, new), _setting_rows(spark, d))]
+    return st.change_lines(st.differences(*tables))
 
 
 @query("settings_deviations", _SETTINGS + f"SELECT path, o.v AS value FROM o LEFT JOIN b USING (path) WHERE b.v IS NULL OR NOT {_SAME}")
 def settings_deviations(spark: SparkSession, d: str) -> DataFrame:
-    return st.deviations(st.table(spark, BASE), st.table(spark, OWN))
+    return st.deviations(*_settings(spark, d))
 
 
 # -- pixels -------------------------------------------------------------------------------------
