@@ -852,6 +852,34 @@ def _add_segmenters() -> None:
 _add_segmenters()
 
 
+_OUTLINES = oracle_views("corrections") + """, o AS (SELECT image_id, seq, action, seq/7.0::DOUBLE AS x, label/3.0::DOUBLE AS y, list_transform(range(1, label%5+1), lambda i: {'x': seq+i*i*0.5::DOUBLE, 'y': label+i*1.25::DOUBLE}) AS p FROM corrections)
+SELECT image_id, seq, action, round(x, 2) AS x, round(y, 2) AS y, len(p) AS corners, CASE WHEN len(p)>=3 THEN round(list_avg(list_transform(p, lambda q: q.x)), 6) END AS anchor_x, CASE WHEN len(p)>=3 THEN round(list_avg(list_transform(p, lambda q: q.y)), 6) END AS anchor_y FROM o"""
+
+
+@query("corr_stored_form", _OUTLINES)
+def corr_stored_form(spark: SparkSession, d: str) -> DataFrame:
+    """Corrections written in their stored form and read again, with the middle of their outlines."""
+    n, x, y = F.col("label") % 5, F.col("seq") / 7, F.col("label") / 3
+    points = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.struct((F.col("seq") + i * i * 0.5).alias("x"), (F.col("label") + i * 1.25).alias("y")))
+    rows = view(spark, d, "corrections").withColumn("points", points)
+    rows = rows.select("image_id", "seq", "points", co.from_json(co.to_json(F.col("action"), x, y, F.col("points"))).alias("k"), co.anchor(F.col("points")).alias("at"))
+    return rows.select("image_id", "seq", F.col("k.aktion").alias("action"), F.col("k.x").alias("x"), F.col("k.y").alias("y"), F.coalesce(F.size("k.punkte"), F.lit(0)).cast("bigint").alias("corners"), _r(F.col("at.x")).alias("anchor_x"), _r(F.col("at.y")).alias("anchor_y"))
+
+
+_BAR = oracle_views("readings") + """, b AS (SELECT candidate_id, seq, value_um/(seq%90+10) AS um_per_px, greatest(0, least(1, ocr_confidence*1.25::DOUBLE)) AS confidence, CASE WHEN seq%3=0 THEN 2 ELSE 1 END AS warnings, ocr_confidence>=0.8 AND seq%3<>0 AS before FROM readings)
+SELECT candidate_id, seq, round(um_per_px, 6) AS um_per_px, round(confidence, 6) AS confidence, warnings, before, false AS after FROM b"""
+
+
+@query("formula_scale", _BAR)
+def formula_scale(spark: SparkSession, d: str) -> DataFrame:
+    """Scales from bars, one more warning and its factor on the confidence, and whether a scale can be trusted before and after."""
+    given = F.when(F.col("seq") % 3 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    rows = view(spark, d, "readings").withColumn("given", given)
+    warnings, confidence = fm.with_warning("given", "ocr_confidence", "b", 1.25)
+    scale = fm.scale_from_bar(F.col("value_um"), F.col("seq") % 90 + 10)
+    return rows.select("candidate_id", "seq", _r(scale).alias("um_per_px"), _r(confidence).alias("confidence"), F.size(warnings).alias("warnings"), fm.is_trustworthy("given", "ocr_confidence").alias("before"), fm.is_trustworthy(warnings, confidence).alias("after"))
+
+
 # -- files: result folders, correction store ----------------------------------------------------
 
 
