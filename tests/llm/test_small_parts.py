@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as spark_functions
 
 from lacuna.llm import language, near_duplicates, neighbours, packing, quality, quotient_filter, sentencepiece_scan, shared, warc
 from lacuna.llm.shingles import shingle_set
@@ -285,3 +286,29 @@ def test_notes_lie_by_ranges_of_rows(spark, monkeypatch, tmp_path):
     assert [n for _, n, _ in runs] == [70, 51] and [n for _, _, n in runs] == [14, 14]
     kept = shared.picked_rows(rows, file, row, noted, scratch, "kept", True)
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 650, 7))
+
+
+def test_stages_of_the_pipeline_on_awkward_rows_and_none(spark):
+    """Every stage on what the one before kept, through Parquet; own columns with clashing names stay until the last."""
+    import corpus_pipeline
+
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality classifier", "language ID", "exact dedup", "n-gram Jaccard join", "packing"]
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 300")
+    clean = base.orderBy("doc_id").limit(3).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in clean]
+    rows += [(None, clean[0].text, None, None, None), (rows[0][0], rows[0][1], "x", "s", 1), (9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, " \t", None, "s", 2), (9004, "y" * 100_000, "en", "s", 9), (9005, "12 34 !", "en", "s", 7)]
+    docs = spark.createDataFrame(rows, base.schema).withColumns({c: spark_functions.lit(1) for c in ("file", "row", "_file", "digest", "h")})
+    for given in (docs, docs.where("false")):
+        scratch, at = shared.Scratch(spark, "stages"), given
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = at
+            at = scratch.keep(stage(spark, before, "/root/testdata/sf0.001"), str(k))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert at.columns == given.columns
+                assert at.exceptAll(before).isEmpty()
+        if given is docs:
+            assert {r.doc_id for r in at.collect()} >= {r[0] for r in rows[:1]}
+        else:
+            assert at.isEmpty()
+        scratch.close()
