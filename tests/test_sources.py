@@ -46,3 +46,27 @@ def test_stream_recomputes_touched_images_only(spark, tmp_path):
     q.awaitTermination()
     assert seen == {1: (0, 0.0), 2: (2, 30.0)}
     assert {r.image_id for r in stat.per_image(images, judged).collect()} == {1, 2, 3} and fl.available()
+
+
+def test_stream_of_folds_equals_the_whole_log(spark, tmp_path):
+    """Entries that come late, out of order and again; each batch reads itself only."""
+    import random
+
+    from lacuna.operators import corrections as co
+
+    rnd = random.Random(4)
+    entries = [(k % 5, k, rnd.choice(["aufnehmen", "entfernen"]), rnd.randrange(6)) for k in range(120)]
+    shuffled = rnd.sample(entries, len(entries)) + entries[:30]
+    schema = "image_id int, seq int, action string, label int"
+    judged = spark.range(5).select(F.col("id").cast("int").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("label"))
+    rejected = (F.col("label") + F.col("image_id")) % 2 == 0
+    judged = judged.select("*", F.when(rejected, "scratch").alias("filter_name"), F.when(rejected, "x").alias("reason"), (10.0 * F.col("label") + 1).alias("area_px"), F.lit(False).alias("touches_image_edge"), F.lit(False).alias("touches_specimen_edge"), F.lit(1.0).alias("equivalent_diameter_px"))
+    images = spark.range(5).select(F.col("id").cast("int").alias("image_id"), F.lit(100).alias("specimen_area_px"), F.lit(1.0).alias("um_per_px"))
+    seen = {}
+    for n, lo in enumerate(range(0, len(shuffled), 50)):
+        spark.createDataFrame(shuffled[lo : lo + 50], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/log")
+        q = stream.follow_folds(source, judged, images, lambda t, k: seen.update({r.image_id: (r.pore_count, r.pore_area_px, r.rejected_count) for r in t.collect()}), f"{tmp_path}/checkpoint")
+        q.awaitTermination()
+        want = stat.per_image(images, co.apply_points(judged, spark.createDataFrame(list(set(shuffled[: lo + 50])), schema)))
+        assert seen == {r.image_id: (r.pore_count, r.pore_area_px, r.rejected_count) for r in want.collect()}
