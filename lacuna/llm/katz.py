@@ -128,6 +128,7 @@ class Level:
     shorter: np.ndarray  # place of the n-gram without its first word, in the level below
     count: np.ndarray | None = None
     number: np.ndarray | None = None
+    whole: np.ndarray | None = None  # what the count is divided by
     prob: np.ndarray | None = None  # 0: not in the table
     back: np.ndarray | None = None
 
@@ -144,6 +145,10 @@ class Facts:
     buckets: int = 1
     spread_from: int = BUCKET_TOKENS
 
+    def whole(self) -> int:
+        """What counts of words are divided by."""
+        return max(1, self.tokens + bool((self.left[0][1:] == 1).all()))
+
 
 class View:
     """A chunk, with what the tables have answered so far."""
@@ -176,7 +181,7 @@ class View:
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         self.word = place[self.word]
-        self.levels[0] = Level(self.word, at.ctx, np.arange(len(order)), at.seen[order], np.arange(len(order)), at.count[order], at.number[order], at.prob[order], at.back)
+        self.levels[0] = Level(self.word, at.ctx, np.arange(len(order)), at.seen[order], np.arange(len(order)), at.count[order], at.number[order], None, at.prob[order], at.back)
 
     def _longer(self, below: Level, k: int) -> Level:
         n = self.n
@@ -218,10 +223,12 @@ class View:
         at = self.levels[k - 1]
         places, ctx, bucket, spread = self._dealt(k)
         word = self._numbers(k)[1]
-        lower, code = distinct(np.where(at.seen > 0, self.levels[k - 2].prob[at.shorter], 0.0))
+        below = self.levels[k - 2]
+        lower = np.where(at.seen > 0, below.count[at.shorter], 0)
+        whole = np.where(lower > 0, below.whole[at.shorter], 0) if k > 2 else np.zeros_like(lower)  # of words, buckets know it
         for b, mine in by_bucket(bucket):
             here = places[mine]
-            yield b, pack(np.diff(ctx[mine], prepend=0), word[here], at.seen[here], *_coded(lower, code[here]), spread[mine])
+            yield b, pack(np.diff(ctx[mine], prepend=0), word[here], at.seen[here], lower[here], whole[here], spread[mine])
 
     def _answered(self, k: int, answers: pa.Table) -> None:
         at, facts = self.levels[k - 1], self.facts
@@ -237,7 +244,7 @@ class View:
             if given and len(given[0][1]):
                 at.number[:] = np.concatenate([number for _, number in given])
             # As for contexts: nothing discounted, one more.
-            at.prob = kept_share(at.count, left) * at.count / max(1, facts.tokens + (left[1:] == 1).all())
+            at.prob = kept_share(at.count, left) * at.count / facts.whole()
             return
         places, ctx, bucket, spread = self._dealt(k)
         for b, mine in by_bucket(bucket):
@@ -255,7 +262,7 @@ class View:
             divide, mass = totals_and_mass(total, few, left)
             at.back[here] = np.repeat(np.where(total > 0, mass / (1 - lower), 1.0), size)
             whole[here] = np.repeat(divide, size)
-        at.prob = kept_share(at.count, left) * at.count / whole
+        at.whole, at.prob = whole.astype(np.int64), kept_share(at.count, left) * at.count / whole
 
     def log_probabilities(self) -> np.ndarray:
         """log10 of each token's probability: the longest n-gram in the tables, after the weights of the contexts given up."""
@@ -276,10 +283,12 @@ class View:
 # -- tables ---------------------------------------------------------------------------------
 
 
-def _coded(values: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values by their places among those that occur: they repeat, and small numbers take less space."""
-    used, code = distinct(code)
-    return values[used], code
+def _lower(message: list[np.ndarray], facts: Facts) -> np.ndarray:
+    """Probabilities after the shorter contexts: from counts and what these are divided by, or as a stored table gives their sums."""
+    if len(message) > 6:
+        return message[6]
+    count, whole = message[3], message[4]
+    return kept_share(count, facts.left[-1]) * count / np.where(whole > 0, whole, facts.whole())
 
 
 def _columns(kind: str, level: int, bucket: int, n: int, **given: pa.Array) -> pa.Table:
@@ -304,7 +313,7 @@ def _sorted(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     return np.lexsort((word, ctx))
 
 
-def _merge(level: int, last: bool, buckets: int):
+def _merge(level: int, last: bool, buckets: int, facts: Facts):
     """Merges the messages to a bucket: its part of the table, an answer to each message, counts of counts."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -313,7 +322,7 @@ def _merge(level: int, last: bool, buckets: int):
         if level == 1:
             came = [[np.zeros(len(m[0]), np.int64), m[0], m[1], np.zeros(0), np.zeros(0, bool)] for m in came]
         else:
-            came = [[np.cumsum(m[0]), m[1], m[2], m[3][m[4]], m[5]] for m in came]
+            came = [[np.cumsum(m[0]), m[1], m[2], _lower(m, facts), m[5]] for m in came]
         sizes = [len(m[0]) for m in came]
         ctx, word, count = (np.concatenate([m[i] for m in came]) for i in range(3))
         order = _sorted(ctx, word) if level > 1 else np.argsort(word, kind="stable")
@@ -417,7 +426,7 @@ def _stored(model: Katz, level: int) -> DataFrame:
                 lower = np.zeros(n)
                 if level > 1:
                     lower[0] = r["lower"]
-                body = pack(words.view(np.uint64), counts) if level == 1 else pack(np.array([r["ctx"]] + [0] * (n - 1)), words, counts, *distinct(lower), np.full(n, r["spread"]))
+                body = pack(words.view(np.uint64), counts) if level == 1 else pack(np.array([r["ctx"]] + [0] * (n - 1)), words, counts, np.zeros(n, int), np.zeros(n, int), np.full(n, r["spread"]), lower)
                 yield pa.record_batch([pa.array([r["bucket"]], pa.int32()), pa.nulls(1, pa.int64()), pa.array([body])], names=["bucket", "chunk", "body"])
 
     return model.tables[level - 1].where("kind = 'table'").mapInArrow(run, "bucket int, chunk bigint, body binary")
@@ -459,7 +468,7 @@ def fit_and_score(docs: DataFrame, learn: Column, order: int = ORDER, model: Kat
             sent = _with_answers(state, answers, messages, "bucket int, chunk bigint, body binary")
         if model:
             sent = sent.unionByName(_stored(model, level))
-        merged = scratch.keep(sent.groupBy("bucket").applyInArrow(_merge(level, last, buckets), _MERGED), f"level{level}", "kind", compression="zstd")
+        merged = scratch.keep(sent.groupBy("bucket").applyInArrow(_merge(level, last, buckets, facts), _MERGED), f"level{level}", "kind", compression="zstd")
         if level == 1:
             scratch.drop("chunks/kind=words")
         free_shuffles(spark)
