@@ -112,7 +112,7 @@ class ShardStore:
     def _change(self, added: DataFrame, removed: list[str], schema: T.StructType | None = None) -> int:
         """Commit a change to the newest version, whichever that is; a conflict if what is to be removed has gone meanwhile."""
         gone = self.spark.createDataFrame([(s,) for s in removed], "shard string")
-        for name in (r["shard"] for r in added.select("shard").toLocalIterator()):
+        for name in (r["shard"] for r in added.select("shard").collect()):
             if not self._fs.exists(self._path(name)):
                 raise CommitConflict(f"{name} was deleted before it was committed")
         for attempt in range(RETRIES):
@@ -156,7 +156,8 @@ class ShardStore:
         read = self.spark.read.option("recursiveFileLookup", "true").parquet(folder)
         at = read.metadataColumn("_metadata")
         files = read.select(at.getField("file_path").alias("shard"), at.getField("file_size").alias("bytes"))
-        return files.groupBy("shard", "bytes").agg(F.count("*").alias("rows")).select("shard", "bytes", "rows", tier_of(F.col("bytes")).alias("tier"), F.lit(generation).alias("generation"))
+        found = files.groupBy("shard", "bytes").agg(F.count("*").alias("rows")).select("shard", "bytes", "rows", tier_of(F.col("bytes")).alias("tier"), F.lit(generation).alias("generation"))
+        return self.spark.createDataFrame(found.collect(), MANIFEST)  # a row for each new shard; files are read for them once
 
     def _rows(self, shards: list[str], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*shards)
@@ -182,7 +183,7 @@ class ShardStore:
     def plan(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
         """Merges that are due: shard, merge_group. A tier of shards below the target that holds
         ``fan_in`` or more is cut, in order of size, into runs of about the target."""
-        small = self.manifest().where(F.col("bytes") < target)
+        small = self.manifest().coalesce(1).where(F.col("bytes") < target)  # in one task no window needs an exchange
         tier = W.partitionBy("tier")
         due = small.withColumn("in_tier", F.count("*").over(tier)).where(F.col("in_tier") >= fan_in)
         running = F.sum("bytes").over(tier.orderBy("bytes", "shard").rowsBetween(W.unboundedPreceding, -1))
