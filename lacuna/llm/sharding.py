@@ -111,7 +111,7 @@ class ShardStore:
 
     def _change(self, added: DataFrame, removed: list[str], schema: T.StructType | None = None) -> int:
         """Commit a change to the newest version, whichever that is; a conflict if what is to be removed has gone meanwhile."""
-        gone = self.spark.createDataFrame([(s,) for s in removed], "shard string")
+        gone = F.broadcast(self.spark.createDataFrame([(s,) for s in removed], "shard string"))  # names that the driver holds anyway
         for name in (r["shard"] for r in added.select("shard").collect()):
             if not self._fs.exists(self._path(name)):
                 raise CommitConflict(f"{name} was deleted before it was committed")
@@ -121,7 +121,8 @@ class ShardStore:
             if removed and live.join(gone, "shard", "left_semi").count() < len(removed):
                 raise CommitConflict("a shard to be replaced is live no more")
             try:
-                return self.commit(live.join(gone, "shard", "left_anti").unionByName(added), base, schema)
+                stays = live.join(gone, "shard", "left_anti") if removed else live
+                return self.commit(stays.unionByName(added), base, schema)
             except CommitConflict:
                 if attempt + 1 == RETRIES:
                     raise
