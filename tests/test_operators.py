@@ -182,3 +182,28 @@ def test_line_of_a_scale(spark):
         2.0: "2 µm/px  [override, 100%]",
         1e-7: "1e-07 µm/px  = 0 µm  [ocr, 12%]",
     }
+
+
+def test_undo_goes_through_no_frame_that_ends_behind_all_rows(spark):
+    log = spark.range(1, 3001).select(F.lit(1).alias("image_id"), F.col("id").alias("seq"), F.when(F.col("id") % 4 == 0, co.UNDO).otherwise("entfernen").alias("action"), F.col("id").alias("label"))
+    out = co.undone(log)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    stack = []
+    for k in range(1, 3001):
+        stack.pop() if k % 4 == 0 else stack.append(k)
+    assert [r.seq for r in out.orderBy("seq").collect()] == stack
+
+
+def test_shapes_are_rounded_as_by_sql_at_ties(spark, tmp_path):
+    import duckdb
+
+    from lacuna.plans import catalog
+
+    # With no discount the area comes back as it is; these lie half way between two numbers of six digits.
+    rows = [(1, k, 1, k, "2020-01-01", (k + 0.5) / 1e6, 1.0, 0.0, 0.01 * (k % 9), "R", "O") for k in range(1, 4001)]
+    names = "l_suppkey bigint, l_orderkey bigint, l_linenumber int, l_partkey bigint, l_shipdate string, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.label: r.hull_guard for r in catalog.QUERIES["formula_shapes"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == dict(c.execute(f"SELECT label, hull_guard FROM ({catalog.ORACLE['formula_shapes']})").fetchall()) and len(got) == 4000
