@@ -62,10 +62,11 @@ def undone(log: DataFrame) -> DataFrame:
     """A log with ``rueckgaengig`` entries, replayed as a stack: the corrections that stand, in order of ``seq``.
 
     The height of the stack after each entry is a running sum that never falls below nothing; a correction stands
-    if the stack is never lower afterwards than it was with it on top. One sort by image, no list of the log.
+    if the stack is never lower afterwards than it was with it on top. Two sorts by image, no list of the log: what comes
+    later is a running minimum from the end, as a frame that ends behind all rows is gone through anew for each of them.
     """
     so_far = W.partitionBy("image_id").orderBy("seq")
-    later = so_far.rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy("image_id").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
     rows = log.withColumn("_sum", F.sum(F.when(F.col("action") == UNDO, -1).otherwise(1)).over(so_far))
     rows = rows.withColumn("_height", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far)))
     rows = rows.withColumn("_least", F.min("_height").over(later))
