@@ -155,14 +155,23 @@ def label_at(labels: DataFrame, points: DataFrame, radius: int = 3) -> DataFrame
 
     The pixel that the point rounds to comes first; else the smallest distance from the point itself, then the row, then the column.
     """
-    shifts = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]))
-    asked = points.select("point_id", "image_id", "px", "py", shifts.alias("s"))
-    asked = asked.select("*", (F.rint("py") + F.col("s.dy")).cast("int").alias("y"), (F.rint("px") + F.col("s.dx")).cast("int").alias("x"))
-    d2 = F.pow(F.col("x") - F.col("px"), F.lit(2)) + F.pow(F.col("y") - F.col("py"), F.lit(2))
-    exact = (F.col("s.dy") == 0) & (F.col("s.dx") == 0)
-    hits = asked.join(labels, ["image_id", "y", "x"]).where(exact | (d2 <= radius * radius))
-    best = hits.groupBy("point_id").agg(F.min(F.struct((~exact).alias("apart"), d2.alias("d2"), "y", "x", "label")).alias("b"))
-    return points.join(best, "point_id", "left").select("point_id", "image_id", F.coalesce("b.label", F.lit(0)).alias("label"))
+    # Pixels are listed by square cells as wide as what a point can see, so a point asks four cells at most, each for one row.
+    # Sizes behind an explode are guessed far too low, hence no broadcast.
+    side = 2 * radius + 1
+    pixel = F.struct("y", "x", "label")
+    cells = labels.groupBy("image_id", F.floor(F.col("y") / side).alias("cy"), F.floor(F.col("x") / side).alias("cx")).agg(F.collect_list(pixel).alias("pixels"))
+    y, x = F.rint("py").cast("int"), F.rint("px").cast("int")
+    ends = [F.floor((at + by) / side) for at in (y, x) for by in (-radius, radius)]
+    asked = points.select("point_id", "image_id", "px", "py", F.explode(F.sequence(*ends[:2])).alias("cy"), F.sequence(*ends[2:]).alias("cxs"))
+    asked = asked.select("point_id", "image_id", "px", "py", "cy", F.explode("cxs").alias("cx"))
+    apart = lambda p: (p["y"] != F.rint("py").cast("int")) | (p["x"] != F.rint("px").cast("int"))
+    d2 = lambda p: F.pow(p["x"] - F.col("px"), F.lit(2)) + F.pow(p["y"] - F.col("py"), F.lit(2))
+    seen = lambda p: (F.abs(p["y"] - F.rint("py")) <= radius) & (F.abs(p["x"] - F.rint("px")) <= radius)
+    hits = F.filter("pixels", lambda p: seen(p) & (~apart(p) | (d2(p) <= radius * radius)))
+    nearest = F.array_min(F.transform(hits, lambda p: F.struct(apart(p).alias("apart"), d2(p).alias("d2"), p["y"].alias("y"), p["x"].alias("x"), p["label"].alias("label"))))
+    met = asked.join(cells.hint("merge"), ["image_id", "cy", "cx"]).select("point_id", nearest.alias("b"))
+    best = met.where("b IS NOT NULL").groupBy("point_id").agg(F.min("b").alias("b"))
+    return points.join(best.hint("merge"), "point_id", "left").select("point_id", "image_id", F.coalesce("b.label", F.lit(0)).alias("label"))
 
 
 def labels_inside(labels: DataFrame, region: DataFrame) -> DataFrame:

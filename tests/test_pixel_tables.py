@@ -130,3 +130,20 @@ def test_rim_regions(spark):
     assert sorted((r.image_id, r.root) for r in rg.rim_regions(table_, 0.01, 0.05, 0.5).collect()) == [(0, 1), (1, 2)]
     corner = rg.regions(spark.createDataFrame([(0, 0, 0, 0), (0, 0, 1, 0)], "image_id int, y int, x int, root int"), 4, 6).withColumn("c", F.col("contact_frac") * 20).first()
     assert corner.c == pytest.approx(3) and corner.depth_frac == 0
+
+
+def test_label_at_asks_few_cells_and_equals_all_pixels(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    images = {k: rng.integers(0, 4, (11, 9)) * (rng.random((11, 9)) < 0.15) for k in range(4)}
+    labels = table(spark, images, "label").where("label > 0")
+    points = [(n, int(rng.integers(0, 5)), float(rng.integers(-40, 130)) / 10, float(rng.integers(-40, 150)) / 10) for n in range(400)]
+    spark.createDataFrame(points, "point_id int, image_id int, px double, py double").write.parquet(f"{tmp_path}/points")
+    out = px.label_at(labels, spark.read.parquet(f"{tmp_path}/points"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+    def nearest(k, x, y):
+        near = [((yy, xx) != (round(y), round(x)), (xx - x) ** 2 + (yy - y) ** 2, yy, xx, int(v)) for (yy, xx), v in np.ndenumerate(images.get(k, np.zeros((0, 0)))) if v and abs(yy - round(y)) <= 3 and abs(xx - round(x)) <= 3]
+        return min([n for n in near if not n[0] or n[1] <= 9], default=(0, 0, 0, 0, 0))[4]
+
+    assert {r.point_id: r.label for r in out.collect()} == {n: nearest(k, x, y) for n, k, x, y in points}
