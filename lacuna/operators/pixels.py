@@ -13,7 +13,8 @@ from lacuna.session import checkpointed
 
 #: MAD times this estimates a standard deviation (fixed value).
 MAD_FACTOR = 1.4826
-AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+#: Columns of a cell in which runs of neighbouring rows meet.
+CELL = 64
 
 
 def median_background(pixels: DataFrame) -> DataFrame:
@@ -99,24 +100,31 @@ def sauvola(pixels: DataFrame, height: int, width: int, window: int, k: float =
 def components(mask: DataFrame, width: int) -> DataFrame:
     """8-connected components of the pixels of a mask: image_id, y, x, root (the smallest y * width + x).
 
-    Each round takes the smallest root among the neighbours, then that root's root, until nothing changes.
+    Runs of a row are what is connected, not pixels: runs of neighbouring rows meet by cells of columns. Each round takes the smallest
+    root among the runs a run touches, then that root's root, until nothing changes.
     """
-    place = F.col("y") * width + F.col("x")
-    here = mask.select("image_id", "y", "x", place.alias("p"))
-    shifted = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in AROUND])).alias("s")
-    near = here.select("image_id", F.col("p"), "y", "x", shifted).select("image_id", "p", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    edges = checkpointed(near.join(here.select("image_id", "y", "x", F.col("p").alias("q")), ["image_id", "y", "x"]).select("image_id", "p", "q"))
-    roots = checkpointed(here.withColumn("root", F.col("p")))
+    line = W.partitionBy("image_id", "y").orderBy("x")
+    islands = mask.select("image_id", "y", "x", (F.col("x") - F.dense_rank().over(line)).alias("run"))
+    runs = islands.groupBy("image_id", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.collect_list("x").alias("xs"))
+    runs = checkpointed(runs.select("image_id", "y", (F.col("y") * width + F.col("x0")).alias("p"), "x0", "x1", "xs"))
+    cells = F.explode(F.sequence(F.floor((F.col("x0") - 1) / CELL), F.floor((F.col("x1") + 1) / CELL)))
+    upper = runs.select("image_id", "y", "p", "x0", "x1", cells.alias("cell"))
+    lower = upper.select("image_id", (F.col("y") - 1).alias("y"), "cell", F.col("p").alias("q"), F.col("x0").alias("from"), F.col("x1").alias("to"))
+    touching = upper.join(lower, ["image_id", "y", "cell"]).where((F.col("x0") <= F.col("to") + 1) & (F.col("from") <= F.col("x1") + 1))
+    both = F.explode(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q"))))
+    edges = checkpointed(touching.select("image_id", both.alias("e")).select("image_id", "e.p", "e.q"))
+    roots = checkpointed(runs.select("image_id", "p", F.col("p").alias("root")))
     while True:
         of_q = roots.select("image_id", F.col("p").alias("q"), F.col("root").alias("near"))
         least = edges.join(of_q, ["image_id", "q"]).groupBy("image_id", "p").agg(F.min("near").alias("near"))
-        lower = roots.join(least, ["image_id", "p"], "left").select("image_id", "y", "x", "p", F.col("root").alias("before"), F.least("root", "near").alias("now"))
+        lower = roots.join(least, ["image_id", "p"], "left").select("image_id", "p", F.col("root").alias("before"), F.least("root", "near").alias("now"))
         jump = roots.select("image_id", F.col("p").alias("now"), F.col("root").alias("further"))
-        after = checkpointed(lower.join(jump, ["image_id", "now"], "left").select("image_id", "y", "x", "p", "before", F.least("now", "further").alias("root")))
+        after = checkpointed(lower.join(jump, ["image_id", "now"], "left").select("image_id", "p", "before", F.least("now", "further").alias("root")))
         done = after.where("root != before").isEmpty()
         roots = after.drop("before")
         if done:
-            return roots.select("image_id", "y", "x", "root")
+            found = runs.join(roots, ["image_id", "p"], "left").select("image_id", "y", F.explode("xs").alias("x"), F.coalesce("root", "p").alias("root"))
+            return checkpointed(found)
 
 
 def hysteresis(extent: DataFrame, core: DataFrame, width: int) -> DataFrame:

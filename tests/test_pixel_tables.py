@@ -147,3 +147,17 @@ def test_label_at_asks_few_cells_and_equals_all_pixels(spark, tmp_path):
         return min([n for n in near if not n[0] or n[1] <= 9], default=(0, 0, 0, 0, 0))[4]
 
     assert {r.point_id: r.label for r in out.collect()} == {n: nearest(k, x, y) for n, k, x, y in points}
+
+
+def test_components_connect_runs_and_equal_the_kernel(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    masks = {k: rng.random((7, 150)) < (0.45 if k % 2 else 0.9) for k in range(4)}
+    kept = []
+    monkeypatch.setattr(px, "checkpointed", lambda df, real=px.checkpointed: kept.append(real(df)) or kept[-1])
+    got = px.components(table(spark, masks, "set").where("set = 1"), 150)
+    found = {(r.image_id, r.y, r.x): r.root for r in got.collect()}
+    for k, mask in masks.items():
+        labels = b.label(mask)
+        first = {int(v): int(np.flatnonzero(labels.ravel() == v)[0]) for v in np.unique(labels[mask])}
+        assert {(y, x): v for (i, y, x), v in found.items() if i == k} == {(int(y), int(x)): first[int(labels[y, x])] for y, x in zip(*np.nonzero(mask))}
+    assert max(df.count() for df in kept[:-1]) < len(found)  # no table of pixels, nor of their neighbours, goes through the rounds
