@@ -31,6 +31,8 @@ from lacuna.sources import images as im
 
 #: Files that one read names.
 FILES_A_READ = 10_000
+#: Images that a task of the pixel stages gets on average, at most.
+IMAGES_A_TASK = 500
 
 _FILES = "path string, name string, length bigint, modified timestamp, sha string, run string"
 _RESULTS = f"sha string, {im.RESULT}, settings string, run string"
@@ -122,6 +124,7 @@ class StageTables:
         wanted = images.select("sha").distinct()
         stale = wanted.join(known.select("sha"), "sha", "left_anti")
         first = images.join(stale, "sha", "left_semi").dropDuplicates(["sha"])
+        computed = stale.count()
         if "path" in images.columns:
             of = first.select("path", "sha")
             parts = []
@@ -131,9 +134,11 @@ class StageTables:
                 bad = read.where("error IS NOT NULL").select(F.col("path").alias("image_id"), "name", "error")
                 parts.append(good.unionByName(bad, allowMissingColumns=True).join(of.withColumnRenamed("path", "image_id"), "image_id"))
         else:
-            of = first.select(F.col("image_id").cast("string").alias("image_id"), "sha")
-            parts = [im.analysed(first, segmentation, detection).join(of, "image_id")]
-        computed = stale.count()
+            # Kernels take long for few bytes: a number of partitions that adaptive execution leaves alone keeps them apart, whatever their size in bytes.
+            tasks = max(self.spark.sparkContext.defaultParallelism * 2, computed // IMAGES_A_TASK + 1)
+            # Results are known by content, so they take its key through the kernels and no pixels are joined.
+            apart = first.withColumn("image_id", F.col("sha")).repartition(tasks, "sha")
+            parts = [im.analysed(apart, segmentation, detection).withColumn("sha", F.col("image_id"))]
         if computed:
             for n, rows in enumerate(parts):
                 StageTables(self.spark, self.root, f"{self.run}-{n}")._add(rows.withColumn("settings", F.lit(settings)), "results", "settings")

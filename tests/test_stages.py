@@ -83,3 +83,14 @@ def test_folder_without_images(spark, folder):
 def test_keys_follow_what_matters():
     keys = {bt.key_of(SEGMENTATION, DETECTION), bt.key_of(SEGMENTATION, detection.Detection()), bt.key_of(SEGMENTATION, DETECTION, list(fl.DEFAULT)), bt.key_of(SEGMENTATION, DETECTION, list(fl.DEFAULT[:1]))}
     assert len(keys) == 4 and bt.key_of(SEGMENTATION, DETECTION) in keys
+
+
+def test_small_images_are_spread_over_tasks_and_no_pixels_are_joined(spark, tmp_path, monkeypatch):
+    rows = [(str(k), f"{k}.png", 8, 8, bytes([k]) * 64) for k in range(40)]
+    images = spark.createDataFrame(rows, "image_id string, name string, height int, width int, gray binary")
+    images = images.withColumn("sha", bt.content_key(images))
+    seen, kernels = [], bt.im.analysed
+    monkeypatch.setattr(bt.im, "analysed", lambda given, *settings: seen.append(given) or kernels(given, *settings))
+    found = bt.StageTables(spark, f"file://{tmp_path}", "one").analysed(images, SEGMENTATION, DETECTION)
+    assert seen[0].rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism  # one, where few bytes are put together
+    assert {(r["image_id"], r["name"]) for r in found.collect()} == {(str(k), f"{k}.png") for k in range(40)}
