@@ -5,16 +5,21 @@ Neighbours are found by equi-joins on shifted coordinates, never by a range join
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lacuna.raster.basics import joined
 from lacuna.session import checkpointed
 
 #: MAD times this estimates a standard deviation (fixed value).
 MAD_FACTOR = 1.4826
-#: Columns of a cell in which runs of neighbouring rows meet.
-CELL = 64
+#: Rows of an image that are joined to components together, and pixels of them that are arrays at once.
+STRIPE, TOGETHER = 64, 1 << 18
 
 
 def median_background(pixels: DataFrame) -> DataFrame:
@@ -97,23 +102,64 @@ def sauvola(pixels: DataFrame, height: int, width: int, window: int, k: float =
     return pixels.join(near, ["image_id", "y", "x"]).where(F.col("gray") < F.col("threshold")).select("image_id", "y", "x", "gray", "threshold")
 
 
+def _stripe_roots(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """The components within each row (image_id, p: places of pixels): their smallest y * width + x, and their pixels."""
+    lists = batch.column(batch.schema.get_field_index("p"))
+    lengths = lists.value_lengths().to_numpy()
+    edges = np.flatnonzero(np.diff(np.cumsum(lengths) // TOGETHER, prepend=-1, append=-1)).tolist()
+    for lo, hi in zip(edges, edges[1:]):
+        some, owner = batch.slice(lo, hi - lo), np.repeat(np.arange(hi - lo), lengths[lo:hi])
+        y, x = (f.to_numpy(zero_copy_only=False).astype(np.int64) for f in lists.slice(lo, hi - lo).flatten().flatten())
+        order = np.lexsort((x, y, owner))
+        y, x, owner = y[order], x[order], owner[order]
+        wide, tall = x.max() - x.min() + 3, y.max() - y.min() + 2  # free places between lines and between rows of the batch
+        key = (owner * tall + y - y.min()) * wide + x - x.min() + 1
+        fresh = np.append(True, key[1:] != key[:-1])
+        places = key[fresh]
+        pairs = []
+        for step in (1, wide - 1, wide, wide + 1):
+            at = np.minimum(np.searchsorted(places, places + step), len(places) - 1)
+            met = np.flatnonzero(places[at] == places + step)
+            pairs.append((met, at[met]))
+        root = joined(len(places), *(np.concatenate(side) for side in zip(*pairs, strict=True)))
+        of = root[np.cumsum(fresh) - 1]
+        together = np.argsort(of, kind="stable")
+        begins = np.flatnonzero(np.diff(of[together], prepend=-1))
+        y, x, owner = y[together], x[together], owner[together]
+        ids = some.column(some.schema.get_field_index("image_id")).take(pa.array(owner[begins]))
+        ys, xs = (pa.ListArray.from_arrays(pa.array(np.append(begins, len(v)), pa.int32()), pa.array(v)) for v in (y, x))
+        yield pa.record_batch({"image_id": ids, "root": pa.array((y * width + x)[begins]), "ys": ys, "xs": xs})
+
+
 def components(mask: DataFrame, width: int) -> DataFrame:
     """8-connected components of the pixels of a mask: image_id, y, x, root (the smallest y * width + x).
 
-    Runs of a row are what is connected, not pixels: runs of neighbouring rows meet by cells of columns. Each round takes the smallest
-    root among the runs a run touches, then that root's root, until nothing changes.
+    Stripes of ``STRIPE`` rows are joined within themselves, each where it lies. Where components go on in the next stripe, rounds on these
+    components alone take the smallest root that one touches, then that root's root, until nothing changes.
     """
-    line = W.partitionBy("image_id", "y").orderBy("x")
-    islands = mask.select("image_id", "y", "x", (F.col("x") - F.dense_rank().over(line)).alias("run"))
-    runs = islands.groupBy("image_id", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.collect_list("x").alias("xs"))
-    runs = checkpointed(runs.select("image_id", "y", (F.col("y") * width + F.col("x0")).alias("p"), "x0", "x1", "xs"))
-    cells = F.explode(F.sequence(F.floor((F.col("x0") - 1) / CELL), F.floor((F.col("x1") + 1) / CELL)))
-    upper = runs.select("image_id", "y", "p", "x0", "x1", cells.alias("cell"))
-    lower = upper.select("image_id", (F.col("y") - 1).alias("y"), "cell", F.col("p").alias("q"), F.col("x0").alias("from"), F.col("x1").alias("to"))
-    touching = upper.join(lower, ["image_id", "y", "cell"]).where((F.col("x0") <= F.col("to") + 1) & (F.col("from") <= F.col("x1") + 1))
+    kinds = {c: mask.schema[c].dataType.simpleString() for c in ("image_id", "y", "x")}
+    kinds["root"] = mask.select((F.col("y") * width + F.col("x")).alias("root")).schema[0].dataType.simpleString()
+    stripes = mask.groupBy("image_id", F.floor(F.col("y") / STRIPE).alias("stripe")).agg(F.collect_list(F.struct("y", "x")).alias("p")).select("image_id", "p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _stripe_roots(batch, width)
+
+    def pixels_of(parts: DataFrame) -> DataFrame:
+        spread = parts.select("image_id", F.explode(F.arrays_zip("ys", "xs")).alias("at"), "root").select("image_id", F.col("at.ys").alias("y"), F.col("at.xs").alias("x"), "root")
+        return spread.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+
+    parts = checkpointed(stripes.mapInArrow(run, f"image_id {kinds['image_id']}, root bigint, ys array<bigint>, xs array<bigint>"))
+    local = pixels_of(parts)
+    beside = F.explode(F.array(F.col("x") - 1, F.col("x"), F.col("x") + 1))
+    ends = local.where(F.pmod("y", F.lit(STRIPE)) == STRIPE - 1).select("image_id", (F.col("y") + 1).alias("y"), beside.alias("x"), F.col("root").alias("p"))
+    begins = local.where(F.pmod("y", F.lit(STRIPE)) == 0).select("image_id", "y", "x", F.col("root").alias("q"))
     both = F.explode(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q"))))
-    edges = checkpointed(touching.select("image_id", both.alias("e")).select("image_id", "e.p", "e.q"))
-    roots = checkpointed(runs.select("image_id", "p", F.col("p").alias("root")))
+    edges = checkpointed(ends.join(begins, ["image_id", "y", "x"]).select("image_id", "p", "q").distinct().select("image_id", both.alias("e")).select("image_id", "e.p", "e.q"))
+    if edges.isEmpty():
+        return local
+    roots = checkpointed(edges.select("image_id", "p").distinct().withColumn("root", F.col("p")))
     while True:
         of_q = roots.select("image_id", F.col("p").alias("q"), F.col("root").alias("near"))
         least = edges.join(of_q, ["image_id", "q"]).groupBy("image_id", "p").agg(F.min("near").alias("near"))
@@ -123,8 +169,8 @@ def components(mask: DataFrame, width: int) -> DataFrame:
         done = after.where("root != before").isEmpty()
         roots = after.drop("before")
         if done:
-            found = runs.join(roots, ["image_id", "p"], "left").select("image_id", "y", F.explode("xs").alias("x"), F.coalesce("root", "p").alias("root"))
-            return checkpointed(found)
+            found = parts.withColumnRenamed("root", "p").join(roots, ["image_id", "p"], "left")
+            return checkpointed(pixels_of(found.withColumn("root", F.coalesce("root", "p"))))
 
 
 def hysteresis(extent: DataFrame, core: DataFrame, width: int) -> DataFrame:

@@ -29,11 +29,13 @@ def close_pairs(labels: DataFrame, gap: int) -> DataFrame:
     """
     reach = gap + 1
     edge = outline(labels).withColumns({"cy": F.floor(F.col("y") / reach), "cx": F.floor(F.col("x") / reach)})
-    near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+    # Of two cells beside each other one asks the other: its own cell and the four after it in row order.
+    near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
     asked = edge.select("image_id", F.col("label").alias("a"), F.col("y").alias("ay"), F.col("x").alias("ax"), "cy", "cx", near.alias("s"))
     asked = asked.select("image_id", "a", "ay", "ax", (F.col("cy") + F.col("s.dy")).alias("cy"), (F.col("cx") + F.col("s.dx")).alias("cx"))
     met = asked.join(edge.withColumnRenamed("label", "b"), ["image_id", "cy", "cx"])
-    return met.where((F.col("a") < F.col("b")) & (F.abs(F.col("ay") - F.col("y")) <= reach) & (F.abs(F.col("ax") - F.col("x")) <= reach)).select("image_id", "a", "b").distinct()
+    met = met.where((F.col("a") != F.col("b")) & (F.abs(F.col("ay") - F.col("y")) <= reach) & (F.abs(F.col("ax") - F.col("x")) <= reach))
+    return met.select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(pairs: DataFrame, labels: DataFrame) -> DataFrame:

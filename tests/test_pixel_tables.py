@@ -161,3 +161,29 @@ def test_components_connect_runs_and_equal_the_kernel(spark, monkeypatch):
         first = {int(v): int(np.flatnonzero(labels.ravel() == v)[0]) for v in np.unique(labels[mask])}
         assert {(y, x): v for (i, y, x), v in found.items() if i == k} == {(int(y), int(x)): first[int(labels[y, x])] for y, x in zip(*np.nonzero(mask))}
     assert max(df.count() for df in kept[:-1]) < len(found)  # no table of pixels, nor of their neighbours, goes through the rounds
+
+
+def test_components_across_stripes_are_those_of_the_kernel_and_one_stripe_needs_no_rounds(spark, monkeypatch):
+    from lacuna.raster import basics
+
+    rng, masks = np.random.default_rng(5), {}
+    for k in range(6):
+        masks[k] = rng.random((21, 17)) < (0.35, 0.5, 0.65)[k % 3]
+    masks[6] = np.zeros((21, 17), bool)
+    masks[6][::2] = True
+    masks[6][1::4, -1] = masks[6][3::4, 0] = True  # one line that winds through all stripes
+    rows = [(k, int(y), int(x)) for k, m in masks.items() for y, x in zip(*np.nonzero(m), strict=True)]
+    table = spark.createDataFrame(rows, "image_id bigint, y int, x int")
+    expected = set()
+    for k, m in masks.items():
+        labels = basics.label(m)
+        least = {n: int(np.flatnonzero(labels.ravel() == n)[0]) for n in range(1, labels.max() + 1)}
+        expected |= {(k, int(y), int(x), least[labels[y, x]]) for y, x in zip(*np.nonzero(m), strict=True)}
+    kept, calls = px.checkpointed, []
+    monkeypatch.setattr(px, "checkpointed", lambda df: calls.append(1) or kept(df))
+    whole = px.components(table, 17)
+    assert {tuple(r) for r in whole.collect()} == expected and whole.count() == len(rows)
+    assert len(calls) == 2
+    monkeypatch.setattr(px, "STRIPE", 3)
+    cut = px.components(table, 17)
+    assert {tuple(r) for r in cut.collect()} == expected and cut.count() == len(rows) and cut.schema == whole.schema
