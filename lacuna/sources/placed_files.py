@@ -52,11 +52,14 @@ class _Writer(DataSourceWriter):
         from pyarrow import fs
 
         files, base = open_root(self.root)
+        made = set()
         for message in filter(None, messages):
             for name, staged in message.files:
                 at = f"{base}/{name}"
                 if staged is not None:
-                    files.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                    if (folder := at.rsplit("/", 1)[0]) not in made:
+                        files.create_dir(folder, recursive=True)
+                        made.add(folder)
                     files.move(f"{base}/{self.staging}/{staged}", at)
                 elif files.get_file_info(at).type == fs.FileType.File:
                     files.delete_file(at)

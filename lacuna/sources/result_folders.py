@@ -5,15 +5,21 @@ Every file is built on executors, in columns, and put in place by one commit (``
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.sources.placed_files import place
+from lacuna.sources.placed_files import open_root, place
 
 #: What a CSV file begins with, how its lines end.
 MARK, END = "﻿", "\r\n"
+#: Folders that one task reads, about.
+FOLDERS_A_TASK = 5000
+#: Bytes of files that are handed on together when they are read.
+_TOGETHER = 16 << 20
 _CSV = {"sep": ";", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": ""}
 
 
@@ -48,3 +54,38 @@ def files_of(tables: dict[str, DataFrame], folders: DataFrame, settings: str = "
 def write(tables: dict[str, DataFrame], folders: DataFrame, root: str, settings: str = "", log: DataFrame | None = None) -> None:
     """Write ``files_of`` a run under ``root``: all files are in place, or none."""
     place(files_of(tables, folders, settings, log), root)
+
+
+def read(folders: DataFrame, root: str) -> DataFrame:
+    """All files in the folders of images under ``root``: file (with its folder), content. ``folders`` as for ``files_of``.
+
+    Each task lists and reads the folders that it has; neither the driver nor a job of its own lists them all. Nothing is given for a folder that is not there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, base = open_root(root.rstrip("/"))
+        names, contents, held = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch({"file": pa.array(names, pa.string()), "content": pa.array(contents, pa.binary())})
+
+        for folder in (f for b in batches for f in b.column(0).to_pylist()):
+            for found in files.get_file_info(fs.FileSelector(f"{base}/{folder}", allow_not_found=True, recursive=True)):
+                if found.type != fs.FileType.File:
+                    continue
+                with files.open_input_stream(found.path) as f:
+                    contents.append(f.read())
+                names.append(found.path.removeprefix(f"{base}/"))
+                held += len(contents[-1])
+                if held >= _TOGETHER:
+                    yield batch()
+                    names, contents, held = [], [], 0
+        if names:
+            yield batch()
+
+    spark = folders.sparkSession
+    # By number, as adaptive execution would put these few bytes into one task.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, folders.count() // FOLDERS_A_TASK + 1)
+    return folders.select("folder").repartition(tasks, "folder").mapInArrow(run, "file string, content binary")

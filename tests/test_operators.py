@@ -207,3 +207,17 @@ def test_shapes_are_rounded_as_by_sql_at_ties(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert got == dict(c.execute(f"SELECT label, hull_guard FROM ({catalog.ORACLE['formula_shapes']})").fetchall()) and len(got) == 4000
+
+
+def test_six_digits_are_those_of_the_exact_value():
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    halves = (draw.integers(0, 2_000_000, 20_000) + 0.5) / 10.0 ** draw.integers(0, 10, 20_000)  # half way between two numbers of six digits, or next to it
+    edges = [np.nextafter(float(f"1e{k}"), s) for k in range(-6, 9) for s in (0, 1e9)] + [0.0, -0.0, 1e5, 1e6, 999_999.4, 999_999.5, 9.9999995e-5, 5e-324, 1e300, np.inf, -np.inf, np.nan]
+    values = np.concatenate([halves, -halves, np.nextafter(halves, 1e9), draw.random(20_000) * 10 ** draw.uniform(-6, 8, 20_000), draw.integers(-999, 999, 1000) / 4, edges])
+    want = ["" if v != v else f"{v:.6g}".replace(".", ",") for v in values.tolist()]
+    assert tx.six_digits(pa.array(values)).to_pylist() == want
+    assert tx.six_digits(pa.array([None, 1.5, 100_000.5], pa.float64())).to_pylist() == ["", "1,5", "100000"]
+    assert tx.six_digits(pa.array([], pa.float64())).to_pylist() == []

@@ -54,6 +54,28 @@ def test_result_folders(spark, tmp_path):
     assert len(tree(tmp_path)) == 8
 
 
+def test_result_folders_are_read_where_they_are_listed(spark, tmp_path):
+    folders = spark.createDataFrame([(f"p{k}.tif", f"p{k}") for k in range(300)], "name string, folder string")
+    log = spark.createDataFrame([("p7.tif", "run1", "---- started")], "name string, run string, text string")
+    rf.write({}, folders, f"file://{tmp_path}/out", "filter: []\n", log)
+    more = folders.unionByName(spark.createDataFrame([("gone.tif", "gone")], "name string, folder string"))
+    tasks = []
+    for root in (f"file://{tmp_path}/out", f"file://{tmp_path}/out/"):
+        rows = rf.read(more, root).withColumn("task", F.spark_partition_id()).collect()
+        assert {r.file: bytes(r.content) for r in rows} == tree(tmp_path / "out") and len(rows) == 301
+        tasks.append(len({r.task for r in rows}))
+    assert min(tasks) > 1  # few bytes are not put into one task
+
+
+def test_result_folders_list_nothing_at_the_driver(spark):
+    """Listing by the reader of files took a job of a task for each folder, up to 10,000 tasks."""
+    from lacuna.plans import catalog
+
+    found = catalog.QUERIES["result_folders"](spark, "/root/testdata/sf0.001")
+    assert not found.inputFiles() or not any("poren.csv" in f for f in found.inputFiles())
+    assert found.count() == 2 * spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+
+
 def test_correction_store(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name in ("Probe 1+%.tif", "x.y.png", "ä.bmp"):
