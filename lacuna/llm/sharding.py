@@ -7,7 +7,7 @@ appears by one rename that fails if another writer was first. Such a rename is a
 object store needs a committer of its own. Readers of an older version are
 undisturbed until ``vacuum`` removes files that the newest manifest no longer names.
 
-DataFrame functions only. A merge needs no shuffle: each run is read by one task, which reads less than two targets, and
+DataFrame functions only; what the driver holds goes to Spark as Arrow tables, as Python on the executors would pickle lists of rows anew. A merge needs no shuffle: each run is read by one task, which reads less than two targets, and
 written as one file; runs are planned on the manifest, from file sizes. The manifest has a row for each shard (at 128 MB
 a shard 800,000 for 100 TB): one task can write or sort it, and the driver holds the names as any reader of files does.
 """
@@ -21,10 +21,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lacuna.llm.shared import free_name
 
@@ -111,7 +113,7 @@ class ShardStore:
 
     def _change(self, added: DataFrame, removed: list[str], schema: T.StructType | None = None) -> int:
         """Commit a change to the newest version, whichever that is; a conflict if what is to be removed has gone meanwhile."""
-        gone = F.broadcast(self.spark.createDataFrame([(s,) for s in removed], "shard string"))  # names that the driver holds anyway
+        gone = F.broadcast(self.spark.createDataFrame(pa.table({"shard": pa.array(removed, pa.string())})))  # names that the driver holds anyway
         for name in (r["shard"] for r in added.select("shard").collect()):
             if not self._fs.exists(self._path(name)):
                 raise CommitConflict(f"{name} was deleted before it was committed")
@@ -158,7 +160,7 @@ class ShardStore:
         at = read.metadataColumn("_metadata")
         files = read.select(at.getField("file_path").alias("shard"), at.getField("file_size").alias("bytes"))
         found = files.groupBy("shard", "bytes").agg(F.count("*").alias("rows")).select("shard", "bytes", "rows", tier_of(F.col("bytes")).alias("tier"), F.lit(generation).alias("generation"))
-        return self.spark.createDataFrame(found.collect(), MANIFEST)  # a row for each new shard; files are read for them once
+        return self.spark.createDataFrame(found.toArrow())  # a row for each new shard; files are read for them once
 
     def _rows(self, shards: list[str], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*shards)
@@ -266,7 +268,7 @@ class ShardStore:
         if schema is None:
             raise FileNotFoundError(f"nothing was appended to {self.root}")
         shards = [r["shard"] for r in manifest.select("shard").toLocalIterator()]
-        rows = self._rows(shards, schema) if shards else self.spark.createDataFrame([], schema)
+        rows = self._rows(shards, schema) if shards else self.spark.createDataFrame(to_arrow_schema(schema).empty_table(), schema)
         if not described:
             return rows
         shard, size, generation = (free_name(rows, n) for n in ("shard", "shard_bytes", "generation"))

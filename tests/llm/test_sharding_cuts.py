@@ -44,3 +44,17 @@ def test_files_gone_before_the_commit(spark):
     with pytest.raises(sharding.CommitConflict):
         store._change(added, [], spark.range(1).schema)
     assert store.version() == 0
+
+
+def test_no_python_on_the_executors(spark, monkeypatch):
+    from pyspark.core import rdd
+
+    given, wrap = [], rdd._wrap_function
+    monkeypatch.setattr(rdd, "_wrap_function", lambda *args, **named: given.append(args[1]) or wrap(*args, **named))
+    docs = spark.range(40).select("id", letters(40, 640, 0).alias("text"))
+    store = sharding.shard([docs.where(F.col("id") % 5 == k).coalesce(1) for k in range(5)], Scratch(spark, "plain").path("store"))
+    assert store.manifest().count() < store.appended()
+    assert sorted(r["id"] for r in store.read(described=True).select("id").collect()) == list(range(40))
+    empty = sharding.shard([docs.where("false")], Scratch(spark, "none").path("store"))
+    assert empty.read(described=True).collect() == []
+    assert not given
