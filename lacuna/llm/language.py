@@ -14,11 +14,12 @@ length is read as a whole in bounded memory. Training texts are reduced to their
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import tempfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -37,8 +38,10 @@ EPOCHS, BATCH = 3, 16
 DENSE = 64
 #: Texts whose features are held between epochs.
 FEATURES_HELD = 10_000
-#: Training state of more bytes lies in a temporary file of the driver.
+#: Training state of more bytes lies in a temporary file of the driver, as the counts of sample texts always do.
 IN_MEMORY = 1 << 28
+#: Texts of which probabilities are formed together.
+TOGETHER = 1 << 12
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-3, 1e-4
 HOLD_OUT, HOLD_OUT_REST = 3, 1
 ACCEPT = 0.5
@@ -184,16 +187,15 @@ def _ftrl(features: Callable[[int], tuple[np.ndarray, np.ndarray]], target: np.n
             batch = shuffled[lo : lo + BATCH]
             rows = [features(int(i)) for i in batch]
             place = np.concatenate([np.append(place, size) for place, _ in rows])  # the last place is the bias
-            value = np.concatenate([np.append(value * SCALE, 1.0) for _, value in rows])
-            owner = np.repeat(np.arange(len(batch)), [len(place) + 1 for place, _ in rows])
+            values = [np.append(value * SCALE, 1.0)[:, None] for _, value in rows]
             used, where = np.unique(place, return_inverse=True)
+            where = np.split(where, np.cumsum([len(x) for x in values])[:-1])  # no place comes twice in a text
             w = weights(used)
-            logits = np.zeros((len(batch), classes))
-            np.add.at(logits, owner, value[:, None] * w[where])
-            error = softmax(logits)
+            error = softmax(np.array([(value * w[at]).sum(axis=0) for value, at in zip(values, where, strict=True)]))
             error[np.arange(len(batch)), target[batch]] -= 1
             g = np.zeros_like(w)
-            np.add.at(g, where, value[:, None] * error[owner])
+            for value, at, e in zip(values, where, error, strict=True):
+                g[at] += value * e
             g /= len(batch)
             sigma = (np.sqrt(n[used] + g * g) - np.sqrt(n[used])) / ALPHA
             z[used] += g - sigma * w
@@ -207,8 +209,11 @@ SCALE = 30.0
 def _temperature(logits: np.ndarray, target: np.ndarray) -> float:
     """The temperature with the least log loss, by golden-section search on its logarithm."""
     def loss(t: float) -> float:
-        p = softmax(logits / np.exp(t))
-        return -np.log(np.maximum(p[np.arange(len(target)), target], 1e-12)).mean()
+        p = np.empty(len(target))
+        for lo in range(0, len(p), TOGETHER):
+            y = target[lo : lo + TOGETHER]
+            p[lo : lo + TOGETHER] = softmax(logits[lo : lo + TOGETHER] / np.exp(t))[np.arange(len(y)), y]
+        return -np.log(np.maximum(p, 1e-12)).mean()
 
     lo, hi, ratio = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(50):
@@ -226,7 +231,34 @@ def fit(texts: list[str], languages: list[str]) -> LanguageModel:
     return fit_counts(counts, languages, df, len(texts))
 
 
-def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str], df: np.ndarray, documents: int) -> LanguageModel:
+class HeldCounts(Sequence):
+    """The counts of texts, in a temporary file of the driver: none of them stays in memory."""
+
+    def __init__(self):
+        self._file, self._at, self._end = tempfile.TemporaryFile(buffering=0), [], 0
+
+    def add(self, places: bytes, counts: bytes) -> None:
+        """One more text: its places as int32, its counts as int64."""
+        self._file.write(counts + places)
+        self._at.append((self._end, len(places) // 4))
+        self._end += len(places) + len(counts)
+
+    def arranged(self, order: np.ndarray) -> HeldCounts:
+        """The same texts in another order; the file is shared."""
+        out = object.__new__(HeldCounts)
+        out._file, out._at, out._end = self._file, [self._at[i] for i in order], self._end
+        return out
+
+    def __len__(self) -> int:
+        return len(self._at)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at, n = self._at[k]
+        data = os.pread(self._file.fileno(), 12 * n, at)
+        return np.frombuffer(data, np.int32, n, 8 * n), np.frombuffer(data, np.int64, n)
+
+
+def fit_counts(counts: Sequence[tuple[np.ndarray, np.ndarray]], languages: list[str], df: np.ndarray, documents: int) -> LanguageModel:
     """Four of five texts train the weights, the others the temperature (all, if there are under 20)."""
     names = tuple(sorted(set(languages)))
     if not names:
@@ -244,7 +276,9 @@ def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str]
     weights, bias = _ftrl(lru_cache(FEATURES_HELD)(features), target[seen], len(names))
     model = LanguageModel(names, _table(idf, weights, len(names)), bias, 1.0)
     rest = np.flatnonzero(apart) if apart.any() else seen
-    logits = np.array([model.logits_of(*counts[i]) for i in rest])
+    logits = _zeros((len(rest), len(names)))
+    for k, i in enumerate(rest):
+        logits[k] = model.logits_of(*counts[i])
     return LanguageModel(names, model.table, bias, _temperature(logits, target[rest]))
 
 
@@ -298,14 +332,15 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     top = known.select("lang", F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text")
     sample = top.join(F.broadcast(_share(known, rows)), "lang").where(drawn).select("lang", "h", "doc_id", "text")
     got = sample.mapInArrow(_counts, "lang string, h bigint, doc_id bigint, places binary, counts binary")
-    got = got.groupBy("lang", "h", "doc_id").agg(F.first("places").alias("places"), F.first("counts").alias("counts")).collect()
-    best: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r.lang, r.h, r.doc_id)):
-        if len(best.setdefault(r.lang, [])) < rows:
-            best[r.lang].append((np.frombuffer(r["places"], np.int32), np.frombuffer(r["counts"], np.int64)))
-    pairs = [(t, k) for k, v in best.items() for t in v]
-    shuffled = np.random.default_rng(0).permutation(len(pairs))
-    return fit_counts([pairs[i][0] for i in shuffled], [pairs[i][1] for i in shuffled], df.reshape(-1), documents)
+    got = got.groupBy("lang", "h", "doc_id").agg(F.first("places").alias("places"), F.first("counts").alias("counts")).orderBy("lang", "h", "doc_id")
+    held, languages, taken = HeldCounts(), [], 0
+    for r in got.toLocalIterator():  # a partition at a time: all of them grow with the number of languages
+        taken = taken + 1 if languages and languages[-1] == r["lang"] else 1
+        if taken <= rows:
+            held.add(r["places"], r["counts"])
+            languages.append(r["lang"])
+    shuffled = np.random.default_rng(0).permutation(len(held))
+    return fit_counts(held.arranged(shuffled), [languages[i] for i in shuffled], df.reshape(-1), documents)
 
 
 def _share(known: DataFrame, rows: int) -> DataFrame:
