@@ -1,22 +1,21 @@
 """Thresholds of gray images as column expressions on their histograms.
 
-An image's histogram has 256 rows at most, summed before anything is exchanged; what follows is windows and arrays over these
+An image's histogram has a row for each level that occurs (256 at most for bytes), summed before anything is exchanged; what follows is windows and arrays over these
 rows, whatever the size of the image. Sums of gray values are whole numbers in float64, so equal splits give equal values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LEVELS = 256
-
 
 def histogram(pixels: DataFrame, value: str = "gray") -> DataFrame:
-    """image_id, level, n: how many pixels have each gray level; values beyond 0 to 255 count at the ends."""
-    level = F.least(F.greatest(F.col(value), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
-    return pixels.where(F.col(value).isNotNull()).groupBy("image_id", level.alias("level")).agg(F.count("*").alias("n"))
+    """image_id, level, n: how many pixels have each gray level; values beyond 0 to 255 are levels of their own."""
+    return pixels.where(F.col(value).isNotNull()).groupBy("image_id", F.col(value).cast("int").alias("level")).agg(F.count("*").alias("n"))
 
 
 def _running(levels: DataFrame) -> DataFrame:
@@ -42,10 +41,16 @@ def otsu(levels: DataFrame) -> DataFrame:
     return best.select("image_id", F.when(found, F.col("best.level")).otherwise(0).cast("double").alias("threshold"), F.when(found & (F.col("spread") > 0), -F.col("best.less") / F.col("spread")).otherwise(0.0).alias("separability"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: Spark may put a column that is named once in its place, also where that is for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def multi_otsu(levels: DataFrame, classes: int = 3) -> DataFrame:
     """image_id, thresholds: the ``classes`` - 1 levels that split a histogram with the largest variance between classes; null if there are fewer levels than classes.
 
-    Best splits of the first j levels into one class more at a time, over arrays of the levels that occur; of equal ones the lower cut.
+    Values of the best splits of the first j levels into one class more at a time, over arrays of the levels that occur. The cuts are found from the
+    last to the first: of those with which the sum comes to the best value, as rounded, the lowest.
     """
     rows = _running(levels).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("level", "w", "m"))).alias("h"))
 
@@ -56,35 +61,37 @@ def multi_otsu(levels: DataFrame, classes: int = 3) -> DataFrame:
         d = F.element_at("h", j)["m"] - before_m
         return d * d / (F.element_at("h", j)["w"] - before_w)
 
-    def split(value: Column, less: Column, cuts: Column) -> Column:
-        return F.struct(value.alias("value"), less.alias("less"), cuts.alias("cuts"))
+    def sums(best: Column, k: int, j: Column, after: list[Column]) -> Column:
+        """The first j levels split into k classes up to each i and one after it, and the classes ``after`` j."""
+        return F.transform(F.sequence(F.lit(k), j - 1), lambda i: sum(after, F.element_at(best, i) + gain(i, j)))
 
     size = F.size("h")
-    rows = rows.withColumn("best", F.transform(F.sequence(F.lit(1), size), lambda j: split(gain(F.lit(0), j), F.lit(0), F.array().cast("array<int>"))))
-    nothing = split(F.lit(float("-inf")), F.lit(0), F.array().cast("array<int>"))
-
-    def with_one_more(k: int) -> Column:
-        """The best splits into k + 1 classes from those into k; fewer than k + 1 levels have none."""
-
-        def upto(j: Column) -> Column:
-            each = F.transform(F.sequence(F.lit(k), j - 1), lambda i: split(F.element_at("best", i)["value"] + gain(i, j), -i, F.concat(F.element_at("best", i)["cuts"], F.array(F.element_at("h", i)["level"]))))
-            return F.when(j > k, F.array_max(each)).otherwise(nothing)
+    enough, every = size >= classes, F.sequence(F.lit(1), size)
+    rows = rows.withColumn("best1", F.transform(every, lambda j: gain(F.lit(0), j)))
 
-        return F.transform(F.sequence(F.lit(1), size), upto)
+    def best_of(k: int) -> Callable[[Column], Column]:
+        return lambda best: F.transform(every, lambda j: F.when(j > k, F.array_max(sums(best, k, j, []))).otherwise(float("-inf")))
 
-    for k in range(1, classes):
-        rows = rows.withColumn("best", F.when(size >= classes, with_one_more(k)))
-    return rows.select("image_id", F.when(size >= classes, F.element_at("best", -1)["cuts"]).cast("array<double>").alias("thresholds"))
+    for k in range(1, classes - 1):
+        rows = rows.withColumn(f"best{k + 1}", F.when(enough, _once(F.col(f"best{k}"), best_of(k))))
+    ends: list[Column] = [size]
+    for k in range(classes - 1, 0, -1):
+        after = [gain(i, j) for i, j in zip(ends, ends[1:])]
+        rows = rows.withColumn("sums", F.when(enough, _once(F.col(f"best{k}"), lambda best: sums(best, k, ends[0], after))))
+        rows = rows.withColumn(f"cut{k}", (F.array_position("sums", F.array_max("sums")) + (k - 1)).cast("int"))
+        ends.insert(0, F.col(f"cut{k}"))
+    return rows.select("image_id", F.when(enough, F.array(*[F.element_at("h", cut)["level"] for cut in ends[:-1]])).cast("array<double>").alias("thresholds"))
 
 
-def dark_level(pixels: DataFrame, method: str = "otsu", level: int = 0, classes: int = 3, share: float = 0.3, offset: float = 0.0) -> DataFrame:
-    """image_id, threshold: gray up to which pixels are dark, by ``otsu``, ``multiotsu`` (its cut number ``level``, Otsu's where levels are too few) or ``percentile``."""
+def dark_level(pixels: DataFrame, method: str = "otsu", level: int = 0, classes: int = 3, share: float = 0.3, offset: float = 0.0, fall_back: bool = True) -> DataFrame:
+    """image_id, threshold: gray up to which pixels are dark, by ``otsu``, ``multiotsu`` (its cut number ``level``; where levels are too few Otsu's, or, without ``fall_back``, no row) or ``percentile``."""
     if method == "percentile":
         return pixels.groupBy("image_id").agg((F.percentile("gray", F.lit(share)) + offset).alias("threshold"))
     levels = histogram(pixels)
     found = otsu(levels).select("image_id", "threshold")
     if method == "multiotsu":
         cuts = multi_otsu(levels, classes)
+        cuts = cuts if fall_back else cuts.where("thresholds IS NOT NULL")
         found = found.join(cuts, "image_id").select("image_id", F.coalesce(F.element_at("thresholds", F.least(F.lit(level + 1), F.size("thresholds"))), "threshold").alias("threshold"))
     return found.select("image_id", (F.col("threshold") + offset).alias("threshold"))
 

@@ -50,6 +50,23 @@ def test_dark_level_falls_back_to_otsu(spark):
     assert shares[0] == pytest.approx(np.percentile(images[0], 25))
 
 
+def test_dark_regions_are_those_of_sql_beyond_bytes_at_ties_and_with_few_levels(spark, tmp_path):
+    import duckdb
+
+    from lacuna.plans import catalog
+
+    rng = np.random.default_rng(6)
+    vectors = [(rng.normal(0, 0.02, 64)).tolist() for _ in range(400)]  # few levels: splits that are equal only as rounded
+    vectors += [[-0.7 if k % 7 == 0 else 0.9 if k % 5 == 0 else k / 300 for k in range(64)], [0.1] * 64, [0.1, 0.2] * 32]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("pixel_otsu", "pixel_separability", "pixel_multi_otsu", "pixel_dark_regions"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLE[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want) and want, name
+
+
 def test_texture_without_two_kinds(spark):
     rng = np.random.default_rng(4)
     images = {0: np.concatenate([rng.random(60), 9 + rng.random(60)]).reshape(10, 12), 1: np.zeros((5, 5)), 2: np.full((5, 5), 3.0)}
