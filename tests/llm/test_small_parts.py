@@ -288,6 +288,21 @@ def test_notes_lie_by_ranges_of_rows(spark, monkeypatch, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 650, 7))
 
 
+def test_rows_that_a_join_or_an_explode_repeats_have_places_of_their_own(spark, tmp_path):
+    from lacuna.llm.exact_dedup import exact_dedup
+
+    F = spark_functions
+    spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, "c")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    times = spark.range(2).withColumnRenamed("id", "k")
+    repeated = {"join": docs.crossJoin(times), "explode": docs.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))}
+    for name, rows in repeated.items():
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(rows.select((F.col("doc_id") + 10 * F.col("k")).alias("doc_id"), "text")).collect()}
+        assert got == {1: (1, 4, True), 2: (1, 4, False), 11: (1, 4, False), 12: (1, 4, False), 3: (3, 2, True), 13: (3, 2, False)}, name
+        assert not shared._row_by_row(rows)
+    assert shared._row_by_row(docs) and shared._row_by_row(docs.where("doc_id > 1").withColumn("text", F.lower("text")))  # these are read where they lie
+
+
 def test_stages_of_the_pipeline_on_awkward_rows_and_none(spark):
     """Every stage on what the one before kept, through Parquet; own columns with clashing names stay until the last."""
     import corpus_pipeline
